@@ -1,0 +1 @@
+"""A document index and retrieval engine on Spark DataFrames."""
