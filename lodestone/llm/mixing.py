@@ -58,7 +58,7 @@ def hash_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = 20_000, seed: int = 10) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = 2_000, seed: int = 10) -> DataFrame:
     """(id, source, size, source_size, target, taken), one row per row of `docs`.
 
     Null and empty texts have size 0 and are taken 0 times. Null sources form one source, the last.
