@@ -34,8 +34,8 @@ STATES = ALPHABET + 2
 
 #: Letters that a character may stand for, besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Natural logs of the channel: a look-alike, a separator dropped, a repeated letter dropped, a digit or sign left out though none of these.
-SUBSTITUTE, SEPARATE, REPEAT, STRAY = -1.0, -0.7, -0.4, -6.0
+#: Natural logs of the channel: a look-alike, a separator dropped, a letter dropped that repeats the one before, or the two before, a digit or sign left out though none of these.
+SUBSTITUTE, SEPARATE, DOUBLE, REPEAT, STRAY = -1.0, -0.7, -2.5, -0.4, -6.0
 SEPARATORS = frozenset(".-_*~,;:'`^·​ ")
 #: Restored tokens and their features that a Python worker remembers.
 CACHED = 300_000
@@ -59,7 +59,8 @@ def restore(token: str, lm: np.ndarray) -> str:
         if c.isalpha():
             options.append((c, 0.0))
         options += [(x, SUBSTITUTE) for x in LOOKALIKES.get(c, "")]
-        drop = SEPARATE if c in SEPARATORS else REPEAT if i and c == token[i - 1] and c.isalpha() else STRAY if not c.isalpha() else None
+        again = c.isalpha() and i > 0 and c == token[i - 1]
+        drop = SEPARATE if c in SEPARATORS else STRAY if not c.isalpha() else None if not again else REPEAT if i > 1 and c == token[i - 2] else DOUBLE
         new: dict[str, tuple[float, tuple | None]] = {}
         for last, (p, path) in best.items():
             if drop is not None and p + drop > new.get(last, (-math.inf, None))[0]:
