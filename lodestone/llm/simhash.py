@@ -90,14 +90,14 @@ def links(prints: DataFrame, col: str = "fp", key_bytes: int = 3) -> DataFrame:
 
 
 def classes(prints: DataFrame, id_col: str, fp_col: str = "fp") -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest id in its class."""
+    """(fp, root, component_id): for each distinct fingerprint its class, named by its smallest fingerprint, and the smallest id in it."""
     reps = cut(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id")))
     found = components(links(reps), "a", "b")
     joined = reps.join(found, reps.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
     least = joined.where("fp <> root").groupBy("root").agg(F.min("id").alias("least"))
     # Classes of one fingerprint, nearly all, need no shuffle of their own.
     roots = joined.where("fp = root").select("root", "id").join(least, "root", "left").select("root", F.least("id", "least").alias("component_id"))
-    return joined.join(roots, "root").select("fp", "component_id")
+    return joined.join(roots, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +111,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each class that with the smallest id (not null, if it has one), of rows that repeat it the one with the smallest text hash."""
+    """The rows of `docs` that stay: of each class that with the smallest id (not null, if it has one), of rows that repeat it the one with the smallest text hash. Classes that share an id keep one row each."""
     narrow = cut(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"), F.xxhash64(text_col).alias("h")))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("k")
-    best = narrow.join(classes(narrow, "id"), "fp").groupBy("component_id").agg(first).select(F.xxhash64("k.id", "k.h").alias("__key"), F.col("k.id").alias("__id"), F.col("k.h").alias("__hash"))
+    best = narrow.join(classes(narrow, "id"), "fp").groupBy("root").agg(first).select(F.xxhash64("k.id", "k.h").alias("__key"), F.col("k.id").alias("__id"), F.col("k.h").alias("__hash"))
     keyed = docs.withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(id_col, "__text_hash"))
     kept = keyed.join(best, "__key").where(F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
     return kept.dropDuplicates(["__key"]).select(*docs.columns)
