@@ -14,4 +14,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix": mixing.op10_mix,
 }
-SQL = {"op8_warc": warc.SQL, "op10_mix": mixing.SQL}
+SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL}
