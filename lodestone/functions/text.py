@@ -13,6 +13,7 @@ STOPWORDS = (
     "from", "have", "will", "your", "they", "them", "then", "than", "into", "over", "such", "when", "what", "which", "while", "were", "been", "also", "each",
 )
 TERM = r"[\p{L}\p{Nd}]+"
+IDENTIFIER_CUT = r"(?<=\P{Lu})(?=\p{Lu})|(?<=\p{Nd})(?=\P{Nd})|(?<=\P{Nd})(?=\p{Nd})"
 NEWLINE = r"\r\n|\r|\n"
 
 
@@ -29,8 +30,7 @@ def terms(text: Column) -> Column:
 
 def split_identifier(token: Column) -> Column:
     """Parts at lower-to-upper and digit boundaries."""
-    cut = r"(?<=\P{Lu})(?=\p{Lu})|(?<=\p{Nd})(?=\P{Nd})|(?<=\P{Nd})(?=\p{Nd})"
-    return F.filter(F.split(token, cut), lambda p: p != "")
+    return F.filter(F.split(token, IDENTIFIER_CUT), lambda p: p != "")
 
 
 def stem(word: Column) -> Column:

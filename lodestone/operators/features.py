@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import index_terms, trigrams
+from ..functions.text import IDENTIFIER_CUT, STOPWORDS, TERM, index_terms, stem, trigrams
 
 MAX_TERMS = 4096
 
 
 def term_rows(docs: DataFrame, include_trigrams: bool = False) -> DataFrame:
-    """(doc, term, tf) of (doc, text)."""
-    words = index_terms(F.col("text"))
-    bag = F.concat(words, F.flatten(F.transform(words, trigrams))) if include_trigrams else words
-    return docs.select("doc", F.explode(bag).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """(doc, term, tf) of (doc, text): the terms of index_terms(), worked on as rows, so that all but the splitting is compiled."""
+    parts = docs.select("doc", F.explode(F.regexp_extract_all(F.regexp_replace("text", IDENTIFIER_CUT, " "), F.lit(TERM), F.lit(0))).alias("p"))
+    words = parts.select("doc", stem(F.lower("p")).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOPWORDS))
+    if include_trigrams:
+        words = words.select("doc", F.explode(F.concat(F.array("term"), trigrams(F.col("term")))).alias("term"))
+    return words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -65,8 +67,7 @@ class LsaModel:
 
     def transform(self, text: Column) -> Column:
         """Unit vectors; zero where no term is known."""
-        shared, bag_column = self, index_terms(text)
-        bag = F.concat(bag_column, F.flatten(F.transform(bag_column, trigrams))) if self.include_trigrams else bag_column
+        shared = self
 
         @arrow_udf("array<float>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -74,14 +75,16 @@ class LsaModel:
             for bags in batches:
                 out = []
                 for words in bags.to_pylist():
-                    known = [place[w] for w in words or () if w in place]
+                    words = words or []
+                    marked = [f"3:{p[i : i + 3]}" for p in (f"^{w}$" for w in words) for i in range(len(p) - 2)] if shared.include_trigrams else []
+                    known = [place[w] for w in (*words, *marked) if w in place]
                     at, tf = np.unique(np.array(known, int), return_counts=True)
                     v = ((1 + np.log(tf)) * shared.idf[at]).astype(np.float32) @ shared.projection[at]
                     size = np.sqrt((v * v).sum())
                     out.append((v / size if size > 0 else v).astype(np.float32).tolist())
                 yield pa.array(out, pa.list_(pa.float32()))
 
-        return run(bag)
+        return run(index_terms(text))
 
 
 def fit_lsa(docs: DataFrame, dimension: int, include_trigrams: bool = True) -> LsaModel:

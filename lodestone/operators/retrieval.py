@@ -37,7 +37,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, min_scor
 def _scan(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, digits: int) -> DataFrame:
     rows = queries.select("query_id", "vector").collect()
     ids = [r.query_id for r in rows]
-    q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), len(rows[0].vector) if rows else 0)
     length = np.sqrt((q * q).sum(1, keepdims=True))
     q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
     shared = vectors.sparkSession.sparkContext.broadcast(q)

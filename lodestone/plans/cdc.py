@@ -14,7 +14,6 @@ from ..operators import chunking
 from ..sources.tables import change_events, files, outbox, read
 from .base import CHUNKS, FILES, query
 
-NOW = F.lit("2024-01-20 00:00:00").cast("timestamp")
 _NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 _SNAPSHOTS = f"""{FILES}, disk AS (SELECT path, sha256(text) AS hash, CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(2 AS BIGINT) AS created FROM f),
 rec AS (SELECT path, CASE WHEN quality = 0 THEN 'old' ELSE sha256(text) END AS hash, CAST(1 AS BIGINT) AS created, toxic FROM f JOIN labels USING (doc_id) UNION ALL SELECT 'pages/' || page_id || '.html', sha256(html), 1, 0 FROM pages),
@@ -23,6 +22,10 @@ diff AS (SELECT coalesce(d.path, r.path) AS path, CASE WHEN r.path IS NULL THEN
   FROM disk d FULL JOIN rec r ON d.path = r.path WHERE (d.hash IS NULL OR r.hash IS NULL OR d.hash <> r.hash) AND NOT (d.path IS NULL AND r.path IN (SELECT path FROM skip)))"""
 
 
+def now():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp")
+
+
 def _disk(spark, sf):
     return files(spark, sf).select("path", chunking.file_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"), F.lit(2).cast("long").alias("created"))
 
@@ -75,7 +78,7 @@ def _manifest(spark, sf):
 
 
 def _applied(spark, sf):
-    return C.apply_changes(_manifest(spark, sf), _diff(spark, sf), NOW)
+    return C.apply_changes(_manifest(spark, sf), _diff(spark, sf), now())
 
 
 @query("manifest_apply", f"WITH {_SNAPSHOTS}, {_MANIFEST} SELECT path, hash, status, created, last_synced_hash FROM ap")
@@ -85,7 +88,7 @@ def manifest_apply(spark, sf):
 
 @query("enqueue_changes", f"WITH {_SNAPSHOTS} SELECT 1000 + row_number() OVER (ORDER BY path) - 1 AS id, path AS file_path, CAST(change = 'Removed' AS BIGINT) AS op_type, CAST(0 AS BIGINT) AS status FROM diff")
 def enqueue_changes(spark, sf):
-    return C.enqueue(_diff(spark, sf), 1000, NOW).select("id", "file_path", "op_type", "status")
+    return C.enqueue(_diff(spark, sf), 1000, now()).select("id", "file_path", "op_type", "status")
 
 
 @query("mark_synced", f"WITH {_SNAPSHOTS}, {_MANIFEST} SELECT a.path, CASE WHEN a.status = 'active' AND a.hash = d.hash THEN d.hash ELSE a.last_synced_hash END AS last_synced_hash FROM ap a LEFT JOIN disk d USING (path)")
@@ -160,7 +163,7 @@ _OUTBOX = "ob AS (SELECT event_id AS id, 'user' || user_id AS file_path, CASE WH
 
 @query("outbox_claim", f"WITH {_OUTBOX} SELECT id, file_path, CAST(1 AS BIGINT) AS status FROM ob WHERE status = 0 AND ts <= {_NOW} ORDER BY id LIMIT 32")
 def outbox_claim(spark, sf):
-    return C.claim(outbox(spark, sf), NOW).select("id", "file_path", "status")
+    return C.claim(outbox(spark, sf), now()).select("id", "file_path", "status")
 
 
 @query("outbox_requeue", f"WITH {_OUTBOX} SELECT id, CAST(CASE WHEN status = 1 THEN 0 ELSE status END AS BIGINT) AS status FROM ob")
@@ -170,12 +173,12 @@ def outbox_requeue(spark, sf):
 
 @query("outbox_backoff", f"WITH {_OUTBOX} SELECT id, CAST(attempts + 1 AS BIGINT) AS attempts, CAST(CASE WHEN attempts + 1 >= 10 THEN 3 ELSE 0 END AS BIGINT) AS status, CASE WHEN attempts + 1 >= 10 THEN epoch_us(ts) ELSE epoch_us({_NOW}) + CAST(least(pow(2, attempts), 300) * 1000000 AS BIGINT) END AS next_us FROM ob")
 def outbox_backoff(spark, sf):
-    return C.fail(outbox(spark, sf), NOW, F.lit("down")).select("id", "attempts", "status", F.unix_micros("next_attempt_utc").alias("next_us"))
+    return C.fail(outbox(spark, sf), now(), F.lit("down")).select("id", "attempts", "status", F.unix_micros("next_attempt_utc").alias("next_us"))
 
 
 @query("outbox_prune", f"WITH {_OUTBOX} SELECT id, CAST(status AS BIGINT) AS status FROM ob WHERE NOT (status = 2 AND epoch_us(ts) < epoch_us({_NOW}) - 86400000000)")
 def outbox_prune(spark, sf):
-    return C.prune(outbox(spark, sf), NOW).select("id", "status")
+    return C.prune(outbox(spark, sf), now()).select("id", "status")
 
 
 @query("outbox_deliver", f"WITH {_OUTBOX}, {_SNAPSHOTS}, {_MANIFEST}, u AS (SELECT 'user' || row_number() OVER (ORDER BY path) AS file_path, hash, last_synced_hash, status FROM ap) SELECT o.id, CASE WHEN op_type = 1 THEN CASE WHEN u.hash IS NULL THEN 'delete' ELSE 'skip' END WHEN u.hash IS NULL OR coalesce(u.last_synced_hash = u.hash, false) THEN 'skip' ELSE 'upsert' END AS action FROM ob o LEFT JOIN (SELECT * FROM u WHERE status = 'active') u USING (file_path)")
