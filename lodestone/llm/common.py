@@ -32,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    # With its scheme, so that Spark and the workers' own file systems mean the same place.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    return f"{path.toString().rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

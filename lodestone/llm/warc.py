@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -92,7 +91,8 @@ def parse_record(data: bytes) -> dict:
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    local = re.match(r"(?:file:)?/+(.*)", uri)
+    return (pafs.LocalFileSystem(), "/" + local[1]) if local else pafs.FileSystem.from_uri(uri)
 
 
 class _File:
