@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, METADATA_DIR
-from ..functions.text import file_name, glob_pattern, lines, match_window, matcher
+from ..functions.text import glob_pattern, lines, match_window, matcher, newline_of
 
 
 def inspect_directory(paths: DataFrame, directory: str = "", most: int = DEFAULT.listing) -> DataFrame:
@@ -62,8 +62,6 @@ def read_lines(files: DataFrame, start: int = 1, end: int | None = None, most: i
 def replace_lines(text: Column, start: int, end: int, replacement: str) -> Column:
     """The text with lines start to end replaced, its own line ends kept; a range outside the text raises an error."""
     span = r"(?:[^\r\n]*(?:\r\n|\r|\n|\z))"
-    from ..functions.text import newline_of
-
     ended = F.when(F.lit(bool(replacement)) & (F.size(lines(text)) > end), F.concat(F.lit(replacement), newline_of(text))).otherwise(F.lit(replacement))
     new = F.regexp_replace(text, F.lit(rf"\A({span}{{{start - 1}}}){span}{{{end - start + 1}}}"), F.concat(F.lit("$1"), F.regexp_replace(ended, r"([\\$])", r"\\$1")))
     return F.when((F.lit(start) >= 1) & (F.lit(end) >= start) & (F.size(lines(text)) >= end), new).otherwise(F.raise_error(F.concat(F.lit("the text has lines 1 to "), F.size(lines(text)).cast("string"))).cast("string"))
@@ -114,7 +112,3 @@ def telemetry(points: DataFrame, tags: list[str], value: str, width: float, buck
 def percentiles(points: DataFrame, tags: list[str], value: str) -> DataFrame:
     """Nearest-rank percentiles and the median."""
     return points.groupBy(*tags).agg(*[F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], F.median(value).alias("median"))
-
-
-def name_of(path: Column) -> Column:
-    return file_name(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import tools as O
 from ..sources.tables import files, messages, read
 from .base import FILES, query
