@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -23,39 +23,119 @@ SCHEMAS = {
     "message": "conversation_id string, seq long, agent_name string, message_json string, created_utc timestamp",
     "session_state": "agent_name string, conversation_id string, session_json string, updated_utc timestamp",
 }
-#: Columns that a scan of one value prunes by.
+#: What a merge finds rows by; a table's buckets are dealt by the first of its columns.
+KEYS = {"file_manifest": ["file_id"], "chunk_manifest": ["file_id", "chunk_id"], "chunk_vector": ["chunk_id", "model_version_id"], "outbox": ["id"], "conversation": ["conversation_id"], "message": ["conversation_id", "seq"], "session_state": ["conversation_id", "agent_name"], "embedding_model_registry": ["model_version_id"], "embedding_fit_artifact": ["model_version_id"]}
+#: Tables that grow with the corpus are dealt to the store's buckets; the others have one.
+LARGE = ("file_manifest", "chunk_manifest", "chunk_vector", "outbox", "message")
+#: Columns that a scan of one value prunes by, within a bucket.
 PARTITIONED = {"chunk_vector": ["model_version_id"]}
 
 
 class Store:
-    """Tables under a folder. A commit writes new versions, then swaps the pointer file; readers keep the versions that they began with."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-
-    def _pointer(self) -> dict[str, str]:
+    """Tables under a folder that every executor reaches, of any file system that Spark knows.
+
+    The pointer file names the version of each bucket of each table. A commit writes the buckets that
+    change as new versions, then swaps the pointer: readers keep the versions that they began with,
+    and what an aborted commit wrote is never read. There is one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        self.spark, self._conf = spark, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = path.getFileSystem(self._conf)
+        self.root = self._fs.makeQualified(path).toString().rstrip("/")
+        self._fs.mkdirs(path)
+        #: The number of buckets is that of the first commit.
+        self.buckets = self._pointer().get("buckets", buckets)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _pointer(self) -> dict:
+        if not self._fs.exists(self._path("CURRENT")):
+            return {"tables": {}}
+        stream = self._fs.open(self._path("CURRENT"))
         try:
-            with open(f"{self.root}/CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _swap(self, pointer: dict) -> None:
+        """The pointer is replaced by a rename, which is atomic where the file system's is."""
+        temp = self._path(f"CURRENT.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(temp)
+        out.write(bytearray(json.dumps(pointer | {"buckets": self.buckets}).encode()))
+        out.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self._conf).rename(temp, self._path("CURRENT"), how)
+
+    def bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.buckets)).cast("int") if name in LARGE else F.lit(0)
 
     def read(self, name: str) -> DataFrame:
-        version = self._pointer().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{version}")
+        return self._buckets(name, self._pointer()["tables"].get(name, {}))
 
-    def commit(self, **tables: DataFrame) -> None:
-        """All the tables given, at once."""
+    def _buckets(self, name: str, versions: dict[str, str]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        paths = [f"{self.root}/{name}/v={v}/bucket={b}" for b, v in versions.items()]
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, v string, bucket int").option("basePath", f"{self.root}/{name}").parquet(*paths)
+        return rows.drop("v", "bucket")
+
+    def _typed(self, name: str, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """The table's columns in its own types, by which rows are dealt to buckets."""
+        types = {f.name: f.dataType for f in self._buckets(name, {}).schema}
+        return rows.select(*[F.col(c).cast(types[c]).alias(c) for c in columns or types])
+
+    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+        """Rows as a new version, each bucket in one task and file per model; the buckets that have rows."""
+        version = uuid.uuid4().hex
+        at = f"{self.root}/{name}/v={version}"
+        rows = self._typed(name, rows).withColumn("bucket", self.bucket(name))
+        rows = rows.repartition(self.buckets, "bucket") if name in LARGE else rows.coalesce(1)
+        rows.write.partitionBy("bucket", *PARTITIONED.get(name, [])).parquet(at)
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{name}/v={version}"))]
+        return {b.removeprefix("bucket="): version for b in found if b.startswith("bucket=")}
+
+    def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, **tables: DataFrame) -> None:
+        """Whole tables given by name, and merges by name: rows to add or replace by key, and keys of rows to delete, at once.
+
+        A merge rewrites only the buckets that its rows and keys fall in.
+        """
         pointer = self._pointer()
+        now = pointer["tables"]
         for name, df in tables.items():
-            version = uuid.uuid4().hex
-            columns = [c.strip().rpartition(" ")[0].split(" ")[0] if "<" not in c else c.strip().split(" ")[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*columns).write.partitionBy(*PARTITIONED.get(name, [])).parquet(f"{self.root}/{name}/{version}")
-            pointer[name] = version
-        write_atomically(f"{self.root}/CURRENT", json.dumps(pointer).encode())
+            now[name] = self._write(name, df)
+        for name, (new, dead) in (merge or {}).items():
+            keys = [self._typed(name, x, KEYS[name]) for x in (new, dead) if x is not None]
+            gone = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
+            gone = gone.distinct().persist()
+            try:
+                # At most as many rows as there are buckets.
+                touched = [str(r[0]) for r in gone.select(self.bucket(name)).distinct().collect()]
+                old = self._buckets(name, {b: v for b, v in now.get(name, {}).items() if b in touched})
+                rest = old.join(gone, KEYS[name], "left_anti")
+                written = self._write(name, rest if new is None else rest.unionByName(self._typed(name, new)))
+            finally:
+                gone.unpersist()
+            now[name] = {b: v for b, v in now.get(name, {}).items() if b not in touched} | written
+        self._swap(pointer)
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+    def vacuum(self) -> int:
+        """Deletes versions that the pointer doesn't name, and returns how many; for when no reader is left on an older one."""
+        live = {(name, v) for name, versions in self._pointer()["tables"].items() for v in versions.values()}
+        gone = 0
+        for name in SCHEMAS:
+            top = self._path(name)
+            for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                if (name, s.getPath().getName().removeprefix("v=")) not in live:
+                    gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
 
     def vectors(self, model: str) -> DataFrame:
         """One model's vectors; none for a model that has none."""
