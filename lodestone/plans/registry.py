@@ -10,4 +10,4 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-from . import cdc, retrieval, text, tools  # noqa: E402, F401
+from . import cdc, index, retrieval, text, tools  # noqa: E402, F401
