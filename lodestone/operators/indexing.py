@@ -115,7 +115,7 @@ def index_pass(store: Store, files: DataFrame, embedder: Embedder, skipped: Data
         last = store.read("outbox").agg(F.max("id")).first()[0] or 0
         queued = C.enqueue(changed, last + 1, now)
         counts = {r.disposition: r["count"] for r in found.groupBy("disposition").count().collect()}
-        n_chunks, n_done, n_changed, n_scanned = rows.count(), done.count(), changed.count(), listing.count()
+        n_chunks, n_done, n_changed, n_scanned = rows.count(), done.count(), changed.count(), sum(counts.values())
         if n_chunks or n_changed:
             entry = store.spark.createDataFrame([(model, type(embedder).__name__, model, embedder.dimension, "cosine", True, None)], "model_version_id string, provider_type string, model_name string, vector_dimension int, distance_metric string, is_active_for_write boolean, activated_utc timestamp").withColumn("activated_utc", now)
             merge = _placed(store, rows, rows.select("file_id").limit(0), embedder, now) | {"file_manifest": (_recorded(after), None), "outbox": (queued, None)}

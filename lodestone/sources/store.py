@@ -8,6 +8,7 @@ import re
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,26 +103,33 @@ class Store:
     def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, **tables: DataFrame) -> None:
         """Whole tables given by name, and merges by name: rows to add or replace by key, and keys of rows to delete, at once.
 
-        A merge rewrites only the buckets that its rows and keys fall in.
+        A merge rewrites only the buckets that its rows and keys fall in. The tables are written side by side.
         """
-        pointer = self._pointer()
+        pointer, merge = self._pointer(), merge or {}
         now = pointer["tables"]
-        for name, df in tables.items():
-            now[name] = self._write(name, df)
-        for name, (new, dead) in (merge or {}).items():
-            keys = [self._typed(name, x, KEYS[name]) for x in (new, dead) if x is not None]
-            gone = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
-            gone = gone.distinct().persist()
-            try:
-                # At most as many rows as there are buckets.
-                touched = [str(r[0]) for r in gone.select(self.bucket(name)).distinct().collect()]
-                old = self._buckets(name, {b: v for b, v in now.get(name, {}).items() if b in touched})
-                rest = old.join(gone, KEYS[name], "left_anti")
-                written = self._write(name, rest if new is None else rest.unionByName(self._typed(name, new)))
-            finally:
-                gone.unpersist()
-            now[name] = {b: v for b, v in now.get(name, {}).items() if b not in touched} | written
-        self._swap(pointer)
+        with ThreadPoolExecutor(max(1, len(tables) + len(merge))) as pool:
+            whole = {name: pool.submit(self._write, name, df) for name, df in tables.items()}
+            parts = {name: pool.submit(self._merge, name, now.get(name, {}), *x) for name, x in merge.items()}
+        # The pointer is left alone if any of them failed.
+        self._swap(pointer | {"tables": now | {name: f.result() for name, f in (whole | parts).items()}})
+
+    def _merge(self, name: str, versions: dict[str, str], new: DataFrame | None, dead: DataFrame | None) -> dict[str, str]:
+        """The table's versions after a merge."""
+        if not versions:
+            return {} if new is None else self._write(name, new)
+        keys = [self._typed(name, x, KEYS[name]) for x in (new, dead) if x is not None]
+        gone = (keys[0] if len(keys) == 1 else keys[0].union(keys[1])).distinct().persist()
+        try:
+            # At most as many rows as there are buckets.
+            touched = [str(r[0]) for r in gone.select(self.bucket(name)).distinct().collect()]
+            if not touched:
+                return versions
+            old = self._buckets(name, {b: v for b, v in versions.items() if b in touched})
+            rest = old.join(gone, KEYS[name], "left_anti")
+            written = self._write(name, rest if new is None else rest.unionByName(self._typed(name, new)))
+        finally:
+            gone.unpersist()
+        return {b: v for b, v in versions.items() if b not in touched} | written
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
