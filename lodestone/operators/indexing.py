@@ -23,6 +23,8 @@ from .service import Embedder
 
 CHUNK = ["chunk_id", "file_id", "chunk_index", "token_start", "token_end", "chunk_hash"]
 MOST_RESULTS, MOST_FILES, MOST_HITS = 20, 20, 100
+#: Hits that are broadcast at most: some 30 MB.
+FEW_HITS = 100_000
 
 
 class _Stage:
@@ -154,12 +156,26 @@ def deliver_due(store: Store, files: DataFrame, embedder: Embedder, most: int =
     return {"done": counts.get(C.DONE, 0), "retried": counts.get(C.PENDING, 0), "failed": counts.get(C.FAILED, 0)}
 
 
-def _hits(store: Store, queries: DataFrame, embedder: Embedder, k: int, config: Config) -> DataFrame:
-    """Each (query_id, query)'s k nearest windows with the path and place of each."""
+def _hits(store: Store, queries: DataFrame, embedder: Embedder, k: int, config: Config) -> tuple[DataFrame, bool]:
+    """Each (query_id, query)'s k nearest windows with the path and place of each, and whether they are few.
+
+    Few hits, which are counted, are sent to the large relations; more of them meet those by shuffles.
+    """
     asked = queries.select("query_id", embedder.embed(F.col("query"), query=True).alias("vector"))
-    near = R.knn(store.vectors(embedder.model_version_id).select(F.col("chunk_id").alias("id"), "vector"), asked, k, config.min_score)
+    near = R.knn(store.vectors(embedder.model_version_id).select(F.col("chunk_id").alias("id"), "vector"), asked, k, config.min_score).persist()
+    few = near.count() <= FEW_HITS
     files = store.read("file_manifest").select("file_id", F.col("file_path").alias("path"))
-    return R.locate(near, store.read("chunk_manifest").drop("model_version_id")).join(files, "file_id")
+    located = R.locate(_sent(near, few), store.read("chunk_manifest").drop("model_version_id"))
+    return _sent(located, few).join(files, "file_id"), few
+
+
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _hit_files(hits: DataFrame, few: bool, files: DataFrame) -> DataFrame:
+    """The files that have hits; others are passed over before their texts are read into anything."""
+    return files.join(_sent(hits.select("path").distinct(), few), "path", "left_semi")
 
 
 def search(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedder, results: int = 5, config: Config = DEFAULT) -> DataFrame:
@@ -168,8 +184,8 @@ def search(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedde
     Only windows whose text is still as indexed are returned. Queries without results have no rows.
     """
     wanted = min(results, MOST_RESULTS)
-    hits = _hits(store, queries, embedder, min(wanted * 4, MOST_HITS), config)
-    passages = R.screen(verify(hits, files.select("path", "text")).where("state = 'verified'"), config.floor, config.gap)
+    hits, few = _hits(store, queries, embedder, min(wanted * 4, MOST_HITS), config)
+    passages = R.screen(verify(hits, _hit_files(hits, few, files.select("path", "text"))).where("state = 'verified'"), config.floor, config.gap)
     passages = passages.join(queries.select("query_id", "query"), "query_id").withColumn("token_count", F.col("token_end") - F.col("token_start"))
     chosen = R.rerank(passages, wanted, config.budget_tokens, config)
     return chosen.join(passages.select("query_id", "id", "path", "text", "score"), ["query_id", "id"]).select("query_id", "id", "path", "text", "score", "relevance", "place")
@@ -178,5 +194,5 @@ def search(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedde
 def find_files(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedder, results: int = 10, config: Config = DEFAULT) -> DataFrame:
     """(query_id, path, score, passages, rank): the files that still exist, best passage first."""
     wanted = min(results, MOST_FILES)
-    hits = _hits(store, queries, embedder, min(wanted * 5, MOST_HITS), config)
-    return R.files_about(hits.join(files.select("path"), "path", "left_semi"), wanted)
+    hits, few = _hits(store, queries, embedder, min(wanted * 5, MOST_HITS), config)
+    return R.files_about(hits.join(_hit_files(hits, few, files.select("path")), "path", "left_semi"), wanted)
