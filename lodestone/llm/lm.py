@@ -2,9 +2,9 @@
 
 Words are lower-cased (A-Z) and followed by one end. The model reads each word's subword ids; ids
 outside its VOCAB - 1 most frequent share one symbol, within which they keep their share of the
-counts, so that the probabilities of all texts are proper. Subword and word counts cover all training
-texts; the model is trained by rounds over a fixed share of them, chosen by hash: each partition
-trains on its own texts, and the parameters are averaged, weighted by tokens.
+counts, so that the probabilities of all texts are proper. Subword and word counts and the model cover
+all training texts; the model is trained by rounds, and each text is in one of them, by hash: each
+partition trains on its own texts, and the parameters are averaged, weighted by tokens.
 
 One pass turns texts into chunks: a dictionary of the chunk's words and its texts as word numbers.
 The dictionaries make the corpus counts, by word; each distinct word gets its subword ids there, once,
@@ -32,8 +32,8 @@ from .common import fold, map_arrow, release, shared_dir, small_pieces, table
 CHUNK_BYTES = 12 << 20
 #: Words of a chunk that are laid out as subword ids at once; a longer text is by itself.
 SLICE_WORDS = 250_000
-#: One in so many training texts trains the model in each of the rounds.
-TRAIN_ONE_IN, ROUNDS = 48, 3
+#: Each training text trains the model in one of the rounds.
+ROUNDS = 3
 RATES = (0.025, 0.012, 0.005)
 ADD = 0.1
 #: Characters of a word that are encoded at once, at most.
@@ -173,15 +173,16 @@ def symbols(encoded: DataFrame, s: Subwords) -> Scale:
     return Scale(counts, s.tokens)
 
 
-def fit(texts: DataFrame, scale: Scale, path: str, pattern: str, root: str) -> attention.Params:
-    """The parameters learned from the rows of `texts` (__id, text); the driver gets a row per parameter and round.
+def fit(texts: DataFrame, scale: Scale, path: str, pattern: str) -> attention.Params:
+    """The parameters learned from all rows of `texts` (__id, text); the driver gets a row per parameter and round.
 
-    The rounds' shares are written under `root`, so that each round reads its own texts only.
+    Each round reads the texts anew and keeps its own, so that none are written or, where there are partitions enough, shuffled.
     """
-    spark, sc = texts.sparkSession, texts.sparkSession.sparkContext
+    sc = texts.sparkSession.sparkContext
     key = F.xxhash64(F.lit(6), "__id")
-    shares = texts.select("text", key.alias("key"), F.pmod(key, F.lit(TRAIN_ONE_IN)).alias("share")).where(F.col("share") < ROUNDS)
-    shares.write.partitionBy("share").parquet(f"{root}/shares")
+    shares = texts.select("text", key.alias("key"), F.pmod(key, F.lit(ROUNDS)).alias("share"))
+    # As many trainers as the cluster runs at once, or more where there are more partitions of text.
+    few = texts.rdd.getNumPartitions() < sc.defaultParallelism
     params = attention.initial(scale.counts)
     names = list(params)
     shared_scale = sc.broadcast(scale)
@@ -202,10 +203,8 @@ def fit(texts: DataFrame, scale: Scale, path: str, pattern: str, root: str) -> a
                 flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
                 yield pa.record_batch([pa.array([float(weight)]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["w", "p"])
 
-        share = spark.read.schema("text string, key long, share long").parquet(f"{root}/shares").where(F.col("share") == turn).select("text", "key")
-        # As many trainers as the cluster runs at once, or more where there are more partitions of text.
-        trainers = max(sc.defaultParallelism, share.rdd.getNumPartitions())
-        trained = map_arrow(share.repartition(trainers, "key").select("text"), train, "w double, p array<double>")
+        share = shares.where(F.col("share") == turn)
+        trained = map_arrow((share.repartition(sc.defaultParallelism, "key") if few else share).select("text"), train, "w double, p array<double>")
         sums = trained.select("w", F.posexplode("p").alias("i", "v")).groupBy("i").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.sum("w").alias("w")).collect()
         if sums:
             flat = np.empty(len(sums))
@@ -249,7 +248,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     encoded = spark.read.parquet(f"{root}/words")
     total, distinct = encoded.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     scale = symbols(encoded, subwords(path, pattern))
-    params = fit(rows.where("learned"), scale, path, pattern, root)
+    params = fit(rows.where("learned"), scale, path, pattern)
     shared = spark.sparkContext.broadcast((scale, params))
     # Words are spread evenly by hash, so a partition's distinct words make a table of bounded size.
     known = dictionary.select("chunk", "number", "word").join(encoded.hint("shuffle_hash"), "word").select("chunk", "number", "c", "ids")

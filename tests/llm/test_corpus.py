@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import attention, lm, mixing, simhash, toxicity, vectors, warc
+from lodestone.llm.bpe import default_pattern, default_ranks
 from lodestone.llm.common import components, local_roots
 
 from .conftest import DOCS, SCHEMA
@@ -201,6 +203,21 @@ def test_lm_base_by_plain_counts_and_edges(docs, none):
     assert lm.score(docs, F.lit(False)).where("n_known = 0 and train_tokens = 0").count() == len(DOCS)
 
 
+def test_lm_trains_on_every_text(spark):
+    path, pattern = default_ranks(), default_pattern()
+    s = lm.subwords(path, pattern)
+    # A word of one subword id for each text.
+    known = [t[1:] for t in s.tokens if re.fullmatch(rb" [a-z]{4,8}", t) and len(s.ids(t[1:])) == 2][:60]
+    ids = np.frombuffer(b"".join(map(s.ids, known)), "<u2")
+    scale = lm.Scale(np.bincount(np.append(ids, s.end), minlength=len(s.tokens)), s.tokens)
+    rows = [(i, f"{w.decode()} " * 5) for i, w in enumerate(known)]
+    before, after = attention.initial(scale.counts), lm.fit(spark.createDataFrame(rows, "__id long, text string"), scale, path, pattern)
+    # An embedding moves only where its symbol was read.
+    moved = (np.abs(after["emb"] - before["emb"]) > 1e-5).any(1)
+    assert moved[scale.symbol[ids]].all()
+    assert not moved[attention.VOCAB - 1]
+
+
 def test_mixing_meets_targets(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(DOCS)
