@@ -42,7 +42,7 @@ CACHED = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
-_THRICE = re.compile(r"(.)\1\1")
+_TWICE, _THRICE = re.compile(r"(.)\1+"), re.compile(r"(.)\1\1")
 _EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
 
 
@@ -91,14 +91,21 @@ def tokens(text: str | None) -> list[str]:
     return parts
 
 
+def restored(token: str, lm: np.ndarray) -> set[str]:
+    """The restored word, and that with each letter once where it still repeats: the bigrams may speak for 'll' at the begin of a word."""
+    word = restore(token, lm)
+    return {word, _TWICE.sub(r"\1", word)}
+
+
 def readings(token: str, lm: np.ndarray) -> set[str]:
     """The words of a token as it stands, and the restored word if something in it is suspicious."""
     if _PLAIN.fullmatch(token) and not _THRICE.search(token):
-        return {token.rstrip(".,;:!?")}
+        word = token.rstrip(".,;:!?")
+        return {word} | restored(word, lm) if _TWICE.search(word) else {word}
     words = set(_LETTERS.findall(token))
     core = _EDGES.sub("", token)
     if core and not core.isdigit() and any(c.isalpha() for c in core) or len(core) >= 3 and any(c in LOOKALIKES for c in core):
-        words.add(restore(core, lm))
+        words |= restored(core, lm)
     words.discard("")
     return words
 

@@ -139,6 +139,23 @@ def test_restoring_words():
     assert "idiot" in {w for t in toxicity.tokens("you I d i o t !") for w in toxicity.readings(t, lm_)}
 
 
+def letters_of(words):
+    n = np.full((toxicity.STATES, toxicity.STATES), 0.01)
+    for w in words:
+        codes = [toxicity.EDGE, *map(ord, w), toxicity.EDGE]
+        for a, b in zip(codes, codes[1:], strict=False):
+            n[a, b] += 100
+    return np.log(n / n.sum(1, keepdims=True))
+
+
+def test_doubled_letters_are_restored():
+    lm_ = letters_of(["idiot", "loser", "moron", "hello", "llama", "moon"])
+    for seen, word in {"mmoorroonn": "moron", "iddiott": "idiot", "llooser": "loser", "iddiott!": "idiot"}.items():
+        assert word in toxicity.readings(seen, lm_)
+    assert "hello" in toxicity.readings("hello", lm_)
+    assert toxicity.readings("moron.", lm_) == {"moron"}
+
+
 def test_toxicity_learns_and_edges(spark, docs, none):
     rng = random.Random(1)
     words = "sun moon river stone tree cloud grass bird fish hill".split()
