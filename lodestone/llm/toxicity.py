@@ -2,7 +2,7 @@
 
 A noisy channel explains each suspicious token: letters may be written as look-alikes, spaced out,
 or repeated. The possible readings of its characters form a lattice, and the Viterbi path under a
-character bigram model of the corpus is the restored word. A logistic model over the restored words
+character bigram model of the corpus is the restored word; in a run of spaced letters it may be several. A logistic model over the restored words
 and their beginnings gives the score.
 """
 
@@ -37,12 +37,15 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Natural logs of the channel: a look-alike, a separator dropped, a letter dropped that repeats the one before, or the two before, a digit or sign left out though none of these.
 SUBSTITUTE, SEPARATE, DOUBLE, REPEAT, STRAY = -1.0, -0.7, -2.5, -0.4, -6.0
 SEPARATORS = frozenset(".-_*~,;:'`^·​ ")
+#: Letters of a word that is looked for within a run of spaced letters, at most.
+LONGEST = 24
 #: Restored tokens and their features that a Python worker remembers.
 CACHED = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
 _TWICE, _THRICE = re.compile(r"(.)\1+"), re.compile(r"(.)\1\1")
+_ALONE = re.compile(r"[^\w\s]?[\w@$!|+(€£][.,;:!?'\")\]…]*")
 _EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
 
 
@@ -52,7 +55,10 @@ def _state(c: str) -> int:
 
 
 def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case token; `lm[a, b]` is the log probability of b after a."""
+    """The likeliest letters behind a lower-case token; `lm[a, b]` is the log probability of b after a.
+
+    A space, which only runs of single characters hold, is dropped or ends a word.
+    """
     best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}  # by last letter: log probability, letters as a linked list
     for i, c in enumerate(token):
         options: list[tuple[str, float]] = []
@@ -66,6 +72,8 @@ def restore(token: str, lm: np.ndarray) -> str:
             if drop is not None and p + drop > new.get(last, (-math.inf, None))[0]:
                 new[last] = (p + drop, path)
             row = lm[_state(last) if last else EDGE]
+            if c == " " and last and p + row[EDGE] > new.get("", (-math.inf, None))[0]:
+                new[""] = (p + row[EDGE], (" ", path))
             for x, cost in options:
                 q = p + cost + row[_state(x)]
                 if q > new.get(x, (-math.inf, None))[0]:
@@ -80,14 +88,18 @@ def restore(token: str, lm: np.ndarray) -> str:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case tokens between white space; three or more single characters in a row are also joined to one token."""
+    """Lower-case tokens between white space; three or more single characters in a row, the letters with punctuation or not, are also one token with spaces."""
     parts = (text or "").lower().split()
     single = np.fromiter(map(len, parts), np.int64, len(parts)) == 1
-    if single.sum() >= 3:
+    if single.sum() >= 2:
+        # Characters with punctuation count in a run, whose others are single.
+        beside = np.pad(single, 1)
+        for i in np.flatnonzero(~single & (beside[:-2] | beside[2:])).tolist():
+            single[i] = _ALONE.fullmatch(parts[i]) is not None
         step = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True):
             if b - a >= 3:
-                parts.append("".join(parts[a:b]))
+                parts.append(" ".join(parts[a:b]))
     return parts
 
 
@@ -98,7 +110,12 @@ def restored(token: str, lm: np.ndarray) -> set[str]:
 
 
 def readings(token: str, lm: np.ndarray) -> set[str]:
-    """The words of a token as it stands, and the restored word if something in it is suspicious."""
+    """The words of a token as it stands, and the restored word if something in it is suspicious; of a run with spaces, as one word and as the words on its likeliest path."""
+    if " " in token:
+        words = readings(token.replace(" ", ""), lm)
+        for word in restore(_EDGES.sub("", token), lm).split():
+            words |= {word, _TWICE.sub(r"\1", word)}
+        return words
     if _PLAIN.fullmatch(token) and not _THRICE.search(token):
         word = token.rstrip(".,;:!?")
         return {word} | restored(word, lm) if _TWICE.search(word) else {word}
@@ -110,6 +127,14 @@ def readings(token: str, lm: np.ndarray) -> set[str]:
     return words
 
 
+def within(token: str, lm: np.ndarray) -> Iterator[str]:
+    """All stretches of a run's restored letters that may be words: bigrams alone do not tell well where words begin."""
+    letters = restore(_EDGES.sub("", token.replace(" ", "")), lm)
+    for i in range(len(letters)):
+        for j in range(i + 3, min(i + LONGEST, len(letters)) + 1):
+            yield letters[i:j]
+
+
 def features_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
@@ -152,7 +177,10 @@ class Model:
         if got is None:
             if len(self._cache) >= CACHED:
                 self._cache.clear()
-            got = self._cache[token] = tuple(f for w in readings(token, self.lm) for f in features_of(w) if f in self.weights)
+            words = readings(token, self.lm)
+            if " " in token:
+                words |= {w for w in within(token, self.lm) if w + "$" in self.weights}
+            got = self._cache[token] = tuple(f for w in words for f in features_of(w) if f in self.weights)
         return got
 
     def score(self, text: str | None) -> float:

@@ -156,6 +156,18 @@ def test_doubled_letters_are_restored():
     assert toxicity.readings("moron.", lm_) == {"moron"}
 
 
+def test_spaced_words_have_boundaries():
+    lm_ = letters_of(["idiot", "loser", "moron", "such", "you", "a", "what"])
+    for text, word in {"such a m o r o n": "moron", "y o u i d i o t": "idiot", "a m o r o n.": "moron", "a m 0 r o n.": "moron"}.items():
+        assert word in {w for t in toxicity.tokens(text) for w in toxicity.readings(t, lm_)}
+    # Bigrams that know nothing: the words of the classifier are found all the same.
+    model = toxicity.Model(np.log(np.full_like(lm_, 1 / toxicity.STATES)), {"moron$": 6.0, "idiot$": 6.0}, -3.0)
+    for text in ("such a m o r o n", "y o u i d i o t", "a m o r o n.", "i a m a m o r o n", "m o r o n !"):
+        assert model.score(text) > 0.5, text
+    for text in ("m o r e", "a b", "n.", "", "i o n", "a b n."):
+        assert model.score(text) < 0.1, text
+
+
 def test_toxicity_learns_and_edges(spark, docs, none):
     rng = random.Random(1)
     words = "sun moon river stone tree cloud grass bird fish hill".split()
