@@ -24,8 +24,8 @@ from .common import fold, map_arrow, small_pieces, table
 THRESHOLD = 0.3
 #: Labelled rows that the classifier is fitted on, at most; those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
-#: Features of the classifier, at most, and the share of the fit rows that a feature occurs in at least.
-FEATURES, MIN_SHARE = 400, 0.002
+#: Rows of a class, at least, and log-likelihood ratio (0.1 % by chance) that a feature of the classifier needs.
+MIN_ROWS, MIN_RATIO = 3, 10.83
 PREFIXES = (3, 4, 5, 6)
 #: Code points below this have a class of their own in the character model; the rest share one.
 ALPHABET = 592
@@ -223,9 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             share = (whole.n1 / (whole.n0 + whole.n1)) if whole else 0.0
             return Model(lm, {}, 30.0 if share == 1 else -30.0)
         n0, n1 = whole.n0, whole.n1
-        chi = F.expr(f"pow(n1 * {n0}D - n0 * {n1}D, 2) / ((n0 + n1) * ({n0 + n1}D - n0 - n1 + 1))")
-        least = max(3, math.ceil(MIN_SHARE * (n0 + n1)))
-        top = [r.f for r in counts.where(f"f <> '' and n0 + n1 >= {least}").orderBy(chi.desc(), "f").limit(FEATURES).select("f").collect()]
+        total, log = n0 + n1, lambda x: f"if({x} > 0, ({x}) * ln({x}), 0)"
+        cells = " + ".join(map(log, ("n0", "n1", f"({n0}D - n0)", f"({n1}D - n1)")))
+        ratio = F.expr(f"2 * ({cells} - {log('(n0 + n1)')} - {log(f'({total}D - n0 - n1)')}) - {2 * (math.log(n0) * n0 + math.log(n1) * n1 - math.log(total) * total)!r}D")
+        top = [r.f for r in counts.where(f"f <> '' and greatest(n0, n1) >= {MIN_ROWS}").where(ratio >= MIN_RATIO).orderBy("f").select("f").collect()]
     finally:
         counts.unpersist()
     place = {f: i for i, f in enumerate(top)}
@@ -239,25 +240,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # As many patterns as fit rows at most; equal ones are counted first.
     patterns = map_arrow(sample, present, "x array<int>, y int").groupBy("x", "y").count().collect()
     patterns = sorted((tuple(r.x), r.y, r["count"]) for r in patterns)
-    x = np.zeros((len(patterns), len(top) + 1), np.float32)
-    for i, (on, _, _) in enumerate(patterns):
-        x[i, list(on)] = 1
-    x[:, -1] = 1
     y, n = (np.array([p[k] for p in patterns], np.float64) for k in (1, 2))
-    w = logistic(x, y, n)
+    w = logistic([p[0] for p in patterns], len(top), y, n)
     return Model(lm, {f: float(w[i]) for f, i in place.items()}, float(w[-1]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last column is the bias, hardly penalised."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+def logistic(on: list[tuple[int, ...]], features: int, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression on the features that are 1 in each row, by Newton's method with conjugate gradients; the last weight is the bias, hardly penalised."""
+    row = np.repeat(np.arange(len(on)), [len(x) for x in on])
+    col = np.fromiter((i for x in on for i in x), np.int64, len(row))
+    times = lambda w: np.bincount(row, w[col], len(on)) + w[-1]
+    back = lambda r: np.append(np.bincount(col, r[row], features), r.sum())
+    penalty = np.append(np.full(features, ridge), 1e-3)
+    w = np.zeros(features + 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = times(w)
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (n * (p - y)) + penalty * w
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h.astype(np.float64), g)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        g, h = back(n * (p - y)) + penalty * w, n * p * (1 - p)
+        diagonal, step, r = back(h) + penalty, np.zeros_like(w), g.copy()
+        d = r / diagonal
+        first = rz = r @ d
+        for _ in range(200):
+            if rz < max(1e-16, 1e-4 * first):  # the next step of Newton's goes on from there
+                break
+            hd = back(h * times(d)) + penalty * d
+            a = rz / (d @ hd)
+            step += a * d
+            r -= a * hd
+            z = r / diagonal
+            rz, before = r @ z, rz
+            d = z + rz / before * d
+        while (after := loss(w - step)) > now + 1e-9 * abs(now) and np.abs(step).max() > 1e-6:
+            step /= 2
+        w, now = w - step, after
         if np.abs(step).max() < 1e-6:
             break
     return w

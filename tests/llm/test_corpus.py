@@ -182,6 +182,28 @@ def test_toxicity_learns_and_edges(spark, docs, none):
     assert toxicity.fit(docs, labels.where("false")).score("x") < 0.01 and toxicity.fit(none, labels).score("") < 0.01
 
 
+def test_toxicity_learns_many_and_rare_words(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    plain, toxic = [word() for _ in range(50)], [word() for _ in range(200)]
+    # 200 toxic words, each in 4 of 8,000 texts.
+    rows = [(i, " ".join([*rng.choices(plain, k=10), *([toxic[i // 10 % 200]] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert min(model.score(f"{rng.choice(plain)} {w} {rng.choice(plain)}") for w in toxic) > toxicity.THRESHOLD
+    assert max(model.score(f"{w} {v}") for w, v in zip(plain, plain[1:], strict=False)) < toxicity.THRESHOLD
+
+
+def test_sparse_logistic_meets_its_gradient():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 8)) < 0.3
+    y, n = (rng.random(300) < 0.2 + 0.6 * x[:, 0]).astype(float), rng.integers(1, 4, 300).astype(float)
+    w = toxicity.logistic([tuple(np.flatnonzero(r)) for r in x], 8, y, n)
+    x = np.column_stack([x, np.ones(300)])
+    gradient = x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + np.append(np.full(8, 0.05), 1e-3) * w
+    assert np.abs(gradient).max() < 1e-4
+
+
 def test_gradients():
     rng = np.random.default_rng(4)
     p = {k: v.astype(np.float64) for k, v in attention.initial(rng.random(attention.VOCAB)).items()}
