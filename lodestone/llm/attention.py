@@ -1,11 +1,14 @@
-"""A small causal self-attention language model over subword ids, in numpy.
+"""A small causal self-attention language model over subword symbols, in numpy.
 
 Windows of `CONTEXT + SCORED` inputs overlap by `CONTEXT`; each token is scored in one window only.
-The output is a class of subwords, then a member of it, so that a token costs two small softmaxes.
+The output is a class of symbols, then a member of it, so that a token costs two small softmaxes.
+Both start from a prior, the counted symbols that follow the last input; what attention sees of the
+window is added to its logits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,155 +16,214 @@ import numpy as np
 CLASSES, MEMBER_BITS = 32, 5
 MEMBERS = 1 << MEMBER_BITS
 VOCAB = CLASSES * MEMBERS
-DIM, HIDDEN = 16, 24
+DIM, HIDDEN = 8, 16
 CONTEXT, SCORED = 4, 12
 WINDOW = CONTEXT + SCORED
-#: Windows that are computed at once.
-SLAB = 512
-
-#: 1 where a scored position (row) sees an input (column): itself and those before it.
-_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
-#: Attention scores and logits are cut off here, so that exp() needs no maximum first.
-_MOST = np.float32(60)
+#: Windows that are scored at once.
+SLAB = 256
+#: Steps that a pass over the windows is divided into, and the least and most windows of a step.
+STEPS, LEAST, MOST = 1024, 64, 256
+
+#: Slope of the hidden units below 0, so that none dies.
+LEAK = np.float32(0.1)
+#: Steps over which the rate rises at the begin of a pass.
+WARM = 50
+
+#: How far a scored position (row) is from an input (column); inputs after it are never seen.
+_BACK = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
+_UNSEEN = np.float32(-1e4)
+#: Logits within this of 0, added to log probabilities, need no maximum subtracted before exp().
+_SMALL = 40
 
 Params = dict[str, np.ndarray]
 
 
-def initial(counts: np.ndarray, seed: int = 6) -> Params:
-    """Parameters that give each of VOCAB symbols its share of the counts, whatever the context."""
+def initial(seed: int = 6) -> Params:
+    """Parameters that add next to nothing to the prior."""
     rng = np.random.default_rng(seed)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-    p = (counts + 0.1).reshape(CLASSES, MEMBERS)
     return {
-        "emb": normal(0.5, VOCAB, DIM), "pos": normal(0.1, WINDOW, DIM), "qkv": normal(DIM**-0.5, DIM, 3 * DIM),
+        "emb": normal(0.5, VOCAB, DIM), "back": (-0.5 * np.arange(WINDOW)).astype(np.float32), "q": normal(DIM**-0.5, DIM, DIM), "kv": normal(DIM**-0.5, DIM, 2 * DIM),
         "w": normal((2 * DIM) ** -0.5, 2 * DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32),
-        "u1": normal(0.01, HIDDEN, CLASSES), "b1": np.log(p.sum(1) / p.sum()).astype(np.float32),
-        "gate": 1 + normal(0.1, CLASSES, HIDDEN), "u2": normal(0.01, HIDDEN, MEMBERS), "b2": np.log(p / p.sum(1, keepdims=True)).astype(np.float32),
+        "u1": normal(0.01, HIDDEN, CLASSES), "gate": 1 + normal(0.1, CLASSES, HIDDEN), "u2": normal(0.01, HIDDEN, MEMBERS),
     }
 
 
 @dataclass
+class Prior:
+    """Log probabilities of the classes after each symbol, and of the members after each symbol and class."""
+
+    classes: np.ndarray
+    members: np.ndarray
+
+    @classmethod
+    def counted(cls, pairs: np.ndarray) -> Prior:
+        """From [VOCAB, VOCAB] counts of symbols after symbols; what was seldom seen leans on the symbol's own share."""
+        single = pairs.sum(0) + 0.5
+        kinds = (pairs > 0).sum(1, keepdims=True) + 1.0
+        p = (pairs + kinds * (single / single.sum())) / (pairs.sum(1, keepdims=True) + kinds)
+        p = p.reshape(VOCAB, CLASSES, MEMBERS)
+        of_class = p.sum(2)
+        return cls(np.log(of_class).astype(np.float32), np.log(p / of_class[:, :, None]).astype(np.float32).reshape(-1, MEMBERS))
+
+
 class Windows:
-    """Inputs [n, WINDOW] with a mask of those before a text's begin, and targets [n, SCORED] with a mask of those after its end."""
+    """Windows over texts in one stream: text i's targets are the `sizes[i]` symbols from `starts[i]`, each preceded by its input; the symbol before the first is an end."""
+
+    def __init__(self, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        n = -(-sizes // SCORED)
+        self.text = np.repeat(np.arange(len(sizes)), n)
+        self.first = (np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)) * SCORED
+        self.at = starts[self.text] + self.first
+        self.left = sizes[self.text] - self.first
+        padded = np.concatenate([np.zeros(CONTEXT + 1, stream.dtype), stream, np.zeros(SCORED, stream.dtype)])
+        self.rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)  # from CONTEXT + 1 before the first target
 
-    inputs: np.ndarray
-    before: np.ndarray
-    targets: np.ndarray
-    real: np.ndarray
-    text: np.ndarray
+    def __len__(self) -> int:
+        return len(self.text)
 
+    def take(self, part: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs [n, WINDOW] with a mask of those before a text's begin, and targets [n, SCORED] with a mask of those that the text has."""
+        rows = self.rows[self.at[part]].astype(np.int32)
+        return rows[:, :WINDOW], np.arange(WINDOW) < (CONTEXT - self.first[part])[:, None], rows[:, CONTEXT + 1 :], np.arange(SCORED) < self.left[part][:, None]
 
-def windows(stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Windows:
-    """Of texts in one stream: text i's targets are the `sizes[i]` symbols from `starts[i]`, each preceded by its input; the symbol before the first is an end."""
-    n = -(-sizes // SCORED)
-    text = np.repeat(np.arange(len(sizes)), n)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * SCORED
-    at = starts[text] + first
-    padded = np.concatenate([np.zeros(CONTEXT + 1, stream.dtype), stream, np.zeros(SCORED, stream.dtype)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[at]  # from CONTEXT + 1 before the first target
-    before = np.arange(WINDOW) < (CONTEXT - first)[:, None]
-    real = np.arange(SCORED) < (sizes[text] - first)[:, None]
-    return Windows(rows[:, :WINDOW], before, rows[:, CONTEXT + 1 :], real, text)
 
+def _steady(logits: np.ndarray, small: bool) -> None:
+    """Less each row's maximum, where exp() might over- or underflow."""
+    if not small:
+        logits -= logits.max(-1, keepdims=True)
 
-def _logits(h: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits and the log of the sum of their exponentials."""
-    x = h @ u
-    x += b
-    np.minimum(x, _MOST, out=x)
-    return x, np.log(np.exp(x).sum(1))
 
+def _small(logits: np.ndarray) -> bool:
+    return not logits.size or bool(max(logits.max(), -logits.min()) < _SMALL)
 
-def forward(p: Params, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple]:
+
+def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple]:
     """[n, SCORED] natural log probabilities of the targets, and what backward() needs."""
     n = len(inputs)
-    x = (p["emb"][inputs] + p["pos"]).reshape(-1, DIM)
-    q, k, v = np.split((x @ p["qkv"]).reshape(n, WINDOW, 3 * DIM), 3, axis=2)
-    a = q[:, CONTEXT:] @ k.transpose(0, 2, 1)
-    a *= np.float32(DIM**-0.5)
-    np.minimum(a, _MOST, out=a)
+    x = p["emb"].take(inputs, 0)
+    kv = (x.reshape(-1, DIM) @ p["kv"]).reshape(n, WINDOW, 2 * DIM)
+    here = np.ascontiguousarray(x[:, CONTEXT:])
+    q = (here.reshape(-1, DIM) @ p["q"]).reshape(n, SCORED, DIM)
+    a = q @ kv[:, :, :DIM].transpose(0, 2, 1)
+    small = _small(a)
+    a += np.where(_BACK >= 0, p["back"][np.maximum(_BACK, 0)], _UNSEEN)
+    if len(begin := np.flatnonzero(before[:, CONTEXT - 1])):
+        a[begin] += np.where(before[begin], _UNSEEN, 0)[:, None, :]
+    _steady(a, small and bool(np.abs(p["back"]).max() < _SMALL))
     np.exp(a, out=a)
-    a *= _SEEN
-    if before.any():
-        a *= ~before[:, None, :]
-    a /= a.sum(2, keepdims=True)
-    z = np.concatenate([x.reshape(n, WINDOW, DIM)[:, CONTEXT:], a @ v], 2).reshape(-1, 2 * DIM)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, SCORED, 1)
+    z = np.concatenate([here, a @ kv[:, :, DIM:]], 2).reshape(-1, 2 * DIM)
     h = z @ p["w"]
     h += p["b"]
-    np.maximum(h, 0, out=h)
-    flat = targets.ravel()
+    np.maximum(h, LEAK * h, out=h)
+    flat, last = targets.ravel(), inputs[:, CONTEXT:].ravel()
     c, m = flat >> MEMBER_BITS, flat & MEMBERS - 1
     rows = np.arange(len(h))
-    l1, sum1 = _logits(h, p["u1"], p["b1"])
-    g = h * p["gate"][c]
-    l2, sum2 = _logits(g, p["u2"], p["b2"][c])
-    return (l1[rows, c] - sum1 + l2[rows, m] - sum2).reshape(n, SCORED), (x, q, k, v, a, z, h, c, m, l1, sum1, g, l2, sum2)
-
-
-def backward(p: Params, w: Windows, part: slice, held: tuple) -> Params:
-    """Gradients of the mean negative log probability of the real targets."""
-    x, q, k, v, a, z, h, c, m, l1, sum1, g, l2, sum2 = held
-    inputs, real = w.inputs[part], w.real[part].reshape(-1, 1)
-    n, rows, share = len(inputs), np.arange(len(h)), np.float32(1 / max(1, real.sum()))
-    d1, d2 = np.exp(l1 - sum1[:, None]), np.exp(l2 - sum2[:, None])
-    d1[rows, c] -= 1
-    d2[rows, m] -= 1
-    d1 *= real * share
-    d2 *= real * share
-    onto = lambda index, values, size: np.eye(size, dtype=np.float32)[index].T @ values
-    dg = d2 @ p["u2"].T
-    dh = (d1 @ p["u1"].T + dg * p["gate"][c]) * (h > 0)
+    e1 = h @ p["u1"]
+    small = _small(e1)
+    e1 += prior.classes.take(last, 0)
+    _steady(e1, small)
+    lp = e1[rows, c]
+    np.exp(e1, out=e1)
+    s1 = e1 @ np.ones(CLASSES, e1.dtype)
+    g = p["gate"].take(c, 0)
+    g *= h
+    e2 = g @ p["u2"]
+    small = _small(e2)
+    e2 += prior.members.take(last * CLASSES + c, 0)
+    _steady(e2, small)
+    lp += e2[rows, m]
+    np.exp(e2, out=e2)
+    s2 = e2 @ np.ones(MEMBERS, e2.dtype)
+    lp -= np.log(s1)
+    lp -= np.log(s2)
+    return lp.reshape(n, SCORED), (x, q, kv, a, z, h, c, m, rows, e1, s1, g, e2, s2)
+
+
+def backward(p: Params, inputs: np.ndarray, real: np.ndarray, held: tuple) -> Params:
+    """Gradients of the mean negative log probability of the real targets; overwrites what was held."""
+    x, q, kv, a, z, h, c, m, rows, d1, s1, g, d2, s2 = held
+    n, share = len(inputs), real.ravel().astype(h.dtype) / max(1, int(real.sum()))
+    d1 *= (share / s1)[:, None]
+    d1[rows, c] -= share
+    d2 *= (share / s2)[:, None]
+    d2[rows, m] -= share
+    of_class = np.zeros((len(h), CLASSES), h.dtype)
+    of_class[rows, c] = 1
+    dh = d2 @ p["u2"].T
+    dgate = of_class.T @ (dh * h)
+    dh *= p["gate"].take(c, 0)
+    dh += d1 @ p["u1"].T
+    dh *= np.where(h > 0, np.float32(1), LEAK)
     dz = (dh @ p["w"].T).reshape(n, SCORED, 2 * DIM)
-    dctx = dz[:, :, DIM:]
-    da = dctx @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(DIM**-0.5)
-    dqkv = np.zeros((n, WINDOW, 3 * DIM), np.float32)
-    dqkv[:, CONTEXT:, :DIM] = ds @ k
-    dqkv[:, :, DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q[:, CONTEXT:]
-    dqkv[:, :, 2 * DIM :] = a.transpose(0, 2, 1) @ dctx
-    flat = dqkv.reshape(-1, 3 * DIM)
-    dx = (flat @ p["qkv"].T).reshape(n, WINDOW, DIM)
+    seen = dz[:, :, DIM:]
+    da = seen @ kv[:, :, DIM:].transpose(0, 2, 1)
+    da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, SCORED, 1)
+    da *= a
+    dkv = np.empty_like(kv)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), seen, out=dkv[:, :, DIM:])
+    dq, flat = (da @ kv[:, :, :DIM]).reshape(-1, DIM), dkv.reshape(-1, 2 * DIM)
+    dx = (flat @ p["kv"].T).reshape(n, WINDOW, DIM)
     dx[:, CONTEXT:] += dz[:, :, :DIM]
+    dx[:, CONTEXT:] += (dq @ p["q"].T).reshape(n, SCORED, DIM)
+    symbols = inputs.ravel().astype(np.uint16)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    begin = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
     demb = np.zeros_like(p["emb"])
-    np.add.at(demb, inputs.ravel(), dx.reshape(-1, DIM))
+    demb[symbols[begin]] = np.add.reduceat(dx.reshape(-1, DIM).take(order, 0), begin, axis=0)
+    dback = np.bincount(np.maximum(_BACK, 0).ravel(), (da.sum(0) * (_BACK >= 0)).ravel(), WINDOW).astype(h.dtype)
     return {
-        "emb": demb, "pos": dx.sum(0), "qkv": x.T @ flat, "w": z.T @ dh, "b": dh.sum(0), "u1": h.T @ d1, "b1": d1.sum(0),
-        "gate": onto(c, dg * h, CLASSES), "u2": g.T @ d2, "b2": onto(c, d2, CLASSES),
+        "emb": demb, "back": dback, "q": z[:, :DIM].T @ dq, "kv": x.reshape(-1, DIM).T @ flat, "w": z.T @ dh, "b": dh.sum(0),
+        "u1": h.T @ d1, "gate": dgate, "u2": g.T @ d2,
     }
 
 
-def log10_scores(p: Params, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def log10_scores(p: Params, prior: Prior, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Each text's log10 probability: the sum over its targets."""
-    w, out = windows(stream, starts, sizes), np.zeros(len(sizes))
-    for i in range(0, len(w.inputs), SLAB):
+    w, out = Windows(stream, starts, sizes), np.zeros(len(sizes))
+    for i in range(0, len(w), SLAB):
         part = slice(i, i + SLAB)
-        lp, _ = forward(p, w.inputs[part], w.before[part], w.targets[part])
-        out += np.bincount(w.text[part], np.where(w.real[part], lp, 0).sum(1, dtype=np.float64), len(sizes))
+        inputs, before, targets, real = w.take(part)
+        lp, _ = forward(p, prior, inputs, before, targets)
+        sums, text = np.where(real, lp, 0).sum(1, dtype=np.float64), w.text[part]
+        out[text[0] : text[-1] + 1] += np.bincount(text - text[0], sums)
     return out / np.log(10)
 
 
 class Adam:
-    def __init__(self, p: Params, rate: float):
-        self.p, self.rate, self.t = p, rate, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    """All parameters as one vector, of which `p` has the parts."""
+
+    def __init__(self, p: Params):
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        self.p = dict(unflatten(self.flat, p))
+        self.m, self.s, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
-    def step(self, grads: Params) -> None:
+    def step(self, grads: Params, rate: float) -> None:
         self.t += 1
-        for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.s[k] += 0.01 * (g * g - self.s[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)
-
-
-def train(p: Params, w: Windows, rate: float, batch: int = 64, epochs: int = 1, seed: int = 6) -> Params:
-    """Parameters after passes over the windows in random order, by Adam."""
-    p = {k: v.copy() for k, v in p.items()}
-    adam, order = Adam(p, rate), np.random.default_rng(seed)
-    for _ in range(epochs):
-        mixed = order.permutation(len(w.inputs))
-        shuffled = Windows(w.inputs[mixed], w.before[mixed], w.targets[mixed], w.real[mixed], w.text[mixed])
-        for i in range(0, len(mixed), batch):
-            part = slice(i, i + batch)
-            _, held = forward(p, shuffled.inputs[part], shuffled.before[part], shuffled.targets[part])
-            adam.step(backward(p, shuffled, part, held))
-    return p
+        g = np.concatenate([grads[k].ravel() for k in self.p])
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        self.s += 0.01 * (g - self.s)
+        self.flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
+
+
+def unflatten(flat: np.ndarray, like: Params) -> Iterator[tuple[str, np.ndarray]]:
+    """The parts of a vector, as views, under the names and in the shapes of `like`."""
+    at = 0
+    for k, v in like.items():
+        yield k, flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+
+
+def train(p: Params, prior: Prior, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rate: float, seed: int = 6) -> Params:
+    """Parameters after a pass over all windows in random order, by Adam at a falling rate."""
+    w, adam = Windows(stream, starts, sizes), Adam(p)
+    mixed, batch = np.random.default_rng(seed).permutation(len(w)), min(MOST, max(LEAST, len(w) // STEPS))
+    for i in range(0, len(mixed), batch):
+        inputs, before, targets, real = w.take(mixed[i : i + batch])
+        _, held = forward(adam.p, prior, inputs, before, targets)
+        adam.step(backward(adam.p, inputs, real, held), rate * min(1, (adam.t + 1) / WARM) * (1 - 0.9 * i / len(mixed)))
+    return adam.p

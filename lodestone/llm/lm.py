@@ -2,42 +2,45 @@
 
 Words are lower-cased (A-Z) and followed by one end. The model reads each word's subword ids; ids
 outside its VOCAB - 1 most frequent share one symbol, within which they keep their share of the
-counts, so that the probabilities of all texts are proper. Subword and word counts and the model cover
-all training texts; the model is trained by rounds, and each text is in one of them, by hash: each
-partition trains on its own texts, and the parameters are averaged, weighted by tokens.
+counts, so that the probabilities of all texts are proper. Word counts, symbol counts, the counts
+of symbols after symbols that the model starts from, and its training cover all training texts.
 
-One pass turns texts into chunks: a dictionary of the chunk's words and its texts as word numbers.
-The dictionaries make the corpus counts, by word; each distinct word gets its subword ids there, once,
-and comes back to its chunks by number with count and ids. Chunks are scored by themselves.
+Texts are dealt to chunks by hash, as many as their bytes ask for, and sorted within them. So a
+chunk, the unit of training, is the same on any cluster: in each round, chunks of their own train
+the parameters of the round before, and the results are averaged in integers, weighted by tokens.
+
+A chunk is a dictionary of its words with their subword ids, and its texts as word numbers. Only
+words with their counts are shuffled to make the corpus counts, which come back to the chunks by
+number; then each chunk is scored by itself.
 """
 
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import fold, map_arrow, release, shared_dir, small_pieces, table
-
-#: Bytes of text in a chunk; a longer text is a chunk by itself.
-CHUNK_BYTES = 12 << 20
-#: Words of a chunk that are laid out as subword ids at once; a longer text is by itself.
+from .common import fold, map_arrow, release, remove, shared_dir, table
+
+#: Bytes of text in a chunk, about; one of twice as many is cut in two, and a longer text is a chunk by itself.
+CHUNK_BYTES = 8 << 20
+#: Small corpora make chunks of FEW_BYTES, up to FEW_CHUNKS of them, so that they can be worked on side by side.
+FEW_BYTES, FEW_CHUNKS = 1 << 20, 24
+#: Partitions that chunks are dealt to, at most.
+MOST_PARTITIONS = 50_000
+#: Words whose ids are laid out, and encoded, at once.
 SLICE_WORDS = 250_000
 #: Each training text trains the model in one of the rounds.
-ROUNDS = 3
-RATES = (0.025, 0.012, 0.005)
+RATES = (0.03, 0.03, 0.02)
 ADD = 0.1
-#: Characters of a word that are encoded at once, at most.
-PIECE = 1024
+#: Parameters are averaged as integers, in these units and by tokens in thousands, so that no order of summation matters.
+UNIT, TOKENS = float(1 << 20), 1000
 
 
 class Subwords:
@@ -48,19 +51,34 @@ class Subwords:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tokens = [b""] * (max(ranks.values()) + 2)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.end = len(self.tokens) - 1
 
-    def ids(self, word: bytes) -> bytes:
-        """As little-endian unsigned 16-bit integers; the empty word is the end."""
-        if not word:
-            return self.end.to_bytes(2, "little")
-        text = " " + word.decode("utf-8", "replace")
-        ids = self.encode(text) if len(text) <= PIECE else [i for a in range(0, len(text), PIECE) for i in self.encode(text[a : a + PIECE])]
-        return array("H", ids).tobytes()
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one word after the other, and each word's number of ids; the empty word is the end.
+
+        ASCII words are encoded together, as words between spaces are split before each space.
+        """
+        plain = [i for i, w in enumerate(words) if w and w.isascii()]
+        ids, sizes = [None] * len(words), np.ones(len(words), np.int64)
+        for at in range(0, len(plain), SLICE_WORDS):
+            part = plain[at : at + SLICE_WORDS]
+            joined = np.array(self._encode("".join([" " + words[i].decode() for i in part])), np.uint16)
+            ends = np.cumsum(self.lengths[joined])
+            want = np.cumsum([1 + len(words[i]) for i in part])
+            cut = np.searchsorted(ends, want)
+            if (ends[np.minimum(cut, len(ends) - 1)] == want).all():  # else one by one, below
+                for i, piece in zip(part, np.split(joined, cut[:-1] + 1), strict=True):
+                    ids[i] = piece
+        for i, w in enumerate(words):
+            if ids[i] is None:
+                ids[i] = np.array(self._encode(" " + w.decode("utf-8", "replace")) if w else [self.end], np.uint16)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return (np.concatenate(ids) if ids else np.array([], np.uint16)), sizes
 
 
 _SUBWORDS: dict[tuple[str, str], Subwords] = {}
@@ -83,51 +101,63 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+@dataclass
 class Chunk:
-    """Texts as numbers of their words; number 0 is the end, whose word is empty."""
+    """Texts as numbers of their words, one text after the other; number 0 is the end, whose word is empty. `ids` are the words' subword ids, `id_sizes` how many each word has."""
 
-    def __init__(self, texts: list[str | None]):
+    numbers: np.ndarray
+    sizes: np.ndarray
+    learned: np.ndarray
+    ids: np.ndarray
+    id_sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None], learned: list[bool], s: Subwords) -> tuple[Chunk, list[bytes]]:
+        """The chunk and its words."""
         numbers = _Numbers({b"": 0})
-        number = numbers.__getitem__
-        self.texts = [np.fromiter(map(number, words(t)), np.int32) for t in texts]
-        self.words = list(numbers)
-
-    def counts(self, chosen: np.ndarray) -> np.ndarray:
-        """How often the chosen texts have each word; each has one end."""
-        n = np.zeros(len(self.words), np.int64)
-        for i in np.flatnonzero(chosen):
-            at, k = np.unique(self.texts[i], return_counts=True)
-            n[at] += k
-        n[0] = int(chosen.sum())
+        per_text = [np.fromiter(map(numbers.__getitem__, words(t)), np.int32) for t in texts]
+        found = list(numbers)
+        flat = np.concatenate(per_text) if per_text else np.array([], np.int32)
+        return cls(flat, np.fromiter(map(len, per_text), np.int64, len(per_text)), np.array(learned, bool), *s.encode(found)), found
+
+    def learning(self) -> Chunk:
+        """The chunk of its training texts only."""
+        return Chunk(self.numbers[np.repeat(self.learned, self.sizes)], self.sizes[self.learned], self.learned[self.learned], self.ids, self.id_sizes)
+
+    def with_ends(self) -> np.ndarray:
+        """The word numbers with an end before, between and after the texts."""
+        out = np.zeros(len(self.numbers) + len(self.sizes) + 1, np.int32)
+        out[np.arange(1, len(self.numbers) + 1) + np.repeat(np.arange(len(self.sizes)), self.sizes)] = self.numbers
+        return out
+
+    def counts(self) -> np.ndarray:
+        """How often its texts have each word."""
+        n = np.bincount(self.numbers, minlength=len(self.id_sizes))
+        n[0] = len(self.sizes)
         return n
 
-
-def stream(texts: list[np.ndarray], flat: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of word numbers as subword ids, each text after an end and followed by one; where each begins, and its number of ids with its end.
-
-    `flat` has the words' ids in the order of their numbers, `size` how many each word has.
-    """
-    offset = np.cumsum(size) - size
-    none = np.zeros(1, np.int32)
-    numbers = np.concatenate([none, *chain.from_iterable((t, none) for t in texts)])
-    n = size[numbers]
-    at = np.arange(n.sum()) + np.repeat(offset[numbers] - np.cumsum(n) + n, n)
-    ids = flat[at]
-    ends = np.flatnonzero(ids == end)
-    return ids, ends[:-1] + 1, np.diff(ends)
-
-
-def slices(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """The texts in runs of about SLICE_WORDS words."""
-    held, n = [], 0
-    for t in texts:
-        if held and n + len(t) > SLICE_WORDS:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t)
-    if held:
-        yield held
+    def stream(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as symbols of their subword ids, each text after an end and followed by one; where each begins, and its number of symbols with its end."""
+        numbers, flat, offset = self.with_ends(), symbol[self.ids].astype(np.uint16), np.cumsum(self.id_sizes) - self.id_sizes
+        n = self.id_sizes[numbers]
+        stops = np.cumsum(n)
+        out = np.empty(int(stops[-1]), np.uint16)
+        for i in range(0, len(numbers), SLICE_WORDS):
+            part, k = numbers[i : i + SLICE_WORDS], n[i : i + SLICE_WORDS]
+            begin, stop = int(stops[i] - k[0]), int(stops[i + len(part) - 1])
+            out[begin:stop] = flat[np.arange(stop - begin) + np.repeat(offset[part] - np.cumsum(k) + k, k)]
+        ends = stops[np.flatnonzero(numbers == 0)] - 1
+        return out, ends[:-1] + 1, np.diff(ends)
+
+    def pairs(self, symbol: np.ndarray) -> np.ndarray:
+        """How often each symbol follows each, as one number for both: within words by the words' counts, and from word to word."""
+        flat, n = symbol[self.ids].astype(np.int64), attention.VOCAB
+        stops = np.cumsum(self.id_sizes)
+        inner = np.ones(max(0, len(flat) - 1), bool)
+        inner[stops[:-1] - 1] = False
+        inside = np.bincount((flat[:-1] * n + flat[1:])[inner], np.repeat(self.counts(), self.id_sizes)[:-1][inner], n * n)
+        numbers = self.with_ends()
+        return inside.astype(np.int64) + np.bincount(flat[stops - 1][numbers[:-1]] * n + flat[stops - self.id_sizes][numbers[1:]], minlength=n * n)
 
 
 class Scale:
@@ -141,77 +171,116 @@ class Scale:
         rest = self.symbol == attention.VOCAB - 1
         self.within = np.zeros(len(counts))
         self.within[rest] = np.log10((counts[rest] + 0.5) / (counts[rest] + 0.5).sum())
-        self.counts = np.bincount(self.symbol, counts, attention.VOCAB)
 
 
-def encode_words(counted: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, c, ids) from (word, c)."""
+_BINARY = ("numbers", "sizes", "ids", "id_sizes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = subwords(path, pattern)
-        for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(map(s.ids, batch.column("word").to_pylist()), pa.binary())], names=["word", "c", "ids"])
 
-    return map_arrow(counted.select("word", "c"), run, "word binary, c long, ids binary")
+def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[Chunk, dict]]:
+    """The chunks of stored rows, and their columns as they are."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in columns}
+            arrays = {c: np.frombuffer(row[c].as_buffer(), t) for c, t in zip(_BINARY, (np.int32, np.int64, np.uint16, np.int64), strict=True)}
+            yield Chunk(**arrays, learned=row["learned"].values.to_numpy(zero_copy_only=False)), row
 
 
-def symbols(encoded: DataFrame, s: Subwords) -> Scale:
-    """From the words' counts and ids; at most a row per subword id reaches the driver."""
+def store(rows: DataFrame, path: str, pattern: str, root: str) -> DataFrame:
+    """The chunks of (__id, learned, text), written under `root`: a row each."""
+    id_type = rows.schema["__id"].dataType.simpleString()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(len(RATES), min(FEW_CHUNKS, total // FEW_BYTES), -(-total // CHUNK_BYTES))
+    # By id and text, so that no id, null or repeated, makes a chunk large.
+    dealt = rows.withColumn("key", F.xxhash64(F.lit(6), "__id", "text")).withColumn("deal", F.pmod("key", F.lit(n)))
+    parts = min(n, MOST_PARTITIONS)
+    dealt = dealt.repartitionById(parts, F.pmod("deal", F.lit(parts)).cast("int")).sortWithinPartitions("deal", "key", "__id", "learned")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = subwords(path, pattern)
+        held: list[pa.RecordBatch] = []
+        size, deal, k, kind = 0, None, 0, None
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            chunk, found = Chunk.of(t.column("text").to_pylist(), t.column("learned").to_pylist(), s)
+            counts, ends = chunk.learning().counts(), lambda n: pa.array([0, n], pa.int32())
+            binary = [pa.array([getattr(chunk, c).tobytes()], pa.binary()) for c in _BINARY]
+            lists = [pa.ListArray.from_arrays(ends(len(x)), x) for x in (t.column("__id").combine_chunks(), pa.array(chunk.learned), pa.array(found, pa.binary()), pa.array(counts))]
+            return pa.record_batch([pa.array([(deal << 20) + k]), pa.array([deal % len(RATES)], pa.int32()), *lists, *binary], names=["chunk", "turn", "id", "learned", "words", "counts", *_BINARY])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2")
-            size = pc.binary_length(batch.column("ids")).to_numpy() // 2
-            total += np.bincount(ids, np.repeat(batch.column("c").to_numpy(), size), 1 << 16).astype(np.int64)
+            deals = batch.column("deal").to_numpy()
+            lengths = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in batch.column("text")), np.int64, batch.num_rows)
+            start = 0
+            for i in range(batch.num_rows):
+                if deals[i] != deal or size + lengths[i] > 2 * CHUNK_BYTES:
+                    held += [batch.slice(start, i - start)] if i > start else []
+                    if held:
+                        yield flush()
+                    k = k + 1 if deals[i] == deal else 0
+                    held, size, deal, start = [], 0, int(deals[i]), i
+                size += lengths[i]
+            held.append(batch.slice(start))
+        if held:
+            yield flush()
+
+    schema = f"chunk long, turn int, id array<{id_type}>, learned array<boolean>, words array<binary>, counts array<long>, numbers binary, sizes binary, ids binary, id_sizes binary"
+    map_arrow(dealt.select("deal", "__id", "learned", "text"), cut_up, schema).write.option("compression", "zstd").parquet(f"{root}/chunks")
+    return rows.sparkSession.read.parquet(f"{root}/chunks")
+
+
+def _summed(stored: DataFrame, size: int, count) -> np.ndarray:
+    """The sum over all chunks of `count(chunk)`, an array of `size`; the driver gets at most a row per element."""
+    columns = ["learned", *_BINARY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for chunk, _ in chunks(batches, columns):
+            total += count(chunk.learning())
         found = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["id", "n"])
+        yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["at", "n"])
 
-    counts = np.zeros(len(s.tokens), np.int64)
-    for r in map_arrow(encoded.select("c", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
-    return Scale(counts, s.tokens)
+    got = map_arrow(stored.select(*columns), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
 
 
-def fit(texts: DataFrame, scale: Scale, path: str, pattern: str) -> attention.Params:
-    """The parameters learned from all rows of `texts` (__id, text); the driver gets a row per parameter and round.
+def symbols(stored: DataFrame, s: Subwords) -> Scale:
+    n = len(s.tokens)
+    return Scale(_summed(stored, n, lambda c: np.bincount(c.ids, np.repeat(c.counts(), c.id_sizes), n).astype(np.int64)), s.tokens)
 
-    Each round reads the texts anew and keeps its own, so that none are written or, where there are partitions enough, shuffled.
-    """
-    sc = texts.sparkSession.sparkContext
-    key = F.xxhash64(F.lit(6), "__id")
-    shares = texts.select("text", key.alias("key"), F.pmod(key, F.lit(ROUNDS)).alias("share"))
-    # As many trainers as the cluster runs at once, or more where there are more partitions of text.
-    few = texts.rdd.getNumPartitions() < sc.defaultParallelism
-    params = attention.initial(scale.counts)
-    names = list(params)
-    shared_scale = sc.broadcast(scale)
-    for turn in range(ROUNDS):
+
+def prior(stored: DataFrame, scale: Scale) -> attention.Prior:
+    symbol = scale.symbol
+    return attention.Prior.counted(_summed(stored, attention.VOCAB**2, lambda c: c.pairs(symbol)).reshape(attention.VOCAB, -1).astype(np.float64))
+
+
+def fit(stored: DataFrame, scale: Scale, before: attention.Prior) -> attention.Params:
+    """The parameters learned from all training texts of the stored chunks; the driver gets a row per parameter and round."""
+    sc, columns = stored.sparkSession.sparkContext, ["learned", *_BINARY]
+    params = attention.initial()
+    known = sc.broadcast((scale.symbol, before))
+    for turn, rate in enumerate(RATES):
         shared = sc.broadcast(params)
 
-        def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATES[turn]) -> Iterator[pa.RecordBatch]:
-            # A partition's share of the texts is trained piece by piece, each going on from the last.
-            p, weight, s = shared.value, 0, subwords(path, pattern)
-            for batch in batches:
-                for piece in small_pieces(batch, "text", 2 << 20):
-                    chunk = Chunk(piece.column("text").to_pylist())
-                    per_word = list(map(s.ids, chunk.words))
-                    flat, size = np.frombuffer(b"".join(per_word), "<u2"), np.fromiter(map(len, per_word), np.int64) // 2
-                    ids, starts, sizes = stream(chunk.texts, flat, size, s.end)
-                    p, weight = attention.train(p, attention.windows(shared_scale.value.symbol[ids], starts, sizes), rate), weight + len(ids)
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            weight, total = 0, 0
+            for chunk, _ in chunks(batches, columns):
+                stream, starts, sizes = chunk.learning().stream(known.value[0])
+                if len(sizes):
+                    p = attention.train(shared.value, known.value[1], stream, starts, sizes, rate)
+                    w = -(-len(stream) // TOKENS)
+                    weight, total = weight + w, total + w * np.rint(np.concatenate([v.ravel() for v in p.values()]) * UNIT).astype(np.int64)
             if weight:
-                flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
-                yield pa.record_batch([pa.array([float(weight)]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["w", "p"])
-
-        share = shares.where(F.col("share") == turn)
-        trained = map_arrow((share.repartition(sc.defaultParallelism, "key") if few else share).select("text"), train, "w double, p array<double>")
-        sums = trained.select("w", F.posexplode("p").alias("i", "v")).groupBy("i").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.sum("w").alias("w")).collect()
-        if sums:
-            flat = np.empty(len(sums))
-            for r in sums:
-                flat[r.i] = r.v / r.w
-            ends = np.cumsum([params[k].size for k in names])
-            params = {k: part.reshape(params[k].shape).astype(np.float32) for k, part in zip(names, np.split(flat, ends[:-1]), strict=True)}
+                yield pa.record_batch([pa.array(np.full(len(total), weight)), pa.array(np.arange(len(total))), pa.array(total)], names=["w", "i", "v"])
+
+        trained = map_arrow(stored.where(F.col("turn") == turn).select(*columns), train, "w long, i long, v long")
+        sums = trained.groupBy("i").agg(F.sum("w").alias("w"), F.sum("v").alias("v")).toArrow()
+        if sums.num_rows:
+            flat = np.empty(sums.num_rows)
+            flat[sums.column("i").to_numpy()] = sums.column("v").to_numpy() / sums.column("w").to_numpy() / UNIT
+            params = dict(attention.unflatten(flat.astype(np.float32), params))
     return params
 
 
@@ -219,61 +288,48 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score), one row per row of `docs`.
 
     Null and empty texts are an end only. Where nothing is learned every count is 0. Rows that
-    repeat an id are rows of their own. A null `learn` is false.
+    repeat an id are rows of their own. A null `learn` is false. The scores are the same on any
+    cluster, but for the last digits that a sum's order may change.
     """
     from .bpe import default_pattern, default_ranks
 
     spark, path, pattern = docs.sparkSession, path or default_ranks(), pattern or default_pattern()
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(text_col).alias("text"))
     id_type = rows.schema["__id"].dataType.simpleString()
-    names = ["chunk", "__id", "learned", "numbers", "words", "counts"]
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_chunks, none = 0, pa.nulls
-        for batch in batches:
-            for piece in small_pieces(batch, "text", CHUNK_BYTES):
-                n, number = piece.num_rows, (TaskContext.get().partitionId() << 32) + n_chunks
-                n_chunks += 1
-                chunk = Chunk(piece.column("text").to_pylist())
-                counts = chunk.counts(piece.column("learned").to_numpy(zero_copy_only=False))
-                texts = [pa.array(np.full(n, number)), piece.column("__id"), piece.column("learned"), pa.array([t.tobytes() for t in chunk.texts], pa.binary()), none(n, pa.list_(pa.binary())), none(n, pa.list_(pa.int64()))]
-                yield pa.record_batch(texts, names=names)
-                dictionary = [pa.array([number]), none(1, piece.column("__id").type), none(1, pa.bool_()), none(1, pa.binary()), pa.array([chunk.words], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
-                yield pa.record_batch(dictionary, names=names)
-
     root = shared_dir(spark)
-    map_arrow(rows, cut_up, f"chunk long, __id {id_type}, learned boolean, numbers binary, words array<binary>, counts array<long>").write.option("compression", "zstd").parquet(f"{root}/chunks")
-    dictionary = spark.read.parquet(f"{root}/chunks").where("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("chunk", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    encode_words(dictionary.groupBy("word").agg(F.sum("n").alias("c")), path, pattern).write.option("compression", "zstd").parquet(f"{root}/words")
-    encoded = spark.read.parquet(f"{root}/words")
-    total, distinct = encoded.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scale = symbols(encoded, subwords(path, pattern))
-    params = fit(rows.where("learned"), scale, path, pattern)
-    shared = spark.sparkContext.broadcast((scale, params))
-    # Words are spread evenly by hash, so a partition's distinct words make a table of bounded size.
-    known = dictionary.select("chunk", "number", "word").join(encoded.hint("shuffle_hash"), "word").select("chunk", "number", "c", "ids")
+    stored = store(rows, path, pattern, root)
+    dictionary = stored.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("chunk", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    dictionary.groupBy("word").agg(F.sum("n").alias("c")).write.option("compression", "zstd").parquet(f"{root}/words")
+    counted = spark.read.parquet(f"{root}/words")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    scale = symbols(stored, subwords(path, pattern))
+    before = prior(stored, scale)
+    shared = spark.sparkContext.broadcast((scale, before, fit(stored, scale, before)))
+    # A merge join: words have no bound, and AQE splits those that many chunks have.
+    known = dictionary.select("chunk", "number", "word").join(counted.hint("merge"), "word").select("chunk", "number", "c")
+    columns = ["id", "learned", *_BINARY]
 
     def score_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
-        scale, params = shared.value
-        order = np.argsort(known.column("number").to_numpy())  # numbers have no gaps
-        c, ids = known.column("c").to_numpy()[order], known.column("ids").take(pa.array(order)).combine_chunks()
-        flat, size = np.frombuffer(pc.binary_join(pa.array([ids], pa.list_(pa.binary())), b"")[0].as_buffer(), "<u2"), pc.binary_length(ids).to_numpy() // 2
+        scale, before, params = shared.value
+        c = np.empty(known.num_rows, np.int64)
+        c[known.column("number").to_numpy()] = known.column("c").to_numpy()
+        ((chunk, row),) = chunks(texts.to_batches(), columns)
+        n = len(chunk.sizes)
         log = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
-        numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in texts.column("numbers")]
-        n, n_known, sums, scores = [], [], [], []
-        for part in slices(numbers):
-            for t in part:
-                n.append(len(t) + 1)
-                n_known.append(int((c[t] > 0).sum() + (c[0] > 0)))
-                sums.append(float(log[t].sum() + log[0]))
-            ids, starts, sizes = stream(part, flat, size, len(scale.symbol) - 1)
-            scores.append(attention.log10_scores(params, scale.symbol[ids], starts, sizes) + np.add.reduceat(np.append(scale.within[ids], 0.0), starts))
+        # Ids that share a symbol, by word.
+        within = np.add.reduceat(scale.within[chunk.ids], np.cumsum(chunk.id_sizes) - chunk.id_sizes)
+        owner = np.repeat(np.arange(n), chunk.sizes)
+        per_text = lambda values: np.bincount(owner, values[chunk.numbers], n) + values[0]
+        scores = attention.log10_scores(params, before, *chunk.stream(scale.symbol)) + per_text(within)
+        n_known = per_text((c > 0).astype(np.float64)).astype(np.int64)
         release()
-        return pa.table([texts.column("__id"), texts.column("learned"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(sums, pa.float64()), pa.array(np.concatenate(scores))], names=["__id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([row["id"].values, row["learned"].values, pa.array(chunk.sizes + 1), pa.array(n_known), pa.array(np.full(n, total)), pa.array(per_text(log)), pa.array(scores)], names=["__id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    texts = spark.read.parquet(f"{root}/chunks").where("words is null").select("chunk", "__id", "learned", "numbers")
-    out = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, f"__id {id_type}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("__id", id_col)
+    schema = f"__id {id_type}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = spark.read.parquet(f"{root}/chunks").select("chunk", *columns).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, schema)
+    out.write.parquet(f"{root}/scores")
+    remove(spark, f"{root}/chunks", f"{root}/words")
+    return spark.read.parquet(f"{root}/scores").withColumnRenamed("__id", id_col)
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

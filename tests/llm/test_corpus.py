@@ -1,6 +1,7 @@
 """SimHash, vectors, WARC, toxicity, LM, mixing and the pipeline: operators that see the whole table."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -204,13 +205,20 @@ def test_sparse_logistic_meets_its_gradient():
     assert np.abs(gradient).max() < 1e-4
 
 
+def some_prior(rng):
+    return attention.Prior.counted(rng.integers(0, 3, (attention.VOCAB, attention.VOCAB)).astype(float))
+
+
 def test_gradients():
     rng = np.random.default_rng(4)
-    p = {k: v.astype(np.float64) for k, v in attention.initial(rng.random(attention.VOCAB)).items()}
+    prior = some_prior(rng)
+    p = {k: v.astype(np.float64) for k, v in attention.initial().items()}
     stream = rng.integers(0, attention.VOCAB, 60)
-    w = attention.windows(stream, np.array([1, 30]), np.array([29, 25]))
-    loss = lambda q: -float(np.where(w.real, attention.forward(q, w.inputs, w.before, w.targets)[0], 0).sum() / w.real.sum())
-    g = attention.backward(p, w, slice(None), attention.forward(p, w.inputs, w.before, w.targets)[1])
+    w = attention.Windows(stream, np.array([1, 30]), np.array([29, 25]))
+    inputs, before, targets, real = w.take(slice(None))
+    loss = lambda q: -float(np.where(real, attention.forward(q, prior, inputs, before, targets)[0], 0).sum() / real.sum())
+    g = attention.backward(p, inputs, real, attention.forward(p, prior, inputs, before, targets)[1])
+    assert set(g) == set(p)
     for k in p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         up, down = ({**p, k: p[k].copy()} for _ in range(2))
@@ -219,22 +227,33 @@ def test_gradients():
         assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(g[k][i], rel=2e-2, abs=1e-5), k
 
 
+def test_large_logits_stay_finite_and_equal():
+    rng = np.random.default_rng(6)
+    prior, p = some_prior(rng), attention.initial()
+    inputs, before, targets, _ = attention.Windows(rng.integers(0, attention.VOCAB, 60), np.array([1]), np.array([50])).take(slice(None))
+    for k in ("u1", "u2", "back"):
+        large = {**p, k: p[k] * 1e5}
+        lp = attention.forward(large, prior, inputs, before, targets)[0]
+        assert np.isfinite(lp).all()
+        exact = attention.forward({n: v.astype(np.float64) for n, v in large.items()}, prior, inputs, before, targets)[0]
+        assert np.allclose(lp, exact, rtol=1e-2, atol=1e-2)
+
+
 def test_each_token_is_scored_once_and_from_the_past_only():
     rng = np.random.default_rng(5)
-    p = attention.initial(rng.random(attention.VOCAB))
+    prior, p = some_prior(rng), attention.initial()
     stream = rng.integers(0, attention.VOCAB, 200)
     sizes = np.array([1, 12, 13, 100])
     starts = np.array([1, 3, 16, 40])
-    w = attention.windows(stream, starts, sizes)
-    assert Counter(w.text[np.nonzero(w.real)[0]].tolist()) == dict(enumerate(sizes.tolist()))
-    first = attention.log10_scores(p, stream, starts, sizes)
+    w = attention.Windows(stream, starts, sizes)
+    inputs, before, targets, real = w.take(slice(None))
+    assert Counter(w.text[np.nonzero(real)[0]].tolist()) == dict(enumerate(sizes.tolist()))
+    first = attention.log10_scores(p, prior, stream, starts, sizes)
     changed = stream.copy()
     changed[139] = (changed[139] + 1) % attention.VOCAB  # the last target of the last text
-    again = attention.log10_scores(p, changed, starts, sizes)
+    again = attention.log10_scores(p, prior, changed, starts, sizes)
     assert np.allclose(first[:3], again[:3])
-    lp = attention.forward(p, w.inputs[:1], w.before[:1], np.arange(attention.VOCAB).reshape(-1, 1).repeat(12, 1)[:1])[0]
-    assert lp.shape == (1, 12)
-    every = np.array([attention.forward(p, w.inputs[:1], w.before[:1], np.full((1, 12), v))[0][0, 3] for v in range(attention.VOCAB)])
+    every = np.array([attention.forward(p, prior, inputs[:1], before[:1], np.full((1, 12), v))[0][0, 3] for v in range(attention.VOCAB)])
     assert np.exp(every).sum() == pytest.approx(1, rel=1e-4)
 
 
@@ -254,21 +273,55 @@ def test_lm_base_by_plain_counts_and_edges(docs, none):
     assert lm.score(docs, F.lit(False)).where("n_known = 0 and train_tokens = 0").count() == len(DOCS)
 
 
-def test_lm_trains_on_every_text(spark):
+def test_chunks_lay_out_and_count_their_texts():
+    s = lm.subwords(default_ranks(), default_pattern())
+    texts = ["the cat the dog", None, "", "Ein Hund läuft", "the\u00a0cat\u2003 sat!  it's 2\tthe", "x" * 3000 + " é" * 5]
+    learned = [True, True, True, False, True, True]
+    chunk, found = lm.Chunk.of(texts, learned, s)
+    alone = lambda w: s._encode(" " + w.decode()) if w else [s.end]
+    assert np.array_equal(chunk.ids, np.concatenate([alone(w) for w in found])) and chunk.id_sizes.tolist() == [len(alone(w)) for w in found]
+    plain = [[i for w in [*lm.words(t), b""] for i in alone(w)] for t in texts]
+    identity = np.arange(len(s.tokens))
+    stream, starts, sizes = chunk.stream(identity)
+    assert [stream[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == plain and (stream[starts - 1] == s.end).all()
+    l = chunk.learning()  # noqa: E741
+    assert l.counts().tolist() == [sum([*lm.words(t), b""].count(w) for t, y in zip(texts, learned, strict=True) if y) for w in found]
+    symbol = identity % attention.VOCAB
+    x = l.stream(symbol)[0].astype(np.int64)
+    assert np.array_equal(l.pairs(symbol), np.bincount(x[:-1] * attention.VOCAB + x[1:], minlength=attention.VOCAB**2))
+
+
+def test_lm_trains_on_every_text(spark, tmp_path):
     path, pattern = default_ranks(), default_pattern()
     s = lm.subwords(path, pattern)
     # A word of one subword id for each text.
-    known = [t[1:] for t in s.tokens if re.fullmatch(rb" [a-z]{4,8}", t) and len(s.ids(t[1:])) == 2][:60]
-    ids = np.frombuffer(b"".join(map(s.ids, known)), "<u2")
-    scale = lm.Scale(np.bincount(np.append(ids, s.end), minlength=len(s.tokens)), s.tokens)
-    rows = [(i, f"{w.decode()} " * 5) for i, w in enumerate(known)]
-    before, after = attention.initial(scale.counts), lm.fit(spark.createDataFrame(rows, "__id long, text string"), scale, path, pattern)
+    known = [t[1:] for t in s.tokens if re.fullmatch(rb" [a-z]{4,8}", t) and len(s.encode([t[1:]])[0]) == 1][:60]
+    ids = s.encode(known)[0]
+    rows = [(i, True, f"{w.decode()} " * 5) for i, w in enumerate(known)]
+    stored = lm.store(spark.createDataFrame(rows, "__id long, learned boolean, text string"), path, pattern, f"file://{tmp_path}")
+    scale = lm.symbols(stored, s)
+    prior = lm.prior(stored, scale)
+    before, after = attention.initial(), lm.fit(stored, scale, prior)
     # An embedding moves only where its symbol was read.
     moved = (np.abs(after["emb"] - before["emb"]) > 1e-5).any(1)
     assert moved[scale.symbol[ids]].all()
     assert not moved[attention.VOCAB - 1]
 
 
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "FEW_BYTES", 50_000)
+    learn = F.col("doc_id") != 2
+    a = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(docs, learn).collect())
+    monkeypatch.setattr(lm, "MOST_PARTITIONS", 2)
+    assert a == Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(docs.repartition(7), learn).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_lm_is_better_than_word_counts_on_held_out_texts(spark):
+    held = lm.op6_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > held[0]
+
+
 def test_mixing_meets_targets(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(DOCS)
