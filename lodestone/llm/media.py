@@ -3,7 +3,8 @@
 A payload becomes an 8-bit mono WAV file. Features come from that file, read back: a polyphase
 filter changes its rate, overlapped frames give log-mel energies, and a hysteresis on the frames'
 energy cuts out active segments. The log-mel frames are kept as fixed-shape tensors (an Arrow IPC
-stream per row), each with the time span that it covers.
+stream per row), each with the time spans that it covers and in which it is active. The feature
+column is printed from that stream, read back.
 """
 
 from __future__ import annotations
@@ -130,6 +131,11 @@ def segments(energy: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(step > 0), np.flatnonzero(step < 0)], 1)
 
 
+_TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+TENSORS = pa.schema([("log_mel", _TENSOR), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("active_frames", pa.int32()), ("segments", _SPANS)])
+
+
 @dataclass
 class Features:
     mel: np.ndarray
@@ -140,12 +146,8 @@ class Features:
         """Seconds at which each active segment begins and ends."""
         return (self.active * HOP + [0, FRAME - HOP]) / self.rate
 
-    def text(self) -> str:
-        """Frames, active segments, active frames, then the mean log energy of each band."""
-        return f"{len(self.mel)}:{len(self.active)}:{int((self.active[:, 1] - self.active[:, 0]).sum())}:" + ",".join(f"{v:.3f}" for v in self.mel.mean(0, dtype=np.float64))
-
     def tensors(self) -> bytes:
-        """An Arrow IPC stream: a [PATCH, MELS] tensor a row, the last filled up with zeros, with its span in seconds and its active frames."""
+        """An Arrow IPC stream: a [PATCH, MELS] tensor a row, the last filled up with zeros, with its span in seconds, its frames, its active frames and the spans of the segments that begin in it."""
         n = -(-len(self.mel) // PATCH)
         values = np.zeros((n * PATCH, MELS), np.float32)
         values[: len(self.mel)] = self.mel
@@ -153,16 +155,16 @@ class Features:
         np.add.at(on, self.active[:, 0], 1)
         np.add.at(on, self.active[:, 1], -1)
         active = np.cumsum(on)[:-1].reshape(n, PATCH).sum(1)
-        kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
-        start = np.arange(n) * PATCH * HOP
-        stop = (np.minimum((np.arange(n) + 1) * PATCH, len(self.mel)) - 1) * HOP + FRAME
-        batch = pa.record_batch(
-            [pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), PATCH * MELS)), pa.array(start / self.rate), pa.array(stop / self.rate), pa.array(active, pa.int32())],
-            names=["log_mel", "start_s", "end_s", "active_frames"],
-        )
+        start = np.arange(n) * PATCH
+        frames = np.minimum(PATCH, len(self.mel) - start)
+        spans = self.spans()
+        begins = np.searchsorted(self.active[:, 0], np.append(start, n * PATCH)).astype(np.int32)
+        segments = pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start_s", "end_s"]))
+        tensors = pa.ExtensionArray.from_storage(_TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), PATCH * MELS))
+        columns = [tensors, pa.array(start * HOP / self.rate), pa.array(((start + frames - 1) * HOP + FRAME) / self.rate), pa.array(frames.astype(np.int32)), pa.array(active.astype(np.int32)), segments]
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, batch.schema) as w:
-            w.write_batch(batch)
+        with pa.ipc.new_stream(out, TENSORS) as w:
+            w.write_batch(pa.record_batch(columns, schema=TENSORS))
         return out.getvalue().to_pybytes()
 
 
@@ -170,6 +172,15 @@ def read_tensors(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
+def described(stream: bytes) -> str:
+    """Of stored tensors: frames, active segments, active frames, then the mean log energy of each band."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    total = lambda name: int(batch.column(name).to_numpy().sum())
+    frames, spans = total("frames"), batch.column("segments")
+    mel = batch.column("log_mel").storage.flatten().to_numpy().reshape(-1, MELS)[:frames]
+    return f"{frames}:{len(spans.flatten())}:{total('active_frames')}:" + ",".join([f"{v:.3f}" for v in mel.mean(0, dtype=np.float64)])
+
+
 def features(wav: bytes) -> Features:
     samples, rate = from_wav(wav)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
@@ -195,9 +206,9 @@ def audio(data: Column, digest: bool = False) -> Column:
                 raw = value.as_py() or b""
                 wav = to_wav(padded(raw))
                 stored, _ = from_wav(wav)
-                f = features(wav)
-                row = {} if digest else {"media": wav, "tensors": f.tensors()}
-                rows.append(row | {"n_bytes": len(raw), "payload_bytes": len(stored), "payload_sha256": hashlib.sha256(stored).hexdigest(), "tail_crc32": zlib.crc32(stored[-PAD:]), "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(), "feature": f.text()})
+                tensors = features(wav).tensors()
+                row = {} if digest else {"media": wav, "tensors": tensors}
+                rows.append(row | {"n_bytes": len(raw), "payload_bytes": len(stored), "payload_sha256": hashlib.sha256(stored).hexdigest(), "tail_crc32": zlib.crc32(stored[-PAD:]), "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(), "feature": described(tensors)})
             yield pa.array(rows, kind)
 
     return run(data)

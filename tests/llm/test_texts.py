@@ -110,6 +110,45 @@ def test_tone_lands_in_its_band_and_segment():
     assert f.mel.mean(0).argmax() == centre
 
 
+def plain_segments(energy):
+    """Loops: on above the upper threshold, off below the lower."""
+    mean, spread, on, out = float(energy.mean()), float(energy.std()), None, []
+    for i, e in enumerate(energy):
+        if on is None and e > mean + media.RISE * spread:
+            on = i
+        elif on is not None and e < mean + media.FALL * spread:
+            out.append((on, i))
+            on = None
+    return out + [(on, len(energy))] * (on is not None)
+
+
+def plain_feature(payload):
+    """Resampling and mel bands by direct sums."""
+    x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
+    h = media.phases(1, 2)[0].astype(np.float64)
+    wide = np.concatenate([np.zeros(len(h) // 2), x, np.zeros(len(h) + 2)])
+    y = np.array([wide[2 * k : 2 * k + len(h)] @ h for k in range(-(-len(x) // 2))])
+    n = max(1, 1 + -(-(len(y) - media.FRAME) // media.HOP))
+    y = np.concatenate([y, np.zeros(n * media.HOP + media.FRAME)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    frames = np.stack([y[k * media.HOP : k * media.HOP + media.FRAME] for k in range(n)])
+    mel = np.log10(np.abs((frames * window) @ dft.T) ** 2 @ media.mel_bank(media.OUT_RATE).astype(np.float64) + 1e-6)
+    segments = plain_segments(10 * np.log10((frames**2).mean(1) + 1e-6))
+    return (n, len(segments), sum(b - a for a, b in segments)), mel.mean(0)
+
+
+def test_tensors_hold_frames_and_spans():
+    t = np.arange(80_000) / media.IN_RATE
+    x = np.where((t % 1 > 0.3) & (t % 1 < 0.6), np.sin(2 * np.pi * 700 * t) * 90, 0) + 128
+    f = media.features(media.to_wav(x.astype(np.uint8).tobytes()))
+    rows = media.read_tensors(f.tensors()).select(["start_s", "end_s", "frames", "active_frames", "segments"]).to_pylist()
+    assert len(f.active) == 5 and [tuple(s.values()) for r in rows for s in r["segments"]] == [tuple(s) for s in f.spans()]
+    assert sum(r["frames"] for r in rows) == len(f.mel) and sum(r["active_frames"] for r in rows) == (f.active[:, 1] - f.active[:, 0]).sum()
+    assert all(r["start_s"] <= s["start_s"] < rows[i + 1]["start_s"] for i, r in enumerate(rows[:-1]) for s in r["segments"])
+    assert rows[-1]["end_s"] == pytest.approx(((len(f.mel) - 1) * media.HOP + media.FRAME) / media.OUT_RATE)
+
+
 def test_media_edges(docs, none):
     rows = docs.select("text", media.audio(F.col("text")).alias("a")).collect()
     for r in rows:
@@ -117,7 +156,10 @@ def test_media_edges(docs, none):
         p = media.padded(raw)
         assert (r.a.n_bytes, r.a.payload_bytes, r.a.payload_sha256, r.a.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert media.from_wav(r.a.media)[0] == p and hashlib.sha256(r.a.media).hexdigest() == r.a.media_sha256
-        assert media.features(r.a.media).text() == r.a.feature
+        assert media.described(r.a.tensors) == r.a.feature
+        counts, bands = plain_feature(p)
+        *got, mel = r.a.feature.split(":")
+        assert tuple(map(int, got)) == counts and np.allclose([float(x) for x in mel.split(",")], bands, atol=2e-3)
     assert none.select(media.audio(F.col("text"))).count() == 0
 
 
