@@ -4,7 +4,8 @@ Fingerprints of 64 bits link at 3 or fewer differing bits, so linked ones share
 8 positional bytes. The index's keys are sets of positions with their bytes, chosen so that any 5
 shared positions contain a whole set: no link is lost. For each pair that meets under a key the
 shared positional bytes are tallied, pairs below the guaranteed minimum go, and the rest is verified
-by Hamming distance. A pair counts under the first key that it shares only.
+by Hamming distance. A pair counts under the first key that it shares only. Keys have as many bytes
+as the number of fingerprints asks for, so that lists stay short; the links are the same with any.
 """
 
 from __future__ import annotations
@@ -28,17 +29,35 @@ MAX_BITS = 3
 BYTES = 8
 #: Bytes shared at least by fingerprints that differ in at most MAX_BITS bits.
 MIN_SHARED = BYTES - MAX_BITS
+#: Fingerprints that a key's list holds on average, at most, where longer keys could be taken.
+FEW = 2
 #: Hashes whose bits are summed at once.
 SLAB = 1 << 16
 
 
 def position_sets(key_bytes: int = 3) -> list[tuple[int, ...]]:
-    """Sets of `key_bytes` positions such that any MIN_SHARED of the BYTES positions contain one; the positions fall in two halves for 3."""
-    if key_bytes == 3:
-        return [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+    """Sets of `key_bytes` positions such that any MIN_SHARED of the BYTES positions contain one.
+
+    By halves of four: of 3 positions, one half has 3 or more of any 5. Of 4 positions, a half whole,
+    or two pairs; pairs of a half fall into three ways to split it, three positions have a pair of
+    each way, so that only pairs of the same way need to be joined. Of 5 positions, all.
+    """
+    low, high = range(4), range(4, 8)
     if key_bytes == 2:
         return [(0, 1), (2, 3), (4, 5), (6, 7)]
-    raise ValueError("key_bytes is 2 or 3")
+    if key_bytes == 3:
+        return [*combinations(low, 3), *combinations(high, 3)]
+    if key_bytes == 4:
+        way = lambda pair: pair[0] ^ pair[1]
+        return [tuple(low), tuple(high), *(a + b for a in combinations(low, 2) for b in combinations(high, 2) if way(a) == way(b))]
+    if key_bytes == 5:
+        return [*combinations(range(BYTES), 5)]
+    raise ValueError("key_bytes is 2, 3, 4 or 5")
+
+
+def key_bytes_for(fingerprints: int) -> int:
+    """The shortest keys, which need the fewest sets, whose lists hold a few of so many fingerprints."""
+    return next((k for k in (3, 4) if fingerprints <= FEW << 8 * k), 5)
 
 
 def fingerprint(text: str | None) -> int:
@@ -69,30 +88,35 @@ def simhash(text: Column) -> Column:
     return run(text)
 
 
-def links(prints: DataFrame, col: str = "fp", key_bytes: int = 3) -> DataFrame:
-    """(a, b) with a < b: pairs of the distinct fingerprints in `col` at MAX_BITS or fewer differing bits, each once.
+def candidates(prints: DataFrame, col: str = "fp", key_bytes: int = 3) -> DataFrame:
+    """(a, b, shared) with a < b: pairs of the distinct fingerprints in `col` that meet under a key, each under its first one, with the tally of their positional bytes that are equal.
 
-    Only different fingerprints are paired, under keys of `key_bytes` bytes; rows of equal
-    fingerprints are one entry. The joins are on the key, which Spark splits where it is skewed.
+    Only different fingerprints are paired. The joins are on the key, which Spark splits where it is skewed.
     """
-    sets = position_sets(key_bytes)
     mask = lambda positions: reduce(lambda m, p: m | 255 << 8 * p, positions, 0)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(mask(s)) for s in sets]
+    masks = [signed(mask(s)) for s in position_sets(key_bytes)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(col).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     index = prints.select(col, keys.alias("k")).select("k.place", "k.key", F.col(col).alias("fp"))
     a, b = index.alias("a"), index.alias("b")
     x = "(a.fp ^ b.fp)"
     first = "case " + " ".join(f"when ({x} & {m}L) = 0 then {i}" for i, m in enumerate(masks)) + " end"
-    shared = " + ".join(f"if(({x} & {signed(255 << 8 * p)}L) = 0, 1, 0)" for p in range(BYTES))
+    tally = " + ".join(f"if(({x} & {signed(255 << 8 * p)}L) = 0, 1, 0)" for p in range(BYTES))
     # No key is broadcast: the index has as many rows as the corpus has fingerprints, times the sets.
-    return a.hint("merge").join(b.hint("merge"), F.expr(f"a.place = b.place and a.key = b.key and a.fp < b.fp and {shared} >= {MIN_SHARED} and bit_count{x} <= {MAX_BITS} and a.place = {first}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    met = a.hint("merge").join(b.hint("merge"), F.expr(f"a.place = b.place and a.key = b.key and a.fp < b.fp and a.place = {first}"))
+    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr(tally).alias("shared"))
+
+
+def links(prints: DataFrame, col: str = "fp", key_bytes: int = 3) -> DataFrame:
+    """(a, b) with a < b: pairs of the distinct fingerprints in `col` at MAX_BITS or fewer differing bits, each once: candidates that share the guaranteed minimum of bytes, verified."""
+    retained = candidates(prints, col, key_bytes).where(F.col("shared") >= MIN_SHARED)
+    return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
 
 
 def classes(prints: DataFrame, id_col: str, fp_col: str = "fp") -> DataFrame:
     """(fp, root, component_id): for each distinct fingerprint its class, named by its smallest fingerprint, and the smallest id in it."""
     reps = cut(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id")))
-    found = components(links(reps), "a", "b")
+    found = components(links(reps, key_bytes=key_bytes_for(reps.count())), "a", "b")
     joined = reps.join(found, reps.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
     least = joined.where("fp <> root").groupBy("root").agg(F.min("id").alias("least"))
     # Classes of one fingerprint, nearly all, need no shuffle of their own.
