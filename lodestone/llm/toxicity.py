@@ -2,8 +2,8 @@
 
 A noisy channel explains each suspicious token: letters may be written as look-alikes, spaced out,
 or repeated. The possible readings of its characters form a lattice, and the Viterbi path under a
-character bigram model of the corpus is the restored word; in a run of spaced letters it may be several. A logistic model over the restored words
-and their beginnings gives the score.
+character bigram model of the corpus is the restored word; in a run of spaced letters it may be
+several. A logistic model over the restored words and their beginnings gives the score.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ SUBSTITUTE, SEPARATE, DOUBLE, REPEAT, STRAY = -1.0, -0.7, -2.5, -0.4, -6.0
 SEPARATORS = frozenset(".-_*~,;:'`^·​ ")
 #: Letters of a word that is looked for within a run of spaced letters, at most.
 LONGEST = 24
-#: Restored tokens and their features that a Python worker remembers.
+#: Restored tokens and their features that a Python worker remembers, in each of two generations.
 CACHED = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,8 +57,21 @@ def _state(c: str) -> int:
 def restore(token: str, lm: np.ndarray) -> str:
     """The likeliest letters behind a lower-case token; `lm[a, b]` is the log probability of b after a.
 
-    A space, which only runs of single characters hold, is dropped or ends a word.
+    A space, which only runs of single characters hold, is dropped or ends a word. Letters alone can only
+    be repeats: each is its own next state, so the path is the better of keeping and dropping at each.
     """
+    if token.isalpha():
+
+        def run(m: re.Match) -> str:
+            again = float(lm[_state(m[1]), _state(m[1])])
+            return m[0][: 2 if again > DOUBLE else 1] + (m[0][2:] if again > REPEAT else "")
+
+        return _TWICE.sub(run, token)
+    return viterbi(token, lm)
+
+
+def viterbi(token: str, lm: np.ndarray) -> str:
+    """The likeliest path through the lattice of a token's readings."""
     best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}  # by last letter: log probability, letters as a linked list
     for i, c in enumerate(token):
         options: list[tuple[str, float]] = []
@@ -170,13 +183,18 @@ class Model:
     weights: dict[str, float]
     bias: float
     _cache: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    _older: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def known(self, token: str) -> tuple[str, ...]:
         """The classifier's features in a token."""
         got = self._cache.get(token)
         if got is None:
             if len(self._cache) >= CACHED:
+                self._older = dict(self._cache)
                 self._cache.clear()
+            if (got := self._older.get(token)) is not None:
+                self._cache[token] = got
+                return got
             words = readings(token, self.lm)
             if " " in token:
                 words |= {w for w in within(token, self.lm) if w + "$" in self.weights}
