@@ -1,9 +1,11 @@
 """WARC archives with a two-level capture index.
 
-Records are written to compressed archives in the shared folder. The index sorts their URL keys
-(host labels reversed) into compressed blocks of lines; a sparse directory keeps each block's first
-key and place. A lookup searches the directory, then the block, by halving, and reads the record's
-byte range; a whole read walks the blocks in the same way.
+Pages are dealt to ranges of their URL keys (host labels reversed) and sorted within them, so a
+range's records lie in its archives in the order of its index. The index shard of a range has
+compressed blocks of lines, and a sparse directory of its blocks at the end; a small table names
+each shard's first and last key. A lookup halves that table, then the shard's directory, then the
+block, and reads the records' byte range; neighbours are read together. A whole read looks up every
+key, shard by shard.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import cut, map_arrow, shared_dir, small_pieces, table
+from .common import map_arrow, shared_dir, small_pieces, table
 
 #: Payloads of fewer bytes are stored again rather than referred to.
 REVISIT_BYTES = 1000
@@ -32,10 +35,11 @@ ARCHIVE_BYTES = 32 << 20
 #: Lines of an index block.
 BLOCK_LINES = 500
 LEVEL = 3
+#: Neighbouring records that are read at once add up to this, or are one record.
+READ_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"  # pages carry no capture time
 
-ENTRY = "key string, archive string, offset long, length long"
-DIRECTORY = "first string, last string, shard string, offset long, length long, lines long"
+SHARDS = "first string, last string, shard string, offset long, length long, lines long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -128,132 +132,186 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): of equal payloads of REVISIT_BYTES or more the largest page_id is the response, the others refer to it.
+    """(key, page_id, digest, url, payload, refers_to), in ranges of the key and sorted: a row for each page, and before those of a revisit one without payload that tells what they refer to.
 
-    Null html is an empty payload. Rows that repeat the response's id are responses too; null ids
-    never become the response of a group that has an id.
+    Of equal payloads of REVISIT_BYTES or more the largest page_id is the response, the others refer to
+    it. Null html is an empty payload. Rows that repeat the response's id are responses too. Rows of
+    null id refer to it like any other; where a group has no id at all, all are responses. Payloads
+    are shuffled once, into their ranges, where narrow rows meet them by the order.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    narrow = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {REVISIT_BYTES}").select("page_id", "digest")
+    rows = rows.select("page_id", F.sha1("payload").alias("digest"), "url", "payload")
+    narrow = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest", "url")
     groups = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    # Only revisits are joined to the payloads, by id, which no group makes hot.
-    revisits = narrow.join(groups, "digest").where("page_id <> refers_to").distinct()
-    r = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    return rows.join(r, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    told = narrow.distinct().join(groups, "digest").where("not (page_id <=> refers_to)").select("page_id", "digest", "url", F.lit(None).cast("binary").alias("payload"), "refers_to")
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(told).withColumn("key", url_keys(F.col("url")))
+    # Ties of the key are spread by id and digest, so that no host or URL makes a range hot. The order
+    # is total but for equal rows, so a task that runs again writes the same bytes to the same places.
+    order = ("key", "page_id", "digest", "url")
+    return both.repartitionByRange(*order).sortWithinPartitions(*order, F.col("payload").isNotNull()).select("key", "page_id", "digest", "url", "payload", "refers_to")
+
+
+class Shard:
+    """An index shard, of which only the directory is held; the last block read is kept, as sorted keys meet it again."""
+
+    def __init__(self, uri: str, offset: int, length: int):
+        self.uri = uri
+        self.blocks = [(first, last, int(at), int(n)) for first, last, at, n in _lines(uri, offset, length)]
+        self.firsts, self.lasts = [b[0] for b in self.blocks], [b[1] for b in self.blocks]
+        self._held: tuple[int, list[str], list] = (-1, [], [])
+
+    def entries(self, key: str) -> list[tuple[str, int, int]]:
+        """(archive, offset, length) of the key's records: the directory is halved, then the block."""
+        out = []
+        for i in range(bisect_left(self.lasts, key), bisect_right(self.firsts, key)):
+            if self._held[0] != i:
+                lines = _lines(self.uri, *self.blocks[i][2:])
+                self._held = (i, [x[0] for x in lines], [(x[1], int(x[2]), int(x[3])) for x in lines])
+            _, keys, places = self._held
+            out += places[bisect_left(keys, key) : bisect_right(keys, key)]
+        return out
+
+
+def read_records(places: list[tuple[str, int, int]]) -> Iterator[dict]:
+    """The records at (archive, offset, length), neighbours by one read."""
+    at = 0
+    while at < len(places):
+        archive, begin, length = places[at]
+        end, stop = begin + length, at + 1
+        while stop < len(places) and places[stop][:2] == (archive, end) and end + places[stop][2] - begin <= READ_BYTES:
+            end, stop = end + places[stop][2], stop + 1
+        data = read_range(archive, begin, end - begin)
+        for _, offset, n in places[at:stop]:
+            yield parse_record(data[offset - begin : offset - begin + n])
+        at = stop
 
 
 @dataclass
 class Archive:
-    """Where the archives, the index shards and the directory of blocks are."""
+    """Where the archives, the index shards and the table of shards are."""
 
     spark: SparkSession
     root: str
 
-    def directory(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/directory")
+    def shards(self) -> DataFrame:
+        """A row per range of keys, so they are as few as the partitions of one write."""
+        return self.spark.read.parquet(f"{self.root}/shards")
 
-    def read_all(self, payloads: bool = True) -> DataFrame:
-        """Every record, through the index: block by block, the records of a block in the order of their places."""
+    def find(self, keys: DataFrame, payloads: bool = True) -> DataFrame:
+        """The records of the distinct URL keys of `keys` (key), each once; every shard is searched in one task, for the keys within its range."""
+        table = self.spark.sparkContext.broadcast(sorted((r.first, r.last, r.shard, r.offset, r.length) for r in self.shards().collect()))
+
+        @arrow_udf("array<int>")
+        def holders(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            firsts, lasts = [t[0] for t in table.value], [t[1] for t in table.value]
+            for values in batches:
+                yield pa.array([list(range(bisect_left(lasts, k), bisect_right(firsts, k))) for k in values.to_pylist()], pa.list_(pa.int32()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, shard, wanted, size = None, None, [], 0
             for batch in batches:
-                for block in batch.to_pylist():
-                    entries = sorted(_lines(block["shard"], block["offset"], block["length"]), key=lambda e: e[1:])
-                    held, size = [], 0
-                    for _, archive, offset, length in entries:
-                        record = parse_record(read_range(archive, offset, length))
-                        if not payloads:
-                            record["payload"] = None
-                        held.append(record)
-                        size += len(record["payload"] or b"")
-                        if size > 4 << 20:
-                            yield _records(held)
-                            held, size = [], 0
-                    yield _records(held)
-
-        n = self.spark.sparkContext.defaultParallelism
-        blocks = self.directory()
-        return map_arrow(blocks.repartition(max(n, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "offset"), run, RECORD)
+                for n, key in zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                    if n != number:
+                        number, shard = n, Shard(*table.value[n][2:])
+                    for place in shard.entries(key):
+                        if wanted and size + place[2] > READ_BYTES:
+                            yield _records(wanted, payloads)
+                            wanted, size = [], 0
+                        wanted.append(place)
+                        size += place[2]
+            yield _records(wanted, payloads)
+
+        asked = keys.select("key").where("key is not null").distinct().select("key", F.explode(holders(F.col("key"))).alias("n"))
+        return map_arrow(asked.repartitionById(max(1, len(table.value)), "n").sortWithinPartitions("n", "key"), run, RECORD)
 
     def lookup(self, url: str) -> list[dict]:
-        """The records of a URL. The driver reads the directory's rows around the key only, and one block each."""
+        """The records of a URL. The driver reads the table's rows around the key only, and each shard's directory and blocks there."""
         key = url_key(url)
-        blocks = self.directory().where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "shard", "offset").collect()
-        found = []
-        for b in blocks:
-            lines = _lines(b.shard, b.offset, b.length)
-            keys = [e[0] for e in lines]
-            found += [parse_record(read_range(*e[1:])) for e in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-        return [r for r in found if r["url"] is None or url_key(r["url"]) == key]
+        shards = self.shards().where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "last", "shard").collect()
+        found = [r for s in shards for r in read_records(Shard(s.shard, s.offset, s.length).entries(key))]
+        return [r for r in found if url_key(r["url"]) == key]
 
 
-def _records(rows: list[dict]) -> pa.RecordBatch:
+def _records(places: list[tuple[str, int, int]], payloads: bool) -> pa.RecordBatch:
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    return pa.RecordBatch.from_pylist(rows, kind)
+    return pa.RecordBatch.from_pylist([r if payloads else r | {"payload": None} for r in read_records(places)], kind)
+
 
+def _packed(lines: list[tuple]) -> bytes:
+    return zlib.compress("\n".join(" ".join(_quoted(x) if isinstance(x, str) else str(x) for x in line) for line in lines).encode("utf-8", "surrogatepass"))
 
-def _lines(shard: str, offset: int, length: int) -> list[tuple[str, str, int, int]]:
+
+def _lines(shard: str, offset: int, length: int) -> list[list[str]]:
     text = zlib.decompress(read_range(shard, offset, length)).decode("utf-8", "surrogatepass")
-    return [(_unquoted(k), _unquoted(a), int(o), int(n)) for k, a, o, n in (line.split(" ") for line in text.split("\n") if line)]
+    return [[_unquoted(x) for x in line.split(" ")] for line in text.split("\n") if line]
+
+
+def url_keys(url: Column) -> Column:
+    """The keys of a column of URLs."""
+
+    @arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array(map(url_key, values.to_pylist()), pa.string())
+
+    return run(url)
 
 
 def write(pages: DataFrame, root: str | None = None) -> Archive:
-    """Archives and index of all rows of `pages` (page_id, url, html) under `root`, by default a new shared folder."""
+    """Archives and index of all rows of `pages` (page_id, url, html) under `root`, by default a new shared folder.
+
+    An empty table has no shards. Rows that repeat an id or a URL are records of their own.
+    """
     spark = pages.sparkSession
     root = root or shared_dir(spark)
 
-    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, f, uri = TaskContext.get().partitionId(), 0, None, ""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        out, n, uri = None, 0, ""
+        index, held, blocks, told = None, [], [], (None, None)
+
+        def flush() -> None:
+            data = _packed(held)
+            blocks.append((held[0][0], held[-1][0], index.write(data), len(data)))
+            held.clear()
+
         for batch in batches:
             for piece in small_pieces(batch, "payload"):
-                rows = []
                 for r in piece.to_pylist():
-                    if f is None:
+                    same = (r["page_id"], r["digest"], r["url"])
+                    if r["payload"] is None:
+                        told = same, r["refers_to"]
+                        continue
+                    if out is None:
                         uri = f"{root}/archives/{part:06d}-{n:04d}.warc.gz"
-                        f, n = _File(uri), n + 1
-                    data = record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"])
-                    rows.append((url_key(r["url"]), uri, f.write(data), len(data)))
-                    if f.size >= ARCHIVE_BYTES:
-                        f.close()
-                        f = None
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "archive", "offset", "length"])
-        if f is not None:
-            f.close()
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, f, held = f"{root}/index/{TaskContext.get().partitionId():06d}.idx", None, []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal f, held
-            f = f or _File(uri)
-            data = zlib.compress("\n".join(f"{_quoted(k)} {_quoted(a)} {o} {n}" for k, a, o, n in held).encode("utf-8", "surrogatepass"))
-            row = {"first": held[0][0], "last": held[-1][0], "shard": uri, "offset": f.write(data), "length": len(data), "lines": len(held)}
-            held = []
-            return pa.RecordBatch.from_pylist([row], pa.schema([("first", pa.string()), ("last", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())]))
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                if len(held) == BLOCK_LINES:
-                    yield flush()
+                        out, n = _File(uri), n + 1
+                    index = index or _File(f"{root}/index/{part:06d}.idx")
+                    data = record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], told[1] if told[0] == same else None)
+                    held.append((r["key"], uri, out.write(data), len(data)))
+                    if len(held) == BLOCK_LINES:
+                        flush()
+                    if out.size >= ARCHIVE_BYTES:
+                        out.close()
+                        out = None
         if held:
-            yield flush()
-        if f is not None:
-            f.close()
-
-    # Sorted, so that a task that runs again writes the same bytes to the same places.
-    ordered = captures(pages).repartition("page_id", "digest").sortWithinPartitions("page_id", "url", "digest", "refers_to")
-    entries = cut(map_arrow(ordered, archive, ENTRY))
-    # Ties of the key are spread by place, so that no host or URL makes a shard hot.
-    order = ("key", "archive", "offset")
-    map_arrow(entries.repartitionByRange(*order).sortWithinPartitions(*order), shard, DIRECTORY).write.parquet(f"{root}/directory")
+            flush()
+        if out is not None:
+            out.close()
+        if index is not None:
+            directory = _packed(blocks)
+            offset = index.write(directory)
+            index.close()
+            yield pa.record_batch([pa.array([x]) for x in (blocks[0][0], blocks[-1][1], f"{root}/index/{part:06d}.idx", offset, len(directory), len(blocks))], names=["first", "last", "shard", "offset", "length", "lines"])
+
+    map_arrow(captures(pages), run, SHARDS).write.parquet(f"{root}/shards")
     return Archive(spark, root)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written to archives and read back from them; the archives stay in the shared folder."""
-    return write(table(spark, sf_dir, "pages")).read_all(payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """All pages, written to archives and looked up there by their URLs; the archives stay in the shared folder."""
+    pages = table(spark, sf_dir, "pages")
+    found = write(pages).find(pages.select(url_keys(F.col("url").cast("string")).alias("key")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
@@ -261,7 +319,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM m
 """

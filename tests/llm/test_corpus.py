@@ -31,12 +31,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-@pytest.mark.parametrize("k", [2, 3])
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
 def test_position_sets_lose_no_pair(k):
     sets = [set(s) for s in simhash.position_sets(k)]
     assert all(any(s <= set(shared) for s in sets) for shared in combinations(range(8), simhash.MIN_SHARED))
 
 
+def test_longer_keys_for_more_fingerprints():
+    assert [simhash.key_bytes_for(n) for n in (0, 1 << 20, 1 << 25, (1 << 25) + 1, 1 << 33, 25_000_000_000)] == [3, 3, 3, 4, 4, 5]
+
+
+def test_candidates_are_tallied(spark):
+    rng = random.Random(6)
+    prints = list({rng.getrandbits(8) * 0x0101010101010101 ^ sum(rng.getrandbits(1) << 8 * i for i in range(8)) for _ in range(300)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = simhash.candidates(spark.createDataFrame([(signed(x),) for x in prints], "fp long")).collect()
+    same = lambda a, b: sum((a ^ b) >> 8 * i & 255 == 0 for i in range(8))
+    assert rows and all(r.shared == same(r.a, r.b) for r in rows) and min(r.shared for r in rows) < simhash.MIN_SHARED
+    every = {tuple(sorted(map(signed, p))): same(*p) for p in combinations(prints, 2)}
+    assert {(r.a, r.b) for r in rows} >= {p for p, s in every.items() if s >= simhash.MIN_SHARED}
+
+
 def plain_print(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -52,7 +67,7 @@ def test_links_equal_all_pairs(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
     want = {tuple(sorted((signed(a), signed(b)))) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 3}
-    for k in (2, 3):
+    for k in (2, 3, 4, 5):
         got = [(r.a, r.b) for r in simhash.links(df, key_bytes=k).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
@@ -105,21 +120,81 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(2, 32))
+    near = lambda x: (x + rng.normal(size=32) * 0.03).astype(np.float32).tolist()
+    first = near(a)
+    rows = [(1, first), (1, near(a)), (2, near(a)), (3, first), (5, near(b)), (2, near(b)), (9, near(b)), (9, rng.normal(size=32).tolist())]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label long")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    root = local_roots(len(x), *np.nonzero(links))
+    component = [min(r[0] for r, k in zip(rows, root, strict=True) if k == root[i]) for i in range(len(rows))]
+    want = Counter((r[0], int(links[i].sum()), component[i], r[0] == component[i]) for i, r in enumerate(rows))
+    assert Counter(map(tuple, vectors.near_vectors(df).collect())) == want and links.sum() == 18
+
+
+def test_cosines_at_the_threshold_do_not_depend_on_order():
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 64))
+    order = rng.permutation(64)
+    assert vectors._exact(a, b) == vectors._exact(b, a) == vectors._exact(a[order], b[order])
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_buckets_find_pairs_just_above_the_threshold(dim):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * y
+    a, b = vectors.buckets(x), vectors.buckets(y)
+    met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
+    assert met.mean() > 0.98
+
+
 def test_warc_round_trip_and_lookup(spark):
     big = "<p>é" * 400
     pages = [(1, "http://www.A.example/x?q=1#f", big), (2, "https://b.example:8080/", big), (3, "http://a.example/x?q=1", "small"), (4, "http://c.example/", "small"), (5, None, None), (6, "", big + "y"), (6, "", big + "y"), (None, "http://n.example/  ", big)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
     a = warc.write(df)
-    rows = a.read_all().collect()
+    every = df.select(warc.url_keys(F.col("url")).alias("key"))
+    rows = a.find(every).collect()
     assert len(rows) == len(pages)
     for r in rows:
         html = [p[2] for p in pages if p[0] == r.page_id][0]
         raw = (html or "").encode()
-        revisit = html == big and r.page_id == 1
+        revisit = html == big and r.page_id != 2  # the null id too
         assert r.payload_digest == hashlib.sha1(raw).hexdigest() and r.payload_bytes == len(raw) and r.record_type == ("revisit" if revisit else "response")
         assert r.refers_to == (2 if revisit else None) and (revisit or bytes(r.payload) == raw) and r.url == [p[1] for p in pages if p[0] == r.page_id][0]
     assert sorted(r["page_id"] for r in a.lookup("http://a.example/x?q=1")) == [1, 3] and a.lookup("http://zz.example/") == []
-    assert warc.write(df.where("page_id > 99")).read_all().count() == 0
+    assert warc.write(df.where("page_id > 99")).find(every).count() == 0
+    assert [r.page_id for r in a.find(spark.createDataFrame([("example,c)/",), ("zz)/",), ("example,c)/",), (None,)], "key string")).collect()] == [4]
+    alone = warc.write(df.where("page_id is null").unionAll(df.where("page_id is null"))).find(every).collect()
+    assert [(r.record_type, r.refers_to) for r in alone] == [("response", None)] * 2
+
+
+def test_warc_reads_neighbours_at_once(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 20)
+    rows = [(i, f"http://h{i % 7}.example/{'same' if i % 3 == 0 else i}", f"<p>{i}" * 10) for i in range(400)]
+    a = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    places, blocks = [], 0
+    for s in a.shards().collect():
+        shard = warc.Shard(s.shard, s.offset, s.length)
+        blocks += len(shard.blocks)
+        keys = sorted({warc.url_key(u) for _, u, _ in rows if s.first <= warc.url_key(u) <= s.last})
+        places += [p for k in keys for p in shard.entries(k)]
+    reads = []
+    real = warc.read_range
+    monkeypatch.setattr(warc, "read_range", lambda *x: reads.append(x) or real(*x))
+    assert sorted(r["page_id"] for r in warc.read_records(places)) == list(range(400))
+    assert blocks >= 20 and len(reads) == len({p[0] for p in places})
+    for _, url, _ in rows[:20]:
+        assert sorted(r["page_id"] for r in a.lookup(url)) == [i for i, u, _ in rows if u == url]
 
 
 @pytest.mark.parametrize(("url", "key"), [("http://www.a.b.c/P?q#f", "c,b,a)/p?q"), ("https://u@x.y:443/", "y,x)/"), ("x.y:81", "y,x:81)/"), (None, ")/")])
