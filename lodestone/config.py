@@ -28,6 +28,14 @@ class Config:
     grep_rows: int = 200
     grep_chars: int = 64_000
     read_lines: int = 400
+    read_chars: int = 200_000
+    glob_rows: int = 200
+    examined: int = 100_000
+    search_file_bytes: int = 4 << 20
+    message_chars: int = 4000
+    settle_s: float = 0.25
+    retry_s: float = 1.0
+    retries: int = 5
     listing: int = 500
     debounce_ms: int = 750
     max_attempts: int = 10

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ STOPWORDS = (
     "from", "have", "will", "your", "they", "them", "then", "than", "into", "over", "such", "when", "what", "which", "while", "were", "been", "also", "each",
 )
 TERM = r"[\p{L}\p{Nd}]+"
+LONG_TERM = r"[\p{L}\p{Nd}]{2,}"
 IDENTIFIER_CUT = r"(?<=\P{Lu})(?=\p{Lu})|(?<=\p{Nd})(?=\P{Nd})|(?<=\P{Nd})(?=\p{Nd})"
 NEWLINE = r"\r\n|\r|\n"
 
@@ -24,8 +27,8 @@ def tokens(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits longer than one character, in order of appearance."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(runs, lambda t: F.length(t) > 1), F.lower))
+    # Lower-casing first keeps runs apart as they are, and their order; runs of one character never match.
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LONG_TERM), F.lit(0)))
 
 
 def split_identifier(token: Column) -> Column:
@@ -75,19 +78,29 @@ def newline_of(text: Column) -> Column:
     return F.when(found == "", F.lit("\n")).otherwise(found)
 
 
+def checked(pattern: str) -> str:
+    """The pattern; one that Java, which runs it, can't parse raises ValueError. Without a session that shows only when it runs."""
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        try:
+            sc._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:
+            raise ValueError(f"not a pattern: {e}") from None
+    return pattern
+
+
 def matcher(pattern: str, regex: bool = False, ignore_case: bool = False, whole_word: bool = False) -> str:
-    """A Java pattern; an invalid one raises ValueError here. Whole words have no letter, digit or _ beside them."""
-    body = pattern if regex else re.sub(r"([^\w\s])", r"\\\1", pattern)
+    """A Java pattern; an empty or invalid one raises ValueError here. Whole words have no letter, digit or _ beside them.
+
+    A match that isn't whole is not shortened to one that is; the search goes on behind its begin.
+    """
     if not pattern:
         raise ValueError("an empty pattern")
-    if regex:
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            raise ValueError(f"not a pattern: {e}") from e
+    flags = "(?iu)" if ignore_case else ""
+    body = checked(pattern) if regex else re.sub(r"([^\w\s])", r"\\\1", pattern)
     if whole_word:
-        body = rf"(?<![\p{{L}}\p{{Nd}}_])(?:{body})(?![\p{{L}}\p{{Nd}}_])"
-    return ("(?iu)" if ignore_case else "") + body
+        body = rf"(?<![\p{{L}}\p{{Nd}}_])(?>{body})(?![\p{{L}}\p{{Nd}}_])"
+    return checked(flags + body)
 
 
 def matches(line: Column, pattern: str) -> Column:
@@ -108,22 +121,20 @@ def replace_literal(text: Column, old: str, new: str, ignore_case: bool = False,
 
 
 def glob_pattern(glob: str) -> str:
-    """An anchored pattern: * and ? stay within a segment, ** spans any; without a slash it fits at any depth."""
-    g = glob.replace("\\", "/").lstrip("/")
-    if not g.strip() or ".." in g.split("/"):
+    """An anchored pattern over paths whose separator is /.
+
+    * and ? stay within a segment; ** as a whole segment is any number of them, none included. A glob
+    of one segment is a name at any depth. Empty globs and segments .. raise ValueError.
+    """
+    whole = glob.strip().replace("\\", "/").lstrip("/")
+    if not whole or re.search(r"(^|/)\.\.(/|$)", whole):
         raise ValueError(f"not a glob: {glob!r}")
-    if "/" not in g:
-        g = "**/" + g
-    out, i = "", 0
-    while i < len(g):
-        if g.startswith("**/", i):
-            out, i = out + "(?:[^/]*/)*", i + 3
-        elif g.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            c = g[i]
-            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)), i + 1
-    return f"^{out}$"
+    if "/" not in whole and whole != "**":
+        whole = "**/" + whole
+    # Any segments with the separator that joins them to the rest; several in a row are one.
+    part = re.compile(r"^(?:\*\*/)+|(?:/\*\*)+(?=/|$)|^\*\*$|\*|\?|[^*?]")
+    mark = {"*": "[^/]*", "?": "[^/]", "**": ".*"}
+    return "^" + part.sub(lambda m: mark.get(m[0]) or ("(?:.*/)?" if m[0].endswith("**/") else "(?:/.*)?" if m[0].startswith("/**") else re.escape(m[0])), whole) + "$"
 
 
 def extension(path: Column) -> Column:

@@ -120,12 +120,27 @@ def fail(ops: DataFrame, now: Column, error: Column, most: int = DEFAULT.max_att
     return ops.withColumns({"attempts": n, "status": F.when(n >= most, FAILED).otherwise(PENDING), "next_attempt_utc": F.when(n >= most, F.col("next_attempt_utc")).otherwise(later), "error": error})
 
 
+def created_or_modified(created: Column, modified: Column) -> Column:
+    """The time of creation; where a file system has none, and gives the beginning of its calendar or nothing, that of the last write."""
+    return F.when(created > F.lit("1601-01-01 00:00:00").cast("timestamp"), created).otherwise(modified)
+
+
+def in_order(ops: DataFrame) -> DataFrame:
+    """Operations with `step`, their place among those of their path by id: paths side by side, each path's one after the other."""
+    return ops.withColumn("step", F.row_number().over(Window.partitionBy("file_path").orderBy("id")))
+
+
+def own(path: Column, metadata_dir: str = METADATA_DIR) -> Column:
+    """Whether a path is in the index's own folder, in whatever case that is written."""
+    return F.exists(F.split(path, r"[/\\]"), lambda s: F.lower(s) == metadata_dir.lower())
+
+
 def deliverable(ops: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(id, file_path, op_type, action): upserts of files that are recorded and not yet delivered, deletes of paths that were not recorded again; others are skipped."""
+    """(id, file_path, op_type, action): upserts of files that are recorded and not yet delivered, deletes of paths that were not recorded again; others are skipped, and so are the index's own files."""
     active = manifest.where("status = 'active'").select(F.col("path").alias("file_path"), "hash", "last_synced_hash")
     rows = ops.join(active, "file_path", "left")
     synced = F.col("last_synced_hash").isNotNull() & (F.col("last_synced_hash") == F.col("hash"))
-    action = F.when(F.col("op_type") == 1, F.when(F.col("hash").isNull(), "delete").otherwise("skip")).when(F.col("hash").isNull() | synced, "skip").otherwise("upsert")
+    action = F.when(own(F.col("file_path")), "skip").when(F.col("op_type") == 1, F.when(F.col("hash").isNull(), "delete").otherwise("skip")).when(F.col("hash").isNull() | synced, "skip").otherwise("upsert")
     return rows.select("id", "file_path", "op_type", action.alias("action"))
 
 

@@ -22,15 +22,15 @@ def chunk_count(n: Column, config: Config = DEFAULT) -> Column:
     return F.when(n == 0, 0).when(n <= config.chunk_tokens, 1).otherwise(1 + F.ceil((n - config.chunk_tokens) / config.step)).cast("int")
 
 
-def chunks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """From (path, text): (path, file_id, chunk_index, token_start, token_end, chunk_hash, chunk_id, content).
+def chunks(files: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """From (path, text): (path, file_id, chunk_index, token_start, token_end, chunk_hash, chunk_id, content), and columns of the file to keep.
 
     No shuffle: a file's windows come from its own tokens.
     """
-    tok = files.select("path", tokens(F.col("text")).alias("tok")).withColumn("n", F.size("tok")).where("n > 0")
-    rows = tok.select("path", "tok", "n", F.explode(F.sequence(F.lit(0), chunk_count(F.col("n"), config) - 1)).alias("chunk_index"))
+    tok = files.select("path", *keep, tokens(F.col("text")).alias("tok")).withColumn("n", F.size("tok")).where("n > 0")
+    rows = tok.select("path", *keep, "tok", "n", F.explode(F.sequence(F.lit(0), chunk_count(F.col("n"), config) - 1)).alias("chunk_index"))
     start = F.col("chunk_index") * config.step
-    rows = rows.select("path", "chunk_index", start.alias("token_start"), F.least("n", start + config.chunk_tokens).alias("token_end"), F.array_join(F.slice("tok", start + 1, F.lit(config.chunk_tokens)), " ").alias("content"))
+    rows = rows.select("path", *keep, "chunk_index", start.alias("token_start"), F.least("n", start + config.chunk_tokens).alias("token_end"), F.array_join(F.slice("tok", start + 1, F.lit(config.chunk_tokens)), " ").alias("content"))
     rows = rows.withColumn("file_id", file_id(F.col("path"))).withColumn("chunk_hash", F.sha2("content", 256))
     return rows.withColumn("chunk_id", F.sha2(F.concat_ws("::", F.lit("chunk"), "file_id", F.col("chunk_index").cast("string"), "chunk_hash"), 256))
 

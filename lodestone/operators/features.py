@@ -8,22 +8,83 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import IDENTIFIER_CUT, STOPWORDS, TERM, index_terms, stem, trigrams
+from ..functions.text import IDENTIFIER_CUT, STOPWORDS
 
 MAX_TERMS = 4096
+#: What lies between the runs that are words.
+NOT_TERM = r"[^\p{L}\p{Nd}]+"
+#: Documents whose rows of the Gram matrix are computed at once.
+SLAB = 512
+#: Vectors beside those wanted in the power iteration, and its passes, at most.
+SPARE, PASSES = 16, 30
+_STOP = frozenset(STOPWORDS)
+
+
+def stem_word(w: str) -> str:
+    """As `stem` of a column."""
+    n = len(w)
+    if n > 5 and w.endswith("ing"):
+        return w[:-3]
+    if n > 4 and w.endswith(("ed", "es")):
+        return w[:-2]
+    return w[:-1] if n > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+
+def word_features(w: str, include_trigrams: bool) -> list[str]:
+    """The index's terms of a lower-case word, with repeats: its stem, unless that is short or a stop word, and the stem's marked trigrams."""
+    term = stem_word(w)
+    if len(term) < 2 or term in _STOP:
+        return []
+    padded = f"^{term}$"
+    return [term, *(f"3:{padded[i : i + 3]}" for i in range(len(padded) - 2))] if include_trigrams else [term]
+
+
+def cut_words(text: Column) -> Column:
+    """The text's words as the index cuts them, lower-cased, with single spaces between."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), IDENTIFIER_CUT, " "), NOT_TERM, " "))
+
+
+def counted(texts: pa.Array, include_trigrams: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of cut texts: row, number of the term and its count, in the order of rows; and the terms. Each distinct word is looked at once."""
+    split = pc.split_pattern(texts, " ")
+    coded = split.flatten().dictionary_encode()
+    words, owner = coded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(split).to_numpy()
+    of_word = [word_features(w, include_trigrams) for w in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
+    number: dict[str, int] = {}
+    flat = np.fromiter((number.setdefault(f, len(number)) for fs in of_word for f in fs), np.int64)
+    # Each occurrence of a word brings all of its features.
+    n, begin = sizes[words], (np.cumsum(sizes) - sizes)[words]
+    features = flat[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
+    key, tf = np.unique(np.repeat(owner, n) * max(1, len(number)) + features, return_counts=True)
+    return *np.divmod(key, max(1, len(number))), tf.astype(np.int64), list(number)
+
+
+def bags(docs: DataFrame, include_trigrams: bool = False) -> DataFrame:
+    """(doc, bag) of (doc, text): each document's terms with how often it has them.
+
+    Words are cut and lower-cased in the JVM and counted by document in Arrow batches; nothing is
+    shuffled, as a document's words are in its row.
+    """
+
+    @arrow_udf("array<struct<term: string, tf: long>>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            row, term, tf, names = counted(texts, include_trigrams)
+            ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(term)), pa.array(tf)], ["term", "tf"]))
+
+    return docs.select("doc", count(cut_words(F.col("text"))).alias("bag"))
 
 
 def term_rows(docs: DataFrame, include_trigrams: bool = False) -> DataFrame:
-    """(doc, term, tf) of (doc, text): the terms of index_terms(), worked on as rows, so that all but the splitting is compiled."""
-    parts = docs.select("doc", F.explode(F.regexp_extract_all(F.regexp_replace("text", IDENTIFIER_CUT, " "), F.lit(TERM), F.lit(0))).alias("p"))
-    words = parts.select("doc", stem(F.lower("p")).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOPWORDS))
-    if include_trigrams:
-        words = words.select("doc", F.explode(F.concat(F.array("term"), trigrams(F.col("term")))).alias("term"))
-    return words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """(doc, term, tf) of (doc, text), a row per document; rows that repeat a doc stay apart."""
+    return bags(docs, include_trigrams).select("doc", F.explode("bag").alias("b")).select("doc", "b.term", "b.tf")
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -71,64 +132,84 @@ class LsaModel:
 
         @arrow_udf("array<float>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            place = {t: i for i, t in enumerate(shared.terms)}
-            for bags in batches:
-                out = []
-                for words in bags.to_pylist():
-                    words = words or []
-                    marked = [f"3:{p[i : i + 3]}" for p in (f"^{w}$" for w in words) for i in range(len(p) - 2)] if shared.include_trigrams else []
-                    known = [place[w] for w in (*words, *marked) if w in place]
-                    at, tf = np.unique(np.array(known, int), return_counts=True)
-                    v = ((1 + np.log(tf)) * shared.idf[at]).astype(np.float32) @ shared.projection[at]
-                    size = np.sqrt((v * v).sum())
-                    out.append((v / size if size > 0 else v).astype(np.float32).tolist())
-                yield pa.array(out, pa.list_(pa.float32()))
-
-        return run(index_terms(text))
+            known = pa.array(shared.terms, pa.string())
+            for texts in batches:
+                out = np.zeros((len(texts), shared.dimension), np.float32)
+                for first in range(0, len(texts), SLAB):
+                    part = texts.slice(first, SLAB)
+                    row, term, tf, names = counted(part, shared.include_trigrams)
+                    at = pc.fill_null(pc.index_in(pa.array(names, pa.string()), known), -1).to_numpy()[term]
+                    keep = at >= 0
+                    a = np.zeros((len(part), len(known)), np.float32)
+                    a[row[keep], at[keep]] = (1 + np.log(tf[keep])) * shared.idf[at[keep]]
+                    out[first : first + SLAB] = a @ shared.projection
+                size = np.sqrt((out * out).sum(1, keepdims=True))
+                np.divide(out, size, out=out, where=size > 0)
+                ends = np.arange(len(texts) + 1, dtype=np.int32) * shared.dimension
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+        return run(cut_words(text))
 
 
 def fit_lsa(docs: DataFrame, dimension: int, include_trigrams: bool = True) -> LsaModel:
-    """From (doc, text), by the eigenvectors of the term-by-term Gram matrix, which Spark sums; only that matrix, at most MAX_TERMS squared, reaches the driver.
+    """From (doc, text), by the largest eigenvectors of the term-by-term Gram matrix, which is never formed.
 
-    The rank is `dimension` cut to the number of documents and terms and to eigenvalues over 1e-9. An
-    empty corpus or one without terms raises ValueError.
+    Block power iteration: a pass multiplies the documents' weights, and then their transpose, with a
+    few vectors, so that a task returns and the driver holds only those, at most MAX_TERMS rows. The
+    rank is `dimension` cut to the number of documents and terms and to eigenvalues over 1e-9. An empty
+    corpus or one without terms raises ValueError.
     """
-    rows = term_rows(docs, include_trigrams).persist()
+    held = bags(docs, include_trigrams).select("bag").persist()
     try:
-        n = docs.count()
+        # One row for each document, so that the same pass tells their number.
+        n = held.count()
         if not n:
             raise ValueError("an empty corpus can't be fitted")
-        df = document_frequency(rows)
+        df = document_frequency(held.select(F.explode("bag").alias("b")).select("b.term"))
         vocab = vocabulary(df, 2)
         top = {r.term: r.df for r in (vocab.collect() or vocabulary(df, 1).collect())}
         if not top:
             raise ValueError("a corpus without terms can't be fitted")
         terms = sorted(top)
-        place = {t: i for i, t in enumerate(terms)}
         weights = np.array([np.log((1 + n) / (1 + top[t])) + 1 for t in terms], np.float32)
-        shared = docs.sparkSession.sparkContext.broadcast((place, weights))
-
-        def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place, weights = shared.value
-            g = np.zeros((len(place), len(place)))
-            for batch in batches:
-                a = np.zeros((batch.num_rows, len(place)))
-                for i, entries in enumerate(batch.column("bag").to_pylist()):
-                    for e in entries:
-                        if (j := place.get(e["term"])) is not None:
-                            a[i, j] = (1 + np.log(e["tf"])) * weights[j]
-                g += a.T @ a
-            for i in np.flatnonzero(g.any(1)):
-                yield pa.record_batch([pa.array([int(i)], pa.int32()), pa.array([g[i].tolist()], pa.list_(pa.float64()))], names=["i", "row"])
-
-        bags = rows.groupBy("doc").agg(F.collect_list(F.struct("term", "tf")).alias("bag")).select("bag")
-        sums = bags.mapInArrow(gram, "i int, row array<double>")
-        g = np.zeros((len(terms), len(terms)))
-        for r in sums.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0").toLocalIterator():
-            g[r.i, r.j] = r.v
+        width = min(len(terms), dimension + SPARE)
+        q = np.linalg.qr(np.random.default_rng(1).normal(size=(len(terms), width)))[0]
+        last = np.zeros(width)
+        for _ in range(PASSES):
+            y = _gram_times(held, terms, weights, q)
+            values, turn = np.linalg.eigh((h := q.T @ y) / 2 + h.T / 2)
+            vectors = q @ turn
+            if np.abs(values - last)[-dimension:].max() <= 1e-9 * max(1.0, np.abs(values).max()):
+                break
+            last, q = values, np.linalg.qr(y)[0]
     finally:
-        rows.unpersist()
-    values, vectors = np.linalg.eigh(g)
+        held.unpersist()
     order = np.argsort(values)[::-1][: max(1, min(dimension, n, len(terms)))]
     order = order[values[order] > 1e-9]
     return LsaModel(terms, weights, vectors[:, order].astype(np.float32), include_trigrams)
+
+
+def _gram_times(held: DataFrame, terms: list[str], weights: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The Gram matrix of the bags' weighted terms times `q`; a task sends a row for each term."""
+    shared, width = held.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), weights, q)), q.shape[1]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights, q = shared.value
+        y = np.zeros_like(q)
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLAB):
+                bag = batch.column("bag").slice(first, SLAB)
+                entries = bag.flatten()
+                at = pc.index_in(entries.field("term"), known)
+                keep = at.is_valid().to_numpy(zero_copy_only=False)
+                row, col = pc.list_parent_indices(bag).to_numpy()[keep], at.drop_null().to_numpy()
+                a = np.zeros((len(bag), len(known)))
+                a[row, col] = (1 + np.log(entries.field("tf").to_numpy()[keep])) * weights[col]
+                y += a.T @ (a @ q)
+        yield pa.record_batch([pa.array(np.arange(len(y), dtype=np.int32)), *map(pa.array, y.T)], names=["i", *(f"y{j}" for j in range(width))])
+
+    names = [f"y{j}" for j in range(width)]
+    sums = held.mapInArrow(multiply, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros_like(q)
+    out[sums.column("i").to_numpy()] = np.column_stack([sums.column(c).to_numpy() for c in names])
+    return out

@@ -1,9 +1,10 @@
 """The index as a whole: passes over a folder, delivery of the queue, and searches, over the relations of a store.
 
-Files are (path, length, modified_utc, hash, text), as `format("folder")` reads them; load the folder
-anew for each pass, as a relation keeps its first listing. What a pass finds is
-staged under the store's folder before anything is decided by it, so that a file which changes
-meanwhile, or a task that runs again, can't mix two versions.
+Files are a `Folder`, of which only what is asked for is opened, or a relation (path, length,
+modified_utc, hash, text), such as `format("folder")` reads; load that anew for each pass, as a
+relation keeps its first listing. What a pass finds is staged under the store's folder before
+anything is decided by it, so that a file which changes meanwhile, or a task that runs again, can't
+mix two versions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..sources.folder import READ, SKIPPED, Files, files_of
 from ..sources.store import Store
 from . import changes as C
 from . import retrieval as R
@@ -55,14 +57,23 @@ def manifest(store: Store) -> DataFrame:
     return store.read("file_manifest").selectExpr("file_path path", "file_hash hash", "size_bytes size", "status", "created_utc created", "last_synced_hash", "updated_utc updated", "modified_utc modified")
 
 
-def files_with_vectors(store: Store, model: str) -> DataFrame:
-    return store.read("chunk_manifest").join(store.vectors(model).select("chunk_id"), "chunk_id", "left_semi").select("file_id").distinct()
+def files_with_vectors(store: Store, model: str, only: DataFrame | None = None) -> DataFrame:
+    """(file_id) of the files, or of the paths asked for only, that have vectors of the model."""
+    windows = store.read("chunk_manifest").select("file_id", "chunk_id")
+    if only is not None:
+        windows = windows.join(only.select(file_id(F.col("path")).alias("file_id")), "file_id", "left_semi")
+    return windows.join(store.vectors(model).select("chunk_id"), "chunk_id", "left_semi").select("file_id").distinct()
+
+
+def lookup(store: Store, path: str) -> DataFrame:
+    """The manifest's row of a path, if it is active; only the bucket that the path falls in is read."""
+    row = store.read("file_manifest", store.spark.range(1).select(file_id(F.lit(path)).alias("file_id")))
+    return row.where((F.col("file_path") == path) & (F.col("status") == "active"))
 
 
 def _embedded(files: DataFrame, embedder: Embedder, config: Config) -> DataFrame:
     """The files' windows with their vectors and the hash of the text that they come from, without that text."""
-    rows = chunks(files, config).select("path", *CHUNK, embedder.embed(F.col("content")).alias("vector"))
-    return rows.join(files.select("path", F.col("hash").alias("read_hash")), "path")
+    return chunks(files, config, ("hash",)).select("path", *CHUNK, embedder.embed(F.col("content")).alias("vector"), F.col("hash").alias("read_hash"))
 
 
 def _placed(store: Store, rows: DataFrame, gone: DataFrame, embedder: Embedder, now: Column) -> dict[str, tuple[DataFrame, DataFrame]]:
@@ -84,28 +95,39 @@ def _recorded(rows: DataFrame) -> DataFrame:
     return rows.select(file_id(F.col("path")).alias("file_id"), F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.col("size").alias("size_bytes"), F.col("modified").alias("modified_utc"), "status", F.col("updated").alias("updated_utc"), F.col("created").alias("created_utc"), "last_synced_hash")
 
 
-def index_pass(store: Store, files: DataFrame, embedder: Embedder, skipped: DataFrame | None = None, config: Config = DEFAULT, only: DataFrame | None = None) -> dict[str, int]:
+def index_pass(store: Store, files: Files | DataFrame, embedder: Embedder, skipped: DataFrame | None = None, config: Config = DEFAULT, only: DataFrame | None = None) -> dict[str, int]:
     """Brings the index up to the folder, in one commit, and counts what it did.
 
     New and changed files are recorded, queued and embedded, as are files without vectors of this
-    model; files that are gone are marked deleted and queued; `skipped` paths couldn't be read and stay.
-    A file that changes between the listing and its embedding is deferred to the next pass. With
-    `only` (path), such as a batch of changes, other files are neither read nor judged.
+    model; files that are gone are marked deleted and queued; files that can't be read now, and
+    `skipped` paths, stay as they are. A file that changes between the listing and its embedding is
+    deferred to the next pass. Every file is read for its hash, and those to embed once more. With
+    `only` (path), such as a batch of changes, other files of a `Folder` are neither read nor judged.
     """
-    now, model = _now(), embedder.model_version_id
+    now, model, files = _now(), embedder.model_version_id, files_of(files)
+    entry = store.read("embedding_model_registry").where(F.col("model_version_id") == model).first()
+    if entry is not None and entry.vector_dimension != embedder.dimension:
+        raise ValueError(f"vectors of {model} have dimension {entry.vector_dimension}, not {embedder.dimension}: the index must be rebuilt")
     with _Stage(store) as stage:
         known = manifest(store)
         if only is not None:
             only = stage(only.select("path").distinct())
-            files, known = files.join(only, "path", "left_semi"), known.join(only, "path", "left_semi")
-        listing = stage(files.select("path", "hash", F.col("length").alias("size"), F.col("modified_utc").alias("created")))
+            known = known.join(only, "path", "left_semi")
+        found = stage(files.read(only).select("path", "hash", F.col("length").alias("size"), F.col("modified_utc").alias("created"), "state"))
+        listing = found.where(F.col("state") == READ).drop("state")
+        unread = found.where(F.col("state") == SKIPPED).select("path")
+        skipped = unread if skipped is None else unread.unionByName(skipped.select("path"))
         changed = stage(C.snapshot_diff(listing, known.where("status = 'active'"), skipped))
-        vectors = files_with_vectors(store, model)
+        vectors = files_with_vectors(store, model, only)
         recorded = known.where("status = 'active'").join(changed.select("path"), "path", "left_anti").select("path", "hash", file_id(F.col("path")).alias("file_id"))
         states = recorded.join(vectors.withColumn("v", F.lit(True)), "file_id", "left").select("path", "hash", F.coalesce("v", F.lit(False)).alias("has_vectors"))
-        found = stage(C.classify(listing, states, changed))
-        wanted = found.where("disposition = 'Embed'").select("path").join(listing.select("path", F.col("hash").alias("listed")), "path")
-        read = _embedded(files.join(wanted.select("path"), "path", "left_semi"), embedder, config)
+        judged = stage(C.classify(listing, states, changed))
+        counts = {r.disposition: r["count"] for r in judged.groupBy("disposition").count().collect()}
+        n_scanned, n_changed = sum(counts.values()), changed.count()
+        if not counts.get("Embed") and not n_changed:
+            return {"scanned": n_scanned, "indexed": 0, "unchanged": counts.get("Unchanged", 0), "deferred": counts.get("Deferred", 0), "chunks": 0, "vectors": 0, "changes": 0}
+        wanted = judged.where("disposition = 'Embed'").select("path").join(listing.select("path", F.col("hash").alias("listed")), "path")
+        read = _embedded(files.read(wanted.select("path")).where(F.col("state") == READ), embedder, config)
         rows = stage(read.join(wanted, "path").where("read_hash = listed").drop("listed"))
 
         done = stage(rows.select("path", F.col("read_hash").alias("delivered_hash")).distinct())
@@ -116,8 +138,7 @@ def index_pass(store: Store, files: DataFrame, embedder: Embedder, skipped: Data
         after = after.join(times, "path", "left").join(before.select("path", "modified"), "path", "left").withColumn("modified", F.coalesce("seen", "modified")).drop("seen")
         last = store.read("outbox").agg(F.max("id")).first()[0] or 0
         queued = C.enqueue(changed, last + 1, now)
-        counts = {r.disposition: r["count"] for r in found.groupBy("disposition").count().collect()}
-        n_chunks, n_done, n_changed, n_scanned = rows.count(), done.count(), changed.count(), sum(counts.values())
+        n_chunks, n_done = rows.count(), done.count()
         if n_chunks or n_changed:
             entry = store.spark.createDataFrame([(model, type(embedder).__name__, model, embedder.dimension, "cosine", True, None)], "model_version_id string, provider_type string, model_name string, vector_dimension int, distance_metric string, is_active_for_write boolean, activated_utc timestamp").withColumn("activated_utc", now)
             merge = _placed(store, rows, rows.select("file_id").limit(0), embedder, now) | {"file_manifest": (_recorded(after), None), "outbox": (queued, None)}
@@ -126,19 +147,20 @@ def index_pass(store: Store, files: DataFrame, embedder: Embedder, skipped: Data
     return {"scanned": n_scanned, "indexed": n_done, "unchanged": counts.get("Unchanged", 0), "deferred": counts.get("Deferred", 0) + embed - n_done, "chunks": n_chunks, "vectors": n_chunks, "changes": n_changed}
 
 
-def deliver_due(store: Store, files: DataFrame, embedder: Embedder, most: int = 32, config: Config = DEFAULT) -> dict[str, int]:
+def deliver_due(store: Store, files: Files | DataFrame, embedder: Embedder, most: int = 32, config: Config = DEFAULT) -> dict[str, int]:
     """Claims the queue's first due operations and carries them out, in one commit; returns how many were done and failed.
 
     Upserts that are already delivered and deletes of paths that were recorded again are skipped.
-    An upsert whose file isn't there as recorded is due again later, and fails for good in the end.
+    Only files to upsert are read. An upsert whose file isn't there as recorded is due again later, and
+    fails for good in the end. A path's operations keep their order.
     """
-    now = _now()
+    now, files = _now(), files_of(files)
     with _Stage(store) as stage:
-        ops = stage(C.claim(store.read("outbox"), now, most))
+        ops = stage(C.in_order(C.claim(store.read("outbox"), now, most)).drop("step"))
         known = manifest(store)
         what = stage(C.deliverable(ops, known))
         upserts = what.where("action = 'upsert'").select(F.col("file_path").alias("path")).distinct().join(known.select("path", F.col("hash").alias("listed")), "path")
-        found = stage(files.join(upserts, "path").where("hash = listed").select("path", "hash", "text"))
+        found = stage(files.read(upserts.select("path")).join(upserts, "path").where("hash = listed").select("path", "hash", "text"))
         rows = stage(_embedded(found, embedder, config))
         gone = what.where("action = 'delete'").select(F.col("file_path").alias("path")).distinct()
         gone = gone.join(known.where("status = 'deleted'"), "path", "left_semi").select(file_id(F.col("path")).alias("file_id"))
@@ -173,26 +195,42 @@ def _sent(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def _hit_files(hits: DataFrame, few: bool, files: DataFrame) -> DataFrame:
-    """The files that have hits; others are passed over before their texts are read into anything."""
-    return files.join(_sent(hits.select("path").distinct(), few), "path", "left_semi")
+def _passages(store: Store, files: Files, queries: DataFrame, embedder: Embedder, results: int, config: Config) -> DataFrame:
+    """The hits with their text as the files are now and a state; only files with hits are opened."""
+    hits, few = _hits(store, queries, embedder, min(min(results, MOST_RESULTS) * 4, MOST_HITS), config)
+    now = files.read(_sent(hits.select("path").distinct(), few)).where(F.col("state") == READ)
+    return verify(hits, now.select("path", "text"))
 
 
-def search(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedder, results: int = 5, config: Config = DEFAULT) -> DataFrame:
+def search(store: Store, files: Files | DataFrame, queries: DataFrame, embedder: Embedder, results: int = 5, config: Config = DEFAULT) -> DataFrame:
     """(query_id, id, path, text, score, relevance, place): passages of the files as they are now, in the order chosen.
 
-    Only windows whose text is still as indexed are returned. Queries without results have no rows.
+    Only windows whose text is still as indexed are returned. Queries without results have no rows;
+    `search_notes` tells why.
     """
-    wanted = min(results, MOST_RESULTS)
-    hits, few = _hits(store, queries, embedder, min(wanted * 4, MOST_HITS), config)
-    passages = R.screen(verify(hits, _hit_files(hits, few, files.select("path", "text"))).where("state = 'verified'"), config.floor, config.gap)
+    rebuilt = _passages(store, files_of(files), queries, embedder, results, config)
+    passages = R.screen(rebuilt.where("state = 'verified'"), config.floor, config.gap)
     passages = passages.join(queries.select("query_id", "query"), "query_id").withColumn("token_count", F.col("token_end") - F.col("token_start"))
-    chosen = R.rerank(passages, wanted, config.budget_tokens, config)
-    return chosen.join(passages.select("query_id", "id", "path", "text", "score"), ["query_id", "id"]).select("query_id", "id", "path", "text", "score", "relevance", "place")
+    # The passages come along, so that no file is read again for them.
+    chosen = R.rerank(passages, min(results, MOST_RESULTS), config.budget_tokens, config, ("path", "text", "score"))
+    return chosen.select("query_id", "id", "path", "text", "score", "relevance", "place")
+
+
+def search_notes(store: Store, files: Files | DataFrame, queries: DataFrame, embedder: Embedder, results: int = 5, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, ranked, stale, unavailable, best, below_floor, dropped, selected, truncated): what a search ranked, withheld and chose, a row per query."""
+    rebuilt = _passages(store, files_of(files), queries, embedder, results, config)
+    kept = R.screen(rebuilt.where("state = 'verified'"), config.floor, config.gap).join(queries.select("query_id", "query"), "query_id")
+    chosen = R.rerank(kept.withColumn("token_count", F.col("token_end") - F.col("token_start")), min(results, MOST_RESULTS), config.budget_tokens, config)
+    counts = chosen.groupBy("query_id").agg(F.count("*").alias("selected"))
+    rows = queries.select("query_id").join(R.notes(rebuilt, config.floor, config.gap), "query_id", "left").join(counts, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    numbers = [zero(c).alias(c) for c in ("ranked", "stale", "unavailable", "dropped", "selected")]
+    return rows.select("query_id", *numbers, "best", F.coalesce("below_floor", F.lit(False)).alias("below_floor"), (zero("kept") > zero("selected")).alias("truncated"))
 
 
-def find_files(store: Store, files: DataFrame, queries: DataFrame, embedder: Embedder, results: int = 10, config: Config = DEFAULT) -> DataFrame:
-    """(query_id, path, score, passages, rank): the files that still exist, best passage first."""
+def find_files(store: Store, files: Files | DataFrame, queries: DataFrame, embedder: Embedder, results: int = 10, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, path, score, passages, rank): the files that still exist, best passage first. None is opened."""
     wanted = min(results, MOST_FILES)
     hits, few = _hits(store, queries, embedder, min(wanted * 5, MOST_HITS), config)
-    return R.files_about(hits.join(_hit_files(hits, few, files.select("path")), "path", "left_semi"), wanted)
+    there = files_of(files).there(_sent(hits.select("path").distinct(), few))
+    return R.files_about(hits.join(_sent(there, few), "path", "left_semi"), wanted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,38 +15,51 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.text import terms
 
-#: Queries that are scored in one pass over the vectors.
-QUERY_BLOCK = 2048
+#: Vectors and queries that are scored by one matrix product, and blocks of queries that a scan of the vectors scores.
+ROW_BLOCK, QUERY_BLOCK, QUERY_BLOCKS = 2048, 2048, 8
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, min_score: float = DEFAULT.min_score, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): each query's k best of (id, vector) by cosine, ties by id, below `min_score` none.
 
-    Queries (query_id, vector) go out in blocks of bounded size; each batch of vectors is one matrix
-    product and keeps its own k best for a query, so only those are shuffled.
+    Queries (query_id, vector) go out in groups of QUERY_BLOCK * QUERY_BLOCKS at most, which are scored
+    block by block in one scan of the vectors. A task keeps its k best for a query, so only those are shuffled.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [_scan(vectors, queries.where(part == i) if blocks > 1 else queries, k, min_score, digits) for i in range(blocks)]
+    groups = max(1, -(-queries.count() // (QUERY_BLOCK * QUERY_BLOCKS)))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+    found = [_scan(vectors, queries.where(part == i) if groups > 1 else queries, k, min_score, digits) for i in range(groups)]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(score: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of [rows, queries] scores: each query's k best rows and the ids of those, ties by id, a row of the result each."""
+    if len(score) > 4 * k:
+        # All rows that reach the k-th best score, ties included, are sorted only.
+        least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+        keep = np.flatnonzero((score >= least).any(1))
+        score, key = score[keep], key[keep]
+    by_id = np.argsort(key, kind="stable")
+    score, key = score[by_id], key[by_id]
+    top = np.argsort(-score, axis=0, kind="stable")[:k]
+    return np.take_along_axis(score, top, 0), key[top]
+
+
 def _scan(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, digits: int) -> DataFrame:
     rows = queries.select("query_id", "vector").collect()
     ids = [r.query_id for r in rows]
     q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), len(rows[0].vector) if rows else 0)
     length = np.sqrt((q * q).sum(1, keepdims=True))
     q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-    shared = vectors.sparkSession.sparkContext.broadcast(q)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
     id_type = vectors.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        ids, q = shared.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
@@ -57,12 +71,17 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, digi
             size = np.sqrt((x * x).sum(1, keepdims=True))
             x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
             key = batch.column("id").to_numpy(zero_copy_only=False)
-            by_id = np.argsort(key, kind="stable")
-            score = np.round(x[by_id] @ q.T, digits) + 0.0
-            top = np.argsort(-score, axis=0, kind="stable")[:k]
-            got = np.take_along_axis(score, top, 0)
+            for first, i in product(range(0, len(x), ROW_BLOCK), range(0, len(q), QUERY_BLOCK)):
+                got, top = _best(np.round(x[first : first + ROW_BLOCK] @ q[i : i + QUERY_BLOCK].T, digits) + 0.0, key[first : first + ROW_BLOCK], k)
+                if i in best:  # k rows a query of those before
+                    got, top = np.concatenate([best[i][0], got]), np.concatenate([best[i][1], top])
+                    for order in (np.argsort(top, axis=0, kind="stable"), None):
+                        order = np.argsort(-got, axis=0, kind="stable")[:k] if order is None else order
+                        got, top = np.take_along_axis(got, order, 0), np.take_along_axis(top, order, 0)
+                best[i] = got, top
+        for first, (got, top) in best.items():
             i, j = np.nonzero(got >= min_score)
-            yield pa.record_batch([pa.array([ids[c] for c in j]), pa.array(key[by_id[top[i, j]]]), pa.array(got[i, j])], names=["query_id", "id", "score"])
+            yield pa.record_batch([pa.array([ids[first + c] for c in j]), pa.array(top[i, j]), pa.array(got[i, j])], names=["query_id", "id", "score"])
 
     return vectors.select("id", "vector").mapInArrow(run, f"query_id {query_type}, id {id_type}, score double")
 
@@ -78,6 +97,21 @@ def screen(hits: DataFrame, floor: float = DEFAULT.floor, gap: float = DEFAULT.g
     return hits.withColumn("best", best).where((F.col("best") >= floor) & (F.col("score") >= gap * F.col("best")))
 
 
+def notes(rebuilt: DataFrame, floor: float = DEFAULT.floor, gap: float = DEFAULT.gap) -> DataFrame:
+    """(query_id, ranked, stale, unavailable, best, below_floor, dropped, kept) of rebuilt passages (query_id, score, state).
+
+    `best` is that of the verified ones, null without any; below the floor none is kept and none
+    counts as dropped, which are those under `gap` times the best. A query's passages are its top k, so lists are short.
+    """
+    verified = F.when(F.col("state") == "verified", F.col("score"))
+    count = lambda state: F.count_if(F.col("state") == state)
+    per = rebuilt.groupBy("query_id").agg(F.count("*").alias("ranked"), count("stale").alias("stale"), count("unavailable").alias("unavailable"), F.max(verified).alias("best"), F.collect_list(verified).alias("scores"))
+    below, above = F.coalesce(F.col("best") < floor, F.lit(False)), F.size(F.filter("scores", lambda s: s >= gap * F.col("best")))
+    kept = F.when(below, 0).otherwise(above).cast("long")
+    dropped = F.when(below, 0).otherwise(F.size("scores") - above).cast("long")
+    return per.select("query_id", "ranked", "stale", "unavailable", "best", below.alias("below_floor"), dropped.alias("dropped"), kept.alias("kept"))
+
+
 def coverage(query_terms: Column, passage_terms: Column) -> Column:
     """The share of the query's terms that the passage has; 0 without any."""
     n = F.size(query_terms)
@@ -94,15 +128,16 @@ def blended(score: Column, cover: Column, weight: float = DEFAULT.lexical_weight
     return (1 - w) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) + w * cover
 
 
-def rerank(candidates: DataFrame, max_passages: int, max_tokens: int = DEFAULT.budget_tokens, config: Config = DEFAULT) -> DataFrame:
-    """From (query_id, query, id, score, text, token_count): (query_id, id, relevance, place), chosen greedily.
+def rerank(candidates: DataFrame, max_passages: int, max_tokens: int = DEFAULT.budget_tokens, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """From (query_id, query, id, score, text, token_count): (query_id, id, relevance, place) and columns to keep, chosen greedily.
 
     Each round takes the candidate of the largest diversity-weighted relevance less its likeness to
     those chosen, the first in order of ties; one over the budget is passed over and the search goes
     on, but the first is always taken. A query's candidates are its top k, so groups are small.
     """
-    prepared = candidates.select("query_id", "id", "score", "token_count", terms(F.col("text")).alias("terms"), terms(F.col("query")).alias("query_terms"))
-    prepared = prepared.select("query_id", "id", "score", "token_count", "terms", blended(F.col("score"), coverage(F.col("query_terms"), F.col("terms")), config.lexical_weight).alias("relevance"))
+    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
+    prepared = candidates.select("query_id", "id", "score", "token_count", *kept, terms(F.col("text")).alias("terms"), terms(F.col("query")).alias("query_terms"))
+    prepared = prepared.select("query_id", "id", "score", "token_count", "terms", *(f"kept_{c}" for c in keep), blended(F.col("score"), coverage(F.col("query_terms"), F.col("terms")), config.lexical_weight).alias("relevance"))
     lam = min(1.0, max(0.0, config.diversity))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,11 +154,12 @@ def rerank(candidates: DataFrame, max_passages: int, max_tokens: int = DEFAULT.b
             for j in left:
                 both = len(sets[i] | sets[j])
                 like[j] = max(like[j], len(sets[i] & sets[j]) / both if both else 0.0)
-        out = pdf.loc[chosen, ["query_id", "id", "relevance"]]
-        return out.assign(place=np.arange(1, len(out) + 1))
+        out = pdf.loc[chosen, ["query_id", "id", "relevance"]].assign(place=np.arange(1, len(chosen) + 1))
+        return out.assign(**{c: pdf.loc[chosen, f"kept_{c}"] for c in keep})
 
-    q, i = (prepared.schema[c].dataType.simpleString() for c in ("query_id", "id"))
-    return prepared.groupBy("query_id").applyInPandas(choose, f"query_id {q}, id {i}, relevance double, place long")
+    kind = lambda c: prepared.schema[c].dataType.simpleString()
+    result = [f"query_id {kind('query_id')}", f"id {kind('id')}", "relevance double", "place long", *(f"{c} {kind(f'kept_{c}')}" for c in keep)]
+    return prepared.groupBy("query_id").applyInPandas(choose, ", ".join(result))
 
 
 def files_about(hits: DataFrame, max_files: int) -> DataFrame:

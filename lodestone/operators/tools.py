@@ -10,11 +10,26 @@ from ..functions.text import glob_pattern, lines, match_window, matcher, newline
 
 
 def inspect_directory(paths: DataFrame, directory: str = "", most: int = DEFAULT.listing) -> DataFrame:
-    """(name, is_directory) of the direct children, by name; the metadata folder is hidden."""
+    """(name, is_directory) of the direct children, by name; the metadata folder is hidden, and so are links, where `paths` has a column `link`."""
+    names = _children(paths, directory)
+    if "link" in paths.columns:
+        names = names.where("not link")
+    return names.select("name", "is_directory").distinct().orderBy("name").limit(most)
+
+
+def _children(paths: DataFrame, directory: str) -> DataFrame:
     prefix = directory.strip("/") + "/" if directory.strip("/") else ""
-    below = paths.where(F.col("path").startswith(prefix)).select(F.split(F.substring("path", F.lit(len(prefix) + 1), F.length("path")), "/").alias("s"))
-    names = below.select(F.get("s", F.lit(0)).alias("name"), (F.size("s") > 1).alias("is_directory")).where(F.col("name") != METADATA_DIR).distinct()
-    return names.orderBy("name").limit(most)
+    link = [F.coalesce(F.col("link"), F.lit(False)).alias("link")] if "link" in paths.columns else []
+    below = paths.where(F.col("path").startswith(prefix)).select(F.split(F.substring("path", F.lit(len(prefix) + 1), F.length("path")), "/").alias("s"), *link)
+    rows = below.select(F.get("s", F.lit(0)).alias("name"), (F.size("s") > 1).alias("is_directory"), *[c for c in ("link",) if link])
+    return rows.where(F.lower("name") != METADATA_DIR.lower())
+
+
+def directory_notes(paths: DataFrame, directory: str = "", most: int = DEFAULT.listing) -> DataFrame:
+    """(entries, hidden_links, truncated) of a directory whose `paths` have a column `link`: what its listing shows and leaves out."""
+    names = _children(paths, directory).groupBy("name").agg(F.min(F.col("link")).alias("link"))
+    n = names.agg(F.count_if(~F.col("link")).alias("n"), F.count_if("link").alias("hidden_links"))
+    return n.select(F.least("n", F.lit(most)).alias("entries"), "hidden_links", (F.col("n") > most).alias("truncated"))
 
 
 def walk_key(path: Column) -> Column:
@@ -23,8 +38,10 @@ def walk_key(path: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct((i < F.size(parts) - 1).cast("int").alias("below"), p.alias("name")))
 
 
-def find_files(paths: DataFrame, glob: str, most: int | None = 200) -> DataFrame:
-    """Paths that fit the glob, in walk order."""
+def find_files(paths: DataFrame, glob: str, most: int | None = DEFAULT.glob_rows, examined: int | None = None) -> DataFrame:
+    """Paths that fit the glob, in walk order; with `examined`, among the first so many only."""
+    if examined is not None:
+        paths = paths.orderBy(walk_key(F.col("path"))).limit(examined)
     found = paths.where(F.col("path").rlike(glob_pattern(glob))).select("path")
     return found if most is None else found.orderBy(walk_key(F.col("path"))).limit(most)
 
@@ -42,6 +59,22 @@ def grep(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool
     return hit.select("path", "line", at.alias("place"), match_window(F.col("text"), at).alias("text"))
 
 
+def in_scope(files: DataFrame, scope: str = "", max_bytes: int = DEFAULT.search_file_bytes) -> DataFrame:
+    """The files that a search in a path (a file, or a directory and all below it) looks into: those that are not too large."""
+    return _scoped(files, scope).where(F.octet_length("text") <= max_bytes)
+
+
+def _scoped(files: DataFrame, scope: str) -> DataFrame:
+    at = scope.strip("/")
+    return files.where((F.col("path") == at) | F.col("path").startswith(at + "/")) if at else files
+
+
+def search_counts(files: DataFrame, scope: str = "", max_bytes: int = DEFAULT.search_file_bytes) -> DataFrame:
+    """(searched, oversize, unreadable) files of a search; those of null text could not be read."""
+    size = F.octet_length("text")
+    return _scoped(files, scope).agg(F.count_if(size <= max_bytes).alias("searched"), F.count_if(size > max_bytes).alias("oversize"), F.count_if(size.isNull()).alias("unreadable"))
+
+
 def bounded(hits: DataFrame, most: int = DEFAULT.grep_rows, chars: int = DEFAULT.grep_chars) -> DataFrame:
     """The first matches in walk order, until a bound is met; the first is always there. A sort with limit, then a sum over at most `most` rows."""
     first = hits.withColumn("w", walk_key(F.col("path"))).orderBy("w", "line").limit(most)
@@ -59,6 +92,37 @@ def read_lines(files: DataFrame, start: int = 1, end: int | None = None, most: i
     return part.withColumn("used", used).where((F.col("used") <= chars) | (F.col("i") == 0)).select("path", (F.col("i") + start).alias("line"), "text")
 
 
+def read_notes(files: DataFrame, start: int = 1, end: int | None = None, most: int = DEFAULT.read_lines, chars: int = DEFAULT.grep_chars) -> DataFrame:
+    """(path, total, returned, truncated, next_line, version, note) of the same ranges as read_lines: where each was cut and where to go on.
+
+    No row per line: the lines that fit are counted within the array of their lengths.
+    """
+    if start < 1 or (end is not None and end < start):
+        raise ValueError("lines are counted from 1, and end after they start")
+    stop = start + most - 1 if end is None else min(end, start + most - 1)
+    sizes = F.transform(lines(F.col("text")), F.length)
+    rows = files.select("path", F.left(F.sha2("text", 256), F.lit(16)).alias("version"), sizes.alias("sizes")).withColumn("total", F.size("sizes"))
+    rows = rows.withColumn("asked", F.when(F.col("total") >= start, F.slice("sizes", start, max(0, stop - start + 1))).otherwise(F.array().cast("array<int>")))
+    step = lambda s, n: F.when(s["stop"] | ((s["n"] > 0) & (s["used"] + n > chars)), F.struct(s["used"].alias("used"), s["n"].alias("n"), F.lit(True).alias("stop"))).otherwise(F.struct((s["used"] + n).alias("used"), (s["n"] + 1).alias("n"), F.lit(False).alias("stop")))
+    none = F.struct(F.lit(0).cast("int").alias("used"), F.lit(0).cast("int").alias("n"), F.lit(False).alias("stop"))
+    rows = rows.withColumn("got", F.aggregate("asked", none, step))
+    wanted = F.col("total") if end is None else F.least(F.lit(end), F.col("total"))
+    by_chars, by_lines = F.col("got.stop"), ~F.col("got.stop") & (wanted > stop)
+    following = F.lit(start) + F.col("got.n")
+    goes_on = lambda why: F.format_string(f"cut at {why}; continue from line %d (the file has %d lines)", following, F.col("total"))
+    note = F.when(by_chars, goes_on(f"{chars} characters")).when(by_lines, goes_on(f"{most} lines")).when(F.col("total") == 0, "the file is empty").when(F.col("got.n") == 0, F.format_string(f"nothing at or after line {start}: the file has %d lines", "total"))
+    if end is not None:
+        note = note.when(F.lit(end) > F.col("total"), F.format_string("the file ends at line %d", "total"))
+    cut = by_chars | by_lines
+    return rows.select("path", "total", F.col("got.n").alias("returned"), cut.alias("truncated"), F.when(cut, following).alias("next_line"), "version", note.alias("note"))
+
+
+def file_text(files: DataFrame, most: int = DEFAULT.read_chars) -> DataFrame:
+    """(path, text, size_bytes, version, truncated) of whole files, cut at `most` characters."""
+    text = F.col("text")
+    return files.select("path", F.left(text, F.lit(most)).alias("text"), F.octet_length(text).cast("long").alias("size_bytes"), F.left(F.sha2(text, 256), F.lit(16)).alias("version"), (F.length(text) > most).alias("truncated"))
+
+
 def replace_lines(text: Column, start: int, end: int, replacement: str) -> Column:
     """The text with lines start to end replaced, its own line ends kept; a range outside the text raises an error."""
     span = r"(?:[^\r\n]*(?:\r\n|\r|\n|\z))"
@@ -78,6 +142,26 @@ def failed_latest(outbox: DataFrame, most: int = 20) -> DataFrame:
     return outbox.where("status = 3").groupBy("file_path").agg(F.max_by(F.struct("error", "attempts"), "id").alias("x"), F.max("id").alias("id")).select("file_path", "id", "x.error", "x.attempts").orderBy("file_path").limit(most + 1)
 
 
+def index_status(manifest: DataFrame, outbox: DataFrame, most: int = 20) -> DataFrame:
+    """One row: delivered, pending and active files, those whose latest operations failed, the first `most` failures by path, and whether there are more."""
+    failed = failed_latest(outbox, most).withColumn("n", F.row_number().over(Window.orderBy("file_path")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("file_path", "error", "attempts"))))
+    sample = failed.agg(shown.alias("failures"), (F.count("*") > most).alias("more_failures"))
+    counts = outbox.where("status = 3").agg(F.countDistinct("file_path").alias("failed"))
+    # Single rows each.
+    return status_counts(manifest).crossJoin(counts).crossJoin(sample)
+
+
+def history(conversations: DataFrame, messages: DataFrame, most: int = 50) -> DataFrame:
+    """(conversation_id, updated, messages, place, truncated): the latest conversations first, ties by id; `truncated` tells that there are more. Sorts `most` + 1 rows at the end, not the table."""
+    latest = conversations.orderBy(F.desc("updated"), "conversation_id").limit(most + 1)
+    order = Window.orderBy(F.desc("updated"), "conversation_id")
+    rows = latest.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most).where(F.col("place") <= most)
+    # Only the messages of those few are counted.
+    counts = messages.join(F.broadcast(rows.select("conversation_id")), "conversation_id", "left_semi").groupBy("conversation_id").agg(F.count("*").alias("messages"))
+    return rows.join(F.broadcast(counts), "conversation_id", "left").select("conversation_id", "updated", F.coalesce("messages", F.lit(0)).alias("messages"), "place", "truncated")
+
+
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     counts = messages.groupBy("conversation_id").agg(F.count("*").alias("messages"))
     return conversations.join(counts, "conversation_id", "left").withColumn("messages", F.coalesce("messages", F.lit(0)))
@@ -98,11 +182,29 @@ def allocate_sequence(next_seq: DataFrame, new: DataFrame) -> DataFrame:
 
 def message_fields(message_json: Column) -> Column:
     """Role, text and number of tool calls; an unreadable message is a row of that role, not an error."""
-    m = F.from_json(message_json, "role string, text string, tool_calls array<struct<name string>>, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    ok = m.isNotNull() & m["_corrupt"].isNull() & m["role"].isNotNull()
+    m, ok = _message(message_json)
     return F.struct(F.when(ok, m["role"]).otherwise("unreadable").alias("role"), F.when(ok, m["text"]).alias("text"), F.when(ok, F.coalesce(F.size(m["tool_calls"]), F.lit(0))).otherwise(0).alias("tool_calls"))
 
 
+def _message(message_json: Column) -> tuple[Column, Column]:
+    kind = "role string, text string, tool_calls array<struct<name string, arguments map<string, string>>>, tool_results array<string>, _corrupt string"
+    m = F.from_json(message_json, kind, {"columnNameOfCorruptRecord": "_corrupt"})
+    return m, m.isNotNull() & m["_corrupt"].isNull() & m["role"].isNotNull()
+
+
+def transcript(message_json: Column, chars: int = DEFAULT.message_chars) -> Column:
+    """Role, text, calls (name(argument=value, ...), arguments by name), results and whether the text was cut; long texts, calls and results are cut. An unreadable message has no more than that role."""
+    m, ok = _message(message_json)
+    cut = lambda c: F.left(c, F.lit(chars))
+    arguments = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["arguments"])), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ", ")
+    calls = F.transform(m["tool_calls"], lambda c: F.concat(c["name"], F.lit("("), cut(F.coalesce(arguments(c), F.lit(""))), F.lit(")")))
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(ok, m["role"]).otherwise("unreadable").alias("role"), F.when(ok & (m["text"] != ""), cut(m["text"])).alias("text"), F.coalesce(F.when(ok, calls), none).alias("calls"),
+        F.coalesce(F.when(ok, F.transform(m["tool_results"], lambda r: F.coalesce(cut(r), F.lit("")))), none).alias("results"), F.coalesce(ok & (F.length(m["text"]) > chars), F.lit(False)).alias("truncated"),
+    )
+
+
 def telemetry(points: DataFrame, tags: list[str], value: str, width: float, buckets: int) -> DataFrame:
     """Count, mean and fixed-width histogram buckets of a value by tags; the last bucket takes the rest."""
     bucket = F.least(F.floor(F.col(value) / width), F.lit(buckets)).cast("int")

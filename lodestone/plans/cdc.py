@@ -195,3 +195,41 @@ def failed_files_latest(spark, sf):
     from ..operators.tools import failed_latest
 
     return failed_latest(outbox(spark, sf))
+
+
+@query("failed_files", f"WITH {_OUTBOX} SELECT count(DISTINCT file_path) AS failed FROM ob WHERE status = 3")
+def failed_files(spark, sf):
+    return outbox(spark, sf).where("status = 3").agg(F.countDistinct("file_path").alias("failed"))
+
+
+@query(
+    "index_status",
+    f"""WITH {_OUTBOX}, {_SNAPSHOTS}, {_MANIFEST}, x AS (SELECT file_path, max_by(error, id) AS error, max_by(attempts, id) AS attempts FROM ob WHERE status = 3 GROUP BY file_path ORDER BY file_path LIMIT 6), y AS (SELECT * FROM x ORDER BY file_path LIMIT 5)
+SELECT count(*) FILTER (coalesce(last_synced_hash = hash, false)) AS delivered, count(*) FILTER (NOT coalesce(last_synced_hash = hash, false)) AS pending, count(*) AS active, (SELECT count(DISTINCT file_path) FROM ob WHERE status = 3) AS failed,
+  (SELECT string_agg(file_path || ' ' || error || ' ' || attempts, ';' ORDER BY file_path) FROM y) AS failures, (SELECT count(*) > 5 FROM x) AS more_failures FROM ap WHERE status = 'active'""",
+)
+def index_status(spark, sf):
+    from ..operators import tools
+
+    listed = F.array_join(F.transform("failures", lambda x: F.concat_ws(" ", x["file_path"], x["error"], x["attempts"].cast("string"))), ";")
+    return tools.index_status(_applied(spark, sf), outbox(spark, sf), 5).withColumn("failures", listed)
+
+
+@query("delivery_order", f"WITH {_OUTBOX} SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY id) AS step FROM ob WHERE status = 0")
+def delivery_order(spark, sf):
+    return C.in_order(outbox(spark, sf).where(F.col("status") == C.PENDING)).select("id", "file_path", "step")
+
+
+@query("own_files", r"SELECT page_id, regexp_matches(lower(p), '(^|[/\\])\.lodestone([/\\]|$)') AS own FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.lodestone/' || url WHEN 1 THEN 'a\.LodeStone\' || url WHEN 2 THEN 'x.lodestone/' || url WHEN 3 THEN url || '/.Lodestone' ELSE url END AS p FROM pages)")
+def own_files(spark, sf):
+    url, kind = F.col("url"), F.col("page_id") % 5
+    path = F.when(kind == 0, F.concat(F.lit(".lodestone/"), url)).when(kind == 1, F.concat(F.lit("a\\.LodeStone\\"), url)).when(kind == 2, F.concat(F.lit("x.lodestone/"), url)).when(kind == 3, F.concat(url, F.lit("/.Lodestone"))).otherwise(url)
+    return read(spark, sf, "pages").select("page_id", C.own(path).alias("own"))
+
+
+@query("creation_times", "SELECT event_id, epoch_us(CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN ts ELSE ts - INTERVAL 1 DAY END) AS created_us FROM events")
+def creation_times(spark, sf):
+    """Some files have no time of creation, or that of an empty one."""
+    ts, none = F.col("ts").cast("timestamp"), F.lit("1601-01-01 00:00:00").cast("timestamp")
+    created = F.when(F.col("event_id") % 3 == 0, none).when(F.col("event_id") % 5 != 0, ts - F.expr("interval 1 day"))
+    return read(spark, sf, "events").select("event_id", F.unix_micros(C.created_or_modified(created, ts)).alias("created_us"))

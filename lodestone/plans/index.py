@@ -21,7 +21,11 @@ COUNTS = ["scanned", "indexed", "unchanged", "deferred", "chunks", "vectors", "c
 
 def new_store(spark: SparkSession) -> Store:
     """An empty store in the folder that the cluster names as shared; in a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return Store(spark, f"{base.rstrip('/')}/{uuid.uuid4().hex}", buckets=8)
 
 

@@ -111,13 +111,13 @@ def tfidf(spark, sf):
 
 @query("lsa_similarity")
 def lsa_similarity(spark, sf):
-    """Each document by the benchmark passage that is nearest to it in a space fitted on the passages."""
-    passages = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), "text")
-    model = features.fit_lsa(passages, 16, include_trigrams=False)
+    """Every twentieth document by the passage of the benchmark that is nearest to it, in a space fitted on all documents."""
     from ..operators.retrieval import knn
 
-    vectors = passages.select(F.col("doc").alias("id"), model.transform(F.col("text")).alias("vector"))
-    queries = read(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), model.transform(F.col("text")).alias("vector"))
+    docs = read(spark, sf, "documents")
+    model = features.fit_lsa(docs.select(F.col("doc_id").alias("doc"), "text"), 16)
+    vectors = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), model.transform(F.col("text")).alias("vector"))
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), model.transform(F.col("text")).alias("vector"))
     return knn(vectors, queries, 1)
 
 

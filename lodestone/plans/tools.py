@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import tools as O
 from ..sources.tables import files, messages, read
 from .base import FILES, query
@@ -52,6 +56,69 @@ def inspect_directory(spark, sf):
     return O.inspect_directory(files(spark, sf))
 
 
+_GLOBS = {
+    "*5.txt": r"(^|/)[^/]*5\.txt$", "src1*/en/doc?.txt": r"^src1[^/]*/en/doc[^/]\.txt$", "**/de/*": r"^(.*/)?de/[^/]*$", "src2/**": r"^src2(/.*)?$", "src1/**/doc1?.txt": r"^src1(/.*)?/doc1[^/]\.txt$",
+    "s**c1/*/doc*": r"^s[^/]*c1/[^/]*/doc[^/]*$", r" \src3\fr\*.txt ": r"^src3/fr/[^/]*\.txt$", "**": "^.*$", "**/**/doc7.txt": r"^(.*/)?doc7\.txt$", "doc+1.txt": r"(^|/)doc\+1\.txt$",
+}
+
+
+@query("glob_cases", f"WITH {FILES} " + " UNION ALL ".join(f"SELECT {i} AS glob, count(*) AS n, min(path) AS first, max(path) AS last FROM f WHERE regexp_matches(path, '{r}')" for i, r in enumerate(_GLOBS.values())))
+def glob_cases(spark, sf):
+    """What each of the globs finds."""
+    f = files(spark, sf)
+    found = [O.find_files(f, g, None).agg(F.lit(i).alias("glob"), F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last")) for i, g in enumerate(_GLOBS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Patterns with their options, and what they mean in SQL.
+_PATTERNS = [
+    (r"\p{Lu}\p{L}+\.", {"regex": True}, r"\p{Lu}\p{L}+\."), ("TH(E|AT)", {"regex": True, "ignore_case": True}, "(?i)TH(E|AT)"), ("a.b", {}, r"a\.b"), ("The", {"ignore_case": True, "whole_word": True}, r"(?i)(^|[^\p{L}\p{Nd}_])The([^\p{L}\p{Nd}_]|$)"),
+    (r"[0-9]+", {"regex": True, "whole_word": True}, r"(^|[^\p{L}\p{Nd}_])[0-9]+([^\p{L}\p{Nd}_]|$)"), ("  ", {}, "  "), (r"^\p{Ll}", {"regex": True}, r"^\p{Ll}"), ("(", {}, r"\("),
+]
+
+
+@query("matcher_cases", f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT {i} AS pattern, count(*) AS n, count(DISTINCT path) AS files FROM li WHERE regexp_matches(t, '{r}')" for i, (_, _, r) in enumerate(_PATTERNS)))
+def matcher_cases(spark, sf):
+    """The lines that each pattern is in, all counted in one reading of the texts."""
+    rows = O.line_rows(files(spark, sf)).select("path", F.explode(F.array(*[F.when(F.col("text").rlike(T.matcher(p, **o)), i) for i, (p, o, _) in enumerate(_PATTERNS)])).alias("pattern"))
+    found = rows.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
+    every = spark.range(len(_PATTERNS)).select(F.col("id").cast("int").alias("pattern"))
+    return every.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+@query("read_ranges", f"""WITH {_LINES}, u AS (SELECT path, line, sum(len(t)) OVER (PARTITION BY path ORDER BY line) AS used FROM li WHERE line BETWEEN 2 AND 21),
+r AS (SELECT path, count(*) AS asked, count(*) FILTER (used <= 1500 OR line = 2) AS returned FROM u GROUP BY path), c AS (SELECT path, count(*) AS total FROM li GROUP BY path),
+a AS (SELECT f.path, f.text, coalesce(total, 0) AS total, coalesce(returned, 0) AS returned, coalesce(asked, 0) AS asked FROM f LEFT JOIN c USING (path) LEFT JOIN r USING (path)),
+w AS (SELECT *, returned < asked AS chars, returned = asked AND total > 21 AS more FROM a)
+SELECT path, total, returned, chars OR more AS truncated, CASE WHEN chars OR more THEN 2 + returned END AS next_line, left(sha256(text), 16) AS version,
+  CASE WHEN chars THEN 'cut at 1500 characters; continue from line ' || (2 + returned) || ' (the file has ' || total || ' lines)' WHEN more THEN 'cut at 20 lines; continue from line ' || (2 + returned) || ' (the file has ' || total || ' lines)'
+    WHEN total = 0 THEN 'the file is empty' WHEN returned = 0 THEN 'nothing at or after line 2: the file has ' || total || ' lines' END AS note FROM w""")
+def read_ranges(spark, sf):
+    return O.read_notes(files(spark, sf), 2, None, 20, 1500)
+
+
+@query("whole_files", f"WITH {FILES} SELECT path, left(text, 2000) AS text, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, left(sha256(text), 16) AS version, len(text) > 2000 AS truncated FROM f")
+def whole_files(spark, sf):
+    return O.file_text(files(spark, sf), 2000)
+
+
+@query("search_scope", f"WITH {FILES} SELECT count(*) FILTER (octet_length(encode(text)) <= 4096) AS searched, count(*) FILTER (octet_length(encode(text)) > 4096) AS oversize, CAST(0 AS BIGINT) AS unreadable FROM f WHERE starts_with(path, 'src1/')")
+def search_scope(spark, sf):
+    return O.search_counts(files(spark, sf), "src1", 4096)
+
+
+@query("directory_notes", f"WITH {FILES} SELECT least(count(DISTINCT path) FILTER (source <> 'src1'), 500) AS entries, count(DISTINCT path) FILTER (source = 'src1') AS hidden_links, count(DISTINCT path) FILTER (source <> 'src1') > 500 AS truncated FROM f")
+def directory_notes(spark, sf):
+    """All documents in one directory, those of a source as links."""
+    flat = files(spark, sf).select(F.replace("path", F.lit("/"), F.lit("_")).alias("path"), F.col("path").startswith("src1/").alias("link"))
+    return O.directory_notes(flat)
+
+
+@query("tool_names", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM pages")
+def tool_names(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.sanitize(F.col("url"), "A-Za-z0-9_-").alias("name"))
+
+
 _CONVERSATIONS = "cv AS (SELECT conv_id, max(turn) + 1 AS next_seq FROM conversations GROUP BY conv_id)"
 
 
@@ -61,6 +128,13 @@ def conversation_list(spark, sf):
     return O.conversation_list(read(spark, sf, "pages").select(F.col("page_id").alias("conversation_id")), messages(spark, sf))
 
 
+@query("history_list", "WITH c AS (SELECT conv_id, max(turn) AS updated, count(*) AS messages FROM conversations GROUP BY conv_id) SELECT conv_id AS conversation_id, updated, messages, row_number() OVER (ORDER BY updated DESC, conv_id) AS place, (SELECT count(*) FROM c) > 20 AS truncated FROM c ORDER BY updated DESC, conv_id LIMIT 20")
+def history_list(spark, sf):
+    """Conversations are as new as their last turn is late."""
+    m = messages(spark, sf)
+    return O.history(m.groupBy("conversation_id").agg(F.max("seq").alias("updated")), m, 20)
+
+
 @query("conversation_tail", "WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) SELECT conv_id AS conversation_id, turn AS seq, role AS agent_name, left(text, 40) AS text, len(text) > 40 AS truncated, greatest(0, total - 3) AS omitted FROM b WHERE k <= 3")
 def conversation_tail(spark, sf):
     return O.conversation_tail(messages(spark, sf), 3, 40)
@@ -81,6 +155,18 @@ def message_json_project(spark, sf):
     return c.select("conv_id", "turn", O.message_fields(json).alias("m")).select("conv_id", "turn", "m.*")
 
 
+@query("message_transcript", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'unreadable' ELSE role END AS role, CASE WHEN role <> 'system' AND text <> '' THEN left(text, 50) END AS text, CASE WHEN role = 'assistant' THEN 'search(n=' || turn || ', q=' || left(text, 5) || ');stop()' ELSE '' END AS calls, CASE WHEN role = 'user' THEN left(text, 50) || ';' ELSE '' END AS results, role <> 'system' AND len(text) > 50 AS truncated FROM (SELECT conv_id, turn, role, replace(text, ';', ',') AS text FROM conversations)")
+def message_transcript(spark, sf):
+    """Assistants make two calls, users' messages carry two results of which one is empty, system messages are broken."""
+    c = read(spark, sf, "conversations").withColumn("text", F.replace(F.col("text"), F.lit(";"), F.lit(",")))
+    arguments = F.create_map(F.lit("q"), F.left("text", F.lit(5)), F.lit("n"), F.col("turn").cast("string"))
+    calls = F.when(F.col("role") == "assistant", F.array(F.struct(F.lit("search").alias("name"), arguments.alias("arguments")), F.struct(F.lit("stop").alias("name"), F.lit(None).cast("map<string,string>").alias("arguments"))))
+    results = F.when(F.col("role") == "user", F.array(F.col("text"), F.lit(None).cast("string")))
+    json = F.when(F.col("role") == "system", F.concat(F.lit("{broken "), F.col("text"))).otherwise(F.to_json(F.struct("role", "text", calls.alias("tool_calls"), results.alias("tool_results"))))
+    m = c.select("conv_id", "turn", O.transcript(json, 50).alias("m")).select("conv_id", "turn", "m.*")
+    return m.withColumns({"calls": F.array_join("calls", ";"), "results": F.array_join("results", ";")})
+
+
 @query("telemetry_rollup", "SELECT event_type, CAST(least(floor(value / 10), 10) AS BIGINT) AS bucket, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
 def telemetry_rollup(spark, sf):
     return O.telemetry(read(spark, sf, "events"), ["event_type"], "value", 10.0, 10)

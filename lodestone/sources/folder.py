@@ -1,4 +1,4 @@
-"""Folders as relations: a listing that sees hidden and empty files, decoding by byte order mark, and a change stream by polling."""
+"""Folders as relations: a listing that sees hidden and empty files, what is in those asked for, decoding by byte order mark, and a change stream by polling."""
 
 from __future__ import annotations
 
@@ -6,16 +6,29 @@ import codecs
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import stat
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from typing import Protocol
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.accumulators import Accumulator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, IGNORED_DIRS, METADATA_DIR, TEXT_EXTENSIONS
 
 SCHEMA = "path string, length long, modified_utc timestamp, hash string, text string"
+LISTING = "path string, length long, modified_utc timestamp, created_utc timestamp"
+#: What a read of a path found: its text, nothing that could be read now, or no file (or a blank or unwanted one).
+READ, SKIPPED, MISSING = "read", "skipped", "missing"
+#: Bytes of text that are handed on at once.
+PIECE = 8 << 20
 _MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
@@ -71,41 +84,188 @@ def walk(root: str, max_bytes: int = DEFAULT.max_file_bytes) -> Iterator[tuple[s
     yield from inner(root, True)
 
 
+def created(s: os.stat_result) -> float:
+    """The time of creation, or of the last write where the file system has none or an empty one."""
+    born = getattr(s, "st_birthtime", 0.0)
+    return born if born > 0 else s.st_mtime
+
+
+def _utc(seconds: float) -> datetime:
+    return datetime.fromtimestamp(seconds, UTC).replace(tzinfo=None)
+
+
+def read_path(root: str, path: str, max_bytes: int = DEFAULT.max_file_bytes, formats: Formats | None = None) -> tuple:
+    """(length, modified_utc, hash, text, state) of one file as it is."""
+    try:
+        with open(os.path.join(root, path), "rb") as f:
+            s = os.fstat(f.fileno())
+            extract = (formats or plain_formats()).find(path)
+            if not stat.S_ISREG(s.st_mode) or s.st_size > max_bytes or extract is None:
+                return None, None, None, None, MISSING
+            data = f.read()
+    except (FileNotFoundError, NotADirectoryError, IsADirectoryError):
+        return None, None, None, None, MISSING
+    except OSError:
+        return None, None, None, None, SKIPPED
+    text = extract(data)
+    if not text.strip():
+        return None, None, None, None, MISSING
+    return len(data), _utc(s.st_mtime), hashlib.sha256(data).hexdigest(), text, READ
+
+
+class Files(Protocol):
+    """Files by path. Both give (path, length, modified_utc, hash, text, state), where `state` tells what couldn't be read."""
+
+    def read(self, paths: DataFrame | None = None) -> DataFrame:
+        """The files asked for (path), or all."""
+
+    def there(self, paths: DataFrame) -> DataFrame:
+        """Those of the paths (path, ...) that still are files."""
+
+
+class Frame:
+    """Files that are a relation (path, length, modified_utc, hash, text) already."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def read(self, paths: DataFrame | None = None) -> DataFrame:
+        rows = self.rows if paths is None else self.rows.join(paths.select("path"), "path", "left_semi")
+        return rows.select("path", "length", "modified_utc", "hash", "text", F.lit(READ).alias("state"))
+
+    def there(self, paths: DataFrame) -> DataFrame:
+        return paths.join(self.rows.select("path"), "path", "left_semi")
+
+
+@dataclass(frozen=True)
+class Folder:
+    """A folder that all executors see under the same path; only files asked for are opened, by the executors.
+
+    `opened` counts them.
+    """
+
+    spark: SparkSession
+    root: str
+    max_bytes: int = DEFAULT.max_file_bytes
+    opened: Accumulator | None = None
+
+    def listing(self) -> DataFrame:
+        """(path, length, modified_utc, created_utc) of all files, none of them opened."""
+        register(self.spark)
+        return self.spark.read.format("folder").option("as", "listing").option("maxBytes", self.max_bytes).load(self.root)
+
+    def read(self, paths: DataFrame | None = None) -> DataFrame:
+        root, most, opened = self.root, self.max_bytes, self.opened
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            formats = plain_formats()
+            for batch in batches:
+                rows, size = [], 0
+                for path in batch.column("path").to_pylist():
+                    if opened is not None:
+                        opened.add(1)
+                    rows.append((path, *read_path(root, path, most, formats)))
+                    size += rows[-1][1] or 0
+                    if size > PIECE:
+                        yield _rows(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _rows(rows)
+
+        asked = self.listing() if paths is None else paths
+        return asked.select("path").mapInArrow(run, f"{SCHEMA}, state string").where(F.col("state") != MISSING)
+
+    def there(self, paths: DataFrame) -> DataFrame:
+        root = self.root
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([os.path.isfile(os.path.join(root, p)) for p in batch.column("path").to_pylist()], pa.bool_()))
+
+        return paths.mapInArrow(run, paths.schema)
+
+
+    def settled(self, paths: DataFrame, pause: float = DEFAULT.settle_s) -> DataFrame:
+        """(path, state): whether each path's file is Settled, Busy or Missing."""
+        root = self.root
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = settle([os.path.join(root, p) for p in batch.column("path").to_pylist()], pause)
+                yield pa.record_batch([batch.column("path"), pa.array(found, pa.string())], names=["path", "state"])
+
+        return paths.select("path").mapInArrow(run, "path string, state string")
+
+
+_ROWS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified_utc", pa.timestamp("us", "UTC")), ("hash", pa.string()), ("text", pa.string()), ("state", pa.string())])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+
+
+def files_of(files: Files | DataFrame) -> Files:
+    return Frame(files) if isinstance(files, DataFrame) else files
+
+
+def _look(path: str) -> tuple[int, int] | str:
+    try:
+        with open(path, "rb") as f:
+            s = os.fstat(f.fileno())
+        return s.st_size, s.st_mtime_ns
+    except (FileNotFoundError, NotADirectoryError):
+        return "Missing"
+    except OSError:
+        return "Busy"
+
+
+def settle(paths: list[str], pause: float = DEFAULT.settle_s, wait: Callable[[float], None] = time.sleep) -> list[str]:
+    """Settled for files that two looks find openable and of the same length and time, else Busy or Missing. All are looked at, then all again."""
+    first = [_look(p) for p in paths]
+    if all(isinstance(x, str) for x in first):
+        return first
+    wait(pause)
+    second = [x if isinstance(x, str) else _look(p) for p, x in zip(paths, first, strict=True)]
+    return [y if isinstance(y, str) else "Settled" if x == y else "Busy" for x, y in zip(first, second, strict=True)]
+
+
 class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, int, float]]):
+    def __init__(self, paths: list[tuple]):
         self.paths = paths
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.size = options["path"], int(options.get("filesPerPartition", 64))
+        self.root, self.size, self.names_only = options["path"], int(options.get("filesPerPartition", 64)), options.get("as") == "listing"
         self.max_bytes = int(options.get("maxBytes", DEFAULT.max_file_bytes))
 
     def partitions(self) -> list[_Files]:
-        found = [(p, s.st_size, s.st_mtime) for p, s in walk(self.root, self.max_bytes)]
+        found = [(p, s.st_size, _utc(s.st_mtime), _utc(created(s))) for p, s in walk(self.root, self.max_bytes)]
         return [_Files(found[i : i + self.size]) for i in range(0, len(found), self.size)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         formats = plain_formats()
-        for path, length, modified in partition.paths:
-            try:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    data = f.read()
-            except OSError:
-                continue
-            text = formats.find(path)(data)
-            if text.strip():
-                yield path, length, datetime.fromtimestamp(modified, UTC).replace(tzinfo=None), hashlib.sha256(data).hexdigest(), text
+        for row in partition.paths:
+            if self.names_only:
+                yield row
+            elif (found := read_path(self.root, row[0], self.max_bytes, formats))[-1] == READ:
+                yield row[0], *found[:-1]
 
 
 class _Changes(SimpleDataSourceStreamReader):
-    """Differences between successive listings; the offset is the listing's times and sizes."""
+    """Differences between successive listings. A listing is a file under `state`, and the offset its name and number, so that it stays small however many files there are."""
 
     def __init__(self, options):
-        self.root = options["path"]
+        self.root, self.state = options["path"], options.get("state") or os.path.join(options["path"], METADATA_DIR, "changes")
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"n": 0, "listing": ""}
+
+    def _load(self, offset: dict) -> dict:
+        if not offset["listing"]:
+            return {}
+        with open(os.path.join(self.state, offset["listing"]), encoding="utf-8") as f:
+            return json.load(f)
 
     def _between(self, old: dict, new: dict) -> list[tuple]:
         now = datetime.now(UTC).replace(tzinfo=None)
@@ -114,22 +274,34 @@ class _Changes(SimpleDataSourceStreamReader):
         return [(p, k, now) for k, ps in (("Created", created), ("Modified", changed), ("Deleted", gone)) for p in sorted(ps)]
 
     def read(self, start: dict):
-        new = {p: [s.st_size, s.st_mtime_ns] for p, s in walk(self.root)}
-        return iter(self._between(json.loads(start["files"]), new)), {"files": json.dumps(new)}
+        old, new = self._load(start), {p: [s.st_size, s.st_mtime_ns] for p, s in walk(self.root)}
+        if new == old:
+            return iter([]), start
+        os.makedirs(self.state, exist_ok=True)
+        name = f"{start['n'] + 1:010d}-{uuid.uuid4().hex}.json"
+        with open(os.path.join(self.state, name), "w", encoding="utf-8") as f:
+            json.dump(new, f)
+        return iter(self._between(old, new)), {"n": start["n"] + 1, "listing": name}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._between(json.loads(start["files"]), json.loads(end["files"])))
+        return iter(self._between(self._load(start), self._load(end)))
+
+    def commit(self, end: dict) -> None:
+        """Listings before the committed one are never asked for again."""
+        for name in os.listdir(self.state) if os.path.isdir(self.state) else []:
+            if name.endswith(".json") and name < end["listing"] and not name.startswith(f"{end['n']:010d}-"):
+                os.remove(os.path.join(self.state, name))
 
 
 class FolderSource(DataSource):
-    """format("folder"): a batch of files, or a stream of changes (path, kind, ts)."""
+    """format("folder"): a batch of files, their listing, or a stream of changes (path, kind, ts)."""
 
     @classmethod
     def name(cls) -> str:
         return "folder"
 
     def schema(self) -> str:
-        return self.options.get("as") == "changes" and "path string, kind string, ts timestamp" or SCHEMA
+        return {"changes": "path string, kind string, ts timestamp", "listing": LISTING}.get(self.options.get("as"), SCHEMA)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)

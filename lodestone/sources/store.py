@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import stat
 import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +77,16 @@ class Store:
     def bucket(self, name: str) -> Column:
         return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.buckets)).cast("int") if name in LARGE else F.lit(0)
 
-    def read(self, name: str) -> DataFrame:
-        return self._buckets(name, self._pointer()["tables"].get(name, {}))
+    def read(self, name: str, keys: DataFrame | None = None) -> DataFrame:
+        """A table, or of a large one only the buckets that `keys` (its first key column, ...) fall in."""
+        versions = self._pointer()["tables"].get(name, {})
+        if keys is not None and name in LARGE:
+            versions = {b: v for b, v in versions.items() if b in self._touched(name, self._typed(name, keys, KEYS[name][:1]))}
+        return self._buckets(name, versions)
+
+    def _touched(self, name: str, keys: DataFrame) -> list[str]:
+        """At most as many rows as there are buckets."""
+        return [str(r[0]) for r in keys.select(self.bucket(name)).distinct().collect()]
 
     def _buckets(self, name: str, versions: dict[str, str]) -> DataFrame:
         if not versions:
@@ -91,11 +101,11 @@ class Store:
         return rows.select(*[F.col(c).cast(types[c]).alias(c) for c in columns or types])
 
     def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
-        """Rows as a new version, each bucket in one task and file per model; the buckets that have rows."""
+        """Rows as a new version; the buckets that have rows. Adaptive execution splits large buckets into several tasks and files, and writes small ones together."""
         version = uuid.uuid4().hex
         at = f"{self.root}/{name}/v={version}"
         rows = self._typed(name, rows).withColumn("bucket", self.bucket(name))
-        rows = rows.repartition(self.buckets, "bucket") if name in LARGE else rows.coalesce(1)
+        rows = rows.hint("rebalance", "bucket") if name in LARGE else rows.coalesce(1)
         rows.write.partitionBy("bucket", *PARTITIONED.get(name, [])).parquet(at)
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{name}/v={version}"))]
         return {b.removeprefix("bucket="): version for b in found if b.startswith("bucket=")}
@@ -120,8 +130,7 @@ class Store:
         keys = [self._typed(name, x, KEYS[name]) for x in (new, dead) if x is not None]
         gone = (keys[0] if len(keys) == 1 else keys[0].union(keys[1])).distinct().persist()
         try:
-            # At most as many rows as there are buckets.
-            touched = [str(r[0]) for r in gone.select(self.bucket(name)).distinct().collect()]
+            touched = self._touched(name, gone)
             if not touched:
                 return versions
             old = self._buckets(name, {b: v for b, v in versions.items() if b in touched})
@@ -131,6 +140,20 @@ class Store:
             gone.unpersist()
         return {b: v for b, v in versions.items() if b not in touched} | written
 
+    def grow(self, most: int = 5_000_000) -> int:
+        """Deals the large tables to more buckets, doubled until those of the largest table have `most` rows on average, in one commit; the number of buckets."""
+        tables = self._pointer()["tables"]
+        largest = max((self._buckets(n, tables[n]).count() for n in LARGE if tables.get(n)), default=0)
+        n = self.buckets
+        while largest > most * n:
+            n *= 2
+        if n > self.buckets:
+            # Readers keep the versions, and so the buckets, that they began with.
+            rows = {name: self._buckets(name, tables[name]) for name in LARGE if tables.get(name)}
+            self.buckets = n
+            self.commit(**rows)
+        return n
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
@@ -150,7 +173,22 @@ class Store:
         return self.read("chunk_vector").where(F.col("model_version_id") == model)
 
     def models(self) -> list[str]:
-        return [r[0] for r in self.read("chunk_vector").select("model_version_id").distinct().orderBy("model_version_id").collect()]
+        """Models that have vectors, by the names of their folders."""
+        found, mark = set(), "model_version_id="
+        for b, v in self._pointer()["tables"].get("chunk_vector", {}).items():
+            for s in self._fs.listStatus(self._path(f"chunk_vector/v={v}/bucket={b}")):
+                if (name := s.getPath().getName()).startswith(mark):
+                    found.add(unquote(name.removeprefix(mark)))
+        return sorted(found)
+
+    def save_fit(self, model: str, artifact: str) -> None:
+        """A model's fit artifact, in place of an older one."""
+        row = self.spark.createDataFrame([(model, artifact)], "model_version_id string, artifact_json string").withColumn("created_utc", F.current_timestamp())
+        self.commit({"embedding_fit_artifact": (row, None)})
+
+    def fit(self, model: str) -> str | None:
+        row = self.read("embedding_fit_artifact").where(F.col("model_version_id") == model).first()
+        return row and row.artifact_json
 
 
 def write_atomically(path: str, data: bytes, tries: int = 6, delay: float = 0.025) -> None:
@@ -173,8 +211,16 @@ def retry(action: Callable[[], None], tries: int, delay: float) -> None:
             time.sleep(delay * 2**i)
 
 
+# Names that some systems take for devices, in whatever case and with whatever extension.
+DEVICES = ("con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10)))
+
+
 def guard(root: str, path: str) -> str:
-    """The real path of a relative one inside the root; empty, outside, linked and metadata paths raise ValueError."""
+    """The real path of a relative one inside the root.
+
+    Empty, outside, linked and metadata paths raise ValueError, and so do device names, what is neither
+    file nor folder, and files that have another name (a hard link) outside the root.
+    """
     from ..config import METADATA_DIR
 
     if not path.strip() or re.match(r"^[A-Za-z]:|^[\\/]{2}", path):
@@ -185,11 +231,26 @@ def guard(root: str, path: str) -> str:
         raise ValueError(f"{path} is outside the folder")
     if os.path.realpath(full) != full:
         raise ValueError(f"{path} is or follows a link")
-    if METADATA_DIR in os.path.relpath(full, top).split(os.sep):
+    names = [s.lower() for s in os.path.relpath(full, top).split(os.sep)]
+    if METADATA_DIR.lower() in names:
         raise ValueError(f"{path} is the index's own")
+    if any(s.split(".")[0].rstrip() in DEVICES for s in names):
+        raise ValueError(f"{path} names a device")
+    if os.path.lexists(full):
+        s = os.lstat(full)
+        if not stat.S_ISREG(s.st_mode) and not stat.S_ISDIR(s.st_mode):
+            raise ValueError(f"{path} is no file")
+        if stat.S_ISREG(s.st_mode) and s.st_nlink > 1 and _names_inside(top, s) < s.st_nlink:
+            raise ValueError(f"{path} has another name outside the folder")
     return full
 
 
+def _names_inside(top: str, wanted: os.stat_result) -> int:
+    """How many names a file has below the root; asked only of files that have several."""
+    same = lambda s: (s.st_dev, s.st_ino) == (wanted.st_dev, wanted.st_ino)
+    return sum(same(os.lstat(os.path.join(d, name))) for d, _, names in os.walk(top) for name in names)
+
+
 def read_text_file(path: str, most: int = 16 << 20) -> bytes:
     """A file's bytes; directories, larger files and files with a NUL in the first 8 KiB raise ValueError."""
     if os.path.isdir(path):

@@ -1,11 +1,15 @@
-"""The change stream: a stateful debounce per path, and micro-batches applied to the manifest and the queue."""
+"""The change stream: a stateful debounce per path, direct notifications, and micro-batches applied to the manifest and the queue."""
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,34 +30,36 @@ def net(state: str, kind: str) -> str:
 
 
 class Debounce(StatefulProcessor):
-    """Holds each path's net change until no event has come for the quiet window, in event time."""
+    """Holds each path's net change until no event has come for the quiet window, by the events' times or by the clock."""
 
-    def __init__(self, quiet_ms: int):
-        self.quiet_ms = quiet_ms
+    def __init__(self, quiet_ms: int, by_clock: bool = False):
+        self.quiet_ms, self.by_clock = quiet_ms, by_clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "kind string, last long, n long")
+        self.pending = handle.getValueState("pending", "kind string, last long, n long, quiet_from long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kind, last, n = self.pending.get() if self.pending.exists() else ("", 0, 0)
+        kind, last, n, quiet_from = self.pending.get() if self.pending.exists() else ("", 0, 0, 0)
         out = []
         events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else 0
         for ts, k in zip(events.ts, events.kind, strict=True):
             ms = int(ts.timestamp() * 1000)
-            if n and ms - last >= self.quiet_ms:
+            seen = now if self.by_clock else ms
+            if n and seen - quiet_from >= self.quiet_ms:
                 if kind:
                     out.append((key[0], kind, pd.Timestamp(last, unit="ms"), n))
                 kind, n = "", 0
-            kind, last, n = net(kind, k), ms, n + 1
+            kind, last, n, quiet_from = net(kind, k), ms, n + 1, seen
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.pending.update((kind, last, n))
-        self.handle.registerTimer(last + self.quiet_ms)
+        self.pending.update((kind, last, n, quiet_from))
+        self.handle.registerTimer(quiet_from + self.quiet_ms)
         yield pd.DataFrame(out, columns=["path", "kind", "ts", "n"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kind, last, n = self.pending.get()
+        kind, last, n, _ = self.pending.get()
         self.pending.clear()
         yield pd.DataFrame([(key[0], kind, pd.Timestamp(last, unit="ms"), n)] if kind else [], columns=["path", "kind", "ts", "n"])
 
@@ -61,12 +67,44 @@ class Debounce(StatefulProcessor):
         pass
 
 
-def debounced(events: DataFrame, quiet_ms: int, late: str = "0 seconds") -> DataFrame:
-    """(path, kind, ts, n) of a stream (seq, path, kind, ts); needs the RocksDB state store. A window still open at the end stays pending until a later event moves the watermark."""
+def debounced(events: DataFrame, quiet_ms: int, late: str = "0 seconds", by_clock: bool = False) -> DataFrame:
+    """(path, kind, ts, n) of a stream (seq, path, kind, ts); needs the RocksDB state store.
+
+    By the events' times, a window that is open at the end stays pending until a later event moves the
+    watermark; by the clock, it settles by itself. What a stopped stream still held, `pending` gives.
+    """
+    if by_clock:
+        return events.groupBy("path").transformWithStateInPandas(Debounce(quiet_ms, True), outputStructType=RESULT, outputMode="append", timeMode="processingTime")
     stream = events.withWatermark("ts", late)
     return stream.groupBy("path").transformWithStateInPandas(Debounce(quiet_ms), outputStructType=RESULT, outputMode="append", timeMode="eventTime")
 
 
+def pending(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(path, kind, ts, n): the changes that a stopped debounce held back, read from its state, so that none is lost at the end."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
+    return state.select(F.col("key.path").alias("path"), "value.kind", F.timestamp_millis("value.last").alias("ts"), "value.n").where("kind <> ''")
+
+
+class Notifications:
+    """Changes told directly, such as by an edit, as files of a folder that a stream reads beside the folder's own; nothing is noted while not running."""
+
+    def __init__(self, root: str):
+        self.root, self.running = root, False
+        os.makedirs(root, exist_ok=True)
+
+    def __call__(self, path: str, kind: str) -> None:
+        if not self.running:
+            return
+        temp = os.path.join(self.root, f".{uuid.uuid4().hex}.tmp")
+        with open(temp, "w", encoding="utf-8") as f:
+            json.dump({"path": path, "kind": kind, "ts": datetime.now(UTC).isoformat()}, f)
+        os.replace(temp, os.path.join(self.root, f"{uuid.uuid4().hex}.json"))
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """(path, kind, ts); to be joined to others by a union."""
+        return spark.readStream.schema("path string, kind string, ts timestamp").json(f"file://{self.root}")
+
+
 def deliver(read_manifest: Callable[[], DataFrame], read_disk: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: a change only names a path, the disk tells what it is now; nothing is written where nothing changed.
 

@@ -36,13 +36,15 @@ def test_identifiers_split_at_case_and_digits(spark):
     [
         ("*.md", "a/b/c.md", True), ("*.md", "c.md", True), ("a/*.md", "a/b/c.md", False), ("a/**/*.md", "a/b/c/d.md", True), ("a/**/*.md", "a/d.md", True),
         ("?.txt", "ab.txt", False), ("src\\*.cs", "src/x.cs", True), ("/top.txt", "x/top.txt", True), ("A.txt", "a.txt", False), ("a.b", "axb", False),
+        ("a/**", "a", True), ("a/**", "a/b/c", True), ("a/**", "ab", False), ("**", "a/b", True), ("**/x", "x", True), ("**/**/x", "a/b/x", True), ("**/x", "ax", False), ("a/**/**/b", "a/b", True), ("a/**/b", "ab", False),
+        ("x**y", "x1y", True), ("x**y", "x1/2y", False), (" *.md ", "a/b.md", True), ("(x)+.txt", "(x)+.txt", True), ("a/**.md", "a/b.md", True), ("a/**.md", "a/b/c.md", False),
     ],
 )
 def test_globs(spark, glob, path, want):
     assert one(spark, F.col("t").rlike(T.glob_pattern(glob)), t=path) is want
 
 
-@pytest.mark.parametrize("glob", ["", "  ", "../x", "a/../b"])
+@pytest.mark.parametrize("glob", ["", "  ", "/", "..", "../x", "a/../b", "a\\\\.."])
 def test_globs_refused(glob):
     with pytest.raises(ValueError):
         T.glob_pattern(glob)
@@ -53,15 +55,27 @@ def test_globs_refused(glob):
     [
         ("a.b", {}, "a.b", True), ("a.b", {}, "axb", False), ("a.b", {"regex": True}, "axb", True), ("CAT", {"ignore_case": True}, "a cat", True), ("cat", {"whole_word": True}, "concat cat_ cat", True),
         ("cat", {"whole_word": True}, "cat_ concat", False), ("$1", {}, "cost $1", True),
+        (r"\p{L}+", {"regex": True}, "é", True), (r"^the", {"regex": True, "whole_word": True}, "these the", False), (r"foo|foobar", {"regex": True, "whole_word": True}, "foobar", False), (r"a+", {"regex": True, "whole_word": True}, "aaa_b aa", True),
+        ("  ", {}, "a  b", True), ("C[aeiou]T", {"regex": True, "ignore_case": True}, "the cut", True),
     ],
 )
 def test_matching(spark, pattern, kwargs, line, want):
     assert one(spark, F.col("t").rlike(T.matcher(pattern, **kwargs)), t=line) is want
 
 
-def test_bad_pattern_is_refused():
+@pytest.mark.parametrize("pattern", ["(", "", "[a", r"\p{Nothing}", "a**"])
+def test_bad_pattern_is_refused(spark, pattern):
     with pytest.raises(ValueError):
-        T.matcher("(", regex=True)
+        T.matcher(pattern, regex=True)
+
+
+def test_replacing_without_case_and_in_whole_words(spark):
+    new, n = T.replace_literal(F.col("t"), "cat", r"\$0", ignore_case=True, whole_word=True)
+    assert one(spark, F.struct(new.alias("a"), n.alias("b")), t="Cat concat CAT_ (cat) cat's") == (r"\$0 concat CAT_ (\$0) \$0's", 3)
+
+
+def test_terms_keep_order_and_drop_single_letters(spark):
+    assert one(spark, T.terms(F.col("t")), t="b The-the 2x É éA a1 THE x") == ["the", "2x", "éa", "a1"]
 
 
 def test_cosine_edges(spark):
@@ -79,6 +93,14 @@ def test_pack_round_trip_and_bad_length(spark):
         spark.createDataFrame([(b"abc",)], "b binary").select(V.unpack(F.col("b"))).collect()
 
 
+def test_pack_and_unpack_batches_with_nulls(spark):
+    rows = [(i, None if i % 5 == 0 else [float(i)] * (i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, a array<float>").repartition(3).where("i > 2")
+    got = {r.i: (r.b, r.c) for r in df.select("i", V.pack(F.col("a")).alias("b")).select("i", "b", V.unpack(F.col("b")).alias("c")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {i: a for i, a in rows if i > 2}
+    assert all(b is None if a is None else len(b) == 4 * len(a) for i, a in rows if i > 2 for b in [got[i][0]])
+
+
 def test_histogram_counts_utf16_units(spark):
     h = one(spark, V.histogram(F.col("t")), t="a\U0001f600")
     want = [0] * 64

@@ -17,7 +17,7 @@ def test_folder_index_through_its_life(spark, tmp_path):
     for p, t in texts.items():
         (root / p).write_text(t)
     folder.register(spark)
-    files = spark.read.format("folder").load(str(root))
+    files = folder.Folder(spark, str(root))
     s = Store(spark, str(tmp_path / "index"), buckets=4)
     first = X.index_pass(s, files, e)
     assert first == {"scanned": 3, "indexed": 3, "unchanged": 0, "deferred": 0, "chunks": 5, "vectors": 5, "changes": 3}
@@ -36,7 +36,6 @@ def test_folder_index_through_its_life(spark, tmp_path):
     os.remove(root / "c.txt")
     (root / "a.txt").write_text("apples and pears " * 20)
     (root / "d.txt").write_text("a new file")
-    files = spark.read.format("folder").load(str(root))  # a relation keeps the listing that it was first planned with
     assert {r.path for r in X.search(s, files, q, e).collect()} == set()
     skipped = spark.createDataFrame([("c.txt",)], "path string")
     assert X.index_pass(s, files, e, skipped)["changes"] == 3
@@ -103,3 +102,173 @@ def test_indexer_waits_retries_and_drains(spark, tmp_path):
     assert s.read("chunk_vector").count() == 2 and s.read("file_manifest").where("file_path = 'a.txt' and updated_utc = created_utc").count() <= 1
     assert x.drain() == 2 and s.read("outbox").where("status <> 2").count() == 0
     assert x.tick() and s.read("outbox").where("status = 0").count() == 1
+
+
+def test_only_files_asked_for_are_opened(spark, tmp_path):
+    root, e = tmp_path / "folder", HistogramEmbedder(64)
+    os.makedirs(root / "sub")
+    for i in range(30):
+        (root / ("sub" if i % 2 else ".") / f"f{i:02d}.txt").write_text("".join(chr(97 + (i * 7 + j) % 26) * (1 + (i + j) % 5) + " " for j in range(40)))
+    opened = spark.sparkContext.accumulator(0)
+    files, s, seen = folder.Folder(spark, str(root), opened=opened), Store(spark, str(tmp_path / "index"), buckets=4), [0]
+
+    def since():
+        n, seen[0] = opened.value - seen[0], opened.value
+        return n
+
+    assert files.listing().count() == 30 and since() == 0
+    X.index_pass(s, files, e)
+    assert since() == 60  # for the hash, and to embed
+    assert X.index_pass(s, files, e)["unchanged"] == 30 and since() == 30
+    (root / "f04.txt").write_text("something else")
+    only = spark.createDataFrame([("f04.txt",), ("gone.txt",)], "path string")
+    assert X.index_pass(s, files, e, only=only)["indexed"] == 1 and since() == 3
+    q = spark.createDataFrame([(1, (root / "f08.txt").read_text())], "query_id long, query string")
+    found = X.search(s, files, q, e, results=1).collect()
+    hits = X._hits(s, q, e, 4, X.DEFAULT)[0].select("path").distinct().count()
+    assert found[0].path == "f08.txt" and since() <= hits <= 4
+    assert X.find_files(s, files, q, e).where("rank = 1").first().path == "f08.txt" and since() == 0
+    s.commit({"file_manifest": (s.read("file_manifest").where("file_path = 'f10.txt'").withColumn("last_synced_hash", F.lit(None).cast("string")), None)})
+    X.deliver_due(s, files, e, most=100)
+    assert since() == 1
+
+
+def test_files_that_can_not_be_read_stay(spark, tmp_path, monkeypatch):
+    root, e = tmp_path / "folder", HistogramEmbedder(8)
+    os.makedirs(root)
+    for n in "ab":
+        (root / f"{n}.txt").write_text(n * 3)
+
+    class Locked(folder.Folder):
+        def read(self, paths=None):
+            locked = F.col("path") == "b.txt"
+            rows = super().read(paths)
+            return rows.select("path", *[F.when(~locked, F.col(c)).alias(c) for c in ("length", "modified_utc", "hash", "text")], F.when(locked, folder.SKIPPED).otherwise(F.col("state")).alias("state"))
+
+    s = Store(spark, str(tmp_path / "index"), buckets=2)
+    assert X.index_pass(s, folder.Folder(spark, str(root)), e)["indexed"] == 2
+    assert X.index_pass(s, Locked(spark, str(root)), e) == {"scanned": 1, "indexed": 0, "unchanged": 1, "deferred": 0, "chunks": 0, "vectors": 0, "changes": 0}
+    os.remove(root / "b.txt")
+    assert X.index_pass(s, folder.Folder(spark, str(root)), e)["changes"] == 1
+
+
+def test_lookups_and_growth_of_a_store(spark, tmp_path):
+    root, e = tmp_path / "folder", HistogramEmbedder(8)
+    os.makedirs(root)
+    for i in range(20):
+        (root / f"{i}.txt").write_text(f"text {i}")
+    s = Store(spark, str(tmp_path / "index"), buckets=8)
+    X.index_pass(s, folder.Folder(spark, str(root)), e)
+    row = X.lookup(s, "7.txt")
+    assert [r.file_path for r in row.collect()] == ["7.txt"] and X.lookup(s, "x.txt").count() == 0
+    assert len(row.inputFiles()) < len(s.read("file_manifest").inputFiles())
+    before = {n: sorted(map(str, s.read(n).collect())) for n in ("file_manifest", "chunk_vector", "outbox")}
+    assert s.grow(most=1) == 32 and Store(spark, str(tmp_path / "index")).buckets == 32
+    assert before == {n: sorted(map(str, s.read(n).collect())) for n in before} and X.lookup(s, "7.txt").count() == 1
+    assert X.index_pass(s, folder.Folder(spark, str(root)), e)["unchanged"] == 20 and s.models() == ["histogram-8"]
+
+
+def test_latent_semantic_index(spark, tmp_path):
+    import pytest
+
+    from lodestone.operators.service import LsaEmbedder
+
+    s = Store(spark, str(tmp_path / "index"), buckets=2)
+    rows = [(f"{n}{i}.txt", t) for n, t in (("car", "the car drives on the road with an engine"), ("auto", "an automobile drives on the road with an engine"), ("bake", "bread and cake come out of the oven")) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc string, text string")
+    e = LsaEmbedder.fitted(s, docs, 3)
+    assert e.dimension <= 3 and s.fit(e.model_version_id) and s.fit("other") is None
+    again = LsaEmbedder.loaded(s, e.model_version_id)
+    assert again.model_version_id == e.model_version_id and again.model.include_trigrams
+    with pytest.raises(LookupError):
+        LsaEmbedder.loaded(s, "other")
+    files = docs.select(F.col("doc").alias("path"), F.length("text").cast("long").alias("length"), F.current_timestamp().alias("modified_utc"), F.sha2("text", 256).alias("hash"), "text")
+    assert X.index_pass(s, files, again)["indexed"] == 9
+    q = spark.createDataFrame([(1, "car"), (2, "oven")], "query_id long, query string")
+    top = {r.query_id: r.path for r in X.find_files(s, files, q, again).where("rank = 1").collect()}
+    assert top[1].startswith(("car", "auto")) and top[2].startswith("bake")
+    with pytest.raises(ValueError, match="rebuilt"):
+        X.index_pass(s, files, type("Other", (HistogramEmbedder,), {"model_version_id": e.model_version_id})(5))
+
+
+def test_search_notes(spark, tmp_path):
+    from lodestone.config import Config
+
+    root, e = tmp_path / "folder", HistogramEmbedder(64)
+    os.makedirs(root)
+    for n, t in {"a": "aaaa bbbb", "b": "aaaa bbbc", "c": "aaaa cccc", "d": "zzzz"}.items():
+        (root / f"{n}.txt").write_text(t)
+    files, s = folder.Folder(spark, str(root)), Store(spark, str(tmp_path / "index"), buckets=2)
+    X.index_pass(s, files, e)
+    (root / "b.txt").write_text("other")
+    os.remove(root / "c.txt")
+    q = spark.createDataFrame([(1, "aaaa bbbb"), (2, "~~~~")], "query_id long, query string")
+    rows = {r.query_id: r for r in X.search_notes(s, files, q, e).collect()}
+    assert (rows[1].ranked, rows[1].stale, rows[1].unavailable, rows[1].dropped, rows[1].selected, rows[1].below_floor, rows[1].truncated) == (4, 1, 1, 1, 1, False, False)
+    low = X.search_notes(s, files, q, e, config=Config(floor=1.1)).where("query_id = 1").first()
+    assert low.below_floor and low.selected == 0 and low.dropped == 0 and low.best > 0.99
+    assert X.search(s, files, q, e, config=Config(floor=1.1)).count() == 0
+
+
+def test_busy_files_wait_for_another_try(spark, tmp_path, monkeypatch):
+    from lodestone.operators.service import READY, IndexState
+    from lodestone.streaming.indexer import Indexer
+
+    root = tmp_path / "folder"
+    os.makedirs(root)
+    (root / "a.txt").write_text("one")
+    busy = {"b.txt"}
+
+    class Watched(folder.Folder):
+        def settled(self, paths, pause=0.0):
+            return super().settled(paths, 0.0).withColumn("state", F.when(F.col("path").isin(*busy or [""]), "Busy").otherwise(F.col("state")))
+
+    clock = [0.0]
+    s, state = Store(spark, str(tmp_path / "index"), buckets=2), IndexState()
+    x = Indexer(s, lambda: Watched(spark, str(root)), HistogramEmbedder(8), state, clock=lambda: clock[0], sleep=lambda seconds: clock.__setitem__(0, clock[0] + seconds))
+    assert x.tick() and state.state == READY
+    (root / "a.txt").write_text("two")
+    (root / "b.txt").write_text("three")
+    x.apply(spark.createDataFrame([("a.txt",), ("b.txt",), ("gone.txt",)], "path string"), 0)
+    assert s.read("chunk_vector").count() == 1 and set(x.waiting) == {"b.txt"}
+    assert x.again() == 1  # not due yet
+    clock[0] += 1.0
+    assert x.again() == 1 and x.waiting["b.txt"][1] == 2
+    busy.clear()
+    clock[0] += 1.0
+    assert x.again() == 0 and s.read("chunk_vector").count() == 2
+    busy.add("b.txt")
+    (root / "b.txt").write_text("four")
+    x.apply(spark.createDataFrame([("b.txt",)], "path string"), 1)
+    for _ in range(4):
+        clock[0] += 1.0
+        x.again()
+    assert not x.waiting and s.read("file_manifest").where("file_path = 'b.txt' and file_hash = sha2('four', 256)").count() == 0
+
+
+def test_run_takes_in_a_stream_and_drains(spark, tmp_path):
+    from lodestone.operators.service import IndexState
+    from lodestone.sources.edits import Workspace
+    from lodestone.streaming.debounce import Notifications
+    from lodestone.streaming.indexer import Indexer
+
+    root, told = tmp_path / "folder", Notifications(str(tmp_path / "told"))
+    os.makedirs(root)
+    (root / "a.txt").write_text("one")
+    w = Workspace(str(root), told)
+    w.create("early.txt", "before it runs")
+    assert not os.listdir(told.root)
+    told.running = True
+    s = Store(spark, str(tmp_path / "index"), buckets=2)
+    x = Indexer(s, lambda: folder.Folder(spark, str(root)), HistogramEmbedder(8), IndexState(), every=1e9)
+    rounds = []
+
+    def stopped():
+        rounds.append(1)
+        if len(rounds) == 2:
+            w.create("b.txt", "two")
+        return len(rounds) > 2
+
+    x.run(stopped, pause=0.0, changes=told.stream(spark).select("path"), checkpoint=str(tmp_path / "cp"))
+    assert sorted(r.file_path for r in s.read("file_manifest").collect()) == ["a.txt", "b.txt", "early.txt"]
+    assert s.read("outbox").where("status <> 2").count() == 0

@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -38,6 +39,22 @@ def test_knn_ties_zero_and_blocks(spark, monkeypatch):
         R.knn(v, q, 0)
 
 
+def test_knn_equals_a_plain_ranking(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROW_BLOCK", 7)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "QUERY_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-2, 3, (150, 4)).astype(float), rng.integers(-2, 3, (11, 4)).astype(float)
+    ids = [f"v{i:03d}" for i in rng.permutation(150)]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "id string, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "query_id long, vector array<double>")
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    scores = np.round(unit(x) @ unit(q).T, 6) + 0.0
+    for k, least in ((5, 0.0), (200, -1.0)):
+        want = {(j, ids[i], r + 1) for j in range(11) for r, i in enumerate(sorted((i for i in range(150) if scores[i, j] >= least), key=lambda i: (-scores[i, j], ids[i]))[:k])}
+        assert {(r.query_id, r.id, r["rank"]) for r in R.knn(v, asked, k, least).collect()} == want
+
+
 def test_rerank_against_plain_version(spark):
     words = "red green blue cyan black white grey pink".split()
     rng = random.Random(1)
@@ -64,6 +81,35 @@ def test_rerank_against_plain_version(spark):
         assert got[q] == [c[2] for c in chosen]
 
 
+def test_bags_equal_the_column_terms(spark):
+    from lodestone.functions import text as T
+
+    texts = ["readHTTP2Frame running boxes, glasses the the x 9", None, "", "ßtraße ÉTÉS 12ab naïve's", "  ", "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(2)
+    got = {r.doc: {b.term: b.tf for b in r.bag} for r in features.bags(df).collect()}
+    assert got == {r.doc: dict(Counter(r.t)) for r in df.select("doc", T.index_terms(F.col("text")).alias("t")).collect()}
+    with_trigrams = {r.doc: {b.term: b.tf for b in r.bag} for r in features.bags(df, True).collect()}
+    marked = {r.doc: r.t for r in df.select("doc", F.flatten(F.transform(T.index_terms(F.col("text")), lambda w: T.trigrams(w))).alias("t")).collect()}
+    assert with_trigrams == {d: dict(Counter(b) + Counter(marked[d])) for d, b in got.items()}
+
+
+def test_lsa_equals_the_eigenvectors_of_the_whole_matrix(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    docs = [" ".join(rng.choices(words[t * 12 : t * 12 + 24], k=30)) for t in (0, 1, 2, 3) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc long, text string").repartition(3)
+    model = features.fit_lsa(df, 4, include_trigrams=False)
+    a = np.zeros((len(docs), len(model.terms)))
+    for i, d in enumerate(docs):
+        for t, n in Counter(features.stem_word(w) for w in d.split()).items():
+            if t in model.terms:
+                a[i, model.terms.index(t)] = (1 + np.log(n)) * model.idf[model.terms.index(t)]
+    values, vectors = np.linalg.eigh(a.T @ a)
+    want = vectors[:, np.argsort(values)[::-1][:4]]
+    # The same space, whatever the signs.
+    assert np.abs(np.abs((want * model.projection).sum(0)) - 1).max() < 1e-4
+
+
 def test_lsa_brings_synonyms_together(spark):
     corpus = [f"the {w} {x}" for w in ("lorry", "truck") for x in ("drives along the motorway with cargo", "needs diesel and a driver", "parks near the warehouse gate")] + ["flour and yeast make dough", "the oven browns the dough", "yeast lifts flour overnight"]
     docs = spark.createDataFrame(list(enumerate(corpus)), "doc long, text string")

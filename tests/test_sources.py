@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -44,6 +45,17 @@ def test_guard_and_files(tmp_path):
     for bad in ("", "../y", ".lodestone/db", "link.txt"):
         with pytest.raises(ValueError):
             guard(str(tmp_path), bad)
+    os.mkfifo(tmp_path / "pipe.txt")
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in/one.txt").write_text("1")
+    os.link(tmp_path / "in/one.txt", tmp_path / "in/two.txt")
+    os.link(tmp_path / "x.txt", tmp_path / "in/three.txt")
+    for bad in ("NUL", "in/com1.txt", "aux.md", "pipe.txt", ".LODESTONE/x", "in/.Lodestone"):
+        with pytest.raises(ValueError):
+            guard(str(tmp_path), bad)
+    assert guard(str(tmp_path), "in/two.txt") and guard(str(tmp_path / "in"), "one.txt")
+    with pytest.raises(ValueError, match="another name"):
+        guard(str(tmp_path / "in"), "three.txt")
     write_atomically(str(tmp_path / "n.bin"), b"a\0b")
     with pytest.raises(ValueError):
         read_text_file(str(tmp_path / "n.bin"))
@@ -77,3 +89,56 @@ def test_delivery_reads_the_disk_and_writes_only_changes(spark):
     assert not calls
     run(spark.createDataFrame([("b",), ("c",)], "path string").withColumn("x", F.lit(1)), 1)
     assert calls == [({"a": "active", "b": "deleted", "c": "active"}, {"b": "Removed", "c": "Added"})]
+
+
+def test_the_clock_settles_and_what_is_pending_can_be_read(spark, tmp_path):
+    from lodestone.streaming.debounce import debounced, pending
+
+    src, kind = str(tmp_path / "events"), "seq long, path string, kind string, ts timestamp"
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, "a", "Created", t0), (2, "a", "Modified", t0), (3, "b", "Created", t0), (4, "b", "Deleted", t0), (5, "c", "Deleted", t0)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(src)
+    stream = lambda: spark.readStream.schema(kind).parquet(src)
+    q = debounced(stream(), 600_000, by_clock=True).writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", str(tmp_path / "cp1")).start()
+    try:
+        while not q.lastProgress or not q.lastProgress["stateOperators"] or q.lastProgress["stateOperators"][0]["numRowsTotal"] < 3:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert spark.table("held").count() == 0
+    assert {r.path: (r.kind, r.n) for r in pending(spark, str(tmp_path / "cp1")).collect()} == {"a": ("Created", 2), "c": ("Deleted", 1)}
+    q = debounced(stream(), 100, by_clock=True).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    try:
+        end = time.monotonic() + 90
+        while spark.table("quiet").count() < 2 and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert {r.path: (r.kind, r.n) for r in spark.table("quiet").collect()} == {"a": ("Created", 2), "c": ("Deleted", 1)}
+    assert pending(spark, str(tmp_path / "cp2")).count() == 0
+
+
+def test_change_stream_of_a_folder(spark, tmp_path):
+    root, state = tmp_path / "folder", tmp_path / "state"
+    os.makedirs(root)
+    (root / "a.txt").write_text("1")
+    (root / "b.txt").write_text("1")
+    folder.register(spark)
+
+    def changes():
+        stream = spark.readStream.format("folder").option("as", "changes").option("state", str(state)).load(str(root))
+        got = []
+        q = stream.writeStream.foreachBatch(lambda df, _: got.extend((r.path, r.kind) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted(got)
+
+    assert changes() == [("a.txt", "Created"), ("b.txt", "Created")]
+    os.remove(root / "a.txt")
+    (root / "b.txt").write_text("22")
+    (root / "c.txt").write_text("3")
+    assert changes() == [("a.txt", "Deleted"), ("b.txt", "Modified"), ("c.txt", "Created")]
+    assert changes() == []
+    assert max(len(open(f, encoding="utf-8").read()) for f in (tmp_path / "cp/offsets").glob("[0-9]*")) < 1000
