@@ -23,17 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where the cluster names none (tests, a single machine) a local folder is used.
-    """
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names as shared by driver and executors; one of this machine where all run in it (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        sc = spark.sparkContext
+        set_dir = sc._jsc.sc().getCheckpointDir()
+        if set_dir.isDefined():
+            return set_dir.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return base
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
     # With its scheme, so that Spark and the workers' own file systems mean the same place.
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
     path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
     return f"{path.toString().rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -48,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -215,6 +215,39 @@ def test_restoring_words():
     assert "idiot" in {w for t in toxicity.tokens("you I d i o t !") for w in toxicity.readings(t, lm_)}
 
 
+def test_viterbi_equals_all_paths():
+    rng = np.random.default_rng(3)
+    lm_ = np.log(rng.dirichlet(np.full(toxicity.STATES, 0.05), toxicity.STATES) + 1e-6)
+    pick = random.Random(4)
+
+    def paths(token):
+        out = [(0.0, "", "")]  # log probability, letters of all words, last letter
+        for i, c in enumerate(token):
+            again = c.isalpha() and i > 0 and c == token[i - 1]
+            drop = toxicity.SEPARATE if c in toxicity.SEPARATORS else toxicity.STRAY if not c.isalpha() else None if not again else toxicity.REPEAT if i > 1 and c == token[i - 2] else toxicity.DOUBLE
+            options = [(c, 0.0)] * c.isalpha() + [(x, toxicity.SUBSTITUTE) for x in toxicity.LOOKALIKES.get(c, "")]
+            state = lambda last: toxicity._state(last) if last else toxicity.EDGE
+            new = [(p + drop, s, last) for p, s, last in out] if drop is not None else []
+            new += [(p + lm_[state(last), toxicity.EDGE], s + " ", "") for p, s, last in out if c == " " and last]
+            new += [(p + cost + lm_[state(last), toxicity._state(x)], s + x, x) for p, s, last in out for x, cost in options]
+            out = new
+        return max((p + lm_[toxicity._state(last) if last else toxicity.EDGE, toxicity.EDGE], s) for p, s, last in out)
+
+    for _ in range(150):
+        token = "".join(pick.choice("ab0013!. ") for _ in range(pick.randint(1, 6)))
+        best, letters = paths(token)
+        got = toxicity.viterbi(token, lm_)
+        assert got == letters or any(abs(p - best) < 1e-9 for p, s in [paths(token)] if s == got), token
+    for _ in range(300):
+        token = "".join(pick.choice("abéß") for _ in range(pick.randint(1, 9)))
+        assert toxicity.restore(token, lm_) == toxicity.viterbi(token, lm_)
+
+
+def test_a_long_suspicious_token():
+    lm_ = np.log(np.full((toxicity.STATES, toxicity.STATES), 1 / toxicity.STATES))
+    assert len(toxicity.restore("a1" * 20_000, lm_)) > 10_000
+
+
 def letters_of(words):
     n = np.full((toxicity.STATES, toxicity.STATES), 0.01)
     for w in words:

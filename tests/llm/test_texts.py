@@ -179,6 +179,23 @@ def test_bpe_equals_the_library(tiktoken_encoding, text):
     assert ids.tolist() == tiktoken_encoding.encode_ordinary(text) and c.decode(ids) == text.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "the", "it's", "'s", "12", "é", "!?", "\U0001f600", "\u0301", "\r\n", "x" * 40]), max_size=20))
+def test_bpe_of_words_and_spaces(tiktoken_encoding, parts):
+    text = "".join(parts)
+    c = bpe.codec(bpe.default_ranks(), bpe.default_pattern())
+    ids = c.encode(text)
+    assert ids.tolist() == tiktoken_encoding.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
+def test_bpe_cache_forgets_and_stays_right(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
+    for text in ["a b c d e f a b", "g h  i", "f e d c b a", ""] * 3:
+        assert c.encode(text).tolist() == tiktoken_encoding.encode_ordinary(text)
+    assert len(c.words) <= 3 and len(c.words.older) <= 3
+
+
 def test_bpe_edges(docs, none, tiktoken_encoding):
     rows = docs.select("text", bpe.bpe(F.col("text")).alias("b"), bpe.bpe(F.col("text"), digest=True).alias("d")).collect()
     for r in rows:
