@@ -109,10 +109,10 @@ def read_notes(files: DataFrame, start: int = 1, end: int | None = None, most: i
     wanted = F.col("total") if end is None else F.least(F.lit(end), F.col("total"))
     by_chars, by_lines = F.col("got.stop"), ~F.col("got.stop") & (wanted > stop)
     following = F.lit(start) + F.col("got.n")
-    goes_on = lambda why: F.format_string(f"cut at {why}; continue from line %d (the file has %d lines)", following, F.col("total"))
-    note = F.when(by_chars, goes_on(f"{chars} characters")).when(by_lines, goes_on(f"{most} lines")).when(F.col("total") == 0, "the file is empty").when(F.col("got.n") == 0, F.format_string(f"nothing at or after line {start}: the file has %d lines", "total"))
+    stopped = lambda why: F.format_string(f"stopped after {why}; line %d of %d is next", following, F.col("total"))
+    note = F.when(by_chars, stopped(f"{chars} characters")).when(by_lines, stopped(f"{most} lines")).when(F.col("total") == 0, "no lines").when(F.col("got.n") == 0, F.format_string(f"{start} is past the last line, %d", "total"))
     if end is not None:
-        note = note.when(F.lit(end) > F.col("total"), F.format_string("the file ends at line %d", "total"))
+        note = note.when(F.lit(end) > F.col("total"), F.format_string("ends early, with line %d", "total"))
     cut = by_chars | by_lines
     return rows.select("path", "total", F.col("got.n").alias("returned"), cut.alias("truncated"), F.when(cut, following).alias("next_line"), "version", note.alias("note"))
 

@@ -91,8 +91,8 @@ r AS (SELECT path, count(*) AS asked, count(*) FILTER (used <= 1500 OR line = 2)
 a AS (SELECT f.path, f.text, coalesce(total, 0) AS total, coalesce(returned, 0) AS returned, coalesce(asked, 0) AS asked FROM f LEFT JOIN c USING (path) LEFT JOIN r USING (path)),
 w AS (SELECT *, returned < asked AS chars, returned = asked AND total > 21 AS more FROM a)
 SELECT path, total, returned, chars OR more AS truncated, CASE WHEN chars OR more THEN 2 + returned END AS next_line, left(sha256(text), 16) AS version,
-  CASE WHEN chars THEN 'cut at 1500 characters; continue from line ' || (2 + returned) || ' (the file has ' || total || ' lines)' WHEN more THEN 'cut at 20 lines; continue from line ' || (2 + returned) || ' (the file has ' || total || ' lines)'
-    WHEN total = 0 THEN 'the file is empty' WHEN returned = 0 THEN 'nothing at or after line 2: the file has ' || total || ' lines' END AS note FROM w""")
+  CASE WHEN chars THEN 'stopped after 1500 characters; line ' || (2 + returned) || ' of ' || total || ' is next' WHEN more THEN 'stopped after 20 lines; line ' || (2 + returned) || ' of ' || total || ' is next'
+    WHEN total = 0 THEN 'no lines' WHEN returned = 0 THEN '2 is past the last line, ' || total END AS note FROM w""")
 def read_ranges(spark, sf):
     return O.read_notes(files(spark, sf), 2, None, 20, 1500)
 

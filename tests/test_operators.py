@@ -164,3 +164,29 @@ def test_failures_end_in_failed(spark):
     ops = spark.createDataFrame([(1, 0, 0), (2, 0, 9)], "id long, status int, attempts int").withColumns({"next_attempt_utc": now, "error": F.lit(None).cast("string")})
     got = {r.id: r for r in C.fail(ops, now, F.lit("down")).collect()}
     assert (got[1].status, got[1].attempts) == (C.PENDING, 1) and (got[2].status, got[2].attempts) == (C.FAILED, 10)
+
+
+def test_ranges_say_where_they_stop(spark):
+    rows = [("a", "1\n22\n333\n"), ("b", ""), ("c", "one"), ("d", "x" * 30 + "\ny\n")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    notes = lambda *a, **k: {r.path: (r.total, r.returned, r.truncated, r.next_line, r.note) for r in O.read_notes(files, *a, **k).collect()}
+    assert notes() == {"a": (3, 3, False, None, None), "b": (0, 0, False, None, "no lines"), "c": (1, 1, False, None, None), "d": (2, 2, False, None, None)}
+    got = notes(1, None, 2, 30)
+    assert got["a"] == (3, 2, True, 3, "stopped after 2 lines; line 3 of 3 is next") and got["d"] == (2, 1, True, 2, "stopped after 30 characters; line 2 of 2 is next")
+    assert notes(2, 5)["a"][4] == "ends early, with line 3" and notes(4)["a"][4] == "4 is past the last line, 3"
+    assert {r.path: r.version for r in O.read_notes(files).collect()} == {r.path: r.version for r in O.file_text(files).collect()}
+    with pytest.raises(ValueError):
+        O.read_notes(files, 3, 2)
+    shown = {(r.path, r.line): r.text for r in O.read_lines(files, 1, None, 2, 30).collect()}
+    assert Counter(p for p, _ in shown) == {"a": 2, "c": 1, "d": 1}
+
+
+def test_history_and_transcripts(spark):
+    c = spark.createDataFrame([("x", 3), ("a", 5), ("b", 5), ("z", 1)], "conversation_id string, updated long")
+    m = spark.createDataFrame([("a",), ("a",), ("z",)], "conversation_id string")
+    assert [tuple(r) for r in O.history(c, m, 2).orderBy("place").collect()] == [("a", 5, 2, 1, True), ("b", 5, 0, 2, True)]
+    assert {r.truncated for r in O.history(c, m, 4).collect()} == {False} and O.history(c.where("false"), m).count() == 0
+    rows = [('{"role": "assistant", "text": "", "tool_calls": [{"name": "f", "arguments": {"b": "2", "a": "1"}}, {"name": "g"}]}',), ('{"role": "tool", "tool_results": ["abcdef", null]}',), ("{broken",), ('{"text": "x"}',), (None,), ('{"role": "user", "text": "abcdef"}',)]
+    got = [tuple(r.t) for r in spark.createDataFrame(rows, "j string").select(O.transcript(F.col("j"), 4).alias("t")).collect()]
+    bad = ("unreadable", None, [], [], False)
+    assert got == [("assistant", None, ["f(a=1,)", "g()"], [], False), ("tool", None, [], ["abcd", ""], False), bad, bad, bad, ("user", "abcd", [], [], True)]
