@@ -97,3 +97,10 @@ def unpack(blob: Column) -> Column:
             yield pa.ListArray.from_arrays(ends, pa.array(values), mask=b.is_null())
 
     return run(blob)
+
+
+def from_json(text: Column) -> Column:
+    """The vector of an older index's JSON text; a text that is no list of numbers raises an error."""
+    v = F.from_json(text, "array<float>")
+    bad = text.isNotNull() & (v.isNull() | F.exists(v, lambda x: x.isNull()))
+    return F.when(bad, F.raise_error(F.lit("not a vector in JSON: the index must be rebuilt")).cast("array<float>")).otherwise(v)

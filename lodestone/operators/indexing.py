@@ -113,7 +113,7 @@ def index_pass(store: Store, files: Files | DataFrame, embedder: Embedder, skipp
         if only is not None:
             only = stage(only.select("path").distinct())
             known = known.join(only, "path", "left_semi")
-        found = stage(files.read(only).select("path", "hash", F.col("length").alias("size"), F.col("modified_utc").alias("created"), "state"))
+        found = stage(files.read(only).select("path", "hash", F.col("length").alias("size"), F.col("created_utc").alias("created"), F.col("modified_utc").alias("seen"), "state"))
         listing = found.where(F.col("state") == READ).drop("state")
         unread = found.where(F.col("state") == SKIPPED).select("path")
         skipped = unread if skipped is None else unread.unionByName(skipped.select("path"))
@@ -134,7 +134,7 @@ def index_pass(store: Store, files: Files | DataFrame, embedder: Embedder, skipp
         paths = changed.select("path").unionByName(done.select("path")).distinct()
         before = known.join(paths, "path", "left_semi")
         after = C.mark_synced(C.apply_changes(before, changed, now), done)
-        times = listing.select("path", F.col("created").alias("seen"))
+        times = listing.select("path", "seen")
         after = after.join(times, "path", "left").join(before.select("path", "modified"), "path", "left").withColumn("modified", F.coalesce("seen", "modified")).drop("seen")
         last = store.read("outbox").agg(F.max("id")).first()[0] or 0
         queued = C.enqueue(changed, last + 1, now)

@@ -47,6 +47,14 @@ def cosine_pairs(spark, sf):
     return a.join(b, "id").select("id", F.round(V.cosine(F.col("vector"), F.col("other")), 6).alias("score"))
 
 
+@query("json_vectors", "SELECT vec_id AS id, CAST(len(embedding) * 4 AS BIGINT) AS bytes, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def json_vectors(spark, sf):
+    """Vectors of JSON texts, packed and unpacked again."""
+    v = vectors(spark, sf).select("id", V.pack(V.from_json(F.to_json("vector"))).alias("blob"))
+    v = v.select("id", F.octet_length("blob").alias("bytes"), V.unpack(F.col("blob")).alias("v"))
+    return v.select("id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
 @query("l2_normalize", "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS norm FROM e) SELECT id, round(norm, 5) AS norm, round(v[1] / norm, 6) AS first, round(v[-1] / norm, 6) AS last FROM n")
 def l2_normalize(spark, sf):
     v = vectors(spark, sf).select("id", V.norm(F.col("vector")).alias("norm"), V.normalize(F.col("vector")).alias("v"))

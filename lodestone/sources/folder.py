@@ -22,8 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, IGNORED_DIRS, METADATA_DIR, TEXT_EXTENSIONS
+from .store import guard
 
 SCHEMA = "path string, length long, modified_utc timestamp, hash string, text string"
+CONTENT = "path string, length long, modified_utc timestamp, created_utc timestamp, hash string, text string, state string"
 LISTING = "path string, length long, modified_utc timestamp, created_utc timestamp"
 #: What a read of a path found: its text, nothing that could be read now, or no file (or a blank or unwanted one).
 READ, SKIPPED, MISSING = "read", "skipped", "missing"
@@ -95,26 +97,26 @@ def _utc(seconds: float) -> datetime:
 
 
 def read_path(root: str, path: str, max_bytes: int = DEFAULT.max_file_bytes, formats: Formats | None = None) -> tuple:
-    """(length, modified_utc, hash, text, state) of one file as it is."""
+    """(length, modified_utc, created_utc, hash, text, state) of one file as it is."""
     try:
         with open(os.path.join(root, path), "rb") as f:
             s = os.fstat(f.fileno())
             extract = (formats or plain_formats()).find(path)
             if not stat.S_ISREG(s.st_mode) or s.st_size > max_bytes or extract is None:
-                return None, None, None, None, MISSING
+                return *(None,) * 5, MISSING
             data = f.read()
     except (FileNotFoundError, NotADirectoryError, IsADirectoryError):
-        return None, None, None, None, MISSING
+        return *(None,) * 5, MISSING
     except OSError:
-        return None, None, None, None, SKIPPED
+        return *(None,) * 5, SKIPPED
     text = extract(data)
     if not text.strip():
-        return None, None, None, None, MISSING
-    return len(data), _utc(s.st_mtime), hashlib.sha256(data).hexdigest(), text, READ
+        return *(None,) * 5, MISSING
+    return len(data), _utc(s.st_mtime), _utc(created(s)), hashlib.sha256(data).hexdigest(), text, READ
 
 
 class Files(Protocol):
-    """Files by path. Both give (path, length, modified_utc, hash, text, state), where `state` tells what couldn't be read."""
+    """Files by path, as (path, length, modified_utc, created_utc, hash, text, state), where `state` tells what couldn't be read."""
 
     def read(self, paths: DataFrame | None = None) -> DataFrame:
         """The files asked for (path), or all."""
@@ -131,7 +133,8 @@ class Frame:
 
     def read(self, paths: DataFrame | None = None) -> DataFrame:
         rows = self.rows if paths is None else self.rows.join(paths.select("path"), "path", "left_semi")
-        return rows.select("path", "length", "modified_utc", "hash", "text", F.lit(READ).alias("state"))
+        created = "created_utc" if "created_utc" in rows.columns else "modified_utc"
+        return rows.select("path", "length", "modified_utc", F.col(created).alias("created_utc"), "hash", "text", F.lit(READ).alias("state"))
 
     def there(self, paths: DataFrame) -> DataFrame:
         return paths.join(self.rows.select("path"), "path", "left_semi")
@@ -150,9 +153,20 @@ class Folder:
     opened: Accumulator | None = None
 
     def listing(self) -> DataFrame:
-        """(path, length, modified_utc, created_utc) of all files, none of them opened."""
-        register(self.spark)
-        return self.spark.read.format("folder").option("as", "listing").option("maxBytes", self.max_bytes).load(self.root)
+        """(path, length, modified_utc, created_utc) of all files as they are now, none of them opened."""
+        rows = [(p, s.st_size, _utc(s.st_mtime), _utc(created(s))) for p, s in walk(self.root, self.max_bytes)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), *[pa.timestamp("us", "UTC")] * 2), strict=True)]
+        return self.spark.createDataFrame(pa.table(columns, ["path", "length", "modified_utc", "created_utc"]))
+
+    def children(self, directory: str = "") -> DataFrame:
+        """(path, is_directory, size, modified_utc, link) of what is directly in a directory; one that isn't there raises NotADirectoryError."""
+        at = guard(self.root, directory) if directory.strip("/") else os.path.realpath(self.root)
+        rows = []
+        for e in os.scandir(at):
+            s, link = e.stat(follow_symlinks=False), e.is_symlink()
+            folder = e.is_dir(follow_symlinks=False)
+            rows.append((os.path.relpath(e.path, os.path.realpath(self.root)).replace(os.sep, "/"), folder, None if folder else s.st_size, _utc(s.st_mtime), link))
+        return self.spark.createDataFrame(rows, "path string, is_directory boolean, size long, modified_utc timestamp, link boolean")
 
     def read(self, paths: DataFrame | None = None) -> DataFrame:
         root, most, opened = self.root, self.max_bytes, self.opened
@@ -173,7 +187,7 @@ class Folder:
                     yield _rows(rows)
 
         asked = self.listing() if paths is None else paths
-        return asked.select("path").mapInArrow(run, f"{SCHEMA}, state string").where(F.col("state") != MISSING)
+        return asked.select("path").mapInArrow(run, CONTENT).where(F.col("state") != MISSING)
 
     def there(self, paths: DataFrame) -> DataFrame:
         root = self.root
@@ -197,7 +211,7 @@ class Folder:
         return paths.select("path").mapInArrow(run, "path string, state string")
 
 
-_ROWS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified_utc", pa.timestamp("us", "UTC")), ("hash", pa.string()), ("text", pa.string()), ("state", pa.string())])
+_ROWS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified_utc", pa.timestamp("us", "UTC")), ("created_utc", pa.timestamp("us", "UTC")), ("hash", pa.string()), ("text", pa.string()), ("state", pa.string())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -248,8 +262,10 @@ class _Reader(DataSourceReader):
         for row in partition.paths:
             if self.names_only:
                 yield row
-            elif (found := read_path(self.root, row[0], self.max_bytes, formats))[-1] == READ:
-                yield row[0], *found[:-1]
+            else:
+                length, modified, _, digest, text, state = read_path(self.root, row[0], self.max_bytes, formats)
+                if state == READ:
+                    yield row[0], length, modified, digest, text
 
 
 class _Changes(SimpleDataSourceStreamReader):

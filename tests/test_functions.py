@@ -93,6 +93,13 @@ def test_pack_round_trip_and_bad_length(spark):
         spark.createDataFrame([(b"abc",)], "b binary").select(V.unpack(F.col("b"))).collect()
 
 
+def test_vectors_of_json(spark):
+    assert one(spark, V.from_json(F.col("t")), t="[1, -2.5, 3e1]") == [1.0, -2.5, 30.0] and one(spark, V.from_json(F.col("t")), t=None) is None
+    for bad in ("{", "[1, null]", "x"):
+        with pytest.raises(Exception, match="rebuilt"):
+            one(spark, V.from_json(F.col("t")), t=bad)
+
+
 def test_pack_and_unpack_batches_with_nulls(spark):
     rows = [(i, None if i % 5 == 0 else [float(i)] * (i % 4)) for i in range(40)]
     df = spark.createDataFrame(rows, "i long, a array<float>").repartition(3).where("i > 2")

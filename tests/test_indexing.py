@@ -143,7 +143,7 @@ def test_files_that_can_not_be_read_stay(spark, tmp_path, monkeypatch):
         def read(self, paths=None):
             locked = F.col("path") == "b.txt"
             rows = super().read(paths)
-            return rows.select("path", *[F.when(~locked, F.col(c)).alias(c) for c in ("length", "modified_utc", "hash", "text")], F.when(locked, folder.SKIPPED).otherwise(F.col("state")).alias("state"))
+            return rows.select("path", *[F.when(~locked, F.col(c)).alias(c) for c in ("length", "modified_utc", "created_utc", "hash", "text")], F.when(locked, folder.SKIPPED).otherwise(F.col("state")).alias("state"))
 
     s = Store(spark, str(tmp_path / "index"), buckets=2)
     assert X.index_pass(s, folder.Folder(spark, str(root)), e)["indexed"] == 2

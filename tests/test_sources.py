@@ -142,3 +142,24 @@ def test_change_stream_of_a_folder(spark, tmp_path):
     assert changes() == [("a.txt", "Deleted"), ("b.txt", "Modified"), ("c.txt", "Created")]
     assert changes() == []
     assert max(len(open(f, encoding="utf-8").read()) for f in (tmp_path / "cp/offsets").glob("[0-9]*")) < 1000
+
+
+def test_children_and_listing(spark, tmp_path):
+    from lodestone.operators import tools as O
+
+    os.makedirs(tmp_path / "docs/deep")
+    os.makedirs(tmp_path / "docs/.lodestone")
+    (tmp_path / "docs/b.txt").write_text("12345")
+    (tmp_path / "docs/deep/c.txt").write_text("1")
+    os.symlink(tmp_path / "docs/b.txt", tmp_path / "docs/link.txt")
+    f = folder.Folder(spark, str(tmp_path))
+    rows = f.children("docs")
+    assert {(r.path, r.is_directory, r.size, r.link) for r in rows.where("path not like '%lodestone'").collect()} == {("docs/b.txt", False, 5, False), ("docs/deep", True, None, False), ("docs/link.txt", False, len(str(tmp_path / "docs/b.txt")), True)}
+    assert [r.name for r in O.inspect_directory(rows, "docs").collect()] == ["b.txt", "deep"]
+    assert tuple(O.directory_notes(rows, "docs").first()) == (2, 1, False)
+    with pytest.raises(ValueError):
+        f.children("../x")
+    listed = {r.path: (r.length, r.created_utc <= r.modified_utc) for r in f.listing().collect()}
+    assert listed == {"docs/b.txt": (5, True), "docs/deep/c.txt": (1, True)}
+    assert folder.Folder(spark, str(tmp_path / "docs/deep")).there(spark.createDataFrame([("c.txt", 1), ("x.txt", 2)], "path string, n long")).collect() == [("c.txt", 1)]
+    assert spark.read.format("folder").option("as", "listing").load(str(tmp_path)).count() == 2
