@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,22 +64,30 @@ class Subwords:
 
         ASCII words are encoded together, as words between spaces are split before each space.
         """
-        plain = [i for i, w in enumerate(words) if w and w.isascii()]
-        ids, sizes = [None] * len(words), np.ones(len(words), np.int64)
+        sizes, together, alone = np.ones(len(words), np.int64), [], []
+        plain = np.flatnonzero(np.fromiter((bool(w) and w.isascii() for w in words), bool, len(words)))
         for at in range(0, len(plain), SLICE_WORDS):
             part = plain[at : at + SLICE_WORDS]
-            joined = np.array(self._encode("".join([" " + words[i].decode() for i in part])), np.uint16)
+            joined = np.array(self._encode(" " + b" ".join([words[i] for i in part.tolist()]).decode()), np.uint16)
+            want = np.cumsum(np.fromiter((1 + len(words[i]) for i in part.tolist()), np.int64, len(part)))
             ends = np.cumsum(self.lengths[joined])
-            want = np.cumsum([1 + len(words[i]) for i in part])
-            cut = np.searchsorted(ends, want)
-            if (ends[np.minimum(cut, len(ends) - 1)] == want).all():  # else one by one, below
-                for i, piece in zip(part, np.split(joined, cut[:-1] + 1), strict=True):
-                    ids[i] = piece
-        for i, w in enumerate(words):
-            if ids[i] is None:
-                ids[i] = np.array(self._encode(" " + w.decode("utf-8", "replace")) if w else [self.end], np.uint16)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return (np.concatenate(ids) if ids else np.array([], np.uint16)), sizes
+            cut = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+            if (ends[cut] == want).all():
+                sizes[part] = np.diff(cut, prepend=-1)
+                together.append(joined)
+            else:
+                plain = plain[:at]  # this slice and those after it one by one
+                break
+        rest = np.ones(len(words), bool)
+        rest[plain] = False
+        for i in np.flatnonzero(rest).tolist():
+            alone.append(self._encode(" " + words[i].decode("utf-8", "replace")) if words[i] else [self.end])
+            sizes[i] = len(alone[-1])
+        # Each kind fills its own words' places in order.
+        out, by_word = np.empty(int(sizes.sum()), np.uint16), np.repeat(rest, sizes)
+        out[~by_word] = np.concatenate(together) if together else []
+        out[by_word] = list(chain.from_iterable(alone))
+        return out, sizes
 
 
 _SUBWORDS: dict[tuple[str, str], Subwords] = {}
