@@ -20,9 +20,11 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import table
 
-NONE = 1 << 40
-#: Pieces whose ids a Python worker remembers, in each of two generations.
-CACHED_PIECES = 250_000
+NONE = 1 << 62
+#: Children of a node of the segment tree.
+FAN = 16
+#: Pieces whose ids a Python worker remembers, in each of two generations, and their characters, at most.
+CACHED_PIECES, LONGEST = 150_000, 64
 
 RESULT = "n_tokens long, ids array<int>, decoded binary"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -49,63 +51,51 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece. A byte that has no rank raises KeyError."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
-    tokens: list[bytes] = [piece[i : i + 1] for i in range(n)]
-    size = 1 << (n - 1).bit_length()
-    rank = ranks.get
-    tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = rank(piece[i : i + 2], NONE)
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a <= b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
-    while (low := tree[1]) < NONE:
-        i = 1
-        while i < size:
-            i *= 2
-            if tree[i] != low:
-                i += 1
-        i -= size
+    n, rank = len(piece), ranks.get
+    bits = n.bit_length()
+    place = (1 << bits) - 1
+    # Rank and position in one number, so that the minimum is the leftmost of the smallest rank. A node is the minimum of FAN below it.
+    leaves = [NONE if (r := rank(piece[i : i + 2])) is None else r << bits | i for i in range(n - 1)]
+    leaves.append(NONE)
+    levels = [leaves]
+    while len(below := levels[-1]) > FAN:
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, after, before = levels[-1], list(range(1, n + 2)), list(range(-1, n))
+    while (low := min(top)) < NONE:
+        i = low & place
         j = after[i]
-        tokens[i] += tokens[j]
         k = after[i] = after[j]
-        put(j, NONE)
-        if k < n:
-            before[k] = i
-            put(i, rank(tokens[i] + tokens[k], NONE))
-        else:
-            put(i, NONE)
-        if (h := before[i]) >= 0:
-            put(h, rank(tokens[h] + tokens[i], NONE))
+        before[k] = i
+        h = before[i]
+        leaves[j] = NONE
+        leaves[i] = NONE if k == n or (r := rank(piece[i : after[k]])) is None else r << bits | i
+        if h >= 0:
+            leaves[h] = NONE if (r := rank(piece[h:k])) is None else r << bits | h
+        if top is not leaves:
+            for at in (j, i, h) if h >= 0 else (j, i):
+                for below, nodes in zip(levels, levels[1:], strict=False):
+                    at //= FAN
+                    value = min(below[at * FAN : at * FAN + FAN])
+                    if nodes[at] == value:
+                        break
+                    nodes[at] = value
     out, i = [], 0
     while i < n:
-        out.append(ranks[tokens[i]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
 class _Cache(dict):
-    """Piece to the bytes of its ids; the older generation goes when the newer is full."""
+    """Piece to the bytes of its ids; the older generation goes when the newer is full. Long pieces are not kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(self) >= CACHED_PIECES:
             self.older = dict(self)
             self.clear()

@@ -189,11 +189,11 @@ def test_bpe_of_words_and_spaces(tiktoken_encoding, parts):
 
 
 def test_bpe_cache_forgets_and_stays_right(tiktoken_encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED", 3)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
     c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
-    for text in ["a b c d e f a b", "g h  i", "f e d c b a", ""] * 3:
+    for text in ["a b c d e f a b", "g h  i", "f e d c b a" + "x" * 99, ""] * 3:
         assert c.encode(text).tolist() == tiktoken_encoding.encode_ordinary(text)
-    assert len(c.words) <= 3 and len(c.words.older) <= 3
+    assert len(c.cache) <= 3 and len(c.cache.older) <= 3
 
 
 def test_bpe_edges(docs, none, tiktoken_encoding):
