@@ -40,7 +40,7 @@ SEPARATORS = frozenset(".-_*~,;:'`^·​ ")
 #: Letters of a word that is looked for within a run of spaced letters, at most.
 LONGEST = 24
 #: Restored tokens and their features that a Python worker remembers, in each of two generations.
-CACHED = 300_000
+CACHED = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
