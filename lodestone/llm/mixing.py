@@ -18,6 +18,8 @@ from .common import WORD, cut, table
 WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all sizes, in hundredths.
 SHARE_PERCENT = 150
+#: Ranges whose sums are added up in one place.
+SPAN = 2_000
 #: No source is taken more often than this.
 MAX_EPOCHS = 2
 
@@ -75,9 +77,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         narrow.select("*", s_key).join(F.broadcast(targets) if _few(targets) else targets, "s")
         .withColumn("range", F.floor(F.col("key") / float(1 << 52) * F.col("ranges")))
     )
-    sums = rows.groupBy("s", "range").agg(F.sum("size").alias("range_size"))
-    ranges = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("s", "range", F.coalesce(F.sum("range_size").over(ranges), F.lit(0)).alias("start"))
+    sums = rows.groupBy("s", "range").agg(F.sum("size").alias("range_size")).withColumn("span", F.floor(F.col("range") / SPAN))
+    # Prefix sums over spans of ranges, then over the ranges of a span: no window sees all ranges of a large source.
+    prefix = lambda size, by, order: F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy("s", "span").agg(F.sum("range_size").alias("span_size")).select("s", "span", prefix("span_size", ["s"], "span").alias("span_start"))
+    starts = sums.withColumn("in_span", prefix("range_size", ["s", "span"], "range")).join(spans, ["s", "span"]).select("s", "range", (F.col("span_start") + F.col("in_span")).alias("start"))
     within = Window.partitionBy("s", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["s", "range"])
     budget = "cast(floor(target + 0.5D) as bigint)"

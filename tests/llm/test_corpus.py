@@ -449,6 +449,15 @@ def test_mixing_meets_targets(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_over_many_ranges_and_spans(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(0, 9)), rng.choice(["a", "a", "a", "b"])) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(map(tuple, mixing.mix(d).collect()))
+    monkeypatch.setattr(mixing, "SPAN", 7)
+    assert Counter(map(tuple, mixing.mix(d, range_rows=10).collect())) == want
+
+
 def test_take_repeats_and_cuts(docs, none):
     taken = mixing.take(docs)
     assert taken.columns == docs.columns
