@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import bpe, langid, lm, media, mixing, pii, simhash, toxicity, vectors, warc
+from . import bpe, langid, lm, media, mixing, pii, runs, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix": mixing.op10_mix,
+    "op11_runs": runs.op11_runs,
 }
 SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL}
