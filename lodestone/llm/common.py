@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -59,6 +59,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sums_before(sums: DataFrame, part: str, weight: str, fan: int = 10, levels: int = 3) -> DataFrame:
+    """(part, before): for numbered parts the sum of `weight` of all lower ones, by a tree of 2^fan children a node: no task sees more rows of a window than a node has children."""
+    level, tree = sums.select(F.col(part), F.col(weight).alias("w")), []
+    for _ in range(levels):
+        up = F.shiftright(part, fan)
+        lower = Window.partitionBy(up).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        tree.append(level.select(part, F.coalesce(F.sum("w").over(lower), F.lit(0)).alias("before")))
+        level = level.groupBy(up.alias(part)).agg(F.sum("w").alias("w"))
+    out = tree[0]
+    for i, node in enumerate(tree[1:], 1):
+        above = node.select(F.col(part).alias("__up"), F.col("before").alias("__above"))
+        out = out.join(above, F.shiftright(part, i * fan) == F.col("__up")).select(part, (F.col("before") + F.col("__above")).alias("before"))
+    return out
+
+
+def running_totals(df: DataFrame, order: list[str], weight: str) -> DataFrame:
+    """`df` with `before`: the sum of `weight` over the rows that come before by `order`, nulls first.
+
+    Rows are dealt to ranges of the order, which only rows equal in all of it can't be split by; sums of
+    the ranges are added up by a tree. Neither `__part` nor `before` may be a column of `df`.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    starts = sums_before(dealt.groupBy("__part").agg(F.sum(weight).alias("w")), "__part", "w")
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__in", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return placed.join(starts, "__part").select(*df.columns, (F.col("__in") + F.col("before")).alias("before"))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow; a worker, which outlives the task, gives its free memory back."""
 

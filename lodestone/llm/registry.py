@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import bpe, langid, lm, media, mixing, pii, runs, simhash, toxicity, vectors, warc
+from . import bpe, langid, layout, lm, media, mixing, pii, runs, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix": mixing.op10_mix,
     "op11_runs": runs.op11_runs,
+    "op12_layout": layout.op12_layout,
 }
-SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL}
+SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL, "op12_layout": layout.SQL}
