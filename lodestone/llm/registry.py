@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import bpe, langid, layout, lm, media, mixing, pii, runs, simhash, toxicity, vectors, warc
+from . import bpe, contamination, langid, layout, lm, media, mixing, pii, runs, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_mix": mixing.op10_mix,
     "op11_runs": runs.op11_runs,
     "op12_layout": layout.op12_layout,
+    "op13_decontaminate": contamination.op13_decontaminate,
 }
-SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL, "op12_layout": layout.SQL}
+SQL = {"op3_vectors": vectors.SQL, "op8_warc": warc.SQL, "op10_mix": mixing.SQL, "op12_layout": layout.SQL, "op13_decontaminate": contamination.SQL}

@@ -26,7 +26,7 @@ def same(spark, name, folder, tables):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, name):
-    same(spark, name, SF, ["documents", "embeddings", "pages"])
+    same(spark, name, SF, ["documents", "embeddings", "pages", "benchmark"])
 
 
 def test_planted_vectors_equal_sql(spark, tmp_path):
