@@ -70,7 +70,7 @@ def sums_before(sums: DataFrame, part: str, weight: str, fan: int = 10, levels:
     out = tree[0]
     for i, node in enumerate(tree[1:], 1):
         above = node.select(F.col(part).alias("__up"), F.col("before").alias("__above"))
-        out = out.join(above, F.shiftright(part, i * fan) == F.col("__up")).select(part, (F.col("before") + F.col("__above")).alias("before"))
+        out = out.join(above.hint("merge"), F.shiftright(part, i * fan) == F.col("__up")).select(part, (F.col("before") + F.col("__above")).alias("before"))
     return out
 
 
@@ -84,7 +84,8 @@ def running_totals(df: DataFrame, order: list[str], weight: str) -> DataFrame:
     starts = sums_before(dealt.groupBy("__part").agg(F.sum(weight).alias("w")), "__part", "w")
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("__in", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    return placed.join(starts, "__part").select(*df.columns, (F.col("__in") + F.col("before")).alias("before"))
+    # Never broadcast, however few: there are more ranges the more rows there are.
+    return placed.join(starts.hint("merge"), "__part").select(*df.columns, (F.col("__in") + F.col("before")).alias("before"))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -141,9 +141,9 @@ def op12_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = place(table(spark, sf_dir, "documents"))
     files = cut(bounds(placed))
     text = F.concat_ws(",", *(f"{n}_{i}" for i in range(4) for n in ("min", "max")))
-    # CELLS rows of three numbers, some 100 kB, whatever the size of the table.
+    # CELLS rows of three numbers, some 100 kB, whatever the size of the table; the files, which grow with it, are joined by a shuffle.
     cells = F.broadcast(queries_of_cells(placed, files))
-    return placed.join(cells, "z").join(files.select("file", text.alias("file_bounds")), "file").select(F.col("id").alias("doc_id"), "z", "position", "file", "files_touched", "files_matching", "file_bounds")
+    return placed.join(cells, "z").join(files.select("file", text.alias("file_bounds")).hint("merge"), "file").select(F.col("id").alias("doc_id"), "z", "position", "file", "files_touched", "files_matching", "file_bounds")
 
 
 SQL = r"""
