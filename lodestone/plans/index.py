@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +11,14 @@ from ..operators.chunking import file_hash
 from ..operators.service import HistogramEmbedder
 from ..sources.store import Store
 from ..sources.tables import files, read
-from .base import CHUNKS, FILES, query
+from .base import CHUNKS, FILES, new_folder, query
 
 COUNTS = ["scanned", "indexed", "unchanged", "deferred", "chunks", "vectors", "changes"]
 
 
 def new_store(spark: SparkSession) -> Store:
-    """An empty store in the folder that the cluster names as shared; in a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return Store(spark, f"{base.rstrip('/')}/{uuid.uuid4().hex}", buckets=8)
+    """An empty store in a new shared folder."""
+    return Store(spark, new_folder(spark), buckets=8)
 
 
 def as_files(rows: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from ..functions import vector as V
 from ..operators import chunking, corpus
 from ..operators import retrieval as R
 from ..operators.features import fit_lsa
+from ..operators.ivf import VectorIndex
 from ..operators.service import HistogramEmbedder, LsaEmbedder
 from ..sources.tables import files, read, vectors
-from .base import CHUNKS, FILES, TERMS, query
+from .base import CHUNKS, FILES, TERMS, new_folder, query
 
 _KNN = """q AS (SELECT vec_id AS query_id, label AS query_label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, query_label, vec_id AS id, label, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings),
@@ -28,6 +29,26 @@ def knn_topk(spark, sf):
     return R.knn(vectors(spark, sf), _queries(spark, sf), 5)
 
 
+def _vector_index(spark, sf):
+    return VectorIndex.build(vectors(spark, sf), new_folder(spark))
+
+
+@query("ivf_exact", f"WITH {_KNN} SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
+def ivf_exact(spark, sf):
+    """The same by an inverted file built over all vectors, of which cells that can't hold a better one aren't read."""
+    return _vector_index(spark, sf).search(_queries(spark, sf), 10)
+
+
+@query("ivf_probe", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_probe(spark, sf):
+    """Whether a search of three in four of the nearest cells finds nine tenths of the ten best of the full scan, over all queries."""
+    index, asked = _vector_index(spark, sf), _queries(spark, sf)
+    probes = -(-3 * len(index.stats()) // 4)
+    found, want = index.search(asked, 10, probes=probes), R.knn(vectors(spark, sf), asked, 10)
+    both = want.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.sum("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query("knn_min_score", f"WITH {_KNN} SELECT query_id, count(*) AS n, max(score) AS best, min(score) AS worst FROM r WHERE rank <= 50 AND score >= 0.2 GROUP BY query_id")
 def knn_min_score(spark, sf):
     hits = R.knn(vectors(spark, sf), _queries(spark, sf), 50, min_score=0.2)
