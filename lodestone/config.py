@@ -32,6 +32,8 @@ class Config:
     glob_rows: int = 200
     examined: int = 100_000
     search_file_bytes: int = 4 << 20
+    search_s: float = 10.0
+    match_s: float = 1.0
     message_chars: int = 4000
     settle_s: float = 0.25
     retry_s: float = 1.0

@@ -31,6 +31,52 @@ def snapshot_diff(disk: DataFrame, recorded: DataFrame, skipped: DataFrame | Non
     return out.select("path", "change", F.col("d_hash").alias("hash"), F.col("d_size").alias("size"), created.alias("created"))
 
 
+def directory_of(path: Column) -> Column:
+    """The path without its last segment; empty at the top."""
+    return F.regexp_replace(path, r"(^|/)[^/]*$", "")
+
+
+def tree_digests(files: DataFrame) -> DataFrame:
+    """(directory, own, tree, files) of (path, sign): the digests of the files directly in each directory and of all below it, and their number.
+
+    Digests are sums of hashes, so that a directory's files are added up where they are and never meet, whatever their number.
+    A directory's sums go up to all that it is in, a row for each level.
+    """
+    # Two hashes with different seeds; sums of 64 bits wrap around, so they are taken by halves.
+    halves = [F.col(h) for h in ("a", "b")]
+    signs = files.select(directory_of(F.col("path")).alias("directory"), F.xxhash64("path", "sign").alias("a"), F.xxhash64(F.lit(1), "sign", "path").alias("b"))
+    split = [e.alias(f"{n}{i}") for n, h in zip("ab", halves, strict=True) for i, e in enumerate((F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))))]
+    sums = ["a0", "a1", "b0", "b1"]
+    own = signs.select("directory", *split).groupBy("directory").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n"))
+    parts = F.when(F.col("directory") == "", F.array().cast("array<string>")).otherwise(F.split("directory", "/"))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("directory"), (i == F.size(parts)).alias("own")))
+    up = own.select(*sums, "n", F.explode(above).alias("up")).select("up.*", *sums, "n")
+    trees = up.groupBy("directory").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("files"), *[F.coalesce(F.max(F.when(F.col("own"), F.col(c))), F.lit(0)).alias(f"o_{c}") for c in sums])
+    digest = lambda pre: F.concat_ws(".", *[F.hex(f"{pre}{c}") for c in sums])
+    return trees.select("directory", digest("o_").alias("own"), digest("").alias("tree"), "files")
+
+
+def changed_directories(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(directory) of the directories whose own files differ between two relations (path, sign); none if the digests of the roots are equal."""
+    x, y = tree_digests(a), tree_digests(b)
+    both = x.select("directory", F.col("own").alias("x")).join(y.select("directory", F.col("own").alias("y")), "directory", "full_outer")
+    # A directory that only leads to others has no files of its own, on one side or both.
+    nothing = F.lit("0.0.0.0")
+    return both.where(F.coalesce("x", nothing) != F.coalesce("y", nothing)).select("directory")
+
+
+def in_directories(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """The files directly in the directories."""
+    return files.withColumn("__d", directory_of(F.col("path"))).join(directories.withColumnRenamed("directory", "__d"), "__d", "left_semi").drop("__d")
+
+
+def snapshot_diff_by_tree(disk: DataFrame, recorded: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """`snapshot_diff` of the directories alone whose digests differ; files of others never meet."""
+    sign = lambda df: df.select("path", F.col("hash").alias("sign"))
+    where = changed_directories(sign(disk), sign(recorded))
+    return snapshot_diff(in_directories(disk, where), in_directories(recorded, where), skipped)
+
+
 def classify(files: DataFrame, states: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, disposition): Embed if changed in this pass or without vectors, Deferred if its recorded hash is not yet the file's, else Unchanged."""
     marked = changed.select("path", F.lit(True).alias("is_changed"))
@@ -130,6 +176,29 @@ def in_order(ops: DataFrame) -> DataFrame:
     return ops.withColumn("step", F.row_number().over(Window.partitionBy("file_path").orderBy("id")))
 
 
+def claim_in_order(outbox: DataFrame, now: Column, most: int = 32) -> DataFrame:
+    """As `claim`, without operations that a path's earlier one, which waits for its next try, is before."""
+    waiting = outbox.where((F.col("status") == PENDING) & (F.col("next_attempt_utc") > now)).groupBy("file_path").agg(F.min("id").alias("__first"))
+    free = outbox.join(waiting, "file_path", "left").where(F.col("__first").isNull() | (F.col("id") < F.col("__first"))).drop("__first")
+    return claim(free.select(*outbox.columns), now, most)
+
+
+def stop_at_failures(tried: DataFrame) -> DataFrame:
+    """Operations (id, file_path, ok, ...) with `outcome`: a path's are done in the order of their ids until the first that fails; those behind it are blocked, and other paths go on.
+
+    The first failure of a path is a minimum, so that no path's operations are gathered or sorted.
+    """
+    first = tried.where(~F.coalesce("ok", F.lit(False))).groupBy("file_path").agg(F.min("id").alias("__first"))
+    outcome = F.when(F.col("__first").isNull() | (F.col("id") < F.col("__first")), "done").when(F.col("id") == F.col("__first"), "failed").otherwise("blocked")
+    return tried.join(first, "file_path", "left").withColumn("outcome", outcome).drop("__first")
+
+
+def delivered_state(outcomes: DataFrame) -> DataFrame:
+    """(file_path, id, op_type): what a sink holds after the operations that were done: of each path the last one."""
+    last = outcomes.where("outcome = 'done'").groupBy("file_path").agg(F.max(F.struct("id", "op_type")).alias("x"))
+    return last.select("file_path", "x.id", "x.op_type")
+
+
 def own(path: Column, metadata_dir: str = METADATA_DIR) -> Column:
     """Whether a path is in the index's own folder, in whatever case that is written."""
     return F.exists(F.split(path, r"[/\\]"), lambda s: F.lower(s) == metadata_dir.lower())

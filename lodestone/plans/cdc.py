@@ -59,6 +59,13 @@ def snapshot_diff(spark, sf):
     return _diff(spark, sf)
 
 
+@query("snapshot_diff_tree", f"WITH {_SNAPSHOTS} SELECT path, change, hash, size, created FROM diff")
+def snapshot_diff_tree(spark, sf):
+    """The same, of the directories alone whose digests differ."""
+    skipped = read(spark, sf, "pages").where(F.col("url").startswith("http://")).select(_page_path())
+    return C.snapshot_diff_by_tree(_disk(spark, sf), _recorded(spark, sf), skipped)
+
+
 @query("classify_files", f"WITH {_SNAPSHOTS} SELECT d.path, CASE WHEN c.path IS NOT NULL OR r.hash IS NULL OR r.toxic = 1 THEN 'Embed' WHEN r.hash <> d.hash THEN 'Deferred' ELSE 'Unchanged' END AS disposition FROM disk d LEFT JOIN rec r USING (path) LEFT JOIN (SELECT path FROM diff WHERE change = 'Added') c USING (path)")
 def classify_files(spark, sf):
     """Only the files added are changed in this pass; the toxic ones have no vectors."""
@@ -220,6 +227,27 @@ def delivery_order(spark, sf):
     return C.in_order(outbox(spark, sf).where(F.col("status") == C.PENDING)).select("id", "file_path", "step")
 
 
+_TRIED = f"""{_OUTBOX}, tr AS (SELECT id, file_path, op_type, attempts % 4 > 0 AS ok FROM ob),
+oc AS (SELECT *, min(CASE WHEN NOT ok THEN id END) OVER (PARTITION BY file_path) AS stop FROM tr),
+os AS (SELECT id, file_path, op_type, CASE WHEN stop IS NULL OR id < stop THEN 'done' WHEN id = stop THEN 'failed' ELSE 'blocked' END AS outcome FROM oc)"""
+
+
+def _tried(spark, sf):
+    """Every third or so of the operations fails."""
+    return C.stop_at_failures(outbox(spark, sf).select("id", "file_path", "op_type", (F.col("attempts") % 4 > 0).alias("ok")))
+
+
+@query("ordered_delivery", f"WITH {_TRIED} SELECT id, file_path, outcome FROM os")
+def ordered_delivery(spark, sf):
+    return _tried(spark, sf).select("id", "file_path", "outcome")
+
+
+@query("delivered_state", f"WITH {_TRIED} SELECT file_path, max(id) AS id, arg_max(op_type, id) AS op_type FROM os WHERE outcome = 'done' GROUP BY file_path")
+def delivered_state(spark, sf):
+    """What a sink holds after upserts and deletes of each path up to its first failure."""
+    return C.delivered_state(_tried(spark, sf))
+
+
 @query("own_files", r"SELECT page_id, regexp_matches(lower(p), '(^|[/\\])\.lodestone([/\\]|$)') AS own FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.lodestone/' || url WHEN 1 THEN 'a\.LodeStone\' || url WHEN 2 THEN 'x.lodestone/' || url WHEN 3 THEN url || '/.Lodestone' ELSE url END AS p FROM pages)")
 def own_files(spark, sf):
     url, kind = F.col("url"), F.col("page_id") % 5

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import tools as O
+from ..operators.textsearch import TextIndex, search_lines, search_notes
 from ..sources.tables import files, messages, read
-from .base import FILES, query
+from .base import FILES, new_folder, query
+from .registry import SQL
 
 _LINES = f"{FILES}, ln AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) AS n FROM f), li AS (SELECT path, CAST(line AS BIGINT) AS line, t FROM ln WHERE NOT (line = n AND t = ''))"
 _WINDOW = "CASE WHEN len(t) <= 400 THEN t ELSE CASE WHEN place > 101 THEN '…' ELSE '' END || substr(t, greatest(1, place - 100), 400) || CASE WHEN greatest(1, place - 100) + 399 < len(t) THEN '…' ELSE '' END END"
@@ -86,6 +88,35 @@ def matcher_cases(spark, sf):
     return every.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
+def _text_index(spark, sf):
+    return TextIndex.build(files(spark, sf).select("path", "text"), new_folder(spark))
+
+
+@query("indexed_matcher_cases", SQL["matcher_cases"])
+def indexed_matcher_cases(spark, sf):
+    """The same by an index of trigrams: only files that a pattern may match in are read for it."""
+    index, texts = _text_index(spark, sf), files(spark, sf).select("path", "text")
+    rows = [search_lines(index, texts, p, **o).where("place > 0").agg(F.lit(i).alias("pattern"), F.count("*").alias("n"), F.countDistinct("path").alias("files")) for i, (p, o, _) in enumerate(_PATTERNS)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_TEXT = r"(?i)\bth(at|ere)\w*er"
+
+
+@query("text_search", f"""WITH {_LINES}, h AS (SELECT li.*, lang, 'doc' || doc_id || '.txt' AS name, CAST(strpos(t, regexp_extract(t, '{_TEXT}')) AS BIGINT) AS place FROM li JOIN f USING (path) WHERE source = 'src1' AND octet_length(encode(text)) <= 8192 AND regexp_matches(t, '{_TEXT}')),
+o AS (SELECT *, {_WINDOW} AS text, row_number() OVER (ORDER BY lang, name, line) AS n FROM h), b AS (SELECT *, sum(len(text)) OVER (ORDER BY n) AS chars FROM o WHERE n <= 200) SELECT path, line, place, text FROM b WHERE n < coalesce((SELECT min(n) FROM b WHERE chars > 64000 AND n > 1), 201)""")
+def text_search(spark, sf):
+    """A pattern over one directory's files that are not too large, by the index, up to the bounds of one answer."""
+    found = search_lines(_text_index(spark, sf), files(spark, sf).select("path", "text"), _TEXT, regex=True, scope="src1", max_bytes=8192)
+    return O.bounded(found.where("place > 0"))
+
+
+@query("text_search_notes", f"WITH {FILES} SELECT count(*) FILTER (octet_length(encode(text)) <= 4096) AS searched, count(*) FILTER (octet_length(encode(text)) > 4096) AS oversize, CAST(0 AS BIGINT) AS unreadable FROM f WHERE starts_with(path, 'src1/')")
+def text_search_notes(spark, sf):
+    """What such a search looks at and leaves out, without opening a file."""
+    return search_notes(_text_index(spark, sf), "src1", 4096)
+
+
 @query("read_ranges", f"""WITH {_LINES}, u AS (SELECT path, line, sum(len(t)) OVER (PARTITION BY path ORDER BY line) AS used FROM li WHERE line BETWEEN 2 AND 21),
 r AS (SELECT path, count(*) AS asked, count(*) FILTER (used <= 1500 OR line = 2) AS returned FROM u GROUP BY path), c AS (SELECT path, count(*) AS total FROM li GROUP BY path),
 a AS (SELECT f.path, f.text, coalesce(total, 0) AS total, coalesce(returned, 0) AS returned, coalesce(asked, 0) AS asked FROM f LEFT JOIN c USING (path) LEFT JOIN r USING (path)),

@@ -116,7 +116,15 @@ def read_path(root: str, path: str, max_bytes: int = DEFAULT.max_file_bytes, for
 
 
 class Files(Protocol):
-    """Files by path, as (path, length, modified_utc, created_utc, hash, text, state), where `state` tells what couldn't be read."""
+    """Files by path, as (path, length, modified_utc, created_utc, hash, text, state), where `state` tells what couldn't be read.
+
+    `hashed` tells that a listing has hashes, so that nothing need be read to tell whether a file has changed.
+    """
+
+    hashed: bool
+
+    def listing(self, paths: DataFrame | None = None) -> DataFrame:
+        """(path, length, modified_utc, created_utc, hash) of the files asked for (path), or of all, none of them opened."""
 
     def read(self, paths: DataFrame | None = None) -> DataFrame:
         """The files asked for (path), or all."""
@@ -128,9 +136,14 @@ class Files(Protocol):
 class Frame:
     """Files that are a relation (path, length, modified_utc, hash, text) already."""
 
+    hashed = True
+
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
+    def listing(self, paths: DataFrame | None = None) -> DataFrame:
+        return self.read(paths).drop("text", "state")
+
     def read(self, paths: DataFrame | None = None) -> DataFrame:
         rows = self.rows if paths is None else self.rows.join(paths.select("path"), "path", "left_semi")
         created = "created_utc" if "created_utc" in rows.columns else "modified_utc"
@@ -151,12 +164,15 @@ class Folder:
     root: str
     max_bytes: int = DEFAULT.max_file_bytes
     opened: Accumulator | None = None
+    hashed = False
 
-    def listing(self) -> DataFrame:
-        """(path, length, modified_utc, created_utc) of all files as they are now, none of them opened."""
+    def listing(self, paths: DataFrame | None = None) -> DataFrame:
+        """(path, length, modified_utc, created_utc, hash) of all files, or of those asked for, as they are now; none is opened, so hashes are null."""
+        if paths is not None:
+            return paths.select("path").mapInArrow(_looked_up(self.root, self.max_bytes), LISTING).withColumn("hash", F.lit(None).cast("string"))
         rows = [(p, s.st_size, _utc(s.st_mtime), _utc(created(s))) for p, s in walk(self.root, self.max_bytes)]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), *[pa.timestamp("us", "UTC")] * 2), strict=True)]
-        return self.spark.createDataFrame(pa.table(columns, ["path", "length", "modified_utc", "created_utc"]))
+        return self.spark.createDataFrame(pa.table(columns, ["path", "length", "modified_utc", "created_utc"])).withColumn("hash", F.lit(None).cast("string"))
 
     def children(self, directory: str = "") -> DataFrame:
         """(path, is_directory, size, modified_utc, link) of what is directly in a directory; one that isn't there raises NotADirectoryError."""
@@ -218,6 +234,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
 
+def _looked_up(root: str, max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a listing says of paths, those of no indexable file left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats = plain_formats()
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    s = os.stat(os.path.join(root, path), follow_symlinks=False)
+                except OSError:
+                    continue
+                if stat.S_ISREG(s.st_mode) and s.st_size <= max_bytes and formats.find(path):
+                    rows.append((path, s.st_size, _utc(s.st_mtime), _utc(created(s))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=False)], names=["path", "length", "modified_utc", "created_utc"])
+
+    return run
+
+
 def files_of(files: Files | DataFrame) -> Files:
     return Frame(files) if isinstance(files, DataFrame) else files
 

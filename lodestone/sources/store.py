@@ -31,7 +31,9 @@ KEYS = {"file_manifest": ["file_id"], "chunk_manifest": ["file_id", "chunk_id"],
 #: Tables that grow with the corpus are dealt to the store's buckets; the others have one.
 LARGE = ("file_manifest", "chunk_manifest", "chunk_vector", "outbox", "message")
 #: Columns that a scan of one value prunes by, within a bucket.
-PARTITIONED = {"chunk_vector": ["model_version_id"]}
+PARTITIONED = {"chunk_vector": ["model_version_id"], "outbox": ["status"]}
+#: Keys that a read filters by value, so that files' Bloom filters and ranges of keys apply; more keys choose buckets only.
+FEW_KEYS = 1_000
 
 
 class Store:
@@ -50,6 +52,8 @@ class Store:
         self._fs.mkdirs(path)
         #: The number of buckets is that of the first commit.
         self.buckets = self._pointer().get("buckets", buckets)
+        #: Where a list: what was read, as (table, buckets).
+        self.trace: list[tuple[str, int]] | None = None
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -78,11 +82,19 @@ class Store:
         return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.buckets)).cast("int") if name in LARGE else F.lit(0)
 
     def read(self, name: str, keys: DataFrame | None = None) -> DataFrame:
-        """A table, or of a large one only the buckets that `keys` (its first key column, ...) fall in."""
-        versions = self._pointer()["tables"].get(name, {})
-        if keys is not None and name in LARGE:
-            versions = {b: v for b, v in versions.items() if b in self._touched(name, self._typed(name, keys, KEYS[name][:1]))}
-        return self._buckets(name, versions)
+        """A table, or of a large one only the buckets that `keys` (its first key column, ...) fall in; of few keys no more than their rows, which files' Bloom filters help to find."""
+        versions, wanted = self._pointer()["tables"].get(name, {}), None
+        if keys is not None and name in LARGE and versions:
+            key = KEYS[name][0]
+            keys = self._typed(name, keys, [key]).where(F.col(key).isNotNull()).distinct()
+            few = keys.select(key, self.bucket(name).alias("b")).limit(FEW_KEYS + 1).collect()
+            wanted = [r[0] for r in few] if len(few) <= FEW_KEYS else None
+            touched = {str(r.b) for r in few} if wanted is not None else set(self._touched(name, keys))
+            versions = {b: v for b, v in versions.items() if b in touched}
+        if self.trace is not None:
+            self.trace.append((name, len(versions)))
+        rows = self._buckets(name, versions)
+        return rows.where(F.col(KEYS[name][0]).isin(wanted)) if wanted else rows
 
     def _touched(self, name: str, keys: DataFrame) -> list[str]:
         """At most as many rows as there are buckets."""
@@ -105,13 +117,23 @@ class Store:
         version = uuid.uuid4().hex
         at = f"{self.root}/{name}/v={version}"
         rows = self._typed(name, rows).withColumn("bucket", self.bucket(name))
-        rows = rows.hint("rebalance", "bucket") if name in LARGE else rows.coalesce(1)
-        rows.write.partitionBy("bucket", *PARTITIONED.get(name, [])).parquet(at)
+        key, parts = KEYS[name][0], ["bucket", *PARTITIONED.get(name, [])]
+        # Sorted, so that each file's ranges of keys are narrow, with a Bloom filter for those that they don't tell apart.
+        rows = rows.hint("rebalance", "bucket").sortWithinPartitions(*parts, key) if name in LARGE else rows.coalesce(1)
+        rows.write.partitionBy(*parts).option(f"parquet.bloom.filter.enabled#{key}", str(name in LARGE).lower()).option(f"parquet.bloom.filter.expected.ndv#{key}", "100000").parquet(at)
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{name}/v={version}"))]
         return {b.removeprefix("bucket="): version for b in found if b.startswith("bucket=")}
 
-    def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, **tables: DataFrame) -> None:
-        """Whole tables given by name, and merges by name: rows to add or replace by key, and keys of rows to delete, at once.
+    def holds(self, name: str) -> bool:
+        """Whether a table has any version."""
+        return bool(self._pointer()["tables"].get(name))
+
+    def noted(self, name: str) -> int | None:
+        """A number that a commit noted."""
+        return self._pointer().get("notes", {}).get(name)
+
+    def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, notes: dict[str, int] | None = None, **tables: DataFrame) -> None:
+        """Whole tables given by name, merges by name (rows to add or replace by key, and keys of rows to delete) and numbers to note, at once.
 
         A merge rewrites only the buckets that its rows and keys fall in. The tables are written side by side.
         """
@@ -121,7 +143,7 @@ class Store:
             whole = {name: pool.submit(self._write, name, df) for name, df in tables.items()}
             parts = {name: pool.submit(self._merge, name, now.get(name, {}), *x) for name, x in merge.items()}
         # The pointer is left alone if any of them failed.
-        self._swap(pointer | {"tables": now | {name: f.result() for name, f in (whole | parts).items()}})
+        self._swap(pointer | {"tables": now | {name: f.result() for name, f in (whole | parts).items()}, "notes": pointer.get("notes", {}) | (notes or {})})
 
     def _merge(self, name: str, versions: dict[str, str], new: DataFrame | None, dead: DataFrame | None) -> dict[str, str]:
         """The table's versions after a merge."""
@@ -161,6 +183,7 @@ class Store:
         """Deletes versions that the pointer doesn't name, and returns how many; for when no reader is left on an older one."""
         live = {(name, v) for name, versions in self._pointer()["tables"].items() for v in versions.values()}
         gone = 0
+        self.remove("_notes")
         for name in SCHEMAS:
             top = self._path(name)
             for s in self._fs.listStatus(top) if self._fs.exists(top) else []:

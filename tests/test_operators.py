@@ -190,3 +190,29 @@ def test_history_and_transcripts(spark):
     got = [tuple(r.t) for r in spark.createDataFrame(rows, "j string").select(O.transcript(F.col("j"), 4).alias("t")).collect()]
     bad = ("unreadable", None, [], [], False)
     assert got == [("assistant", None, ["f(a=1,)", "g()"], [], False), ("tool", None, [], ["abcd", ""], False), bad, bad, bad, ("user", "abcd", [], [], True)]
+
+
+def test_digests_tell_which_directories_differ(spark):
+    from lodestone.operators import changes as C
+
+    a = {"x.txt": "1", "d/a.txt": "1", "d/b.txt": "2", "d/e/c.txt": "3", "d/e/f/g.txt": "4", "h/i.txt": "5"}
+    df = lambda d: spark.createDataFrame(list(d.items()), "path string, sign string")
+    changed = lambda b: {r.directory for r in C.changed_directories(df(a), df(b)).collect()}
+    assert changed(a) == set()
+    assert changed(a | {"d/e/c.txt": "9"}) == {"d/e"} and changed(a | {"d/e/f/n.txt": "1"}) == {"d/e/f"}
+    # What two files have is exchanged, a file is moved, one is gone with its directory.
+    assert changed(a | {"d/a.txt": "2", "d/b.txt": "1"}) == {"d"}
+    assert changed({k: v for k, v in a.items() if k != "h/i.txt"}) == {"h"} and changed(a | {"y.txt": "1"}) == {""}
+    trees = {r.directory: r for r in C.tree_digests(df(a)).collect()}
+    other = {r.directory: r for r in C.tree_digests(df(a | {"d/e/f/g.txt": "0"})).collect()}
+    assert {d for d in trees if trees[d].tree != other[d].tree} == {"", "d", "d/e", "d/e/f"} and {d for d in trees if trees[d].own != other[d].own} == {"d/e/f"}
+    assert trees["d"].files == 4 and trees[""].files == 6
+
+
+def test_a_path_stops_at_its_first_failure(spark):
+    from lodestone.operators import changes as C
+
+    rows = [(1, "a", 0, True), (2, "a", 1, False), (3, "a", 0, True), (4, "b", 0, True), (5, "b", 1, True), (6, "c", 0, None), (7, "c", 1, True)]
+    out = C.stop_at_failures(spark.createDataFrame(rows, "id long, file_path string, op_type int, ok boolean"))
+    assert {r.id: r.outcome for r in out.collect()} == {1: "done", 2: "failed", 3: "blocked", 4: "done", 5: "done", 6: "failed", 7: "blocked"}
+    assert {(r.file_path, r.id, r.op_type) for r in C.delivered_state(out).collect()} == {("a", 1, 0), ("b", 5, 1)}
