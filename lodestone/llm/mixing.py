@@ -1,10 +1,10 @@
 """Mixing sources to target weights, by DataFrame functions only.
 
-Every row gets a hash-random key. Within its source, rows are dealt to ranges of that key, so that
-no range holds more than about `range_rows` rows whatever the source's share of the table; token
-counts are summed per range, prefix-summed over the ranges of a source, and then within each range.
-A source's budget is cut out of that order: whole epochs first, then the first rows up to the rest,
-the row at the cut in part.
+Every row gets a hash-random key, and rows are sorted by source and key in ranges, so that no range holds many
+more rows than another, whatever a source's share of the table: rows equal in source, key and id are
+dealt apart by a salt. Sizes are summed per range, added up by a tree over the ranges, and then within each range: a distributed
+prefix sum. A source's budget is cut out of that order: whole epochs first, then the first rows up to the
+rest, the row at the cut in part. Sources have one row each where targets are set, so they may be some millions.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, running_totals, table
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all sizes, in hundredths.
 SHARE_PERCENT = 150
-#: Ranges whose sums are added up in one place.
-SPAN = 2_000
+#: Copies of a row that are made in one place.
+PIECE = 10_000
 #: No source is taken more often than this.
 MAX_EPOCHS = 2
 
@@ -60,34 +60,34 @@ def hash_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = 2_000, seed: int = 10) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10) -> DataFrame:
     """(id, source, size, source_size, target, taken), one row per row of `docs`.
 
     Null and empty texts have size 0 and are taken 0 times. Null sources form one source, the last.
     Rows that repeat an id and a size are interchangeable. An empty table gives no rows. Other
     columns of `docs`, whatever their names, play no part.
     """
-    narrow = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash_key(F.col(id_col), seed).alias("key")))
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / range_rows).alias("ranges"))
-    # "s" + source or "n": a key without nulls, so that joins and windows share one partitioning.
-    s_key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("s")
-    targets = cut(source_targets(totals).select(s_key, "source_size", "ranges", "target"))
-    # The key is uniform, so equal ranges of it hold about equally many rows.
-    rows = (
-        narrow.select("*", s_key).join(F.broadcast(targets) if _few(targets) else targets, "s")
-        .withColumn("range", F.floor(F.col("key") / float(1 << 52) * F.col("ranges")))
-    )
-    sums = rows.groupBy("s", "range").agg(F.sum("size").alias("range_size")).withColumn("span", F.floor(F.col("range") / SPAN))
-    # Prefix sums over spans of ranges, then over the ranges of a span: no window sees all ranges of a large source.
-    prefix = lambda size, by, order: F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = sums.groupBy("s", "span").agg(F.sum("range_size").alias("span_size")).select("s", "span", prefix("span_size", ["s"], "span").alias("span_start"))
-    starts = sums.withColumn("in_span", prefix("range_size", ["s", "span"], "range")).join(spans, ["s", "span"]).select("s", "range", (F.col("span_start") + F.col("in_span")).alias("start"))
-    within = Window.partitionBy("s", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["s", "range"])
+    return _mixed(docs, id_col, text_col, source_col, seed, []).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, ties: list[Column]) -> DataFrame:
+    """The mix, with columns that settle the order of rows of one id and size before chance does."""
+    # "s" + source or "n": a key without nulls. The salt is drawn once and written, so that rows equal in all else can be dealt apart.
+    source = F.col(source_col).cast("string")
+    s_key = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    names = [f"tie_{i}" for i in range(len(ties))]
+    narrow = cut(docs.select(F.col(id_col).alias("id"), source.alias("source"), s_key.alias("s"), word_count(F.col(text_col)).alias("size"), hash_key(F.col(id_col), seed).alias("key"), *[t.alias(n) for t, n in zip(ties, names, strict=True)], F.rand(seed).alias("salt")))
+    totals = narrow.groupBy("source", "s").agg(F.sum("size").alias("source_size"))
+    # A row per source: what comes before a source in the order of all rows.
+    earlier = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    targets = cut(source_targets(totals).select("s", "source_size", "target", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)).alias("start")))
+    # Sorted by ranges within each source; ranges hold about as many rows each, whatever a source's or an id's share.
+    ranked = running_totals(narrow, ["s", "key", "id", "size", *names, "salt"], "size")
+    placed = ranked.join(F.broadcast(targets) if _few(targets) else targets, "s")
     budget = "cast(floor(target + 0.5D) as bigint)"
     epochs = f"if(source_size > 0, {budget} div source_size, 0)"
-    rest = f"({budget} - {epochs} * source_size - before - start)"
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.expr(f"{epochs} * size + greatest(0, least(size, {rest}))").cast("long").alias("taken"))
+    rest = f"({budget} - {epochs} * source_size - (before - start))"
+    return placed.withColumn("taken", F.expr(f"{epochs} * size + greatest(0, least(size, {rest}))").cast("long"))
 
 
 def _few(targets: DataFrame, most: int = 20_000) -> bool:
@@ -99,16 +99,25 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself, in the columns of `docs`: a row for each time that a document is taken.
 
     The document at a source's cut is taken up to its last word within the budget. Documents that
-    are not taken are absent, so those of size 0 are. Rows that repeat id, source and size are
-    matched to their shares by rank, in the order of their texts' hashes.
+    are not taken are absent, so those of size 0 are. Rows that are equal in all columns (maps aside, which
+    have no hash) are counted, not told apart: one of them stands for all, for as often as they are taken together.
     """
-    key = F.to_json(F.struct(F.col("__i"), F.col("__s"), F.col("__n"))).alias("__k")
-    left = docs.withColumns({"__i": F.col(id_col), "__s": F.col(source_col).cast("string"), "__n": word_count(F.col(text_col))}).select(*docs.columns, F.col("__n"), key)
-    right = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__n"), "taken").select(key, F.col("taken").alias("__t"))
-    left = left.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(text_col)))))
-    right = right.withColumn("__q", F.row_number().over(Window.partitionBy("__k").orderBy(F.desc("__t"))))
-    # Rank as a difference, so that the windows' partitioning by key serves the join too.
-    both = left.join(right.where("__t > 0"), "__k").where("__r - __q = 0")
+    hashed = [F.col(c) for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    keys = [F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed)]
+    mixed = _mixed(docs, id_col, text_col, source_col, 10, keys)
+    # Equal rows are taken as often as each other but for one cut: three numbers of times at most.
+    shares = mixed.groupBy("tie_0", "tie_1", "size", "taken").agg(F.count("*").alias("n")).groupBy("tie_0", "tie_1", "size").agg(F.sum("n").alias("rows"), F.collect_list(F.struct("taken", "n")).alias("shares"))
+    shares = cut(shares.select(F.col("tie_0").alias("__a"), F.col("tie_1").alias("__b"), F.col("size").alias("__n"), "rows", F.filter("shares", lambda x: x["taken"] > 0).alias("__s")).where(F.size("__s") > 0))
+    left, by = docs.withColumns({"__a": keys[0], "__b": keys[1]}), ["__a", "__b"]
+    both = left.join(shares.where("rows = 1").select(*by, "__n", F.col("__s")[0]["taken"].alias("__t")), by)
+    many = shares.where("rows > 1")
+    if not many.isEmpty():
+        one = left.join(many.select(*by), by, "left_semi").dropDuplicates(by)
+        # In pieces of PIECE copies, which can be dealt out.
+        pieces = many.select(*by, "__n", F.explode("__s").alias("x")).select(*by, "__n", F.col("x.taken").alias("__t"), "x.n", F.explode(F.expr(f"sequence(0, cast((x.n - 1) div {PIECE} as int))")).alias("piece"))
+        pieces = pieces.select(*by, "__n", "__t", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("int").alias("__m"))
+        copied = one.join(pieces, by).withColumn("__m", F.explode(F.sequence(F.lit(1), "__m"))).drop("__m")
+        both = both.unionByName(copied.select(both.columns))
     times = both.withColumn("__take", F.explode(F.expr("transform(sequence(1, cast(ceil(__t / __n) as int)), i -> least(__n, __t - (i - 1) * __n))")))
     # Each element is a word with the white space before it; the last one may be white space only.
     words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

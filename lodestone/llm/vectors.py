@@ -25,8 +25,9 @@ TABLES = 12
 HASHES = 3
 #: Buckets besides its own that a vector probes in each table.
 PROBES = 4
-#: Vectors of a bucket that are compared with each other in one task; larger buckets are split.
-BLOCK = 1024
+#: Vectors of a bucket that are compared with each other in one task, at least and at most; larger buckets are split. A vector is
+#: copied once for each block of its bucket, so blocks grow with the bucket: to a sixteenth of it, until the most is reached.
+BLOCK, MOST_BLOCK, SPLIT = 1024, 8192, 16
 THRESHOLD = 0.93
 #: A cosine this near to the threshold is computed again, exactly.
 MARGIN = 1e-9
@@ -158,7 +159,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     keyed = signed.select("entry", "label", "dim", F.posexplode("buckets").alias("at", "bucket")).selectExpr("entry", "label", "dim", f"cast(at div {width} as int) t", f"at % {width} = 0 stored", "bucket")
     key = ["label", "dim", "t", "bucket"]
     # Buckets where a stored vector meets another.
-    sizes = keyed.groupBy(*key).agg(F.count("*").alias("rows"), F.max("stored").alias("any")).where("rows > 1 and any").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).drop("rows", "any")
+    sizes = keyed.groupBy(*key).agg(F.count("*").alias("rows"), F.max("stored").alias("any")).where("rows > 1 and any").withColumn("blocks", F.ceil(F.col("rows") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.col("rows") / SPLIT))).cast("int")).drop("rows", "any")
     met = keyed.join(sizes, key)
     block = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("bi"), F.greatest(F.col("block"), j).alias("bj"), (F.col("block") > j).cast("int").alias("side")))

@@ -120,6 +120,17 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_a_large_group_of_distinct_near_copies(spark, monkeypatch):
+    """One label of 5,000 distinct vectors around one: every pair is compared, in several blocks, and none is lost."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=32) + rng.normal(size=(5000, 32)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert len(got) == 5000 and all(got[i] <= want[i] for i in range(5000)) and sum(got.values()) >= 0.98 * want.sum() > 10_000_000
+
+
 def test_vectors_that_repeat_an_id(spark):
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(2, 32))
@@ -449,13 +460,28 @@ def test_mixing_meets_targets(docs, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_mixing_over_many_ranges_and_spans(spark, monkeypatch):
-    rng = random.Random(8)
-    rows = [(i, " ".join("w" * rng.randint(0, 9)), rng.choice(["a", "a", "a", "b"])) for i in range(600)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    want = Counter(map(tuple, mixing.mix(d).collect()))
-    monkeypatch.setattr(mixing, "SPAN", 7)
-    assert Counter(map(tuple, mixing.mix(d, range_rows=10).collect())) == want
+def test_mixing_splits_rows_of_one_id(spark):
+    """Half of all rows have no id and one text: they are dealt apart, and the sums are met all the same."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, id, null) doc_id", "if(id % 2 = 0, repeat('w ', int(id % 9)), 'a b c') text", "if(id % 3 = 0, 'x', 'y') source")
+    mixed = mixing.mix(rows)
+    got = mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert sum(r.n for r in got) == 40_000 and all(r.size == r.source_size and abs(r.taken - r.target) <= 0.5 and r.over <= 0 for r in got)
+    narrow = rows.select("source", mixing.hash_key(F.col("doc_id"), 10).alias("key"), "doc_id", F.rand(10).alias("salt"))
+    parts = [r["count"] for r in narrow.repartitionByRange(16, "source", "key", "doc_id", "salt").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == 16 and max(parts) < 4 * 40_000 / 16
+
+
+def test_take_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 700)
+    rows = spark.range(5_000).selectExpr("if(id % 5 = 0, id, null) doc_id", "if(id % 5 = 0, 'p q', 'a b c') text", "if(id % 5 = 0, 'x', 'y') source", "if(id % 4 = 0, 1, 2) other")
+    taken = mixing.take(rows)
+    got = taken.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    targets = {r.source: r.target for r in mixing.mix(rows).select("source", "target").distinct().collect()}
+    assert taken.columns == rows.columns and {r.source: abs(r.n - targets[r.source]) <= 0.5 for r in got} == {"x": True, "y": True}
+    # Columns that differ stay apart, and none comes more often than its rows twice.
+    kinds = {(r.source, r.other): r["count"] for r in taken.groupBy("source", "other").count().collect()}
+    have = {(r.source, r.other): r["count"] for r in rows.groupBy("source", "other").count().collect()}
+    assert all(n <= 2 * have[k] for k, n in kinds.items()) and len(kinds) == 4
 
 
 def test_take_repeats_and_cuts(docs, none):
