@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, METADATA_DIR
 from ..functions.text import glob_pattern, lines, match_window, matcher, newline_of
+from .ranks import nearest_rank, select
 
 
 def inspect_directory(paths: DataFrame, directory: str = "", most: int = DEFAULT.listing) -> DataFrame:
@@ -212,5 +213,8 @@ def telemetry(points: DataFrame, tags: list[str], value: str, width: float, buck
 
 
 def percentiles(points: DataFrame, tags: list[str], value: str) -> DataFrame:
-    """Nearest-rank percentiles and the median."""
-    return points.groupBy(*tags).agg(*[F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], F.median(value).alias("median"))
+    """Nearest-rank percentiles and the median, without a task that sees all values of a group."""
+    ranks = {f"p{t // 10}": nearest_rank(t) for t in (500, 950, 990)} | {"low": F.expr("(n + 1) div 2"), "high": F.expr("n div 2 + 1")}
+    found = select(points, tags, value, ranks)
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col(value)))
+    return found.groupBy(*tags).agg(at("p50").alias("p50"), at("p95").alias("p95"), at("p99").alias("p99"), ((at("low") + at("high")) / 2).alias("median"))

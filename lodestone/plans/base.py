@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder  # noqa: F401
 from . import registry
 
 FILES = "f AS (SELECT doc_id, source || '/' || lang || '/doc' || doc_id || '.txt' AS path, text, source, lang FROM documents)"
@@ -19,16 +17,6 @@ ck AS (SELECT *, sha256(content) AS chunk_hash, sha256('chunk::' || file_id || '
 TERMS = r"list_distinct(list_transform(list_filter(regexp_extract_all({}, '[\p{{L}}\p{{Nd}}]+'), lambda x: len(x) > 1), lambda x: lower(x)))"
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names as shared; in a local session under a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str | None = None) -> Callable[[registry.Query], registry.Query]:
     """Registers a query; its integers are longs, as they are in the SQL."""
 

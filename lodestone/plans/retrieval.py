@@ -10,7 +10,9 @@ from ..operators import chunking, corpus
 from ..operators import retrieval as R
 from ..operators.features import fit_lsa
 from ..operators.ivf import VectorIndex
+from ..operators.lexical import best_covering
 from ..operators.service import HistogramEmbedder, LsaEmbedder
+from ..sources.shared import cut
 from ..sources.tables import files, read, vectors
 from .base import CHUNKS, FILES, TERMS, new_folder, query
 
@@ -98,8 +100,9 @@ def _search(spark, sf, k=20):
     """Passages of the whole index for every benchmark text: embedded, scored, located, rebuilt from the files and verified."""
     index = _chunk_index(spark, sf)
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), V.histogram(F.col("text")).alias("vector"))
-    hits = R.knn(index.select(F.col("chunk_id").alias("id"), V.histogram(F.col("content")).alias("vector")), q, k)
-    placed = R.locate(hits, index.select("chunk_id", "path", "token_start", "token_end", "chunk_hash"))
+    # Written once: where the hits are and which files they are in are both asked of them.
+    hits = cut(R.knn(index.select(F.col("chunk_id").alias("id"), V.histogram(F.col("content")).alias("vector")), q, k))
+    placed = cut(R.locate(hits, index.select("chunk_id", "path", "token_start", "token_end", "chunk_hash")))
     # Only the files that have hits are tokenised again.
     near = files(spark, sf).join(placed.select("path").distinct(), "path", "left_semi")
     return chunking.verify(placed, near).where("state = 'verified'")
@@ -136,14 +139,11 @@ qe AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM qt), cv AS (SELECT it
 
 @query("lexical_coverage", f"WITH {_COVER}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) AS rank FROM cv) SELECT item_id, doc_id, coverage, rank FROM r WHERE rank <= 10")
 def lexical_coverage(spark, sf):
-    """The documents that hold most of a passage's terms, by an inverted index."""
-    from pyspark.sql import Window
-
-    q = read(spark, sf, "benchmark").select("item_id", T.terms(F.col("text")).alias("t"))
-    q = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    d = read(spark, sf, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    c = d.join(q, "term").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k")).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("coverage"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id"))).where("rank <= 10")
+    """The documents that hold most of a passage's terms, by an inverted index whose frequent terms form no pairs."""
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("terms"))
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), T.terms(F.col("text")).alias("terms"))
+    best = best_covering(d, q, 10)
+    return best.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), F.round(F.col("shared") / F.col("n"), 6).alias("coverage"), "rank")
 
 
 @query("blended_relevance", f"WITH {_SEARCH}, t AS (SELECT tp.*, {TERMS.format('content')} AS p, {TERMS.format('b.text')} AS q FROM tp JOIN benchmark b ON b.item_id = tp.query_id) SELECT query_id, chunk_id, round(0.7 * greatest(0, least(1, score)) + 0.3 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(p, q)) / len(q) END, 9) AS relevance FROM t")
@@ -214,7 +214,7 @@ def search_notes(spark, sf):
     now = f.join(read(spark, sf, "labels"), "doc_id").select("path", F.when(F.col("quality") == 0, F.replace("text", F.lit("the"), F.lit("THE"))).otherwise(F.col("text")).alias("text"))
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), V.histogram(F.col("text")).alias("vector"))
     hits = R.knn(index.select(F.col("chunk_id").alias("id"), V.histogram(F.col("content")).alias("vector")), q, 20)
-    placed = R.locate(hits, index.select("chunk_id", "path", "token_start", "token_end", "chunk_hash"))
+    placed = cut(R.locate(hits, index.select("chunk_id", "path", "token_start", "token_end", "chunk_hash")))
     return R.notes(chunking.verify(placed, now), 0.9, 0.99)
 
 

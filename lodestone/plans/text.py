@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import chunking, features
+from ..sources.shared import cut
 from ..sources.tables import files, read
 from .base import CHUNKS, FILES, TERMS, query
 
@@ -104,9 +105,10 @@ def vocabulary_cap(spark, sf):
 
 @query("tfidf", f"WITH {_WORDS}, v AS (SELECT * FROM df WHERE df >= 2 ORDER BY df DESC, term LIMIT 4096), n AS (SELECT count(*) AS n FROM documents) SELECT doc_id AS doc, term, round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 6) AS weight FROM tf JOIN v USING (term), n")
 def tfidf(spark, sf):
-    rows = _term_rows(spark, sf)
-    n = read(spark, sf, "documents").count()
-    return features.tf_idf(rows, features.vocabulary(features.document_frequency(rows)), n).withColumn("weight", F.round("weight", 6))
+    # Counted once and written; frequencies, the number of documents and the weights come from that.
+    bags = cut(features.bags(read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")))
+    rows = bags.select("doc", F.explode("bag").alias("b")).select("doc", "b.term", "b.tf")
+    return features.tf_idf(rows, features.vocabulary(features.document_frequency(rows)), bags.count()).withColumn("weight", F.round("weight", 6))
 
 
 @query("lsa_similarity")
