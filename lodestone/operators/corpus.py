@@ -31,10 +31,10 @@ def _at(values: list[str], i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
 
 
-def topic_corpus(spark: SparkSession, n: int) -> DataFrame:
-    """(path, topic, text) of n files: topics in turn, each round with the next two sentences and twelve more filler words."""
+def topic_corpus(ids: DataFrame) -> DataFrame:
+    """(path, topic, text), a file for each of (id): topics in turn, each round with the next two sentences and twelve more filler words."""
     topics = list(TOPICS)
-    rows = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % len(topics)).alias("t"), F.floor(F.col("id") / len(topics)).alias("round"))
+    rows = ids.select(F.col("id").alias("i"), (F.col("id") % len(topics)).alias("t"), F.floor(F.col("id") / len(topics)).alias("round"))
     variants = [s for t in topics for s in TOPICS[t][0]]
     per = len(TOPICS[topics[0]][0])
     sentences = [_at(variants, F.col("t") * per + (F.col("round") * SENTENCES + k) % per) for k in range(SENTENCES)]

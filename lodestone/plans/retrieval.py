@@ -220,19 +220,24 @@ def search_notes(spark, sf):
 
 _TOPICS = list(corpus.TOPICS)
 _LIST = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-_CORPUS = f"""n AS (SELECT i, i % {len(_TOPICS)} AS t, i // {len(_TOPICS)} AS r FROM range(300) x(i)),
+_CORPUS = f"""n AS (SELECT i, i % {len(_TOPICS)} AS t, i // {len(_TOPICS)} AS r FROM (SELECT doc_id AS i FROM documents)),
 w AS (SELECT i, t, r, {_LIST(_TOPICS)} AS topics, {_LIST(s for t in _TOPICS for s in corpus.TOPICS[t][0])} AS v, {_LIST(corpus.FILLERS)} AS z FROM n)"""
 
 
+def _corpus(spark, sf):
+    return corpus.topic_corpus(read(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
 @query("topic_corpus", f"WITH {_CORPUS} SELECT topics[t + 1] || '-' || lpad(CAST(r AS VARCHAR), 4, '0') || '.txt' AS path, topics[t + 1] AS topic, sha256(v[t * 4 + (r * 2) % 4 + 1] || ' ' || v[t * 4 + (r * 2 + 1) % 4 + 1] || ' ' || array_to_string(list_transform(range(0, 12), lambda k: z[(i * 12 + k) % {len(corpus.FILLERS)} + 1]), ' ')) AS text_hash FROM w")
 def topic_corpus(spark, sf):
-    return corpus.topic_corpus(spark, 300).select("path", "topic", F.sha2("text", 256).alias("text_hash"))
+    """A file for each document's number."""
+    return _corpus(spark, sf).select("path", "topic", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("topic_quality")
 def topic_quality(spark, sf):
     """How well histograms, and a latent semantic model of rank 32 fitted on the corpus, find a generated corpus's topics: means over the queries."""
-    f, q = corpus.topic_corpus(spark, 300).persist(), corpus.topic_queries(spark)
+    f, q = cut(_corpus(spark, sf)), corpus.topic_queries(spark)
     embedders = {"histogram": HistogramEmbedder(64), "lsa": LsaEmbedder(fit_lsa(f.select(F.col("path").alias("doc"), "text"), 32))}
     scores = [corpus.retrieval_quality(f, q, e).agg(F.lit(name).alias("embedder"), *[F.round(F.avg(c), 6).alias(c) for c in ("hit_1", "rr", "ap", "ndcg", "recall")]) for name, e in embedders.items()]
     return scores[0].unionByName(scores[1])

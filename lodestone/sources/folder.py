@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, IGNORED_DIRS, METADATA_DIR, TEXT_EXTENSIONS
+from .shared import cut
 from .store import guard
 
 SCHEMA = "path string, length long, modified_utc timestamp, hash string, text string"
@@ -170,9 +171,7 @@ class Folder:
         """(path, length, modified_utc, created_utc, hash) of all files, or of those asked for, as they are now; none is opened, so hashes are null."""
         if paths is not None:
             return paths.select("path").mapInArrow(_looked_up(self.root, self.max_bytes), LISTING).withColumn("hash", F.lit(None).cast("string"))
-        rows = [(p, s.st_size, _utc(s.st_mtime), _utc(created(s))) for p, s in walk(self.root, self.max_bytes)]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), *[pa.timestamp("us", "UTC")] * 2), strict=True)]
-        return self.spark.createDataFrame(pa.table(columns, ["path", "length", "modified_utc", "created_utc"])).withColumn("hash", F.lit(None).cast("string"))
+        return expanded(self.spark, self.root, self.max_bytes).withColumn("hash", F.lit(None).cast("string"))
 
     def children(self, directory: str = "") -> DataFrame:
         """(path, is_directory, size, modified_utc, link) of what is directly in a directory; one that isn't there raises NotADirectoryError."""
@@ -234,6 +233,107 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
 
+def expanded(spark: SparkSession, root: str, max_bytes: int = DEFAULT.max_file_bytes) -> DataFrame:
+    """(path, length, modified_utc, created_utc) of the indexable files, as of `walk`, by executors: each step lists the directories that the step before found.
+
+    The driver sees the number of directories of a level only. An unreadable root raises OSError.
+    """
+    os.scandir(root).close()
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        here = cut(level.mapInArrow(_listed(root, max_bytes), LISTING + ", directory boolean"))
+        found = here if found is None else found.unionByName(here)
+        below = here.where("directory").select("path")
+        n = below.count()
+        if not n:
+            return found.where("not directory").drop("directory")
+        level = below.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
+def _listed(root: str, max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is directly in directories: files with what a listing says of them, and the directories to go on with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ignored, formats = {d.lower() for d in (*IGNORED_DIRS, METADATA_DIR)}, plain_formats()
+        for batch in batches:
+            rows: list[tuple] = []
+            for directory in batch.column("path").to_pylist():
+                try:
+                    entries = os.scandir(os.path.join(root, directory))
+                except OSError:
+                    continue  # it can't be entered, or went meanwhile
+                with entries:
+                    for e in entries:
+                        path = f"{directory}/{e.name}" if directory else e.name
+                        if e.is_dir(follow_symlinks=False):
+                            rows += [(path, None, None, None, True)] * (e.name.lower() not in ignored)
+                        elif e.is_file(follow_symlinks=False) and formats.find(e.name):
+                            try:
+                                s = e.stat()
+                            except OSError:
+                                continue
+                            if s.st_size <= max_bytes:
+                                rows.append((path, s.st_size, _utc(s.st_mtime), _utc(created(s)), False))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_ROWS.types[:4], pa.bool_()], strict=True)], names=["path", "length", "modified_utc", "created_utc", "directory"])
+
+    return run
+
+
+def between(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, kind): what turns one listing into another, by a join."""
+    a, b = (x.select("path", F.struct("length", "modified_utc").alias(n)) for x, n in ((old, "a"), (new, "b")))
+    kind = F.when(F.col("a").isNull(), "Created").when(F.col("b").isNull(), "Deleted").when(F.col("a") != F.col("b"), "Modified")
+    return a.join(b, "path", "full_outer").select("path", kind.alias("kind")).where("kind is not null")
+
+
+class Watch:
+    """Polls of a folder: each lists it by executors, keeps the listing as Parquet under `state`, a folder that all executors see, and gives its differences to the last one that was taken in.
+
+    A listing counts as taken in once `done` is called with its number, so a poll that failed is made again.
+    """
+
+    def __init__(self, folder: Folder, state: str):
+        self.folder, self.spark = folder, folder.spark
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(state)
+        self._fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.state = self._fs.makeQualified(path).toString().rstrip("/")
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
+
+    def last(self) -> int:
+        """The number of the last listing that was taken in; 0 before the first."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+        return max((int(n.removeprefix("done-")) for n in names if n.startswith("done-")), default=0)
+
+    def poll(self) -> tuple[int, DataFrame]:
+        """(number, changes (path, kind, ts)) since the last listing that was taken in."""
+        n = self.last()
+        new = f"{self.state}/listing-{n + 1}"
+        self.folder.listing().drop("hash").write.mode("overwrite").parquet(new)
+        now = self.spark.read.schema(LISTING).parquet(new)
+        before = self.spark.read.schema(LISTING).parquet(f"{self.state}/listing-{n}") if n else now.limit(0)
+        return n + 1, between(before, now).withColumn("ts", F.current_timestamp())
+
+    def done(self, number: int) -> None:
+        self._fs.create(self._path(f"done-{number}")).close()
+        for name in (f"done-{number - 1}", f"listing-{number - 1}"):
+            self._fs.delete(self._path(name), True)
+
+    def run(self, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds"):
+        """A streaming query whose triggers poll, and hand what changed to `apply` (changes, number)."""
+
+        def tick(batch: DataFrame, epoch: int) -> None:
+            number, changes = self.poll()
+            if not changes.isEmpty():
+                apply(changes, number)
+            self.done(number)
+
+        clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def _looked_up(root: str, max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a listing says of paths, those of no indexable file left out."""
 

@@ -128,12 +128,12 @@ class Store:
         """Whether a table has any version."""
         return bool(self._pointer()["tables"].get(name))
 
-    def noted(self, name: str) -> int | None:
-        """A number that a commit noted."""
+    def noted(self, name: str) -> int | dict | None:
+        """A number, or numbers by name, that a commit noted."""
         return self._pointer().get("notes", {}).get(name)
 
-    def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, notes: dict[str, int] | None = None, **tables: DataFrame) -> None:
-        """Whole tables given by name, merges by name (rows to add or replace by key, and keys of rows to delete) and numbers to note, at once.
+    def commit(self, merge: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, notes: dict[str, int | dict] | None = None, **tables: DataFrame) -> None:
+        """Whole tables given by name, merges by name (rows to add or replace by key, and keys of rows to delete) and a few numbers to note, at once.
 
         A merge rewrites only the buckets that its rows and keys fall in. The tables are written side by side.
         """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
@@ -79,6 +80,73 @@ def debounced(events: DataFrame, quiet_ms: int, late: str = "0 seconds", by_cloc
     return stream.groupBy("path").transformWithStateInPandas(Debounce(quiet_ms), outputStructType=RESULT, outputMode="append", timeMode="eventTime")
 
 
+#: Kinds of control events that begin and end a hold; they name no path.
+HOLD, RELEASE = "Hold", "Release"
+
+
+class Gate(StatefulProcessor):
+    """Lets a shard's changes through unless they are held, and then keeps each path's net change until the last release, or until the first hold is `most_ms` old."""
+
+    def __init__(self, most_ms: int):
+        self.most_ms = most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.holds = handle.getValueState("holds", "n int, since long")
+        self.kept = handle.getMapState("kept", "path string", "kind string, last long, n long")
+
+    def _release(self, out: list[tuple]) -> None:
+        """What was kept, as its net changes."""
+        if self.kept.exists():
+            out += [(path, kind, pd.Timestamp(last, unit="ms"), n) for (path,), (kind, last, n) in self.kept.iterator() if kind]
+            self.kept.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, since = self.holds.get() if self.holds.exists() else (0, 0)
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        for path, kind, ts in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")[["path", "kind", "ts"]].itertuples(index=False):
+            if kind == HOLD:
+                since = since if held else now
+                held += 1
+                if held == 1:
+                    self.handle.registerTimer(now + self.most_ms)
+            elif kind == RELEASE:
+                held = max(0, held - 1)
+                if not held:
+                    self._release(out)
+            elif held and now - since < self.most_ms:
+                before, _, n = self.kept.getValue((path,)) if self.kept.containsKey((path,)) else ("", 0, 0)
+                self.kept.updateValue((path,), (net(before, kind), int(ts.timestamp() * 1000), n + 1))
+            else:
+                out.append((path, kind, ts, 1))
+        if not held:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+        self.holds.update((held, since))
+        yield pd.DataFrame(out, columns=["path", "kind", "ts", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        self._release(out)
+        yield pd.DataFrame(out, columns=["path", "kind", "ts", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def gated(events: DataFrame, most_ms: int = 120_000, shards: int = 64) -> DataFrame:
+    """(path, kind, ts, n) of a stream (seq, path, kind, ts) of changes and of HOLD and RELEASE events, which name no path.
+
+    Holds are state, so that they and what they hold back survive a restart; the last release publishes at once, and a hold that
+    nobody releases ends by itself. A control event goes to every shard of the paths. Needs the RocksDB state store.
+    """
+    everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
+    control = F.col("kind").isin(HOLD, RELEASE)
+    one = F.array(F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int"))
+    dealt = events.withColumn("shard", F.explode(F.when(control, everywhere).otherwise(one)))
+    return dealt.groupBy("shard").transformWithStateInPandas(Gate(most_ms), outputStructType=RESULT, outputMode="append", timeMode="processingTime")
+
+
 def pending(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(path, kind, ts, n): the changes that a stopped debounce held back, read from its state, so that none is lost at the end."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
@@ -86,15 +154,28 @@ def pending(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 class Notifications:
-    """Changes told directly, such as by an edit, as files of a folder that a stream reads beside the folder's own; nothing is noted while not running."""
+    """Changes told directly, such as by an edit, as files of a folder that a stream reads beside the folder's own; nothing is noted while not running.
+
+    On a cluster `root` is a mounted folder that all executors see. `held` is a hold as two events, for `gated`.
+    """
 
     def __init__(self, root: str):
         self.root, self.running = root, False
         os.makedirs(root, exist_ok=True)
 
+    @contextlib.contextmanager
+    def held(self) -> Iterator[None]:
+        self._write(None, HOLD)
+        try:
+            yield
+        finally:
+            self._write(None, RELEASE)
+
     def __call__(self, path: str, kind: str) -> None:
-        if not self.running:
-            return
+        if self.running:
+            self._write(path, kind)
+
+    def _write(self, path: str | None, kind: str) -> None:
         temp = os.path.join(self.root, f".{uuid.uuid4().hex}.tmp")
         with open(temp, "w", encoding="utf-8") as f:
             json.dump({"path": path, "kind": kind, "ts": datetime.now(UTC).isoformat()}, f)

@@ -18,6 +18,7 @@ from ..sources.folder import Files, Folder
 from ..sources.store import Store
 
 LOG = logging.getLogger(__name__)
+WAITING = "waiting"
 
 
 class Indexer:
@@ -43,8 +44,16 @@ class Indexer:
         flying = self.store.read("outbox").where(F.col("status") == C.IN_FLIGHT)
         if not flying.isEmpty():
             self.store.commit({"outbox": (C.requeue(flying), None)})
+        # Busy files that the last run still waited for are due at once.
+        self.waiting |= {path: (self.clock(), attempt) for path, attempt in (self.store.noted(WAITING) or {}).items()}
         self.started = True
 
+    def _keep(self) -> None:
+        """Notes in the store which busy files wait, so that a restart goes on with them."""
+        now = {path: attempt for path, (_, attempt) in self.waiting.items()}
+        if now != (self.store.noted(WAITING) or {}):
+            self.store.commit(notes={WAITING: now})
+
     def tick(self) -> bool:
         """A whole pass, if one is due and nothing is held; whether it was made."""
         if self.clock() < self.due or self.hold.active:
@@ -89,6 +98,8 @@ class Indexer:
                 self.waiting[path] = (self.clock() + self.config.retry_s, attempt)
             else:
                 LOG.warning("%s was busy %d times; it is stale until the next pass", path, attempt)
+        with self.writing:
+            self._keep()
 
     def again(self) -> int:
         """Takes in the waiting changes that are due; how many still wait."""

@@ -350,3 +350,20 @@ def test_a_search_by_cells_equals_the_scan(spark, tmp_path):
     assert X.bring_up_to_date(s, e, index) == 0
     notes = {r.query_id: r for r in X.search_notes(s, rows, q, e, index=index).collect()}
     assert notes["f3.txt"].ranked == 20 and notes["f3.txt"].selected == len([r for r in by_scan if r[0] == "f3.txt"])
+
+
+def test_busy_files_wait_through_a_restart(spark, tmp_path):
+    from lodestone.operators.service import IndexState
+    from lodestone.streaming.indexer import Indexer
+
+    s, made = Store(spark, str(tmp_path / "index"), buckets=2), []
+    for _ in range(2):
+        made.append(Indexer(s, lambda: None, HistogramEmbedder(8), IndexState(), clock=lambda: 7.0))
+        made[-1].start()
+        if len(made) == 1:
+            made[0].waiting["b.txt"] = (9.0, 2)
+            made[0]._keep()
+    assert made[1].waiting == {"b.txt": (7.0, 2)}
+    made[1].waiting.clear()
+    made[1]._keep()
+    assert s.noted("waiting") == {}

@@ -163,3 +163,88 @@ def test_children_and_listing(spark, tmp_path):
     assert listed == {"docs/b.txt": (5, True), "docs/deep/c.txt": (1, True)}
     assert folder.Folder(spark, str(tmp_path / "docs/deep")).there(spark.createDataFrame([("c.txt", 1), ("x.txt", 2)], "path string, n long")).collect() == [("c.txt", 1)]
     assert spark.read.format("folder").option("as", "listing").load(str(tmp_path)).count() == 2
+
+
+def test_executors_list_what_a_walk_finds(spark, tmp_path):
+    from lodestone.sources import folder
+
+    for p in ["a.txt", "b.bin", "d/a.md", "d/e/f/g/h/i.txt", "d/e/x.txt", "node_modules/n.txt", "d/.git/c.txt", "empty/z/y.jpg", "ü/ß.txt"]:
+        os.makedirs((tmp_path / "t" / p).parent, exist_ok=True)
+        (tmp_path / "t" / p).write_text(p)
+    (tmp_path / "t" / "big.txt").write_text("x" * 50)
+    os.symlink(tmp_path / "t" / "a.txt", tmp_path / "t" / "link.txt")
+    files = folder.Folder(spark, str(tmp_path / "t"), max_bytes=40)
+    want = {p: (s.st_size, s.st_mtime) for p, s in folder.walk(files.root, 40)}
+    got = {r.path: (r.length, r.modified_utc) for r in files.listing().collect()}
+    assert got.keys() == want.keys() == {"a.txt", "d/a.md", "d/e/f/g/h/i.txt", "d/e/x.txt", "ü/ß.txt"} and all(got[p][0] == want[p][0] for p in want)
+    asked = files.listing(spark.createDataFrame([(p,) for p in ["a.txt", "big.txt", "b.bin", "gone.txt", "d", "link.txt"]], "path string"))
+    assert {(r.path, r.length, r.modified_utc) for r in asked.collect()} == {("a.txt", *got["a.txt"])}
+    with pytest.raises(OSError):
+        folder.Folder(spark, str(tmp_path / "nowhere")).listing()
+
+
+def test_polls_give_each_change_once(spark, tmp_path):
+    from lodestone.sources import folder
+
+    root = tmp_path / "t"
+    os.makedirs(root / "d")
+    for p in ("a.txt", "d/b.txt", "c.txt"):
+        (root / p).write_text(p)
+    watch = folder.Watch(folder.Folder(spark, str(root)), str(tmp_path / "state"))
+    seen = lambda found: {(r.path, r.kind) for r in found.collect()}
+    n, first = watch.poll()
+    assert (n, seen(first)) == (1, {("a.txt", "Created"), ("d/b.txt", "Created"), ("c.txt", "Created")})
+    assert watch.poll()[0] == 1  # not taken in: the same again
+    watch.done(1)
+    (root / "a.txt").write_text("longer than before")
+    os.remove(root / "c.txt")
+    (root / "d" / "new.txt").write_text("new")
+    n, second = watch.poll()
+    assert (n, seen(second)) == (2, {("a.txt", "Modified"), ("c.txt", "Deleted"), ("d/new.txt", "Created")})
+    watch.done(2)
+    # Another process goes on where this one ended.
+    again = folder.Watch(watch.folder, str(tmp_path / "state"))
+    assert again.last() == 2 and again.poll()[1].count() == 0 and sorted(x for x in os.listdir(tmp_path / "state") if not x.startswith(".")) == ["done-2", "listing-2", "listing-3"]
+    got = []
+    (root / "e.txt").write_text("e")
+    q = again.run(lambda changes, number: got.append((number, seen(changes))), str(tmp_path / "cp"), "1 second")
+    try:
+        end = time.monotonic() + 90
+        while not got and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert got[0] == (3, {("e.txt", "Created")})
+
+
+def test_holds_survive_a_restart_and_the_last_release_publishes(spark, tmp_path):
+    from lodestone.streaming.debounce import HOLD, RELEASE, gated
+
+    kind, src, t0 = "seq long, path string, kind string, ts timestamp", str(tmp_path / "events"), datetime(2024, 1, 1)
+
+    def told(*events):
+        spark.createDataFrame([(s, p, k, t0 + timedelta(seconds=s)) for s, p, k in events], kind).coalesce(1).write.mode("append").parquet(src)
+
+    def run(new, most_ms=600_000, wait=0):
+        """A run of the stream until it has read `new` events and given `wait` rows."""
+        got = []
+        take = lambda batch, epoch: got.extend((r.path, r.kind, r.n) for r in batch.collect())
+        q = gated(spark.readStream.schema(kind).parquet(src), most_ms, shards=3).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / f"cp{most_ms}")).start()
+        try:
+            end = time.monotonic() + 90
+            while (sum(p["numInputRows"] for p in q.recentProgress) < new or len(got) < wait) and time.monotonic() < end:
+                time.sleep(0.1)
+        finally:
+            q.stop()
+        return set(got)
+
+    told((1, "a", "Created"), (2, None, HOLD), (3, "b", "Created"), (4, "b", "Modified"), (5, None, HOLD), (6, "c", "Created"), (7, "c", "Deleted"), (8, "d", "Modified"), (9, None, RELEASE))
+    assert run(9) == {("a", "Created", 1)}
+    # Another run of the stream: one hold is left, and what it holds back is still there.
+    told((10, "d", "Deleted"), (11, "e", "Created"))
+    assert run(2) == set()
+    told((12, None, RELEASE), (13, "f", "Created"))
+    assert run(2) == {("b", "Created", 2), ("d", "Deleted", 2), ("e", "Created", 1), ("f", "Created", 1)}
+    # Nobody releases: the hold ends by itself.
+    told((14, None, HOLD), (15, "g", "Created"))
+    assert ("g", "Created", 1) in run(15, 1500, wait=6)
