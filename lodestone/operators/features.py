@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,6 +105,16 @@ def tf_idf(rows: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     return rows.join(F.broadcast(vocab), "term").select("doc", "term", ((1 + F.log("tf")) * idf(F.lit(n_docs), F.col("df"))).alias("weight"))
 
 
+@dataclass
+class LsaState:
+    """What an update of a fitted model starts from: the number of documents, its terms' document frequencies, and more of the largest eigenvectors, with their values, than the projection takes."""
+
+    n: int
+    df: np.ndarray
+    basis: np.ndarray
+    values: np.ndarray
+
+
 @dataclass
 class LsaModel:
     """Terms with their inverse document frequencies and their rows of the projection."""
@@ -113,18 +123,22 @@ class LsaModel:
     idf: np.ndarray
     projection: np.ndarray
     include_trigrams: bool = True
+    state: LsaState | None = None
 
     @property
     def dimension(self) -> int:
         return self.projection.shape[1]
 
     def to_json(self) -> str:
-        return json.dumps({"terms": self.terms, "idf": self.idf.tolist(), "projection": self.projection.tolist(), "dimension": self.dimension, "include_trigrams": self.include_trigrams})
+        kept = {"state": {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self.state).items()}} if self.state else {}
+        return json.dumps({"terms": self.terms, "idf": self.idf.tolist(), "projection": self.projection.tolist(), "dimension": self.dimension, "include_trigrams": self.include_trigrams} | kept)
 
     @classmethod
     def from_json(cls, text: str) -> LsaModel:
         d = json.loads(text)
-        return cls(d["terms"], np.array(d["idf"], np.float32), np.array(d["projection"], np.float32).reshape(len(d["terms"]), d["dimension"]), d["include_trigrams"])
+        x = d.get("state")
+        state = x and LsaState(x["n"], np.array(x["df"]), np.array(x["basis"]).reshape(len(d["terms"]), len(x["values"])), np.array(x["values"]))
+        return cls(d["terms"], np.array(d["idf"], np.float32), np.array(d["projection"], np.float32).reshape(len(d["terms"]), d["dimension"]), d["include_trigrams"], state)
 
     def transform(self, text: Column) -> Column:
         """Unit vectors; zero where no term is known."""
@@ -171,22 +185,80 @@ def fit_lsa(docs: DataFrame, dimension: int, include_trigrams: bool = True) -> L
         if not top:
             raise ValueError("a corpus without terms can't be fitted")
         terms = sorted(top)
-        weights = np.array([np.log((1 + n) / (1 + top[t])) + 1 for t in terms], np.float32)
-        width = min(len(terms), dimension + SPARE)
-        q = np.linalg.qr(np.random.default_rng(1).normal(size=(len(terms), width)))[0]
-        last = np.zeros(width)
-        for _ in range(PASSES):
-            y = _gram_times(held, terms, weights, q)
-            values, turn = np.linalg.eigh((h := q.T @ y) / 2 + h.T / 2)
-            vectors = q @ turn
-            if np.abs(values - last)[-dimension:].max() <= 1e-9 * max(1.0, np.abs(values).max()):
-                break
-            last, q = values, np.linalg.qr(y)[0]
+        df = np.array([top[t] for t in terms])
+        weights = np.log((1 + n) / (1 + df)) + 1
+        values, vectors = _largest(lambda q: _gram_times(held, terms, weights.astype(np.float32), q), len(terms), dimension)
+    finally:
+        held.unpersist()
+    return _model(terms, n, df, values, vectors, dimension, include_trigrams)
+
+
+def update_lsa(model: LsaModel, docs: DataFrame, dimension: int | None = None) -> LsaModel:
+    """A fitted model brought up to date with new documents (doc, text), which alone are read.
+
+    The old documents are taken as the model's largest eigenvectors have them, scaled by how their terms' inverse
+    document frequencies have changed, and the Gram matrix of the new ones is added: the power iteration is over that sum. Terms that
+    the old model didn't have count from now on. Without new documents the model stays as it is.
+    """
+    if model.state is None:
+        raise ValueError("the model was saved without what an update needs: it must be fitted again")
+    old, dimension = model.state, dimension or model.dimension
+    held = bags(docs, model.include_trigrams).select("bag").persist()
+    try:
+        m = held.count()
+        if not m:
+            return model
+        fresh = {r.term: r.df for r in vocabulary(document_frequency(held.select(F.explode("bag").alias("b")).select("b.term")), 1, 2 * MAX_TERMS).collect()}
+        total = dict(zip(model.terms, old.df.tolist(), strict=True))
+        for t, d in fresh.items():
+            total[t] = total.get(t, 0) + d
+        n = old.n + m
+        terms = sorted(sorted((t for t in total if total[t] >= 2), key=lambda t: (-total[t], t))[:MAX_TERMS]) or sorted(total)
+        df = np.array([total[t] for t in terms])
+        weights = np.log((1 + n) / (1 + df)) + 1
+        # The old eigenvectors' rows at the new terms' places, each scaled to its new weight.
+        at = {t: i for i, t in enumerate(model.terms)}
+        rows = np.array([at.get(t, -1) for t in terms])
+        basis = np.zeros((len(terms), old.basis.shape[1]))
+        was = np.log((1 + old.n) / (1 + old.df)) + 1
+        basis[rows >= 0] = old.basis[rows[rows >= 0]] * (weights[rows >= 0] / was[rows[rows >= 0]])[:, None]
+        times = lambda q: basis @ (old.values[:, None] * (basis.T @ q)) + _gram_times(held, terms, weights.astype(np.float32), q)
+        values, vectors = _largest(times, len(terms), dimension)
     finally:
         held.unpersist()
-    order = np.argsort(values)[::-1][: max(1, min(dimension, n, len(terms)))]
-    order = order[values[order] > 1e-9]
-    return LsaModel(terms, weights, vectors[:, order].astype(np.float32), include_trigrams)
+    return _model(terms, n, df, values, vectors, dimension, model.include_trigrams)
+
+
+def _largest(times: Callable[[np.ndarray], np.ndarray], size: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues, and their vectors, of a symmetric matrix that is only multiplied with; SPARE more than wanted."""
+    width = min(size, dimension + SPARE)
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(size, width)))[0]
+    last = np.zeros(width)
+    for _ in range(PASSES):
+        y = times(q)
+        values, turn = np.linalg.eigh((h := q.T @ y) / 2 + h.T / 2)
+        vectors = q @ turn
+        if np.abs(values - last)[-dimension:].max() <= 1e-9 * max(1.0, np.abs(values).max()):
+            break
+        last, q = values, np.linalg.qr(y)[0]
+    return values, vectors
+
+
+def _model(terms: list[str], n: int, df: np.ndarray, values: np.ndarray, vectors: np.ndarray, dimension: int, include_trigrams: bool) -> LsaModel:
+    every = np.argsort(values)[::-1]
+    every = every[values[every] > 1e-9]
+    order = every[: max(1, min(dimension, n, len(terms)))]
+    weights = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    return LsaModel(terms, weights, vectors[:, order].astype(np.float32), include_trigrams, LsaState(n, df, vectors[:, every], values[every]))
+
+
+def turned(a: LsaModel, b: LsaModel) -> np.ndarray:
+    """The rotation that lays a's space upon b's, by the terms that both have; eigenvectors are free to turn where their values are alike."""
+    at = {t: i for i, t in enumerate(b.terms)}
+    both = [(i, at[t]) for i, t in enumerate(a.terms) if t in at]
+    x, y = (m.projection[[p[k] for p in both]].astype(np.float64) for k, m in enumerate((a, b)))
+    u, _, v = np.linalg.svd(x.T @ y)
+    return u @ v
 
 
 def _gram_times(held: DataFrame, terms: list[str], weights: np.ndarray, q: np.ndarray) -> np.ndarray:
