@@ -183,7 +183,8 @@ class VectorIndex:
             near = self._scan(first, names, ids, q, k, min_score, digits, queries)
             done, more = near, None
             if probes is None:
-                near = near.persist()
+                # Once, as both the bound and the answer come from it.
+                done = near = self.spark.createDataFrame(near.toArrow(), near.schema)
                 least = {r.query_id: r.least for r in near.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")).collect()}
                 floor = np.array([least.get(i, min_score) for i in ids])
                 rest = (bound >= floor[:, None] - 10.0**-digits) & ~first
@@ -248,6 +249,8 @@ class VectorIndex:
                             best[at] = s, t
             for at, (s, t) in best.items():
                 ok = s >= min_score
+                if not ok.any():
+                    continue
                 yield pa.record_batch([pa.array([ids[at]] * int(ok.sum())), pa.array(t[ok]), pa.array(s[ok])], names=["query_id", "id", "score"])
 
         return _ranked(rows.select("id", "vector", "cell").mapInArrow(run, f"query_id {query_type}, id {id_type}, score double"), k)

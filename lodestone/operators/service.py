@@ -23,6 +23,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..config import DEFAULT
 from ..functions.vector import unit_histogram
+from ..sources.shared import cut
 from ..sources.store import Store
 from .features import LsaModel, fit_lsa
 
@@ -54,10 +55,8 @@ class IndexState:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The rows computed and kept, so that what follows doesn't run the search again."""
-    kept = df.persist()
-    kept.count()
-    return kept
+    """The rows computed and written once, so that what follows doesn't run the search again; no executor's memory is held, and the files go with the relation where Spark cleans checkpoints."""
+    return cut(df)
 
 
 def within(spark: SparkSession, seconds: float, act: Callable[[], T]) -> T:

@@ -60,11 +60,11 @@ def test_a_few_cells_find_most(data, index):
 
 
 def test_added_vectors_are_found(spark, data, index):
-    q = asked(data).where("query_id = 120")
-    new = data.where("id in (120, 300)").select((F.col("id") + 10_000).alias("id"), "vector")
+    q = asked(data).where("query_id = 180")
+    new = data.where("id in (180, 300)").select((F.col("id") + 10_000).alias("id"), "vector")
     index.add(new)
     best = [r[1] for r in hits(index.search(q, 2))]
-    assert best == [120, 10_120]
+    assert best == [180, 10_180]
 
 
 def test_cells_are_pruned_in_the_scan(index, data):

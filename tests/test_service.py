@@ -81,7 +81,7 @@ def test_telemetry_runs_the_search(spark):
         t.call("a", lambda: broken)
     got = t.call("a", lambda: spark.range(3))
     assert got.count() == 3 and [p[1] for p in t.points] == ["Failed", "Success"] and t.points[1][2] > 0
-    got.unpersist()
+
 
 
 def test_deadlines(spark):
