@@ -106,7 +106,7 @@ def _block(run: pa.Table) -> pa.RecordBatch | None:
     col = lambda c: run.column(c).to_numpy()
     entry, mult, side, stored = col("entry"), col("mult"), col("side"), col("stored")
     raw, x = _units(run.column("embedding").combine_chunks(), len(entry))
-    b = run.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(entry), TABLES, 1 + PROBES)
+    b = run.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(entry), t + 1, 1 + PROBES)
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if bi != bj else (np.arange(len(entry)),) * 2
     us, vs = [], []
     for i in range(0, len(left), 256):
@@ -163,10 +163,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = keyed.join(sizes, key)
     block = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("bi"), F.greatest(F.col("block"), j).alias("bj"), (F.col("block") > j).cast("int").alias("side")))
-    # Vectors meet their buckets once, and are spread to pairs of blocks after that, on the way to the exchange.
+    # Vectors meet their buckets once, and are spread to pairs of blocks after that, on the way to the exchange; of their
+    # buckets they take those up to this table, by which it is told whether a pair has met before.
     whole = met.withColumn("block", block).join(signed.select("entry", "embedding", "buckets", "mult"), "entry")
     order = [*key, "bi", "bj"]
-    spread = whole.withColumn("p", F.explode(pairs)).select("entry", "mult", *key, "p.*", "stored", "embedding", "buckets")
+    spread = whole.withColumn("p", F.explode(pairs)).select("entry", "mult", *key, "p.*", "stored", "embedding", F.slice("buckets", F.lit(1), (F.col("t") + 1) * width).alias("buckets"))
     counted = cut(map_arrow(spread.repartition(*order).sortWithinPartitions(*order), _compare, "entry long, n long, root long"))
     n_links = counted.groupBy("entry").agg(F.sum("n").alias("n"))
     roots = components(counted, "entry", "root")
