@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -23,6 +24,7 @@ SLAB = 512
 #: Vectors beside those wanted in the power iteration, and its passes, at most.
 SPARE, PASSES = 16, 30
 _STOP = frozenset(STOPWORDS)
+_CUT = regex.compile(IDENTIFIER_CUT)
 
 
 def stem_word(w: str) -> str:
@@ -36,17 +38,20 @@ def stem_word(w: str) -> str:
 
 
 def word_features(w: str, include_trigrams: bool) -> list[str]:
-    """The index's terms of a lower-case word, with repeats: its stem, unless that is short or a stop word, and the stem's marked trigrams."""
-    term = stem_word(w)
-    if len(term) < 2 or term in _STOP:
-        return []
-    padded = f"^{term}$"
-    return [term, *(f"3:{padded[i : i + 3]}" for i in range(len(padded) - 2))] if include_trigrams else [term]
+    """The index's terms of a run of letters and digits, with repeats: of each of its parts, cut as identifiers are, the lower-case stem, unless that is short or a stop word, and the stem's marked trigrams."""
+    out: list[str] = []
+    for part in _CUT.sub(" ", w).lower().split(" "):
+        term = stem_word(part)
+        if len(term) < 2 or term in _STOP:
+            continue
+        padded = f"^{term}$"
+        out += [term, *(f"3:{padded[i : i + 3]}" for i in range(len(padded) - 2))] if include_trigrams else [term]
+    return out
 
 
 def cut_words(text: Column) -> Column:
-    """The text's words as the index cuts them, lower-cased, with single spaces between."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), IDENTIFIER_CUT, " "), NOT_TERM, " "))
+    """The text's runs of letters and digits, with single spaces between; what is in a run is looked at once for each distinct one."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), NOT_TERM, " ")
 
 
 def counted(texts: pa.Array, include_trigrams: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
