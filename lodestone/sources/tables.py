@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of texts, and the size of one that may be a single row group, which one task would read and work on.
+TEXTS, ONE_GROUP = ("documents", "pages"), 32 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts of less than a row group's size are dealt out to all cores; larger tables have row groups enough, and aren't shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_GROUP:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
