@@ -130,7 +130,7 @@ def lsa_update(spark, sf):
     """A model of four in five documents, brought up to date with the others, against one fitted on all: whether the documents' vectors are within 15 degrees of each other on average."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
     late = F.col("doc") % 5 == 0
-    model, full = features.update_lsa(features.fit_lsa(docs.where(~late), 16), docs.where(late)), features.fit_lsa(docs, 16)
+    model, full = features.update_lsa(features.fit_lsa(docs.where(~late), 8, False), docs.where(late)), features.fit_lsa(docs, 8, False)
     turn = F.lit(features.turned(model, full).tolist())
     both = docs.select(model.transform(F.col("text")).alias("a"), full.transform(F.col("text")).alias("b"))
     laid = F.aggregate(F.arrays_zip("a", turn.alias("t")), F.array_repeat(F.lit(0.0), full.dimension), lambda s, x: F.zip_with(s, x["t"], lambda p, q: p + q * x["a"].cast("double")))
