@@ -79,7 +79,7 @@ class TextIndex:
         files.select("path", size.alias("size")).write.parquet(f"{root}/files")
         rows = files.where(size <= max_bytes).select("path", F.explode(text_trigrams(folded(F.col("text")))).alias("trigram"))
         # By ranges of trigrams and paths, so that a frequent trigram has several ranges, and a lookup reads the row groups that its trigrams are in.
-        rows.repartitionByRange("trigram", "path").sortWithinPartitions("trigram", "path").write.option("parquet.bloom.filter.enabled#trigram", "true").option("parquet.bloom.filter.expected.ndv#trigram", "100000").parquet(f"{root}/postings")
+        rows.repartitionByRange("trigram", "path").sortWithinPartitions("trigram", "path").write.option("parquet.bloom.filter.enabled#trigram", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{root}/postings")
         return cls(spark, root)
 
     def files(self) -> DataFrame:

@@ -120,7 +120,7 @@ class Store:
         key, parts = KEYS[name][0], ["bucket", *PARTITIONED.get(name, [])]
         # Sorted, so that each file's ranges of keys are narrow, with a Bloom filter for those that they don't tell apart.
         rows = rows.hint("rebalance", "bucket").sortWithinPartitions(*parts, key) if name in LARGE else rows.coalesce(1)
-        rows.write.partitionBy(*parts).option(f"parquet.bloom.filter.enabled#{key}", str(name in LARGE).lower()).option(f"parquet.bloom.filter.expected.ndv#{key}", "100000").parquet(at)
+        rows.write.partitionBy(*parts).option(f"parquet.bloom.filter.enabled#{key}", str(name in LARGE).lower()).option("parquet.bloom.filter.adaptive.enabled", "true").parquet(at)
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{name}/v={version}"))]
         return {b.removeprefix("bucket="): version for b in found if b.startswith("bucket=")}
 
