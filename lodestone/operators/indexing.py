@@ -93,15 +93,15 @@ def _embedded(files: DataFrame, embedder: Embedder, config: Config) -> DataFrame
     return chunks(files, config, ("hash",)).select("path", *CHUNK, embedder.embed(F.col("content")).alias("vector"), F.col("hash").alias("read_hash"))
 
 
-def _placed(store: Store, stage: _Stage, rows: DataFrame, gone: DataFrame, embedder: Embedder, now: Column) -> dict[str, tuple[DataFrame, DataFrame]]:
+def _placed(store: Store, stage: _Stage, rows: DataFrame, gone: DataFrame, embedder: Embedder, now: Column, keyed: bool = True) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Merges that put the windows in place of those that their files had, and take out those of the files (file_id) that are gone."""
     touched = rows.select("file_id").unionByName(gone.select("file_id")).distinct()
-    # Only the buckets of these files, and of the chunks that go, are read.
-    old = store.read("chunk_manifest", touched).join(touched, "file_id", "left_semi")
+    # Of a batch, only the buckets of its files, and of the chunks that go, are read; a whole pass may touch all.
+    old = store.read("chunk_manifest", touched if keyed else None).join(touched, "file_id", "left_semi")
     dead = C.superseded(old, rows).select("file_id", "chunk_id")
     dead = stage(dead) if store.holds("chunk_manifest") else dead
     # Vectors of every model go with their chunk.
-    dead_vectors = store.read("chunk_vector", dead.select("chunk_id")).join(dead.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "model_version_id")
+    dead_vectors = store.read("chunk_vector", dead.select("chunk_id") if keyed else None).join(dead.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "model_version_id")
     model = F.lit(embedder.model_version_id).alias("model_version_id")
     return {
         "chunk_manifest": (rows.select(*CHUNK, model, now.alias("updated_utc")), dead),
@@ -202,7 +202,7 @@ def index_pass(store: Store, files: Files | DataFrame, embedder: Embedder, skipp
             last = store.noted(LAST_OPERATION) if store.noted(LAST_OPERATION) is not None else store.read("outbox").agg(F.max("id")).first()[0] or 0
             queued = C.enqueue(changed, last + 1, now)
             entry = store.spark.createDataFrame([(model, type(embedder).__name__, model, embedder.dimension, "cosine", True, None)], "model_version_id string, provider_type string, model_name string, vector_dimension int, distance_metric string, is_active_for_write boolean, activated_utc timestamp").withColumn("activated_utc", now)
-            merge = _placed(store, stage, rows, rows.select("file_id").limit(0), embedder, now) | {"file_manifest": (_recorded(after), None), "outbox": (queued, None)}
+            merge = _placed(store, stage, rows, rows.select("file_id").limit(0), embedder, now, only is not None) | {"file_manifest": (_recorded(after), None), "outbox": (queued, None)}
             store.commit(merge, {LAST_OPERATION: last + n_changed}, embedding_model_registry=C.activate_model(store.read("embedding_model_registry"), entry))
     embed = counts.get("Embed", 0)
     return {"scanned": n_scanned, "indexed": n_done, "unchanged": counts["Unchanged"], "deferred": counts.get("Deferred", 0) + embed - n_done, "chunks": n_chunks, "vectors": n_chunks, "changes": n_changed}

@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..config import DEFAULT
 from ..functions.text import match_window, matcher
-from ..functions.trigrams import folded, holds, literal, required, text_trigrams, trigrams_of
+from ..functions.trigrams import folded, holds, literal, required, trigrams_of
 from ..sources.folder import READ, Files, files_of
 from .service import within
 from .tools import _scoped, bounded, line_rows
@@ -27,6 +27,30 @@ from .tools import _scoped, bounded, line_rows
 TIMED_OUT = -1
 
 
+#: Characters of texts whose trigrams are held at once.
+SLAB = 1 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, trigram) of folded texts, a few texts at a time."""
+    for batch in batches:
+        paths, texts = batch.column("path"), batch.column("text")
+        owner: list[int] = []
+        found: list[str] = []
+        size = 0
+        for i in range(batch.num_rows):
+            t = texts[i].as_py() or ""
+            mine = {t[k : k + 3] for k in range(len(t) - 2)}
+            owner += [i] * len(mine)
+            found += mine
+            size += len(t)
+            if found and (size >= SLAB or i == batch.num_rows - 1):
+                yield pa.record_batch([paths.take(pa.array(owner)), pa.array(found, pa.string())], names=["path", "trigram"])
+                owner, found, size = [], [], 0
+        if found:
+            yield pa.record_batch([paths.take(pa.array(owner)), pa.array(found, pa.string())], names=["path", "trigram"])
+
+
 def timed_place(text: Column, pattern: str, seconds: float = DEFAULT.match_s) -> Column:
     """The 1-based place of the first match, 0 without one, TIMED_OUT if the search took longer than `seconds`; null for a null text.
 
@@ -77,7 +101,7 @@ class TextIndex:
         spark = files.sparkSession
         size = F.octet_length("text").cast("long")
         files.select("path", size.alias("size")).write.parquet(f"{root}/files")
-        rows = files.where(size <= max_bytes).select("path", F.explode(text_trigrams(folded(F.col("text")))).alias("trigram"))
+        rows = files.where(size <= max_bytes).select("path", folded(F.col("text")).alias("text")).mapInArrow(_postings, "path string, trigram string")
         # By ranges of trigrams and paths, so that a frequent trigram has several ranges, and a lookup reads the row groups that its trigrams are in.
         rows.repartitionByRange("trigram", "path").sortWithinPartitions("trigram", "path").write.option("parquet.bloom.filter.enabled#trigram", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{root}/postings")
         return cls(spark, root)
