@@ -6,9 +6,11 @@ literal runs of the pattern; whatever isn't understood ends a run and demands no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import and_, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql.functions import arrow_udf
 ALIKE = ("Kſİı", "ksii")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Condition = str | tuple | None
+Combine = Callable[[Column, Column], Column]
 
 
 def folded(text: Column) -> Column:
@@ -36,6 +39,16 @@ def text_trigrams(text: Column) -> Column:
     return run(text)
 
 
+def trigram_numbers(text: str) -> np.ndarray:
+    """The distinct runs of three characters of a folded text as numbers, ascending: 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def trigram_number(trigram: str) -> int:
+    return int(trigram_numbers(trigram)[0])
+
+
 def _fold(s: str) -> str:
     return s.translate(str.maketrans(UPPER + ALIKE[0], LOWER + ALIKE[1]))
 
@@ -227,11 +240,10 @@ def trigrams_of(condition: Condition) -> list[str]:
     return sorted({t for part in condition[1] for t in trigrams_of(part)})
 
 
-def holds(condition: Condition, has: dict[str, Column]) -> Column:
-    """A condition as a column, given one for each of its trigrams."""
+def holds(condition: Condition, has: dict[str, Column], both: Combine = and_, either: Combine = or_) -> Column:
+    """A condition as a column, given one for each of its trigrams: of booleans, or of what `both` and `either` combine, such as sets of places."""
     if condition is None:
         return F.lit(True)
     if isinstance(condition, str):
         return has[condition]
-    parts = [holds(part, has) for part in condition[1]]
-    return reduce(lambda a, b: a & b if condition[0] == "and" else a | b, parts)
+    return reduce(both if condition[0] == "and" else either, [holds(part, has, both, either) for part in condition[1]])

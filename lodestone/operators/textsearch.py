@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..config import DEFAULT
 from ..functions.text import match_window, matcher
-from ..functions.trigrams import folded, holds, literal, required, trigrams_of
+from ..functions.trigrams import folded, holds, literal, required, trigram_number, trigram_numbers, trigrams_of
 from ..sources.folder import READ, Files, files_of
 from .service import within
 from .tools import _scoped, bounded, line_rows
@@ -27,28 +29,45 @@ from .tools import _scoped, bounded, line_rows
 TIMED_OUT = -1
 
 
-#: Characters of texts whose trigrams are held at once.
-SLAB = 1 << 20
+#: A shelf, the files that one row of postings is about, is full at so many characters, or so many files.
+SHELF_CHARS, SHELF_FILES = 2 << 20, 2048
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, trigram) of folded texts, a few texts at a time."""
+def _shelves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's folded texts, shelf by shelf: a row (shelf, null, null, paths), then (shelf, trigram, places, null) by trigram.
+
+    A shelf's number is that of the task and its own there; only one attempt's rows are written, so a shelf and its postings belong together.
+    """
+    base = TaskContext.get().partitionId() << 32
+    paths: list[str] = []
+    found: list[np.ndarray] = []
+    chars = 0
     for batch in batches:
-        paths, texts = batch.column("path"), batch.column("text")
-        owner: list[int] = []
-        found: list[str] = []
-        size = 0
-        for i in range(batch.num_rows):
-            t = texts[i].as_py() or ""
-            mine = {t[k : k + 3] for k in range(len(t) - 2)}
-            owner += [i] * len(mine)
-            found += mine
-            size += len(t)
-            if found and (size >= SLAB or i == batch.num_rows - 1):
-                yield pa.record_batch([paths.take(pa.array(owner)), pa.array(found, pa.string())], names=["path", "trigram"])
-                owner, found, size = [], [], 0
-        if found:
-            yield pa.record_batch([paths.take(pa.array(owner)), pa.array(found, pa.string())], names=["path", "trigram"])
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+            paths.append(path)
+            found.append(trigram_numbers(text or ""))
+            chars += len(text or "")
+            if chars >= SHELF_CHARS or len(paths) == SHELF_FILES:
+                yield from _shelf(base, paths, found)
+                base, paths, found, chars = base + 1, [], [], 0
+    if paths:
+        yield from _shelf(base, paths, found)
+
+
+def _shelf(shelf: int, paths: list[str], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of one shelf, whose files have these trigrams."""
+    numbers = np.concatenate(found)
+    places = np.repeat(np.arange(len(found), dtype=np.int16), [len(x) for x in found])
+    order = np.argsort(numbers, kind="stable")
+    numbers, places = numbers[order], places[order]
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(numbers)), pa.int32()), pa.array(places))
+    yield pa.record_batch([pa.array([shelf]), pa.nulls(1, pa.int64()), pa.nulls(1, lists.type), pa.array([paths], pa.list_(pa.string()))], names=SHELVES)
+    if len(starts):
+        yield pa.record_batch([pa.array(np.full(len(starts), shelf)), pa.array(numbers[starts]), lists, pa.nulls(len(starts), pa.list_(pa.string()))], names=SHELVES)
+
+
+SHELVES, POSTING = ["shelf", "trigram", "places", "paths"], "trigram long, places array<smallint>"
 
 
 def timed_place(text: Column, pattern: str, seconds: float = DEFAULT.match_s) -> Column:
@@ -87,9 +106,9 @@ def timed(pattern: str) -> regex.Pattern:
 
 @dataclass
 class TextIndex:
-    """An inverted index in a folder that every executor reaches: `postings` (trigram, path), sorted by trigram, and `files` (path, size, text_null) of all that it knows.
+    """An inverted index in a folder that every executor reaches: `postings` (trigram, shelf, places), sorted by trigram, `shelves` (shelf, paths), and `files` (path, size) of all that it knows.
 
-    A file's size and whether it could be read are kept, so that a search counts what it skips without opening anything.
+    A shelf is some hundred files that one task read; a posting tells their places on it, so postings are gathered before they are shuffled. A file's size and whether it could be read are kept, so that a search counts what it skips without opening anything.
     """
 
     spark: SparkSession
@@ -101,9 +120,16 @@ class TextIndex:
         spark = files.sparkSession
         size = F.octet_length("text").cast("long")
         files.select("path", size.alias("size")).write.parquet(f"{root}/files")
-        rows = files.where(size <= max_bytes).select("path", folded(F.col("text")).alias("text")).mapInArrow(_postings, "path string, trigram string")
-        # By ranges of trigrams and paths, so that a frequent trigram has several ranges, and a lookup reads the row groups that its trigrams are in.
-        rows.repartitionByRange("trigram", "path").sortWithinPartitions("trigram", "path").write.option("parquet.bloom.filter.enabled#trigram", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{root}/postings")
+        rows = files.where(size <= max_bytes).select("path", folded(F.col("text")).alias("text"))
+        rows.mapInArrow(_shelves, f"shelf long, {POSTING}, paths array<string>").write.parquet(f"{root}/staged")
+        # Read again, as texts are cut once, though ranges are drawn from a sample; and a task that is lost afterwards finds the same shelves.
+        staged = spark.read.schema(f"shelf long, {POSTING}, paths array<string>").parquet(f"{root}/staged")
+        staged.where("trigram IS NULL").select("shelf", "paths").write.parquet(f"{root}/shelves")
+        # By ranges of trigrams and shelves, so that a frequent trigram has several ranges, and a lookup reads the row groups that its trigrams are in.
+        postings = staged.where("trigram IS NOT NULL").select("trigram", "shelf", "places").repartitionByRange("trigram", "shelf").sortWithinPartitions("trigram", "shelf")
+        postings.write.option("parquet.bloom.filter.enabled#trigram", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{root}/postings")
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/staged")
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
         return cls(spark, root)
 
     def files(self) -> DataFrame:
@@ -115,9 +141,13 @@ class TextIndex:
         wanted = trigrams_of(condition)
         if not wanted:
             return self.files().select("path")
-        postings = self.spark.read.schema("path string, trigram string").parquet(f"{self.root}/postings").where(F.col("trigram").isin(wanted))
-        has = {t: F.coalesce(F.max(F.col("trigram") == t), F.lit(False)) for t in wanted}
-        return postings.groupBy("path").agg(holds(condition, has).alias("may")).where("may").select("path")
+        numbers = {t: trigram_number(t) for t in wanted}
+        postings = self.spark.read.schema(f"shelf long, {POSTING}").parquet(f"{self.root}/postings").where(F.col("trigram").isin(list(numbers.values())))
+        none = F.array().cast("array<smallint>")
+        at = {t: F.coalesce(F.max(F.when(F.col("trigram") == n, F.col("places"))), none) for t, n in numbers.items()}
+        may = postings.groupBy("shelf").agg(holds(condition, at, F.array_intersect, F.array_union).alias("may")).where(F.size("may") > 0)
+        shelves = self.spark.read.schema("shelf long, paths array<string>").parquet(f"{self.root}/shelves")
+        return may.join(shelves, "shelf").select(F.explode(F.transform("may", lambda i: F.get("paths", i))).alias("path")).distinct()
 
 
 def search_lines(index: TextIndex, files: Files | DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, whole_word: bool = False, scope: str = "", max_bytes: int = DEFAULT.search_file_bytes, match_s: float = DEFAULT.match_s) -> DataFrame:

@@ -118,3 +118,25 @@ def test_patterns_that_are_none(where):
 def test_trigrams_of_texts(spark):
     got = spark.createDataFrame([("AbCd",), ("ab",), ("",), (None,), ("aaaa",)], "t string").select(T.text_trigrams(T.folded(F.col("t"))).alias("x"))
     assert [r.x for r in got.collect()] == [["abc", "bcd"], [], [], [], ["aaa"]]
+
+
+def test_files_on_several_shelves(spark, tmp_path):
+    """More files than a shelf holds, read by one task; equal paths, empty, short and null texts, and characters beyond the first plane."""
+    word = F.concat(F.lit("w"), F.col("id"), F.when(F.col("id") % 1000 == 7, "\U0001f600\U0001f601\U0001f602 end").otherwise(""))
+    texts = spark.range(2 * X.SHELF_FILES + 100).coalesce(1).select(F.concat(F.lit("p"), F.col("id") - F.col("id") % 2).alias("path"), F.when(F.col("id") % 5 == 4, "").when(F.col("id") % 5 == 3, "w").otherwise(word).alias("text"))
+    texts = texts.union(spark.createDataFrame([("none", None)], "path string, text string")).coalesce(1).persist()
+    index = X.TextIndex.build(texts, f"file://{tmp_path}/x")
+    assert spark.read.parquet(f"{index.root}/shelves").count() == 3 and not os.path.exists(f"{tmp_path}/x/staged")
+    assert spark.read.parquet(f"{index.root}/postings").groupBy("shelf", "trigram").count().where("count > 1").isEmpty()
+    for pattern, options in [("w123", {}), ("\U0001f600\U0001f601\U0001f602", {}), ("w77\\d|w4000$", {"regex": True}), ("w1001|zzzz", {"regex": True}), ("😂 e", {})]:
+        want = sorted(map(tuple, O.grep(texts.where("text IS NOT NULL"), pattern, **options).collect()))
+        assert sorted(map(tuple, X.search_lines(index, texts, pattern, **options).collect())) == want, pattern
+        # Two files of one path count as one, which may match if either does.
+        may = [r.path for r in index.candidates(pattern, options.get("regex", False)).collect()]
+        assert len(may) == len(set(may)) < 300
+    texts.unpersist()
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    index = X.TextIndex.build(spark.createDataFrame([], "path string, text string"), f"file://{tmp_path}/x")
+    assert index.candidates("abc").count() == 0 and index.candidates("a").count() == 0 and X.search_notes(index).first().searched == 0
