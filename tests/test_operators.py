@@ -216,3 +216,45 @@ def test_a_path_stops_at_its_first_failure(spark):
     out = C.stop_at_failures(spark.createDataFrame(rows, "id long, file_path string, op_type int, ok boolean"))
     assert {r.id: r.outcome for r in out.collect()} == {1: "done", 2: "failed", 3: "blocked", 4: "done", 5: "done", 6: "failed", 7: "blocked"}
     assert {(r.file_path, r.id, r.op_type) for r in C.delivered_state(out).collect()} == {("a", 1, 0), ("b", 5, 1)}
+
+
+def test_texts_are_counted_in_slabs_of_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions.slabs import slabs
+
+    texts = pa.array(["ab " * 50, None, "", "c" * 500, "de", "fg"])
+    parts = [p.to_pylist() for p in slabs(texts, size=200)]
+    assert sum(parts, []) == texts.to_pylist() and max(sum(len(t or "") for t in p) for p in parts if len(p) > 1) <= 200
+    assert [len(p) for p in slabs(texts, rows=4, size=1 << 20)] == [4, 2]
+    # Both ways to the terms take a batch apart.
+    sizes, whole = [], features.counted
+
+    def counted(part, include_trigrams):
+        sizes.append(sum(len(t) for t in part.to_pylist()))
+        return whole(part, include_trigrams)
+
+    monkeypatch.setattr(features, "counted", counted)
+    monkeypatch.setattr(features, "arrow_udf", lambda kind: lambda run: lambda text: run)
+    monkeypatch.setattr(features, "cut_words", lambda text: text)
+    big = pa.array(["word two " * 20_000] * 20)
+    model = features.LsaModel(["two"], np.ones(1, np.float32), np.ones((1, 1), np.float32))
+    assert len(pa.concat_arrays(model.transform(None)(iter([big])))) == 20
+    assert len(sizes) == 4 and max(sizes) <= 1 << 20
+
+
+def test_word_terms_as_a_column_equal_those_of_each_word():
+    import pyarrow as pa
+
+    words = ["", "a", "The", "HTTP", "readHTTP2Frame", "boxes", "glasses", "runnING", "ing", "strings", "ßtraßes", "ÉTÉS", "naïves", "x9", "日本語s", "İstanbuls", "withed"]
+    of, terms = features.words_terms(pa.array(words))
+    got = [[t for i, t in zip(of.tolist(), terms.to_pylist(), strict=True) if i == k] for k in range(len(words))]
+    assert got == [features.word_terms(w) for w in words]
+
+
+def test_document_frequencies_count_documents_under_the_null_term(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["one two two", "two three", None, "", "one five", "five six"] * 5)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    want = {r.term: r.df for r in features.document_frequency(features.term_rows(df, True)).collect()}
+    monkeypatch.setattr(features, "HELD_TERMS", 3)
+    assert {r.term: r.df for r in features.document_frequencies(df, True).collect()} == want | {None: 30}
