@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, IGNORED_DIRS, METADATA_DIR, TEXT_EXTENSIONS
 from ..functions.text import extension
+from ..sources.shared import cut
 
 PENDING, IN_FLIGHT, DONE, FAILED = range(4)
 
@@ -102,16 +103,25 @@ def apply_changes(manifest: DataFrame, changes: DataFrame, now: Column) -> DataF
     )
 
 
-def enqueue(changes: DataFrame, first_id: int, now: Column) -> DataFrame:
-    """Outbox rows of the changes, numbered in the order of their paths.
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """The rows with `place`, from 0 in the order of `by`.
 
-    Numbers are dealt in ranges of the path, so that no window sees all rows.
+    Places are dealt in ranges, so that no window sees all rows. Ranges are drawn from a sample and joined by size, so another
+    run may cut them elsewhere: they are written once, and a range's size and its rows are read from that.
     """
-    rows = changes.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    numbered = rows.join(F.broadcast(before), "part").withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("at")))
-    return numbered.select((F.lit(first_id) + F.col("before") + F.col("k") - 1).alias("id"), F.col("path").alias("file_path"), F.when(F.col("change") == "Removed", 1).otherwise(0).alias("op_type"), F.lit(PENDING).alias("status"), F.lit(0).alias("attempts"), now.alias("created_utc"), now.alias("next_attempt_utc"), F.lit(None).cast("string").alias("error"))
+    dealt = cut(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()))
+    # The number has the range in its upper bits, and the place there in the lower 33.
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("__part", part).join(F.broadcast(before), "__part").select(*rows.columns, place.alias("place"))
+
+
+def enqueue(changes: DataFrame, first_id: int, now: Column) -> DataFrame:
+    """Outbox rows of the changes, numbered in the order of their paths."""
+    rows = numbered(changes.select("path", "change"), "path")
+    return rows.select((F.lit(first_id) + F.col("place")).alias("id"), F.col("path").alias("file_path"), F.when(F.col("change") == "Removed", 1).otherwise(0).alias("op_type"), F.lit(PENDING).alias("status"), F.lit(0).alias("attempts"), now.alias("created_utc"), now.alias("next_attempt_utc"), F.lit(None).cast("string").alias("error"))
 
 
 def fold_kinds(kinds: Column) -> Column:

@@ -191,9 +191,7 @@ def outbox_prune(spark, sf):
 @query("outbox_deliver", f"WITH {_OUTBOX}, {_SNAPSHOTS}, {_MANIFEST}, u AS (SELECT 'user' || row_number() OVER (ORDER BY path) AS file_path, hash, last_synced_hash, status FROM ap) SELECT o.id, CASE WHEN op_type = 1 THEN CASE WHEN u.hash IS NULL THEN 'delete' ELSE 'skip' END WHEN u.hash IS NULL OR coalesce(u.last_synced_hash = u.hash, false) THEN 'skip' ELSE 'upsert' END AS action FROM ob o LEFT JOIN (SELECT * FROM u WHERE status = 'active') u USING (file_path)")
 def outbox_deliver(spark, sf):
     """The manifest's files are named after users, in the order of their paths."""
-    from pyspark.sql import Window
-
-    m = _applied(spark, sf).withColumn("path", F.concat(F.lit("user"), F.row_number().over(Window.orderBy("path")).cast("string")))
+    m = C.numbered(_applied(spark, sf), "path").withColumn("path", F.concat(F.lit("user"), (F.col("place") + 1).cast("string")))
     return C.deliverable(outbox(spark, sf), m).select("id", "action")
 
 

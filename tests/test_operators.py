@@ -258,3 +258,18 @@ def test_document_frequencies_count_documents_under_the_null_term(spark, monkeyp
     want = {r.term: r.df for r in features.document_frequency(features.term_rows(df, True)).collect()}
     monkeypatch.setattr(features, "HELD_TERMS", 3)
     assert {r.term: r.df for r in features.document_frequencies(df, True).collect()} == want | {None: 30}
+
+
+def test_enqueue_numbers_follow_paths_wherever_ranges_are_cut(spark):
+    # Counting a range's rows reads fewer columns than numbering them, and joins other ranges by size.
+    changes = spark.range(60_000).repartition(7).select(F.concat(F.lit("p"), F.format_string("%06d", "id")).alias("path"), F.repeat(F.col("id").cast("string"), 20).alias("change"))
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "64"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = C.enqueue(changes, 1000, F.current_timestamp()).select("id", "file_path", "op_type").collect()
+        assert sorted((r.id, r.file_path) for r in got) == [(1000 + i, f"p{i:06d}") for i in range(60_000)]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
