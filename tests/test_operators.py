@@ -288,3 +288,13 @@ def test_topic_corpus_names_are_those_of_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(con.execute(entry.oracle_sql()["topic_corpus"]).fetchall())
     assert topic_corpus(rows.withColumnRenamed("doc_id", "id")).where(r"path rlike '-[0-9]{5,}\\.txt$'").count() == 4
+
+
+def test_sorted_terms_equal_the_column_terms(spark):
+    from lodestone.functions import text as T
+
+    texts = ["readHTTP2Frame running boxes, glasses the the x 9", None, "", "ßtraße ÉTÉS 12ab naïve's zz 日本語", "  ", "a b c", "two two one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(2)
+    got = {r.doc: tuple(r.s) for r in df.select("doc", features.sorted_terms(F.col("text")).alias("s")).collect()}
+    want = {r.doc: (len(set(r.t)), len(r.t), " ".join(sorted(set(r.t)))) for r in df.select("doc", T.index_terms(F.col("text")).alias("t")).collect()}
+    assert got == want
