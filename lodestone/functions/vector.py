@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .slabs import slabs
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
@@ -50,7 +52,7 @@ def histogram(text: Column, dim: int = 64) -> Column:
 
     @arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (part for batch in batches for part in slabs(batch)):
             yield _lists(_counts(texts, dim, False).astype(np.int64))
 
     return run(text)
@@ -61,7 +63,7 @@ def unit_histogram(text: Column, dim: int = 64) -> Column:
 
     @arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (part for batch in batches for part in slabs(batch)):
             rows = _counts(texts, dim, True).astype(np.float64)
             size = np.sqrt((rows * rows).sum(1, keepdims=True))
             yield _lists(np.divide(rows, size, out=rows, where=size > 0).astype(np.float32))

@@ -298,3 +298,22 @@ def test_sorted_terms_equal_the_column_terms(spark):
     got = {r.doc: tuple(r.s) for r in df.select("doc", features.sorted_terms(F.col("text")).alias("s")).collect()}
     want = {r.doc: (len(set(r.t)), len(r.t), " ".join(sorted(set(r.t)))) for r in df.select("doc", T.index_terms(F.col("text")).alias("t")).collect()}
     assert got == want
+
+
+def test_histograms_count_slabs_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions import vector as V
+
+    sizes, whole = [], V._counts
+
+    def counts(texts, dim, blank):
+        sizes.append(sum(len(t) for t in texts.to_pylist()))
+        return whole(texts, dim, blank)
+
+    monkeypatch.setattr(V, "_counts", counts)
+    monkeypatch.setattr(V, "arrow_udf", lambda kind: lambda run: lambda text: run)
+    texts = pa.array(["abc " * 100_000] * 6)
+    for f in (V.histogram, V.unit_histogram):
+        assert len(pa.concat_arrays(f(None)(iter([texts])))) == 6
+    assert len(sizes) == 6 and max(sizes) <= 1 << 20
