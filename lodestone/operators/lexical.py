@@ -23,7 +23,8 @@ def best_covering(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     asked = cut(queries.select("query_id", "terms", F.size("terms").alias("n")))
     words = asked.select(F.explode("terms").alias("term")).distinct()
-    postings = docs.select("doc", F.explode("terms").alias("term")).join(words, "term")
+    # Written once, as frequencies and both rounds of pairs are made of them, and texts would be cut each time.
+    postings = cut(docs.select("doc", F.explode("terms").alias("term")).join(words, "term"))
     frequency = cut(postings.groupBy("term").agg(F.count("*").alias("df")))
     order = Window.partitionBy("query_id").orderBy("df", "term")
     # A query's terms are one text's, so these windows are short. Terms that no document has come in no posting.

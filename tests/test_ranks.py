@@ -54,3 +54,23 @@ def test_the_best_by_shared_terms_without_all_pairs(spark, monkeypatch):
     assert {(r.query_id, r["rank"]): (r.doc, r.shared) for r in found.collect()} == want
     every = sum(bool(set(a) & set(t)) for _, a in asked for _, t in docs)
     assert formed[1].count() < 0.5 * every, (formed[1].count(), every)
+
+
+def test_postings_are_cut_from_the_texts_once(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import lexical
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def terms(text):
+        cuts.add(1)
+        return text.split(" ")
+
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(40)], "doc long, text string").select("doc", terms("text").alias("terms"))
+    asked = spark.createDataFrame([(1, ["a", "b1", "c4"])], "query_id long, terms array<string>")
+    found = lexical.best_covering(docs, asked, 2).collect()
+    assert [(r.doc, r.shared) for r in sorted(found, key=lambda r: r.rank)] == [(4, 3), (1, 2)]
+    # For the postings (which the checkpoint computes twice at most), and to complete the two rounds of pairs.
+    assert cuts.value <= 4 * 40
