@@ -140,3 +140,21 @@ def test_files_on_several_shelves(spark, tmp_path):
 def test_an_index_of_nothing(spark, tmp_path):
     index = X.TextIndex.build(spark.createDataFrame([], "path string, text string"), f"file://{tmp_path}/x")
     assert index.candidates("abc").count() == 0 and index.candidates("a").count() == 0 and X.search_notes(index).first().searched == 0
+
+
+def test_many_patterns_find_what_each_finds_and_read_the_texts_once(spark, tmp_path, monkeypatch):
+    texts = [("a/1.txt", "The cat\nsat on 12 mats\n\nTHE END."), ("a/2.txt", "other words\nof the cats"), ("b/3.txt", "x" * 90), ("b/4.txt", None), ("b/5.txt", ""), ("a/6.txt", "a" * 60 + "b")]
+    df = spark.createDataFrame(texts, "path string, text string")
+    index = X.TextIndex.build(df, f"{tmp_path}/many")
+    patterns = [("the", {"ignore_case": True}), ("cat", {"whole_word": True}), (r"[0-9]+", {"regex": True}), (r"^o\w+", {"regex": True}), ("absent", {}), (r"x{80}", {"regex": True}), (r"\w+t|12", {"regex": True, "whole_word": True, "ignore_case": True}), (r"(a|aa)+$", {"regex": True})]
+    cuts, real = [], X.line_rows
+    monkeypatch.setattr(X, "line_rows", lambda rows: cuts.append(1) or real(rows))
+    for bounds in ({}, {"scope": "a"}, {"max_bytes": 80}):
+        cuts.clear()
+        got = X.search_many(index, df, patterns, match_s=0.05, **bounds)
+        assert len(cuts) == 1
+        one = [(i, *r) for i, (p, o) in enumerate(patterns) for r in X.search_lines(index, df, p, **o, match_s=0.05, **bounds).select("path", "line", "place", "text").collect()]
+        assert sorted(tuple(r) for r in got.select("pattern", "path", "line", "place", "text").collect()) == sorted(one)
+        assert {r[0] for r in one} >= {0, 1, 2, 3} and (7, "a/6.txt", 1, X.TIMED_OUT) in {r[:4] for r in one}
+    monkeypatch.setattr(X, "TOGETHER", 3)
+    assert sorted(r[:4] for r in one) == sorted(tuple(r) for r in X.search_many(index, df, patterns, max_bytes=80, match_s=0.05).select("pattern", "path", "line", "place").collect())
