@@ -103,8 +103,8 @@ def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, tar
     n = len(inputs)
     x = p["emb"].take(inputs, 0)
     kv = (x.reshape(-1, DIM) @ p["kv"]).reshape(n, WINDOW, 2 * DIM)
-    here = np.ascontiguousarray(x[:, CONTEXT:])
-    q = (here.reshape(-1, DIM) @ p["q"]).reshape(n, SCORED, DIM)
+    here = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, DIM)
+    q = (here @ p["q"]).reshape(n, SCORED, DIM)
     a = q @ kv[:, :, :DIM].transpose(0, 2, 1)
     small = _small(a)
     a += np.where(_BACK >= 0, p["back"][np.maximum(_BACK, 0)], _UNSEEN)
@@ -113,18 +113,21 @@ def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, tar
     _steady(a, small and bool(np.abs(p["back"]).max() < _SMALL))
     np.exp(a, out=a)
     a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, SCORED, 1)
-    z = np.concatenate([here, a @ kv[:, :, DIM:]], 2).reshape(-1, 2 * DIM)
-    h = z @ p["w"]
+    seen = (a @ kv[:, :, DIM:]).reshape(-1, DIM)
+    h = here @ p["w"][:DIM]
+    h += seen @ p["w"][DIM:]
     h += p["b"]
     np.maximum(h, LEAK * h, out=h)
     flat, last = targets.ravel(), inputs[:, CONTEXT:].ravel()
     c, m = flat >> MEMBER_BITS, flat & MEMBERS - 1
+    # Places of the targets' classes and members among all rows' logits.
     rows = np.arange(len(h))
+    at_class, at_member = rows * CLASSES + c, rows * MEMBERS + m
     e1 = h @ p["u1"]
     small = _small(e1)
     e1 += prior.classes.take(last, 0)
     _steady(e1, small)
-    lp = e1[rows, c]
+    lp = e1.ravel().take(at_class)
     np.exp(e1, out=e1)
     s1 = e1 @ np.ones(CLASSES, e1.dtype)
     g = p["gate"].take(c, 0)
@@ -133,50 +136,48 @@ def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, tar
     small = _small(e2)
     e2 += prior.members.take(last * CLASSES + c, 0)
     _steady(e2, small)
-    lp += e2[rows, m]
+    lp += e2.ravel().take(at_member)
     np.exp(e2, out=e2)
     s2 = e2 @ np.ones(MEMBERS, e2.dtype)
     lp -= np.log(s1)
     lp -= np.log(s2)
-    return lp.reshape(n, SCORED), (x, q, kv, a, z, h, c, m, rows, e1, s1, g, e2, s2)
+    return lp.reshape(n, SCORED), (x, q, kv, a, here, seen, h, c, at_class, at_member, e1, s1, g, e2, s2)
 
 
 def backward(p: Params, inputs: np.ndarray, real: np.ndarray, held: tuple) -> Params:
     """Gradients of the mean negative log probability of the real targets; overwrites what was held."""
-    x, q, kv, a, z, h, c, m, rows, d1, s1, g, d2, s2 = held
+    x, q, kv, a, here, seen, h, c, at_class, at_member, d1, s1, g, d2, s2 = held
     n, share = len(inputs), real.ravel().astype(h.dtype) / max(1, int(real.sum()))
     d1 *= (share / s1)[:, None]
-    d1[rows, c] -= share
+    d1.ravel()[at_class] -= share
     d2 *= (share / s2)[:, None]
-    d2[rows, m] -= share
+    d2.ravel()[at_member] -= share
     of_class = np.zeros((len(h), CLASSES), h.dtype)
-    of_class[rows, c] = 1
+    of_class.ravel()[at_class] = 1
     dh = d2 @ p["u2"].T
     dgate = of_class.T @ (dh * h)
     dh *= p["gate"].take(c, 0)
     dh += d1 @ p["u1"].T
-    dh *= np.where(h > 0, np.float32(1), LEAK)
-    dz = (dh @ p["w"].T).reshape(n, SCORED, 2 * DIM)
-    seen = dz[:, :, DIM:]
-    da = seen @ kv[:, :, DIM:].transpose(0, 2, 1)
+    slope = (h > 0).astype(h.dtype)
+    slope *= 1 - LEAK
+    slope += LEAK
+    dh *= slope
+    dseen = (dh @ p["w"][DIM:].T).reshape(n, SCORED, DIM)
+    da = dseen @ kv[:, :, DIM:].transpose(0, 2, 1)
     da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, SCORED, 1)
     da *= a
     dkv = np.empty_like(kv)
     np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
-    np.matmul(a.transpose(0, 2, 1), seen, out=dkv[:, :, DIM:])
+    np.matmul(a.transpose(0, 2, 1), dseen, out=dkv[:, :, DIM:])
     dq, flat = (da @ kv[:, :, :DIM]).reshape(-1, DIM), dkv.reshape(-1, 2 * DIM)
     dx = (flat @ p["kv"].T).reshape(n, WINDOW, DIM)
-    dx[:, CONTEXT:] += dz[:, :, :DIM]
-    dx[:, CONTEXT:] += (dq @ p["q"].T).reshape(n, SCORED, DIM)
-    symbols = inputs.ravel().astype(np.uint16)
-    order = np.argsort(symbols, kind="stable")
-    symbols = symbols[order]
-    begin = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-    demb = np.zeros_like(p["emb"])
-    demb[symbols[begin]] = np.add.reduceat(dx.reshape(-1, DIM).take(order, 0), begin, axis=0)
+    dhere = dh @ p["w"][:DIM].T
+    dhere += dq @ p["q"].T
+    dx[:, CONTEXT:] += dhere.reshape(n, SCORED, DIM)
+    demb = np.bincount((inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel(), VOCAB * DIM).astype(h.dtype).reshape(VOCAB, DIM)
     dback = np.bincount(np.maximum(_BACK, 0).ravel(), (da.sum(0) * (_BACK >= 0)).ravel(), WINDOW).astype(h.dtype)
     return {
-        "emb": demb, "back": dback, "q": z[:, :DIM].T @ dq, "kv": x.reshape(-1, DIM).T @ flat, "w": z.T @ dh, "b": dh.sum(0),
+        "emb": demb, "back": dback, "q": here.T @ dq, "kv": x.reshape(-1, DIM).T @ flat, "w": np.concatenate([here.T @ dh, seen.T @ dh]), "b": dh.sum(0),
         "u1": h.T @ d1, "gate": dgate, "u2": g.T @ d2,
     }
 

@@ -62,10 +62,10 @@ class Subwords:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids, one word after the other, and each word's number of ids; the empty word is the end.
 
-        ASCII words are encoded together, as words between spaces are split before each space.
+        Words without white space of any alphabet are encoded together, as words between spaces are split before each space.
         """
         sizes, together, alone = np.ones(len(words), np.int64), [], []
-        plain = np.flatnonzero(np.fromiter((bool(w) and w.isascii() for w in words), bool, len(words)))
+        plain = np.flatnonzero(np.fromiter((bool(w) and (w.isascii() or _unbroken(w)) for w in words), bool, len(words)))
         for at in range(0, len(plain), SLICE_WORDS):
             part = plain[at : at + SLICE_WORDS]
             joined = np.array(self._encode(" " + b" ".join([words[i] for i in part.tolist()]).decode()), np.uint16)
@@ -100,10 +100,12 @@ def subwords(path: str, pattern: str) -> Subwords:
     return _SUBWORDS[path, pattern]
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _unbroken(word: bytes) -> bool:
+    """Whether these are whole characters, and none of them is white space."""
+    try:
+        return word.decode().split() == [word.decode()]
+    except UnicodeDecodeError:
+        return False
 
 
 def words(text: str | None) -> list[bytes]:
@@ -123,11 +125,15 @@ class Chunk:
     @classmethod
     def of(cls, texts: list[str | None], learned: list[bool], s: Subwords) -> tuple[Chunk, list[bytes]]:
         """The chunk and its words."""
-        numbers = _Numbers({b"": 0})
-        per_text = [np.fromiter(map(numbers.__getitem__, words(t)), np.int32) for t in texts]
-        found = list(numbers)
-        flat = np.concatenate(per_text) if per_text else np.array([], np.int32)
-        return cls(flat, np.fromiter(map(len, per_text), np.int64, len(per_text)), np.array(learned, bool), *s.encode(found)), found
+        sizes, parts = np.zeros(len(texts), np.int64), [pa.array([b""], pa.binary())]
+        for i, t in enumerate(texts):
+            found = words(t)
+            sizes[i] = len(found)
+            parts.append(pa.array(found, pa.binary()))
+        # Words are numbered as they first occur, the end before all.
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        return cls(coded.indices.to_numpy()[1:], sizes, np.array(learned, bool), *s.encode(found)), found
 
     def learning(self) -> Chunk:
         """The chunk of its training texts only."""

@@ -541,3 +541,17 @@ def test_pipeline_on_edge_rows(spark, docs, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_words_of_any_alphabet_are_encoded_together_as_they_are_alone(monkeypatch):
+    s = lm.subwords(default_ranks(), default_pattern())
+    found = [w.encode() for w in ["", "plain", "élève", "été,", "日本語", "ß's", "a b", " x", "y　", " ", "naïve!?", "x\x1cy", "end"]] + [b"\xff\xfe", b"cut\xc3"]
+    alone = [[s.end] if not w else s._encode(" " + w.decode("utf-8", "replace")) for w in found]
+    calls, real = [], s._encode
+    monkeypatch.setattr(s, "_encode", lambda t: calls.append(t) or real(t))
+    ids, sizes = s.encode(found)
+    assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+    # Together, but for those with white space of other alphabets and what is no text.
+    assert len(calls) == 1 + 6
+    chunk, words = lm.Chunk.of(["été THE été", None, "the\tx"], [True] * 3, s)
+    assert words == [b"", "été".encode(), b"the", b"x"] and chunk.numbers.tolist() == [1, 2, 1, 2, 3] and chunk.sizes.tolist() == [3, 0, 2]
