@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import tokens
+from ..functions.text import has_token, tokens
 
 
 def file_id(path: Column) -> Column:
@@ -27,7 +27,8 @@ def chunks(files: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = (
 
     No shuffle: a file's windows come from its own tokens.
     """
-    tok = files.select("path", *keep, tokens(F.col("text")).alias("tok")).withColumn("n", F.size("tok")).where("n > 0")
+    # A condition on the tokens themselves would be pushed below a join of `files`, and cut the texts once more, all of them.
+    tok = files.where(has_token(F.col("text"))).select("path", *keep, tokens(F.col("text")).alias("tok")).withColumn("n", F.size("tok"))
     rows = tok.select("path", *keep, "tok", "n", F.explode(F.sequence(F.lit(0), chunk_count(F.col("n"), config) - 1)).alias("chunk_index"))
     start = F.col("chunk_index") * config.step
     rows = rows.select("path", *keep, "chunk_index", start.alias("token_start"), F.least("n", start + config.chunk_tokens).alias("token_end"), F.array_join(F.slice("tok", start + 1, F.lit(config.chunk_tokens)), " ").alias("content"))

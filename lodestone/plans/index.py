@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import has_token
 from ..operators import indexing
 from ..operators.chunking import file_hash
 from ..operators.service import HistogramEmbedder
@@ -23,7 +23,7 @@ def new_store(spark: SparkSession) -> Store:
 
 def as_files(rows: DataFrame) -> DataFrame:
     """(path, text) with what a folder's listing adds; blank texts are no files."""
-    return rows.where(F.size(tokens(F.col("text"))) > 0).select("path", F.octet_length("text").cast("long").alias("length"), F.lit("2024-01-01").cast("timestamp").alias("modified_utc"), file_hash(F.col("text")).alias("hash"), "text")
+    return rows.where(has_token(F.col("text"))).select("path", F.octet_length("text").cast("long").alias("length"), F.lit("2024-01-01").cast("timestamp").alias("modified_utc"), file_hash(F.col("text")).alias("hash"), "text")
 
 
 @query(

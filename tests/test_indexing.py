@@ -5,7 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from lodestone.operators import indexing as X
+from lodestone.operators.chunking import chunks
 from lodestone.operators.service import HistogramEmbedder
+from lodestone.plans.index import as_files
 from lodestone.sources import folder
 from lodestone.sources.store import Store
 
@@ -367,3 +369,17 @@ def test_busy_files_wait_through_a_restart(spark, tmp_path):
     made[1].waiting.clear()
     made[1]._keep()
     assert s.noted("waiting") == {}
+
+
+def test_only_texts_that_are_asked_for_are_cut(spark):
+    """A pass tells files from blank texts without cutting them into tokens, and cuts those to embed alone: no condition on a scan, which all texts meet, has tokens."""
+    rows = spark.createDataFrame([("a.txt", "one two"), ("b.txt", " \u2003\n"), ("c.txt", ""), ("d.txt", None), ("e.txt", "\u3000three")], "path string, text string")
+    files = folder.Frame(as_files(rows))
+    wanted = spark.createDataFrame([("a.txt",), ("b.txt",)], "path string")
+    assert sorted(r.path for r in files.listing().collect()) == ["a.txt", "e.txt"]
+    cut = chunks(files.read(wanted))
+    assert [(r.path, r.content) for r in cut.collect()] == [("a.txt", "one two")]
+    assert [(r.path, r.content) for r in chunks(rows.orderBy("path")).collect()] == [("a.txt", "one two"), ("e.txt", "three")]
+    for df in (files.listing(), cut):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in plan and not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract_all" in x]
