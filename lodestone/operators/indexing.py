@@ -187,9 +187,13 @@ def index_pass(store: Store, files: Files | DataFrame, embedder: Embedder, skipp
         n_scanned, n_changed = sum(counts.values()), changed.count()
         if not counts.get("Embed") and not n_changed:
             return {"scanned": n_scanned, "indexed": 0, "unchanged": counts["Unchanged"], "deferred": counts.get("Deferred", 0), "chunks": 0, "vectors": 0, "changes": 0}
-        wanted = judged.where("disposition = 'Embed'").select("path").join(listing.select("path", F.col("hash").alias("listed")), "path")
-        read = _embedded(files.read(wanted.select("path")).where(F.col("state") == READ), embedder, config)
-        rows = stage(read.join(wanted, "path").where("read_hash = listed").drop("listed"))
+        # Staged, so that its size is known: few files are sent to the texts, which then aren't shuffled.
+        wanted = stage(judged.where("disposition = 'Embed'").select("path").join(listing.select("path", F.col("hash").alias("listed")), "path"))
+        if files.hashed:
+            rows = stage(_embedded(files.read(wanted.select("path", F.col("listed").alias("hash"))).where(F.col("state") == READ), embedder, config))
+        else:
+            read = _embedded(files.read(wanted.select("path")).where(F.col("state") == READ), embedder, config)
+            rows = stage(read.join(wanted, "path").where("read_hash = listed").drop("listed"))
 
         done = stage(rows.select("path", F.col("read_hash").alias("delivered_hash")).distinct())
         paths = changed.select("path").unionByName(done.select("path")).distinct()
