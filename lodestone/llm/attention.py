@@ -8,7 +8,7 @@ window is added to its logits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +31,13 @@ WARM = 50
 
 #: How far a scored position (row) is from an input (column); inputs after it are never seen.
 _BACK = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
+_SEEN, _DISTANCE = _BACK >= 0, np.maximum(_BACK, 0)
 _UNSEEN = np.float32(-1e4)
-#: Logits within this of 0, added to log probabilities, need no maximum subtracted before exp().
-_SMALL = 40
+#: Sums of exp() from which no addend that counts is missing, so that no maximum need be subtracted before.
+_LEAST, _MOST = 1e-30, 1e30
+_PLACES = np.arange(WINDOW)
+#: Rows of one class; the places of an input's embedding among all.
+_CLASS, _PARTS = np.eye(CLASSES, dtype=np.float32), np.arange(VOCAB * DIM).reshape(VOCAB, DIM)
 
 Params = dict[str, np.ndarray]
 
@@ -82,81 +86,94 @@ class Windows:
     def __len__(self) -> int:
         return len(self.text)
 
+    def reorder(self, order: np.ndarray) -> None:
+        self.text, self.first, self.at, self.left = self.text[order], self.first[order], self.at[order], self.left[order]
+
     def take(self, part: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs [n, WINDOW] with a mask of those before a text's begin, and targets [n, SCORED] with a mask of those that the text has."""
-        rows = self.rows[self.at[part]].astype(np.int32)
-        return rows[:, :WINDOW], np.arange(WINDOW) < (CONTEXT - self.first[part])[:, None], rows[:, CONTEXT + 1 :], np.arange(SCORED) < self.left[part][:, None]
+        """Inputs [n, WINDOW] with a mask of those before a text's begin, all of CONTEXT or none, and targets [n, SCORED] with a mask of those that the text has."""
+        rows = self.rows[self.at[part]].astype(np.intp)
+        return rows[:, :WINDOW], _PLACES < (CONTEXT - self.first[part])[:, None], rows[:, CONTEXT + 1 :], _PLACES[:SCORED] < self.left[part][:, None]
 
 
-def _steady(logits: np.ndarray, small: bool) -> None:
-    """Less each row's maximum, where exp() might over- or underflow."""
-    if not small:
-        logits -= logits.max(-1, keepdims=True)
+def _exp(logits: Callable[[], np.ndarray], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """exp() of logits, the sum of each row, and the logits `at` these places; less each row's maximum where exp() over- or underflows."""
+    for steady in (False, True):
+        e = logits()
+        if steady:
+            e -= e.max(-1, keepdims=True)
+        picked = None if at is None else e.ravel().take(at)
+        np.exp(e, out=e)
+        sums = e.reshape(-1, e.shape[-1]) @ np.ones(e.shape[-1], e.dtype)
+        if not sums.size or sums.min() > _LEAST and sums.max() < _MOST:
+            break
+    return e, sums, picked
 
 
-def _small(logits: np.ndarray) -> bool:
-    return not logits.size or bool(max(logits.max(), -logits.min()) < _SMALL)
+def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, scored: bool = True) -> tuple[np.ndarray | None, tuple]:
+    """[n, SCORED] natural log probabilities of the targets, if they are `scored`, and what backward() needs."""
+    with np.errstate(over="ignore"):
+        return _forward(p, prior, inputs, before, targets, scored)
 
 
-def forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """[n, SCORED] natural log probabilities of the targets, and what backward() needs."""
+def _forward(p: Params, prior: Prior, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, scored: bool) -> tuple[np.ndarray | None, tuple]:
     n = len(inputs)
     x = p["emb"].take(inputs, 0)
     kv = (x.reshape(-1, DIM) @ p["kv"]).reshape(n, WINDOW, 2 * DIM)
     here = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, DIM)
     q = (here @ p["q"]).reshape(n, SCORED, DIM)
-    a = q @ kv[:, :, :DIM].transpose(0, 2, 1)
-    small = _small(a)
-    a += np.where(_BACK >= 0, p["back"][np.maximum(_BACK, 0)], _UNSEEN)
-    if len(begin := np.flatnonzero(before[:, CONTEXT - 1])):
-        a[begin] += np.where(before[begin], _UNSEEN, 0)[:, None, :]
-    _steady(a, small and bool(np.abs(p["back"]).max() < _SMALL))
-    np.exp(a, out=a)
-    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, SCORED, 1)
+    keys, back, begin = kv[:, :, :DIM].transpose(0, 2, 1), np.where(_SEEN, p["back"][_DISTANCE], _UNSEEN), np.flatnonzero(before[:, CONTEXT - 1])
+
+    def met() -> np.ndarray:
+        a = q @ keys
+        a += back
+        if len(begin):
+            a[begin, :, :CONTEXT] += _UNSEEN
+        return a
+
+    a, sums, _ = _exp(met)
+    a /= sums.reshape(n, SCORED, 1)
     seen = (a @ kv[:, :, DIM:]).reshape(-1, DIM)
-    h = here @ p["w"][:DIM]
-    h += seen @ p["w"][DIM:]
-    h += p["b"]
+    both = np.concatenate([here, seen], 1)
+    h = both @ p["w"]
+    # All places of a window at once: longer rows are added faster.
+    h.reshape(n, -1)[:] += np.tile(p["b"], SCORED)
     np.maximum(h, LEAK * h, out=h)
     flat, last = targets.ravel(), inputs[:, CONTEXT:].ravel()
     c, m = flat >> MEMBER_BITS, flat & MEMBERS - 1
     # Places of the targets' classes and members among all rows' logits.
     rows = np.arange(len(h))
     at_class, at_member = rows * CLASSES + c, rows * MEMBERS + m
-    e1 = h @ p["u1"]
-    small = _small(e1)
-    e1 += prior.classes.take(last, 0)
-    _steady(e1, small)
-    lp = e1.ravel().take(at_class)
-    np.exp(e1, out=e1)
-    s1 = e1 @ np.ones(CLASSES, e1.dtype)
-    g = p["gate"].take(c, 0)
-    g *= h
-    e2 = g @ p["u2"]
-    small = _small(e2)
-    e2 += prior.members.take(last * CLASSES + c, 0)
-    _steady(e2, small)
-    lp += e2.ravel().take(at_member)
-    np.exp(e2, out=e2)
-    s2 = e2 @ np.ones(MEMBERS, e2.dtype)
-    lp -= np.log(s1)
-    lp -= np.log(s2)
-    return lp.reshape(n, SCORED), (x, q, kv, a, here, seen, h, c, at_class, at_member, e1, s1, g, e2, s2)
+
+    def classes() -> np.ndarray:
+        e = h @ p["u1"]
+        e += prior.classes.take(last, 0)
+        return e
+
+    gate = p["gate"].take(c, 0)
+    g = gate * h
+
+    def members() -> np.ndarray:
+        e = g @ p["u2"]
+        e += prior.members.take(last * CLASSES + c, 0)
+        return e
+
+    e1, s1, of_class = _exp(classes, at_class if scored else None)
+    e2, s2, of_member = _exp(members, at_member if scored else None)
+    lp = (of_class + of_member - np.log(s1) - np.log(s2)).reshape(n, SCORED) if scored else None
+    return lp, (x, q, kv, a, here, both, h, c, at_class, at_member, e1, s1, gate, g, e2, s2)
 
 
 def backward(p: Params, inputs: np.ndarray, real: np.ndarray, held: tuple) -> Params:
     """Gradients of the mean negative log probability of the real targets; overwrites what was held."""
-    x, q, kv, a, here, seen, h, c, at_class, at_member, d1, s1, g, d2, s2 = held
+    x, q, kv, a, here, both, h, c, at_class, at_member, d1, s1, gate, g, d2, s2 = held
     n, share = len(inputs), real.ravel().astype(h.dtype) / max(1, int(real.sum()))
     d1 *= (share / s1)[:, None]
     d1.ravel()[at_class] -= share
     d2 *= (share / s2)[:, None]
     d2.ravel()[at_member] -= share
-    of_class = np.zeros((len(h), CLASSES), h.dtype)
-    of_class.ravel()[at_class] = 1
     dh = d2 @ p["u2"].T
-    dgate = of_class.T @ (dh * h)
-    dh *= p["gate"].take(c, 0)
+    dgate = _CLASS.take(c, 0).T @ (dh * h)
+    dh *= gate
     dh += d1 @ p["u1"].T
     slope = (h > 0).astype(h.dtype)
     slope *= 1 - LEAK
@@ -174,10 +191,10 @@ def backward(p: Params, inputs: np.ndarray, real: np.ndarray, held: tuple) -> Pa
     dhere = dh @ p["w"][:DIM].T
     dhere += dq @ p["q"].T
     dx[:, CONTEXT:] += dhere.reshape(n, SCORED, DIM)
-    demb = np.bincount((inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel(), VOCAB * DIM).astype(h.dtype).reshape(VOCAB, DIM)
-    dback = np.bincount(np.maximum(_BACK, 0).ravel(), (da.sum(0) * (_BACK >= 0)).ravel(), WINDOW).astype(h.dtype)
+    demb = np.bincount(_PARTS.take(inputs, 0).ravel(), dx.ravel(), VOCAB * DIM).astype(h.dtype).reshape(VOCAB, DIM)
+    dback = np.bincount(_DISTANCE.ravel(), np.ones(n, h.dtype) @ da.reshape(n, -1) * _SEEN.ravel(), WINDOW).astype(h.dtype)
     return {
-        "emb": demb, "back": dback, "q": here.T @ dq, "kv": x.reshape(-1, DIM).T @ flat, "w": np.concatenate([here.T @ dh, seen.T @ dh]), "b": dh.sum(0),
+        "emb": demb, "back": dback, "q": here.T @ dq, "kv": x.reshape(-1, DIM).T @ flat, "w": both.T @ dh, "b": np.ones(len(dh), h.dtype) @ dh,
         "u1": h.T @ d1, "gate": dgate, "u2": g.T @ d2,
     }
 
@@ -207,8 +224,15 @@ class Adam:
         g = np.concatenate([grads[k].ravel() for k in self.p])
         self.m += 0.1 * (g - self.m)
         g *= g
-        self.s += 0.01 * (g - self.s)
-        self.flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
+        g -= self.s
+        g *= 0.01
+        self.s += g
+        np.multiply(self.s, 1 / (1 - 0.99**self.t), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(self.m, g, out=g)
+        g *= rate / (1 - 0.9**self.t)
+        self.flat -= g
 
 
 def unflatten(flat: np.ndarray, like: Params) -> Iterator[tuple[str, np.ndarray]]:
@@ -222,9 +246,10 @@ def unflatten(flat: np.ndarray, like: Params) -> Iterator[tuple[str, np.ndarray]
 def train(p: Params, prior: Prior, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rate: float, seed: int = 6) -> Params:
     """Parameters after a pass over all windows in random order, by Adam at a falling rate."""
     w, adam = Windows(stream, starts, sizes), Adam(p)
-    mixed, batch = np.random.default_rng(seed).permutation(len(w)), min(MOST, max(LEAST, len(w) // STEPS))
-    for i in range(0, len(mixed), batch):
-        inputs, before, targets, real = w.take(mixed[i : i + batch])
-        _, held = forward(adam.p, prior, inputs, before, targets)
-        adam.step(backward(adam.p, inputs, real, held), rate * min(1, (adam.t + 1) / WARM) * (1 - 0.9 * i / len(mixed)))
+    w.reorder(np.random.default_rng(seed).permutation(len(w)))
+    batch = min(MOST, max(LEAST, len(w) // STEPS))
+    for i in range(0, len(w), batch):
+        inputs, before, targets, real = w.take(slice(i, i + batch))
+        _, held = forward(adam.p, prior, inputs, before, targets, scored=False)
+        adam.step(backward(adam.p, inputs, real, held), rate * min(1, (adam.t + 1) / WARM) * (1 - 0.9 * i / len(w)))
     return adam.p

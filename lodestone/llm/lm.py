@@ -11,18 +11,24 @@ the parameters of the round before, and the results are averaged in integers, we
 
 A chunk is a dictionary of its words with their subword ids, and its texts as word numbers. Only
 words with their counts are shuffled to make the corpus counts, which come back to the chunks by
-number; then each chunk is scored by itself.
+number; then each chunk is scored by itself. Words travel in lots, a row for the words of a chunk
+that share a hash.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +41,10 @@ CHUNK_BYTES = 8 << 20
 FEW_BYTES, FEW_CHUNKS = 1 << 20, 24
 #: Partitions that chunks are dealt to, at most.
 MOST_PARTITIONS = 50_000
+#: Chunks whose words would fill a lot, were they all different; small corpora make up to FEW_CHUNKS lots.
+LOT_CHUNKS = 8
+#: Bytes of a word that a lot holds; of a longer one it holds the digest.
+LONGEST = 256
 #: Words whose ids are laid out, and encoded, at once.
 SLICE_WORDS = 250_000
 #: Each training text trains the model in one of the rounds.
@@ -65,11 +75,14 @@ class Subwords:
         Words without white space of any alphabet are encoded together, as words between spaces are split before each space.
         """
         sizes, together, alone = np.ones(len(words), np.int64), [], []
-        plain = np.flatnonzero(np.fromiter((bool(w) and (w.isascii() or _unbroken(w)) for w in words), bool, len(words)))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        plain = np.flatnonzero(lengths)
+        if not _unbroken(b" ".join(words)):
+            plain = plain[np.fromiter((_unbroken(words[i]) for i in plain.tolist()), bool, len(plain))]
         for at in range(0, len(plain), SLICE_WORDS):
             part = plain[at : at + SLICE_WORDS]
             joined = np.array(self._encode(" " + b" ".join([words[i] for i in part.tolist()]).decode()), np.uint16)
-            want = np.cumsum(np.fromiter((1 + len(words[i]) for i in part.tolist()), np.int64, len(part)))
+            want = np.cumsum(1 + lengths[part])
             ends = np.cumsum(self.lengths[joined])
             cut = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
             if (ends[cut] == want).all():
@@ -90,6 +103,12 @@ class Subwords:
         return out, sizes
 
 
+def settle() -> None:
+    """Once per worker: what is loaded by then, mostly libraries, need not be walked through when memory is given back."""
+    if not gc.get_freeze_count():
+        gc.freeze()
+
+
 _SUBWORDS: dict[tuple[str, str], Subwords] = {}
 
 
@@ -100,14 +119,26 @@ def subwords(path: str, pattern: str) -> Subwords:
     return _SUBWORDS[path, pattern]
 
 
-def _unbroken(word: bytes) -> bool:
-    """Whether these are whole characters, and none of them is white space."""
+#: White space of any alphabet but the blank, as the tokenizer has it.
+_BLANKS = re.compile(r"[^\S \x1C-\x1F]")
+
+
+def _unbroken(text: bytes) -> bool:
+    """Whether these are whole characters, and none of them is white space but the blank."""
     try:
-        return word.decode().split() == [word.decode()]
+        return not _BLANKS.search(text.decode())
     except UnicodeDecodeError:
         return False
 
 
+def cut_words(words: pa.Array) -> list[bytes]:
+    """All of them as Python has them, cut from one piece of memory."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in pairwise(ends)]
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -123,16 +154,17 @@ class Chunk:
     id_sizes: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None], learned: list[bool], s: Subwords) -> tuple[Chunk, list[bytes]]:
+    def of(cls, texts: list[str | None] | pa.Array, learned: list[bool], s: Subwords) -> tuple[Chunk, list[bytes]]:
         """The chunk and its words."""
-        sizes, parts = np.zeros(len(texts), np.int64), [pa.array([b""], pa.binary())]
-        for i, t in enumerate(texts):
-            found = words(t)
-            sizes[i] = len(found)
-            parts.append(pa.array(found, pa.binary()))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+        # Texts that begin or end with a blank have an empty word there.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        there = pc.not_equal(pc.binary_length(split.flatten()), 0)
+        sizes = np.bincount(pc.list_parent_indices(split).to_numpy()[there.to_numpy(zero_copy_only=False)], minlength=len(texts))
         # Words are numbered as they first occur, the end before all.
-        coded = pa.concat_arrays(parts).dictionary_encode()
-        found = coded.dictionary.to_pylist()
+        coded = pa.concat_arrays([pa.array([""], pa.large_string()), split.flatten().filter(there)]).dictionary_encode()
+        found = cut_words(coded.dictionary)
         return cls(coded.indices.to_numpy()[1:], sizes, np.array(learned, bool), *s.encode(found)), found
 
     def learning(self) -> Chunk:
@@ -189,10 +221,45 @@ class Scale:
 
 
 _BINARY = ("numbers", "sizes", "ids", "id_sizes")
+_LOT = "struct<lot: int, number: binary, n: binary, length: binary, word: binary>"
+
+
+def lots(found: list[bytes], counts: np.ndarray, k: int) -> pa.ListArray:
+    """A chunk's words and their counts as one list of at most `k` lots, by hash: the words' numbers, counts and lengths, and their bytes one after the other."""
+    # No word holds a blank.
+    kept = [w if len(w) <= LONGEST else b" " + hashlib.sha256(w).digest() for w in found]
+    lot = (np.fromiter(map(zlib.crc32, kept), np.uint32, len(kept)) % k).astype(np.min_scalar_type(k))
+    order = np.argsort(lot, kind="stable")
+    length, joined = np.fromiter(map(len, kept), np.int32, len(kept))[order], b"".join([kept[i] for i in order.tolist()])
+    begins = np.flatnonzero(np.diff(lot[order].astype(np.int64), prepend=-1))
+    places = np.concatenate([[0], np.cumsum(length)])
+    spans = list(zip(begins.tolist(), [*begins[1:].tolist(), len(kept)], strict=True))
+    cut = lambda values: pa.array([values[a:b].tobytes() for a, b in spans], pa.binary())
+    of_lot = pa.array([joined[places[a] : places[b]] for a, b in spans], pa.binary())
+    fields = [pa.array(lot[order][begins].astype(np.int32)), cut(order.astype(np.int32)), cut(counts[order]), cut(length), of_lot]
+    return pa.ListArray.from_arrays(pa.array([0, len(spans)], pa.int32()), pa.StructArray.from_arrays(fields, ["lot", "number", "n", "length", "word"]))
+
+
+def count_lot(rows: pa.Table) -> pa.Table:
+    """For each chunk of a lot its words' numbers and counts in the corpus; the first row has the lot's tokens and different words."""
+    arrays = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name).combine_chunks()]
+    length, n = arrays("length", np.int32), np.concatenate(arrays("n", np.int64))
+    coded = pa.chunked_array(
+        [pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(k, dtype=np.int64)])), x.as_buffer()]) for k, x in zip(length, rows.column("word").combine_chunks(), strict=True)]
+    ).combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy()
+    c = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(c, code, n)
+    ends = np.cumsum([len(k) for k in length])
+    known = pa.array([x.tobytes() for x in np.split(c[code], ends[:-1])], pa.binary())
+    once = lambda value: pa.array([value, *[0] * (rows.num_rows - 1)], pa.int64())
+    release()
+    return pa.table([rows.column("chunk"), rows.column("number"), known, once(int(c.sum())), once(int((c > 0).sum()))], names=["chunk", "number", "c", "tokens", "words"])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[Chunk, dict]]:
     """The chunks of stored rows, and their columns as they are."""
+    settle()
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in columns}
@@ -207,21 +274,22 @@ def store(rows: DataFrame, path: str, pattern: str, root: str) -> DataFrame:
     n = max(len(RATES), min(FEW_CHUNKS, total // FEW_BYTES), -(-total // CHUNK_BYTES))
     # By id and text, so that no id, null or repeated, makes a chunk large.
     dealt = rows.withColumn("key", F.xxhash64(F.lit(6), "__id", "text")).withColumn("deal", F.pmod("key", F.lit(n)))
-    parts = min(n, MOST_PARTITIONS)
+    parts, n_lots = min(n, MOST_PARTITIONS), max(min(n, FEW_CHUNKS), -(-n // LOT_CHUNKS))
     dealt = dealt.repartitionById(parts, F.pmod("deal", F.lit(parts)).cast("int")).sortWithinPartitions("deal", "key", "__id", "learned")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = subwords(path, pattern)
+        settle()
         held: list[pa.RecordBatch] = []
         size, deal, k, kind = 0, None, 0, None
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            chunk, found = Chunk.of(t.column("text").to_pylist(), t.column("learned").to_pylist(), s)
+            chunk, found = Chunk.of(t.column("text").combine_chunks(), t.column("learned").to_pylist(), s)
             counts, ends = chunk.learning().counts(), lambda n: pa.array([0, n], pa.int32())
             binary = [pa.array([getattr(chunk, c).tobytes()], pa.binary()) for c in _BINARY]
-            lists = [pa.ListArray.from_arrays(ends(len(x)), x) for x in (t.column("__id").combine_chunks(), pa.array(chunk.learned), pa.array(found, pa.binary()), pa.array(counts))]
-            return pa.record_batch([pa.array([(deal << 20) + k]), pa.array([deal % len(RATES)], pa.int32()), *lists, *binary], names=["chunk", "turn", "id", "learned", "words", "counts", *_BINARY])
+            lists = [pa.ListArray.from_arrays(ends(len(x)), x) for x in (t.column("__id").combine_chunks(), pa.array(chunk.learned))]
+            return pa.record_batch([pa.array([(deal << 20) + k]), pa.array([deal % len(RATES)], pa.int32()), *lists, lots(found, counts, n_lots), *binary], names=["chunk", "turn", "id", "learned", "lots", *_BINARY])
 
         for batch in batches:
             deals = batch.column("deal").to_numpy()
@@ -239,7 +307,7 @@ def store(rows: DataFrame, path: str, pattern: str, root: str) -> DataFrame:
         if held:
             yield flush()
 
-    schema = f"chunk long, turn int, id array<{id_type}>, learned array<boolean>, words array<binary>, counts array<long>, numbers binary, sizes binary, ids binary, id_sizes binary"
+    schema = f"chunk long, turn int, id array<{id_type}>, learned array<boolean>, lots array<{_LOT}>, numbers binary, sizes binary, ids binary, id_sizes binary"
     map_arrow(dealt.select("deal", "__id", "learned", "text"), cut_up, schema).write.option("compression", "zstd").parquet(f"{root}/chunks")
     return rows.sparkSession.read.parquet(f"{root}/chunks")
 
@@ -313,23 +381,21 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     id_type = rows.schema["__id"].dataType.simpleString()
     root = shared_dir(spark)
     stored = store(rows, path, pattern, root)
-    dictionary = stored.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("chunk", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    dictionary.groupBy("word").agg(F.sum("n").alias("c")).write.option("compression", "zstd").parquet(f"{root}/words")
+    dealt = stored.select("chunk", F.explode("lots").alias("x")).select("chunk", "x.*")
+    dealt.groupBy("lot").applyInArrow(count_lot, "chunk long, number binary, c binary, tokens long, words long").write.option("compression", "zstd").parquet(f"{root}/words")
     counted = spark.read.parquet(f"{root}/words")
-    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     scale = symbols(stored, subwords(path, pattern))
     before = prior(stored, scale)
     shared = spark.sparkContext.broadcast((scale, before, fit(stored, scale, before)))
-    # A merge join: words have no bound, and AQE splits those that many chunks have.
-    known = dictionary.select("chunk", "number", "word").join(counted.hint("merge"), "word").select("chunk", "number", "c")
     columns = ["id", "learned", *_BINARY]
 
     def score_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
         scale, before, params = shared.value
-        c = np.empty(known.num_rows, np.int64)
-        c[known.column("number").to_numpy()] = known.column("c").to_numpy()
         ((chunk, row),) = chunks(texts.to_batches(), columns)
-        n = len(chunk.sizes)
+        n, c = len(chunk.sizes), np.empty(len(chunk.id_sizes), np.int64)
+        for number, of_number in zip(known.column("number"), known.column("c"), strict=True):
+            c[np.frombuffer(number.as_buffer(), np.int32)] = np.frombuffer(of_number.as_buffer(), np.int64)
         log = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
         # Ids that share a symbol, by word.
         within = np.add.reduceat(scale.within[chunk.ids], np.cumsum(chunk.id_sizes) - chunk.id_sizes)
@@ -341,7 +407,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return pa.table([row["id"].values, row["learned"].values, pa.array(chunk.sizes + 1), pa.array(n_known), pa.array(np.full(n, total)), pa.array(per_text(log)), pa.array(scores)], names=["__id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"__id {id_type}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = spark.read.parquet(f"{root}/chunks").select("chunk", *columns).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, schema)
+    out = spark.read.parquet(f"{root}/chunks").select("chunk", *columns).groupBy("chunk").cogroup(counted.select("chunk", "number", "c").groupBy("chunk")).applyInArrow(score_chunk, schema)
     out.write.parquet(f"{root}/scores")
     remove(spark, f"{root}/chunks", f"{root}/words")
     return spark.read.parquet(f"{root}/scores").withColumnRenamed("__id", id_col)

@@ -410,6 +410,28 @@ def test_chunks_lay_out_and_count_their_texts():
     assert np.array_equal(l.pairs(symbol), np.bincount(x[:-1] * attention.VOCAB + x[1:], minlength=attention.VOCAB**2))
 
 
+def test_words_are_counted_by_lots_and_not_by_rows(spark, tmp_path):
+    rng, long = random.Random(8), "é" * lm.LONGEST
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)] + [long, long + "x"], k=rng.randint(0, 80))) for _ in range(400)] + [None, "  ", " a b "]
+    rows = [(i, i % 5 > 0, t) for i, t in enumerate(texts)]
+    stored = lm.store(spark.createDataFrame(rows, "__id long, learned boolean, text string"), default_ranks(), default_pattern(), f"file://{tmp_path}")
+    plain = Counter(w for _, y, t in rows if y for w in [*lm.words(t), b""])
+    kept, words = stored.select("chunk", F.explode("lots").alias("x")).select("chunk", "x.*"), {}
+    for r in kept.collect():
+        ends = np.cumsum(np.frombuffer(r.length, np.int32)).tolist()
+        words[r.chunk] = words.get(r.chunk, {}) | {n: r.word[a:b] for n, a, b in zip(np.frombuffer(r.number, np.int32).tolist(), [0, *ends], ends, strict=False)}
+    assert kept.count() <= stored.count() ** 2 < sum(map(len, words.values()))
+    short = lambda w: w if len(w) <= lm.LONGEST else b" " + hashlib.sha256(w).digest()
+    want, got = {short(w): n for w, n in plain.items()}, {}
+    counted = kept.groupBy("lot").applyInArrow(lm.count_lot, "chunk long, number binary, c binary, tokens long, words long").collect()
+    for r in counted:
+        for number, c in zip(np.frombuffer(r.number, np.int32).tolist(), np.frombuffer(r.c, np.int64).tolist(), strict=True):
+            assert c == want.get(words[r.chunk][number], 0)
+            got[words[r.chunk][number]] = c
+    assert {w: c for w, c in got.items() if c} == want
+    assert sum(r.tokens for r in counted) == plain.total() and sum(r.words for r in counted) == len(plain)
+
+
 def test_lm_trains_on_every_text(spark, tmp_path):
     path, pattern = default_ranks(), default_pattern()
     s = lm.subwords(path, pattern)
